@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska, packing
+from . import matroska, near_dup, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a Matroska file, read back and described."""
     stored = matroska.to_media(_table(spark, sf_dir, "documents"))
@@ -26,6 +31,7 @@ def op7_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_hyperminhash": op4_hyperminhash,
         "op5_matroska": op5_matroska,
         "op7_concatenate_and_cut": op7_concatenate_and_cut,
     }

@@ -17,6 +17,8 @@ SHINGLE = 5
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[list(SPACES)] = True
+#: Bytes that are neither ASCII letters or digits nor part of a longer UTF-8 character.
+NOT_ALNUM = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128) for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C55
@@ -79,43 +81,42 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, drop: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all A-Z-lowered words of a chunk, and for each row where its words begin.
-
-    ``drop``: a 256-entry mask of bytes that count as nothing inside words (punctuation, say).
-    A hash is a polynomial of the word's bytes modulo 2**64, from one running sum over the chunk.
-    """
+def find_words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and end byte of every word of a chunk, and for each row where its words begin.  ``apart``: a mask of separating bytes."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    apart = _SEPARATOR[data]
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(len(offsets), np.int64)
+    between = apart[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
-    before = np.empty(n, bool)
-    before[0], before[1:] = True, apart[:-1]
-    starts = np.flatnonzero(~apart & (before | edge[:n]))
-    after = np.empty(n, bool)
-    after[-1], after[:-1] = True, apart[1:]
-    ends = np.flatnonzero(~apart & (after | edge[1:])) + 1
-    value = _LOWER[data].astype(np.uint64) + np.uint64(1)
-    exponent_base = _power(_BASE, n)
-    if drop is None:
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(value * exponent_base, out=total[1:])
-        hashes = (total[ends] - total[starts]) * _power(_BASE_INVERSE, n)[starts]
-        lengths = (ends - starts).astype(np.uint64)
-    else:
-        kept = np.flatnonzero(~drop[data])
-        rank = np.zeros(n + 1, np.int64)
-        np.cumsum(~drop[data], out=rank[1:])
-        total = np.zeros(len(kept) + 1, np.uint64)
-        np.cumsum(value[kept] * _power(_BASE, len(kept)), out=total[1:])
-        a, b = rank[starts], rank[ends]
-        hashes = (total[b] - total[a]) * _power(_BASE_INVERSE, max(len(kept), 1))[np.minimum(a, max(len(kept) - 1, 0))]
-        lengths = (b - a).astype(np.uint64)
-        full = lengths > 0
-        starts, hashes, lengths = starts[full], hashes[full], lengths[full]
-    return mix(hashes + lengths * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(starts, offsets)
+    before, after = np.ones(n, bool), np.ones(n, bool)
+    before[1:], after[:-1] = between[:-1], between[1:]
+    starts = np.flatnonzero(~between & (before | edge[:n]))
+    ends = np.flatnonzero(~between & (after | edge[1:])) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+class Hasher:
+    """64-bit hashes of any byte ranges of an A-Z-lowered chunk: polynomials modulo 2**64 from one running sum."""
+
+    def __init__(self, data: np.ndarray, lower: bool = True) -> None:
+        n = len(data)
+        value = (_LOWER[data] if lower else data).astype(np.uint64)
+        value += np.uint64(1)
+        value *= _power(_BASE, n)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum(value, out=self.total[1:])
+        self.inverse = _power(_BASE_INVERSE, n + 1)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.total[ends] - self.total[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a chunk, and for each row where its words begin."""
+    starts, ends, at = find_words(data, offsets, apart)
+    return Hasher(data)(starts, ends), at
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
