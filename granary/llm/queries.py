@@ -4,15 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import matroska, near_dup, packing
+from . import matroska, near_dup, packing, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out() -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+
+
+def op2_maximal_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of held-out rows are not read."""
+    labels = _table(spark, sf_dir, "labels").where(~_held_out())
+    scored = toxicity.score_texts(_table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_tokens", F.size("passages").alias("n_passages"))
+
+
 def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -31,6 +43,7 @@ def op7_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_maximal_segments": op2_maximal_segments,
         "op4_hyperminhash": op4_hyperminhash,
         "op5_matroska": op5_matroska,
         "op7_concatenate_and_cut": op7_concatenate_and_cut,
