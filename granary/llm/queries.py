@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import matroska, near_dup, packing, toxicity
+from . import matroska, near_dup, packing, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op2_maximal_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_tokens", F.size("passages").alias("n_passages"))
 
 
+def op3_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    scored = quality.score_texts(_table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "weak_label", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
 def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -44,6 +50,7 @@ def op7_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_maximal_segments": op2_maximal_segments,
+        "op3_weak_labels": op3_weak_labels,
         "op4_hyperminhash": op4_hyperminhash,
         "op5_matroska": op5_matroska,
         "op7_concatenate_and_cut": op7_concatenate_and_cut,
