@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import matroska, near_dup, packing, quality, toxicity
+from . import decontaminate, matroska, near_dup, packing, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op7_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark coverage of every document."""
+    return decontaminate.decontaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_maximal_segments": op2_maximal_segments,
@@ -54,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_hyperminhash": op4_hyperminhash,
         "op5_matroska": op5_matroska,
         "op7_concatenate_and_cut": op7_concatenate_and_cut,
+        "op8_string_tiling": op8_string_tiling,
     }
 
 
