@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, matroska, near_dup, packing, quality, toxicity
+from . import decontaminate, matroska, near_dup, packing, quality, secret_crf, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,20 @@ def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.read_media(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def _joined(*spans: str) -> Column:
+    """kind:start:end of all spans, by start and then kind, comma-joined."""
+    kinds = F.create_map(*[F.lit(x) for pair in secret_crf.ORDER.items() for x in pair])
+    keyed = F.transform(F.concat(*spans), lambda s: F.struct(s["start"].alias("start"), kinds[s["kind"]].alias("order"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return F.array_join(F.transform(F.array_sort(keyed), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op6_random_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    found = secret_crf.scan(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("base", "added").alias("spans"), F.size("added").alias("n_added"))
+
+
 def op7_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of 1024-token sequences."""
     return packing.pack(_table(spark, sf_dir, "documents"))
@@ -58,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_weak_labels": op3_weak_labels,
         "op4_hyperminhash": op4_hyperminhash,
         "op5_matroska": op5_matroska,
+        "op6_random_field": op6_random_field,
         "op7_concatenate_and_cut": op7_concatenate_and_cut,
         "op8_string_tiling": op8_string_tiling,
     }
