@@ -10,7 +10,7 @@ and are then confirmed on the full shingle sets.
 
 Exact copies (equal sets) form one class first, so that copies are never paired.  Inside a band's bucket, pairs are not all emitted: each
 member is first tried against one pivot, then against every bucket's pivot, and only members whose components still differ are tried with
-each other.  The components are exact for the candidates that the bands give.
+each other, if they share a shingle that is rare among these members.  The components are exact for the candidates that the bands give.
 
 Null and empty texts have an empty set and are linked with nothing.  Repeated rows of one id give a row each and must have one text.  Empty tables give no rows;
 other columns are ignored; texts of any length are read whole.
@@ -153,16 +153,32 @@ class _Finder:
         tried = first.select("a", "b")
         a, b = (found.toDF(x, f"c{x}") for x in "ab")
         open_pairs = sized.distinct().join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).join(tried, ["a", "b"], "left_anti")
+        open_pairs = stash(open_pairs.select("a", "b", "na", "nb"), "open")
         more = self.confirmed(self.near(open_pairs))
         links = links.union(more)
         found = connected_components(links)
-        # members of one bucket that aren't in one component, except with the pivot, which has been tried
+        # members of one bucket that aren't in one component
         labelled = self.buckets.join(found.toDF("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        mixed = labelled.where("id <> pivot").groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        left = stash(labelled.where("id <> pivot").join(mixed, "bucket").select("bucket", "id", "n", "label"), "mixed")
-        x, y = (left.toDF("bucket", s, f"n{s}", f"l{s}") for s in "ab")
-        cross = x.join(y, "bucket").where(f"a < b and la <> lb and {self.den} * least(na, nb) >= {self.num} * greatest(na, nb)").select("a", "b", "na", "nb").distinct()
-        return connected_components(links.union(self.confirmed(self.near(cross))))
+        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+        left = stash(labelled.join(mixed, "bucket").select("id", "n", "label").distinct(), "mixed")
+        return connected_components(links.union(self.confirmed(self.near(self.across(left).join(tried.union(open_pairs.select("a", "b")), ["a", "b"], "left_anti")))))
+
+    def across(self, left: DataFrame) -> DataFrame:
+        """Pairs of ``left`` with different labels that can reach the threshold.
+
+        Sets of that similarity share one of the rarest shingles of each: of the n - ceil(threshold * n) + 1 that the fewest members of
+        ``left`` hold.  A passage that many texts share is rare in none of them, and so brings no pairs.
+        """
+        held = self.sets.join(left, "id").select("id", "n", "label", F.explode("shingles").alias("shingle"))
+        often = stash(held.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1"), "holders")
+        ranked = held.join(often, "shingle", "left").groupBy("id", "n", "label").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("holders", F.lit(1)).alias("holders"), "shingle"))).alias("all"))
+        rare = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * self.num / self.den) + 1).cast("int"))
+        prefix = ranked.select("id", "n", "label", F.explode(F.filter(rare, lambda x: x["holders"] > 1)).alias("x")).select("id", "n", "label", "x.shingle")
+        prefix = stash(prefix, "prefix")
+        mixed = stash(prefix.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle"), "mixed")
+        kept = prefix.join(mixed, "shingle")
+        x, y = (kept.select("shingle", F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("label").alias(f"l{s}")) for s in "ab")
+        return x.join(y, "shingle").where(f"a < b and la <> lb and {self.den} * least(na, nb) >= {self.num} * greatest(na, nb)").select("a", "b", "na", "nb").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = 75, denominator: int = 100) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, matroska, near_dup, packing, quality, secret_crf, toxicity
+from . import decontaminate, html_text, matroska, near_dup, packing, quality, secret_crf, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,11 @@ def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.main_text(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_maximal_segments": op2_maximal_segments,
@@ -75,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_random_field": op6_random_field,
         "op7_concatenate_and_cut": op7_concatenate_and_cut,
         "op8_string_tiling": op8_string_tiling,
+        "op10_page_differencing": op10_page_differencing,
     }
 
 
