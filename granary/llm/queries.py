@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, matroska, near_dup, packing, quality, secret_crf, toxicity
+from . import decontaminate, html_text, matroska, near_dup, packing, quality, secret_crf, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,21 @@ def _held_out() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
 
 
+#: The rules of the query.
+URL_RULES = [
+    url_filter.Rule("org/", True),
+    url_filter.Rule("example.org/es/", False),
+    url_filter.Rule("example.org/en/1", False),
+    url_filter.Rule("com/fr/", True),
+    url_filter.Rule("com/de/", False),
+]
+
+
+def op1_character_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op2_maximal_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of held-out rows are not read."""
     labels = _table(spark, sf_dir, "labels").where(~_held_out())
@@ -73,6 +88,7 @@ def op10_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_character_models": op1_character_models,
         "op2_maximal_segments": op2_maximal_segments,
         "op3_weak_labels": op3_weak_labels,
         "op4_hyperminhash": op4_hyperminhash,
