@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, matroska, near_dup, packing, quality, secret_crf, toxicity, url_filter
+from . import chat, decontaminate, html_text, matroska, near_dup, packing, quality, secret_crf, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,13 @@ def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations written as raw transcripts, parsed back into turns and rendered."""
+    lines = chat.raw_lines(_table(spark, sf_dir, "conversations"))
+    turns = chat.rendered(chat.decode(lines, chat.fit(lines)))
+    return turns.select(F.col("conv").alias("conv_id"), "place", "role", "continues", "n_lines", "text", "rendered")
+
+
 def op10_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.main_text(_table(spark, sf_dir, "pages"))
@@ -96,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_random_field": op6_random_field,
         "op7_concatenate_and_cut": op7_concatenate_and_cut,
         "op8_string_tiling": op8_string_tiling,
+        "op9_transcripts": op9_transcripts,
         "op10_page_differencing": op10_page_differencing,
     }
 
