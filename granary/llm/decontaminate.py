@@ -161,3 +161,10 @@ def decontaminated(texts: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     best = stash(best.select("id", (-F.col("b.order")).alias("coverage"), "b.item", "b.covered", "b.tiles"), "best")
     rows = texts.select(F.col(id_col).alias("id")).join(best, "id", "left")
     return rows.select(F.col("id").alias(id_col), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.col("item").alias("best_item"), F.coalesce("covered", F.lit(0)).alias("covered_words"), F.coalesce("tiles", F.lit(0)).alias("tiles"), (F.coalesce("coverage", F.lit(0.0)) >= threshold).alias("contaminated"))
+
+
+def keep_clean(texts: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, that no benchmark item covers to ``threshold``."""
+    found = coverage(texts, benchmark, id_col, text_col, seed=seed).where(F.col("covered") >= threshold * F.col("item_words"))
+    gone = stash(found.select(F.col("id").alias("_id")).distinct(), "contaminated")
+    return texts.join(gone, F.col(id_col) == F.col("_id"), "left_anti")

@@ -12,7 +12,7 @@ Exact copies (equal sets) form one class first, so that copies are never paired.
 member is first tried against one pivot, then against every bucket's pivot, and only members whose components still differ are tried with
 each other, if they share a shingle that is rare among these members.  The components are exact for the candidates that the bands give.
 
-Null and empty texts have an empty set and are linked with nothing.  Repeated rows of one id give a row each and must have one text.  Empty tables give no rows;
+Null and empty texts have an empty set and are linked with nothing, rows with a null id neither (their component is null, and they are kept).  Repeated rows of one id give a row each and must have one text.  Empty tables give no rows;
 other columns are ignored; texts of any length are read whole.
 """
 
@@ -188,8 +188,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     sketched = stash(sketches(docs, id_col, text_col), "sketches")
     members = sketched.select("id", "n", "low", "high")
-    classes = stash(sketched.where("n > 0").groupBy("n", "low", "high").agg(F.min(F.struct("id", "sketch")).alias("s")).select("s.id", "n", "low", "high", "s.sketch"), "classes")
+    classes = stash(sketched.where("n > 0 and id is not null").groupBy("n", "low", "high").agg(F.min(F.struct("id", "sketch")).alias("s")).select("s.id", "n", "low", "high", "s.sketch"), "classes")
     found = _Finder(docs, classes, numerator, denominator, id_col, text_col).components()
     keys = classes.select("id", "n", "low", "high").join(found.toDF("id", "component"), "id", "left").select("n", "low", "high", F.coalesce("component", "id").alias("component"))
-    out = members.join(keys, ["n", "low", "high"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    out = members.join(keys, ["n", "low", "high"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, of one document of each component; repeated rows of one id leave one row."""
+    judged = stash(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("kept").alias("_kept")), "judged")
+    dropped = stash(judged.where(~F.col("_kept")).select("_id").distinct(), "dropped")
+    repeated = stash(judged.where("_id is not null").groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select("_id"), "repeated")
+    rest = docs.join(dropped, F.col(id_col) == F.col("_id"), "left_anti")
+    if not repeated.limit(1).count():
+        return rest
+    once = rest.join(repeated, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
+    return rest.join(repeated, F.col(id_col) == F.col("_id"), "left_anti").unionByName(once)

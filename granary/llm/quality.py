@@ -198,21 +198,45 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds:
     return w
 
 
-def score_texts(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``id, weak_label, score``: the label model's probability of good, and the linear scorer's."""
-    spark = texts.sparkSession
+def _fitted(texts: DataFrame, id_col: str, text_col: str, fit_rows: int) -> tuple[DataFrame, np.ndarray, dict[int, float]]:
+    """The source frame ``id, text, wanted``, the scorer's weights and the posterior of each vote pattern."""
     total = texts.count()
     picked = F.coalesce(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, fit_rows / max(total, 1))), F.lit(False))
     source = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), picked.alias("wanted"))
     voted = stash(_judged(source, keep=True), "votes")
     counted = voted.groupBy("votes").agg(F.count("*").alias("n")).toPandas()  # at most 3 ** 10 rows
-    codes = counted.votes.to_numpy()
+    codes = counted.votes.to_numpy(np.int64)
     patterns = codes[:, None] // 3 ** np.arange(len(VOTERS)) % 3 - 1
     _, posterior = estimate(patterns, counted.n.to_numpy(float))
     of = dict(zip(codes.tolist(), posterior.tolist()))
     sample = voted.where(F.size("features") > 0).select("votes", "features", "values").toArrow()  # about fit_rows
     rows = [(np.array(f, np.int64), np.array(v)) for f, v in zip(sample.column(1).to_pylist(), sample.column(2).to_pylist())]
-    weights = train(rows, np.array([of[v] for v in sample.column(0).to_pylist()]))
-    judged = _judged(source, spark.sparkContext.broadcast(weights))
-    table = F.create_map(*[F.lit(x) for pair in sorted(of.items()) for x in pair]) if of else F.lit(None)
-    return judged.select(F.col("id").alias(id_col), (table[F.col("votes")] if of else table).cast("double").alias("weak_label"), (1 / (1 + F.exp(-F.col("margin")))).alias("score"))
+    return source, train(rows, np.array([of[v] for v in sample.column(0).to_pylist()])), of
+
+
+def score_texts(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``id, weak_label, score``: the label model's probability of good, and the linear scorer's."""
+    source, weights, of = _fitted(texts, id_col, text_col, fit_rows)
+    judged = _judged(source, texts.sparkSession.sparkContext.broadcast(weights))
+    table = F.create_map(*[F.lit(x) for pair in sorted(of.items()) for x in pair])[F.col("votes")] if of else F.lit(None)
+    return judged.select(F.col("id").alias(id_col), table.cast("double").alias("weak_label"), (1 / (1 + F.exp(-F.col("margin")))).alias("score"))
+
+
+def keep_good(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, threshold: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose score reaches ``threshold``."""
+    _, weights, _ = _fitted(texts, id_col, text_col, fit_rows)
+    shipped, at = texts.sparkSession.sparkContext.broadcast(weights), texts.columns.index(text_col)
+    least = float(np.log(threshold / (1 - threshold)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shipped.value
+        for batch in batches:
+            for first, end, data, offsets in text_chunks(batch.column(at)):
+                shares, words, shape, place = _shares(data, offsets)
+                good = []
+                for k in range(len(words)):
+                    full, value = _features(shape, place, shares, k)
+                    good.append(float(w[full] @ value + w[-1]) >= least)
+                yield batch.slice(first, end - first).filter(pa.array(good))
+
+    return texts.mapInArrow(run, texts.schema)

@@ -60,6 +60,18 @@ def test_planted_copies_chains_and_short_texts(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_one_large_group_near_the_threshold(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("abcdefg", k=4))
+    base, rows = [word() for _ in range(120)], []
+    for k in range(150):
+        text = list(base)
+        for _ in range(rnd.randrange(0, 9)):
+            text[rnd.randrange(120)] = word()
+        rows.append((k, " ".join(text)))
+    assert run(spark, rows) == brute(rows)
+
+
 def test_empty_table_and_extra_columns(spark):
     assert run(spark, []) == set()
     docs = spark.createDataFrame([(1, "a b c d e f", "x", 3), (2, "a b c d e f", "y", 4)], "doc_id long, text string, id string, n int")
