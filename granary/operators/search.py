@@ -79,7 +79,7 @@ def nearest_neighbours(queries: DataFrame, vectors: DataFrame, n: int, floor: fl
         for batch in batches:
             v = np.array(batch["vector"].tolist(), float).reshape(len(batch), -1)
             size = np.linalg.norm(v, axis=1)
-            cos = np.round(q @ (v / np.maximum(size, 1e-300)[:, None]).T, 9)
+            cos = np.round(q @ (v / np.maximum(size, 1e-300)[:, None]).T, 6)
             ids = batch["id"].to_numpy()
             out = []
             for k, row in enumerate(cos):

@@ -14,7 +14,8 @@ _PRIME = (1 << 31) - 1
 def shingles(words: Column, width: int = 5) -> Column:
     """Distinct runs of ``width`` words."""
     count = F.size(words) - width + 1
-    runs = F.transform(F.sequence(F.lit(1), count), lambda k: F.array_join(F.slice(words, k, F.lit(width)), " "))
+    shifted = F.arrays_zip(*[F.slice(words, k + 1, F.greatest(count, F.lit(0))) for k in range(width)])
+    runs = F.transform(shifted, lambda x: F.concat_ws(" ", *[x[str(k)] for k in range(width)]))
     return F.when(count >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 

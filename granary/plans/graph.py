@@ -216,10 +216,10 @@ def positional_cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
     return graph.positional_cooccurrence(tables.documents(spark, sf).select("doc_id", tokens(F.col("text")).alias("words")), names)
 
 
-@query(f"SELECT src, dst, score FROM (SELECT src, dst, round((weight + 0.5) / 2, 6) AS score, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM {STRONG}) WHERE k <= 5 AND score >= 0.26")
+@query(f"SELECT src, dst, score FROM (SELECT src, dst, round((weight + 0.5) / 2, 7) AS score, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM {STRONG}) WHERE k <= 5 AND score >= 0.26")
 def link_suggestions(spark: SparkSession, sf: str) -> DataFrame:
     """Blend of two affinities, with a floor, the best five of each."""
-    rows = _strong(spark, sf).select("src", "dst", F.round((F.col("weight") + 0.5) / 2, 6).alias("score"), "weight")
+    rows = _strong(spark, sf).select("src", "dst", F.round((F.col("weight") + 0.5) / 2, 7).alias("score"), "weight")
     return rows.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))).where("k <= 5 AND score >= 0.26").select("src", "dst", "score")
 
 

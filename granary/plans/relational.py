@@ -46,11 +46,11 @@ def two_sided_join(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, "s_nationkey").where("a < b").select("a", "b", "name_a", "name_b")
 
 
-@query("SELECT coalesce(a.d, b.d) AS day, coalesce(a.n, 0) AS ordered, coalesce(b.n, 0) AS shipped FROM (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT CAST(l_shipdate AS DATE) AS d, count(*) AS n FROM lineitem GROUP BY 1) b ON a.d = b.d")
+@query("SELECT CAST(coalesce(a.d, b.d) AS VARCHAR) AS day, coalesce(a.n, 0) AS ordered, coalesce(b.n, 0) AS shipped FROM (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT CAST(l_shipdate AS DATE) AS d, count(*) AS n FROM lineitem GROUP BY 1) b ON a.d = b.d")
 def full_outer_merge(spark: SparkSession, sf: str) -> DataFrame:
     a = tables.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("ordered"))
     b = tables.table(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.count("*").alias("shipped"))
-    return a.join(b, "day", "full_outer").select("day", F.coalesce("ordered", F.lit(0)).alias("ordered"), F.coalesce("shipped", F.lit(0)).alias("shipped"))
+    return a.join(b, "day", "full_outer").select(F.col("day").cast("string").alias("day"), F.coalesce("ordered", F.lit(0)).alias("ordered"), F.coalesce("shipped", F.lit(0)).alias("shipped"))
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 3")
@@ -100,7 +100,7 @@ def cube(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_orderstatus, count(*) FILTER (WHERE year(o_orderdate) = 1996) AS y1996, count(*) FILTER (WHERE year(o_orderdate) = 1997) AS y1997 FROM orders GROUP BY 1")
 def pivot_years(spark: SparkSession, sf: str) -> DataFrame:
-    rows = tables.table(spark, sf, "orders").groupBy("o_orderstatus").pivot(F.year("o_orderdate"), [1996, 1997]).count()
+    rows = tables.table(spark, sf, "orders").withColumn("year", F.year("o_orderdate")).groupBy("o_orderstatus").pivot("year", [1996, 1997]).count()
     return rows.select("o_orderstatus", F.coalesce("1996", F.lit(0)).alias("y1996"), F.coalesce("1997", F.lit(0)).alias("y1997"))
 
 
@@ -144,7 +144,7 @@ def merged_posts(spark: SparkSession, sf: str) -> DataFrame:
     return records.merged_posts(rows.unionByName(more))
 
 
-@query("SELECT url, visits, first, last, title FROM (SELECT 'u' || o_custkey AS url, sum(o_orderkey % 3) AS visits, min(o_orderdate) AS first, max(o_orderdate) AS last, max_by(o_orderpriority, (o_orderdate, o_orderpriority)) AS title, bool_or(o_orderstatus = 'P' AND o_totalprice > 400000) AS b FROM orders GROUP BY 1) WHERE b OR visits >= 12")
+@query("SELECT url, visits, first, last, title, b AS bookmarked FROM (SELECT 'u' || o_custkey AS url, sum(o_orderkey % 3) AS visits, min(o_orderdate) AS first, max(o_orderdate) AS last, max_by(o_orderpriority, (o_orderdate, o_orderpriority)) AS title, bool_or(o_orderstatus = 'P' AND o_totalprice > 400000) AS b FROM orders GROUP BY 1) WHERE b OR visits >= 12")
 def merged_visits(spark: SparkSession, sf: str) -> DataFrame:
     rows = tables.table(spark, sf, "orders").select(F.concat(F.lit("u"), "o_custkey").alias("url"), (F.col("o_orderkey") % 3).alias("visits"), F.col("o_orderdate").alias("at"), F.col("o_orderpriority").alias("title"), ((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 400000)).alias("bookmarked"))
     return records.merged_visits(rows, 12)

@@ -10,17 +10,20 @@ from ..operators import similarity
 from ..sources import tables
 from .registry import TOKENS, query
 
-SHINGLES = f"(SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM (SELECT doc_id, {TOKENS} AS w FROM documents) WHERE len(w) >= 50)"
-HELD = f"(SELECT doc_id, unnest(s) AS shingle FROM {SHINGLES})"
-NEAR = f"(SELECT a.doc_id AS a, b.doc_id AS b, round(count(*) / (min(x.n) + min(y.n) - count(*))::DOUBLE, 6) AS similarity FROM {HELD} a JOIN {HELD} b ON a.shingle = b.shingle AND a.doc_id < b.doc_id JOIN (SELECT doc_id, len(s) AS n FROM {SHINGLES}) x ON x.doc_id = a.doc_id JOIN (SELECT doc_id, len(s) AS n FROM {SHINGLES}) y ON y.doc_id = b.doc_id GROUP BY 1, 2)"
+NEAR = f"""WITH words AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {TOKENS} AS w FROM documents) WHERE len(w) >= 50),
+runs AS (SELECT doc_id, t || ' ' || lead(t, 1) OVER o || ' ' || lead(t, 2) OVER o || ' ' || lead(t, 3) OVER o || ' ' || lead(t, 4) OVER o AS shingle FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+held AS MATERIALIZED (SELECT DISTINCT doc_id, shingle FROM runs WHERE shingle IS NOT NULL),
+sizes AS (SELECT doc_id, count(*) AS n FROM held GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM held a JOIN held b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT a, b, round(c.n / (x.n + y.n - c.n)::DOUBLE, 6) AS similarity FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE round(c.n / (x.n + y.n - c.n)::DOUBLE, 6) >= 0.85"""
 
 
-@query(f"SELECT a, b, similarity FROM {NEAR} WHERE similarity >= 0.85")
+@query(NEAR)
 def near_dup_exact(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.exact_pairs(similarity.shingled(tables.documents(spark, sf)), 0.85)
 
 
-@query(f"SELECT a, b, similarity FROM {NEAR} WHERE similarity >= 0.85")
+@query(NEAR)
 def near_dup_lsh(spark: SparkSession, sf: str) -> DataFrame:
     """Signatures and bands find the pairs, full sets confirm them."""
     sets = similarity.shingled(tables.documents(spark, sf))

@@ -28,9 +28,9 @@ def usage_totals(spark: SparkSession, sf: str) -> DataFrame:
     return usage.totals(tables.interactions(spark, sf))
 
 
-@query(f"SELECT CAST(acted AS DATE) AS day, count(*) AS events, count(*) FILTER (WHERE action = 'error') AS errors, count(DISTINCT session_id) AS sessions FROM {ACTS} GROUP BY 1")
+@query(f"SELECT CAST(CAST(acted AS DATE) AS VARCHAR) AS day, count(*) AS events, count(*) FILTER (WHERE action = 'error') AS errors, count(DISTINCT session_id) AS sessions FROM {ACTS} GROUP BY 1")
 def usage_daily(spark: SparkSession, sf: str) -> DataFrame:
-    return usage.daily(tables.interactions(spark, sf))
+    return usage.daily(tables.interactions(spark, sf)).withColumn("day", F.col("day").cast("string"))
 
 
 @query(f"SELECT session_id AS value, count(*) FILTER (WHERE action = 'view') AS searches, count(*) FILTER (WHERE action = 'click') AS clicks FROM {ACTS} WHERE action IN ('view', 'click') GROUP BY 1")
