@@ -7,7 +7,8 @@ is expected less than ``MAX_E`` times in a clean text of that length.  The law's
 and a logistic curve through labelled texts' evidence makes it a probability.
 
 The label fit uses at most about ``fit_rows`` labelled rows, picked by a hash of their id; a quarter of them calibrates the law and the
-curve and gives no token counts.  The prior's counts cover all texts.  Units live in
+curve and gives no token counts.  Near copies among them share one vote: a row weighs one over the size of its family, which two minima of
+hashed word runs tell.  The prior's counts cover all texts.  Units live in
 ``BUCKETS`` hash buckets, which bounds the model.  Null and empty texts have no evidence and get the curve's lowest value; with no labels of
 one class every text gets the base rate.  Repeated rows give repeated results; empty tables none; other columns are ignored.
 """
@@ -22,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NOT_ALNUM, Hasher, find_words, stash, text_chunks
+from .shared import NOT_ALNUM, SHINGLE, Hasher, find_words, mix, stash, text_chunks, window_hashes, word_hashes
 
 BUCKETS = 1 << 18
 FIT_ROWS = 60_000
 PREFIXES = (4, 6)
 PRIOR_WEIGHT = 500.0
-MIN_Z = 2.5
+MIN_Z = 4.0  # of the signed root of the likelihood ratio
 DRIFT = 0.1
 MOST = 8.0
 MAX_E = 0.01
@@ -104,32 +105,63 @@ def _class_of(ids: np.ndarray, wanted: np.ndarray, label: np.ndarray) -> np.ndar
     return np.where(wanted[k] == ids, label[k], -1)
 
 
+def _weights(texts: DataFrame, wanted: np.ndarray) -> np.ndarray:
+    """One over the size of the family of near copies of each wanted row; a family shares the smallest of its hashed word runs under one of two mixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in text_chunks(batch.column(1)):
+                words, at = word_hashes(data, offsets)
+                keys = np.zeros((2, end - first), np.int64)
+                for k in range(end - first):
+                    row = words[at[k] : at[k + 1]]
+                    runs = window_hashes(row, min(SHINGLE, max(len(row), 1)))
+                    if len(runs):
+                        keys[:, k] = runs.min().view(np.int64), mix(runs).min().view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first).cast(pa.int64()), pa.array(keys[0]), pa.array(keys[1])], ["id", "a", "b"])
+
+    picked = texts.sparkSession.createDataFrame(pa.table({"id": pa.array(wanted, pa.int64())}))
+    rows = texts.join(F.broadcast(picked), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, a long, b long").dropDuplicates(["id"]).toArrow()  # bounded by fit_rows
+    weights = np.ones(len(wanted))
+    if rows.num_rows:
+        sizes = [n[k] for c in "ab" for _, k, n in [np.unique(rows.column(c).to_numpy(), return_inverse=True, return_counts=True)]]
+        weights[np.searchsorted(wanted, rows.column("id").to_numpy())] = 1 / np.maximum(*sizes)
+    return weights
+
+
 def _counts(texts: DataFrame, shipped) -> DataFrame:
-    """``bucket, seen, toxic, clean``: tokens over all texts, and labelled texts of each class that hold the unit."""
+    """``bucket, seen, toxic, clean``: tokens over all texts, and the weight of labelled texts of each class that hold the unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, label = shipped.value
-        seen, by = np.zeros(BUCKETS, np.int64), np.zeros((2, BUCKETS), np.int64)
+        wanted, label, weight = shipped.value
+        seen, by = np.zeros(BUCKETS, np.int64), np.zeros((2, BUCKETS))
         for batch in batches:
             ids = batch.column(0).cast(pa.int64()).fill_null(-(2**62)).to_numpy(zero_copy_only=False)
             kind = _class_of(ids, wanted, label)
+            share = _class_of(ids, wanted, weight)
             for first, end, data, offsets in text_chunks(batch.column(1)):
                 units, at = _units(data, offsets)
                 seen += np.bincount(units.ravel(), minlength=BUCKETS)
                 for k in np.flatnonzero(kind[first:end] >= 0).tolist():
-                    by[int(kind[first + k] > 0), np.unique(units[:, at[k] : at[k + 1]])] += 1
+                    by[int(kind[first + k] > 0), np.unique(units[:, at[k] : at[k + 1]])] += share[first + k]
         full = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(seen[full]), pa.array(by[1][full]), pa.array(by[0][full])], ["bucket", "seen", "toxic", "clean"])
 
-    return texts.mapInArrow(run, "bucket long, seen long, toxic long, clean long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("seen", "toxic", "clean")])
+    return texts.mapInArrow(run, "bucket long, seen long, toxic double, clean double").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("seen", "toxic", "clean")])
 
 
-def log_odds(seen: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds ratio of each unit under the informative Dirichlet prior, and its z-score."""
-    prior = 0.5 + PRIOR_WEIGHT * seen / max(seen.sum(), 1)
-    a, b = toxic + prior, clean + prior
-    delta = np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b))
-    return delta, delta / np.sqrt(1 / a + 1 / b)
+def log_odds(seen: np.ndarray, toxic: np.ndarray, clean: np.ndarray, toxic_texts: float, clean_texts: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds ratio of each unit under the informative Dirichlet prior, and the signed root of the likelihood ratio of its texts' counts."""
+    prior = np.where(seen > 0, 0.5, 0.0) + PRIOR_WEIGHT * seen / max(seen.sum(), 1)
+    a, b = toxic + prior + 1e-9, clean + prior + 1e-9
+    delta = np.log(a / max(a.sum(), 1)) - np.log(b / max(b.sum(), 1))
+    share, all_texts = toxic + clean, max(toxic_texts + clean_texts, 1e-9)
+    ratio = np.zeros(len(seen))
+    for held, texts in ((toxic, toxic_texts), (clean, clean_texts)):
+        for observed, of in ((held, share), (texts - held, all_texts - share)):
+            expected = of * texts / all_texts
+            ratio += 2 * np.where(observed > 1e-9, observed * np.log(np.maximum(observed, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
+    return delta, np.sign(delta) * np.sqrt(np.maximum(ratio, 0))
 
 
 def _segments(texts: DataFrame, shipped) -> DataFrame:
@@ -187,14 +219,15 @@ def fit(texts: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     source = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     wanted, label = _labels(labels, id_col, label_col, fit_rows)
     held = ((wanted * 0x9E3779B1 >> 7) & 0xFFFF) % CALIBRATION_SHARE == 0
-    counted = _counts(source, spark.sparkContext.broadcast((wanted[~held], label[~held]))).toArrow()  # at most BUCKETS rows
+    weight = _weights(source, wanted)
+    counted = _counts(source, spark.sparkContext.broadcast((wanted[~held], label[~held], weight[~held]))).toArrow()  # at most BUCKETS rows
     full = np.zeros((3, BUCKETS))
     for k, c in enumerate(("seen", "toxic", "clean")):
         full[k, counted.column("bucket").to_numpy()] = counted.column(c).to_numpy()
-    delta, z = log_odds(*full)
+    delta, z = log_odds(*full, *(weight[~held & (label > 0 if toxic else label <= 0)].sum() for toxic in (True, False)))
     scores = np.where(np.abs(z) >= MIN_Z, np.clip(delta, -1.0, MOST), 0.0) - DRIFT
     found = stash(_segments(source, spark.sparkContext.broadcast((scores, np.where(np.abs(z) >= MIN_Z, np.abs(delta), 0.0)))), "segments")
-    picked = spark.createDataFrame(pa.table({"id": pa.array(wanted[held], pa.int64()), "label": pa.array(label[held], pa.int32())}))
+    picked = spark.createDataFrame(pa.table({"id": pa.array(wanted[held], pa.int64()), "label": pa.array(label[held], pa.int32()), "weight": pa.array(weight[held])}))
     labelled = found.join(picked, "id")
     clean = labelled.where("label = 0").select(F.col("n"), F.explode_outer("segments.score").alias("s"))
     sums = clean.agg(F.count("s").alias("m"), F.sum("s").alias("s"), F.count("*").alias("rows")).first()
@@ -202,7 +235,7 @@ def fit(texts: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     # tail of segments in clean texts: an exponential with one further segment of unit score, and their rate a token
     rate = min(2.0, max(0.1, (sums.m + 1) / ((sums.s or 0.0) + 1.0)))
     scale = (sums.m + 1) / (tokens + 1)
-    bins = labelled.groupBy(F.round(_evidence(rate, scale) / EVIDENCE_STEP).alias("x")).agg(F.sum(F.when(F.col("label") > 0, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") > 0, 0).otherwise(1)).alias("q")).toPandas()  # at most 401 rows
+    bins = labelled.groupBy(F.round(_evidence(rate, scale) / EVIDENCE_STEP).alias("x")).agg(F.sum(F.when(F.col("label") > 0, F.col("weight")).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") > 0, 0).otherwise(F.col("weight"))).alias("q")).toPandas()  # at most 401 rows
     slope, shift = _logistic(bins.x.to_numpy(float) * EVIDENCE_STEP, bins.p.to_numpy(float), bins.q.to_numpy(float))
     return Model(scores, rate, scale, max(slope, 0.0), shift), found
 

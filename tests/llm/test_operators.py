@@ -1,0 +1,268 @@
+"""Every numbered operator on a small table with nulls, empty and repeated texts, an empty table, and against brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+from granary.llm import chat, decontaminate, html_text, matroska, near_dup, packing, quality, queries, secret_crf, toxicity, url_filter
+from pyspark.sql import functions as F
+
+SF = "/root/testdata/sf0.001"
+LONG = "word " * 30_000
+TEXTS = [(1, None), (2, ""), (3, "   "), (4, "Hello world, this is a plain sentence of the language."), (4, "Hello world, this is a plain sentence of the language."), (5, LONG), (6, "é ü 漢字 \U0001f600 password = hunter2hunter"), (None, "no id here")]
+SCHEMA = "doc_id long, text string, id int, lang string, score string"
+
+
+def documents(spark, rows=TEXTS):
+    return spark.createDataFrame([(k, t, 7, None, "x") for k, t in rows], SCHEMA)
+
+
+def labels(spark):
+    return spark.createDataFrame([(4, 0, 0), (5, 1, 1)], "doc_id long, quality int, toxic int")
+
+
+ON_TEXTS = {
+    "toxicity": lambda spark, d: toxicity.score_texts(d, labels(spark)),
+    "quality": lambda spark, d: quality.score_texts(d),
+    "near_dup": lambda spark, d: near_dup.near_duplicates(d),
+    "matroska": lambda spark, d: matroska.read_media(matroska.to_media(d)),
+    "secrets": lambda spark, d: secret_crf.scan(d),
+    "tiling": lambda spark, d: decontaminate.decontaminated(d, spark.createDataFrame([(1, "a b c d e f g"), (2, None), (2, "")], "item_id long, text string")),
+}
+
+
+@pytest.mark.parametrize("name", list(ON_TEXTS))
+def test_edge_rows_give_a_row_each(spark, name):
+    out = ON_TEXTS[name](spark, documents(spark)).collect()
+    assert len(out) == len(TEXTS)
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(k) for k, _ in TEXTS)
+    assert ON_TEXTS[name](spark, documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("stage", [quality.keep_good, near_dup.deduplicated, secret_crf.redacted])
+def test_filters_keep_the_columns(spark, stage):
+    for rows in (TEXTS, []):
+        out = stage(documents(spark, rows))
+        assert out.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+        out.collect()
+
+
+def test_url_rules_match_brute_force(spark):
+    urls = [None, "", "nohost", "HTTP://A.Example.ORG/es/x?q", "http://example.org/en/12#f", "http://example.org", "ftp://x.com/fr/a", "https://b.com/de/", "https://xexample.org/es/", "http://notorg/", "https://a.b.com/french", "http://ORG?x/y"]
+    pages = spark.createDataFrame([(k, u, "e") for k, u in enumerate(urls)], "page_id long, url string, host string")
+
+    def expected(url):
+        host, path = "", ""
+        if url and "://" in url:
+            m = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1])
+            host, path = re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]
+        best = None
+        for rule in queries.URL_RULES:
+            h, p = rule.text.split("/", 1) if hasattr(rule, "text") else rule[0].split("/", 1)
+            if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule[0]) > len(best[0])):
+                best = rule
+        return host, path, best[0] if best else None, None if best is None else "allow" if best[1] else "block"
+
+    for r in url_filter.judge(pages, queries.URL_RULES).collect():
+        host, path, rule, verdict = expected(urls[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == verdict if verdict else r.verdict in ("allow", "block")
+    assert url_filter.judge(pages.where("false"), queries.URL_RULES).count() == 0
+
+
+def test_maximal_segments_match_their_definition():
+    def brute(scores, base=0):  # the best sum, the shortest then leftmost among ties, then both sides
+        best = None
+        for a in range(len(scores)):
+            for b in range(a + 1, len(scores) + 1):
+                s = sum(scores[a:b])
+                if s > 0 and (best is None or (s, -(b - a)) > (best[0], -(best[2] - best[1]))):
+                    best = (s, a, b)
+        if best is None:
+            return set()
+        _, a, b = best
+        return {(base + a, base + b)} | brute(scores[:a], base) | brute(scores[b:], base + b)
+
+    import numpy as np
+
+    rnd = random.Random(4)
+    for _ in range(200):
+        scores = [rnd.choice([-3, -2, -1, 1, 2, 4]) + rnd.random() / 100 for _ in range(rnd.randrange(1, 14))]
+        assert {(s[0], s[1]) for s in toxicity.maximal_segments(np.array(scores))} == brute(scores)
+
+
+def test_held_out_toxicity_and_quality_agree_with_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    known = spark.read.parquet(f"{sf}/labels.parquet")
+    toxic = queries.queries()["op2_maximal_segments"](spark, sf).where("held_out").join(known, "doc_id").collect()
+    assert sum(r.predicted == r.toxic for r in toxic) >= 0.93 * len(toxic)
+    good = queries.queries()["op3_weak_labels"](spark, sf).join(known, "doc_id").collect()
+    assert sum(r.kept == (r.quality == 1) for r in good) >= 0.9 * len(good)
+
+
+def test_media_round_trip_is_exact(spark):
+    for r in queries.op5_matroska(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), "doc_id").collect():
+        raw = (r.text or "").encode()
+        padded = raw + bytes(-len(raw) % 64 if raw else 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+
+
+def test_truncated_media_is_reported_and_keeps_what_came_before():
+    whole = matroska.mux(matroska.pad(b"x" * 5000))
+    assert matroska.demux(whole).error is None
+    for cut in (0, 3, 40, len(whole) // 2, len(whole) - 1):
+        matroska.demux(whole[:cut])
+
+
+def test_base_secrets_match_the_patterns(spark):
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    kinds = (("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))
+    for r in queries.op6_random_field(spark, SF).collect():
+        found = [(m.start(), k, kind, m.end()) for k, (kind, p, g, least) in enumerate(kinds) for m in re.finditer(p, rows[r.doc_id], re.IGNORECASE | re.ASCII if k == 0 else 0) if len(m[g]) >= least]
+        joined = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found))
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert {x for x in joined.split(",") if x} <= set(r.spans.split(","))
+
+
+def test_viterbi_equals_all_paths():
+    import itertools
+
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    model = secret_crf.Model(rnd.normal(size=(secret_crf.FEATURES, 3)), rnd.normal(size=(3, 3)))
+    features = [[int(x) for x in rnd.integers(0, secret_crf.FEATURES, 4)] for _ in range(6)]
+    e = model.scores(features)
+
+    def total(tags):
+        path = [secret_crf.O, *tags, secret_crf.O]
+        return sum(model.moves[a, b] for a, b in zip(path, path[1:])) + sum(e[k, t] for k, t in enumerate(tags))
+
+    assert model.decode(features) == list(max(itertools.product(range(3), repeat=6), key=total))
+
+
+def test_pieces_tile_the_token_streams(spark):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    ids = {r.doc_id: [*tok.encode(r.text or "", add_special_tokens=False).ids, 0] for r in docs.collect()}
+    pieces = packing.pack(docs).collect()
+    by_doc, by_seq = {}, {}
+    for p in pieces:
+        by_doc.setdefault(p.doc_id, []).append(p)
+        by_seq.setdefault(p.sequence_id, []).append(p)
+        assert p.ids_crc32 == zlib.crc32(np.array(ids[p.doc_id][p.start : p.start + p.length], "<u4").tobytes())
+    for k, x in ids.items():
+        at = 0
+        for p in sorted(by_doc[k], key=lambda p: p.start):
+            assert p.start == at and p.length > 0 and p.doc_tokens == len(x)
+            at += p.length
+        assert at == len(x)
+    used = 0
+    for ps in by_seq.values():
+        at = 0
+        for p in sorted(ps, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 1024
+        used += at
+    assert used > 0.95 * 1024 * (len(by_seq) - 8)
+
+
+def test_tiles_match_brute_force_and_catch_reordering(spark):
+    def brute(text, item, least):
+        marked_t, marked_i, covered = set(), set(), 0
+        while True:
+            best = None
+            for a in range(len(text)):
+                for b in range(len(item)):
+                    n = 0
+                    while a + n < len(text) and b + n < len(item) and text[a + n] == item[b + n] and a + n not in marked_t and b + n not in marked_i:
+                        n += 1
+                    if n >= least and (best is None or n > best[0]):
+                        best = (n, a, b)
+            if best is None:
+                return covered
+            n, a, b = best
+            marked_t |= set(range(a, a + n))
+            marked_i |= set(range(b, b + n))
+            covered += n
+
+    rnd = random.Random(3)
+    item = [f"w{rnd.randrange(30)}" for _ in range(40)]
+    texts = []
+    for k in range(30):
+        text = [f"w{rnd.randrange(30)}" for _ in range(30)]
+        for _ in range(k % 4):
+            a = rnd.randrange(30)
+            text[rnd.randrange(30) : 0] = item[a : a + rnd.randrange(5, 20)]
+        texts.append((k, text))
+    texts.append((99, item[20:] + ["gap", "gap"] + item[:20]))
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, " ".join(item)), (6, "too short"), (7, None)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.decontaminated(docs, bench).collect()}
+    for k, t in texts:
+        assert got[k].covered_words == brute(t, item, 5), k
+    assert got[99].contaminated and got[99].coverage == 1.0
+    assert 99 not in {r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()}
+
+
+def test_transcripts_recover_roles(spark):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    lines = chat.raw_lines(turns)
+    out = chat.rendered(chat.decode(lines, chat.fit(lines)))
+    rows = out.collect()
+    n, roles = turns.count(), [r.role for r in rows if not r.continues]
+    assert abs(len(roles) - n) <= 0.05 * n
+    true = {r.role: r["count"] for r in turns.groupBy("role").count().collect()}
+    assert all(abs(roles.count(k) - v) <= 0.08 * n for k, v in true.items())
+
+
+def test_main_text_of_pages(spark):
+    article = "<html><head><title>t</title><style>x</style></head><body><nav>menu</nav><article><h1>Head &amp; tail</h1><p>One\n  <b>two</b> three.</p><script>no()</script></article><footer>foot</footer></body></html>"
+    plain = "<body><div>Shared banner line</div><p>{}</p><div>Shared closing line</div></body>"
+    rows = [(1, "http://a.org/x/1", article), (2, "http://b.org/y/1", plain.format("First own text")), (3, "http://b.org/y/2", plain.format("Second own text")), (4, None, None), (5, "http://c.org/", "")]
+    pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, text int")
+    out = {r.page_id: r for r in html_text.main_text(pages).collect()}
+    assert out[1].text == "Head & tail\nOne two three."
+    assert (out[2].text, out[3].text) == ("First own text", "Second own text")
+    assert (out[4].text, out[5].text, out[5].n_chars) == ("", "", 0)
+    assert html_text.main_text(pages.where("false")).count() == 0
+
+
+def test_common_subsequence_is_longest():
+    rnd = random.Random(8)
+
+    def length(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for k, y in enumerate(b):
+                last, row[k + 1] = row[k + 1], last + 1 if x == y else max(row[k + 1], row[k])
+        return row[-1]
+
+    for _ in range(200):
+        a, b = ([rnd.randrange(5) for _ in range(rnd.randrange(12))] for _ in "ab")
+        places = html_text.common_subsequence(a, b)
+        assert len(places) == length(a, b) and places == sorted(set(places))
+
+
+def test_pipeline_stages_narrow_the_documents(spark):
+    import corpus_pipeline
+
+    assert [s for s, _ in corpus_pipeline.STAGES] == ["quality classifier", "near duplicates", "benchmark decontamination", "secret scan", "packing"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, kept, SF)
+        assert out.columns == docs.columns, name
+        before, now = kept.count(), out.count()
+        assert 0 < now <= before, name
+        kept = out
+    assert kept.where(F.col("text").contains("AKIA")).where(F.col("text").rlike("AKIA[A-Z0-9]{16}")).count() == 0
