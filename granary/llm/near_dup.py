@@ -10,7 +10,7 @@ and are then confirmed on the full shingle sets.
 
 Exact copies (equal sets) form one class first, so that copies are never paired.  Inside a band's bucket, pairs are not all emitted: each
 member is first tried against one pivot, then against every bucket's pivot, and only members whose components still differ are tried with
-each other, if they share a shingle that is rare among these members.  The components are exact for the candidates that the bands give.
+each other, if a shingle that is rare among these members can be the first of enough common ones.  The components are exact for the candidates that the bands give.
 
 Null and empty texts have an empty set and are linked with nothing, rows with a null id neither (their component is null, and they are kept).  Repeated rows of one id give a row each and must have one text.  Empty tables give no rows;
 other columns are ignored; texts of any length are read whole.
@@ -34,6 +34,8 @@ MANTISSA = 10
 _ROUND_SEED = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Six standard errors of an estimate from REGISTERS registers at 0.75 are 0.137.
 MARGIN = 0.14
+#: Shingles in front of a match that are compared.
+BEFORE = 8
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
@@ -166,19 +168,31 @@ class _Finder:
     def across(self, left: DataFrame) -> DataFrame:
         """Pairs of ``left`` with different labels that can reach the threshold.
 
-        Sets of that similarity share one of the rarest shingles of each: of the n - ceil(threshold * n) + 1 that the fewest members of
-        ``left`` hold.  A passage that many texts share is rare in none of them, and so brings no pairs.
+        Only shingles that two labels hold count, and only texts with enough of those.  They are ranked from the fewest holders to the most,
+        after a text's own shingles.  A pair of n and m shingles that reaches the threshold shares at least ``need`` of them, so its first
+        common shingle is among the first n - need + 1 and m - need + 1.  A match that follows an earlier one is not a pair's first and is
+        left out, as far as the ``BEFORE`` shingles in front of it tell.
         """
         held = self.sets.join(left, "id").select("id", "n", "label", F.explode("shingles").alias("shingle"))
-        often = stash(held.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1"), "holders")
-        ranked = held.join(often, "shingle", "left").groupBy("id", "n", "label").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("holders", F.lit(1)).alias("holders"), "shingle"))).alias("all"))
-        rare = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * self.num / self.den) + 1).cast("int"))
-        prefix = ranked.select("id", "n", "label", F.explode(F.filter(rare, lambda x: x["holders"] > 1)).alias("x")).select("id", "n", "label", "x.shingle")
-        prefix = stash(prefix, "prefix")
-        mixed = stash(prefix.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle"), "mixed")
-        kept = prefix.join(mixed, "shingle")
-        x, y = (kept.select("shingle", F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("label").alias(f"l{s}")) for s in "ab")
-        return x.join(y, "shingle").where(f"a < b and la <> lb and {self.den} * least(na, nb) >= {self.num} * greatest(na, nb)").select("a", "b", "na", "nb").distinct()
+        least = lambda n: F.ceil(n * self.num / self.den)
+        for _ in range(2):
+            often = held.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle", "holders")
+            shared = held.drop("holders").join(often, "shingle")
+            enough = shared.groupBy("id").agg(F.count("*").alias("shared"), F.first("n").alias("_n")).where(F.col("shared") >= least(F.col("_n"))).select("id", "shared")
+            held = stash(shared.drop("shared").join(enough, "id"), "shared")
+        ranked = held.groupBy("id", "n", "label", "shared").agg(F.array_sort(F.collect_list(F.struct("holders", "shingle"))).alias("all"))
+        own = F.col("n") - F.col("shared")
+        reach = F.greatest(F.lit(0), F.col("n") - least(F.col("n")) + 1 - own).cast("int")
+        spot = F.posexplode(F.transform(F.slice("all", F.lit(1), reach), lambda x, k: F.struct(x["shingle"].alias("shingle"), F.transform(F.slice("all", F.greatest(F.lit(1), k + 1 - BEFORE), F.least(k, F.lit(BEFORE))), lambda y: y["shingle"]).alias("before"))))
+        prefix = stash(ranked.select("id", "n", "label", "shared", spot.alias("k", "x")).select("id", "n", "label", "shared", "x.shingle", "x.before", (F.col("n") - F.col("shared") + F.col("k") + 1).alias("place")), "prefix")
+        x, y = (prefix.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "label", "shared", "place", "before")]) for s in "ab")
+        x = x.where(F.col("place_a") <= F.col("n_a") - F.ceil(F.col("n_a") * (2 * self.num) / (self.num + self.den)) + 1)
+        need = F.ceil((F.col("n_a") + F.col("n_b")) * self.num / (self.num + self.den))
+        order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
+        fits = order & (F.col("label_a") != F.col("label_b")) & (self.den * F.col("n_a") >= self.num * F.col("n_b")) & (F.least("shared_a", "shared_b") >= need)
+        first = (F.col("place_a") <= F.col("n_a") - need + 1) & (F.col("place_b") <= F.col("n_b") - need + 1) & ~F.arrays_overlap("before_a", "before_b")
+        found = x.join(y, (x.shingle == y.shingle) & fits & first)
+        return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), F.when(F.col("id_a") < F.col("id_b"), F.col("n_a")).otherwise(F.col("n_b")).alias("na"), F.when(F.col("id_a") < F.col("id_b"), F.col("n_b")).otherwise(F.col("n_a")).alias("nb")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = 75, denominator: int = 100) -> DataFrame:
