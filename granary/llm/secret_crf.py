@@ -281,15 +281,28 @@ class Scanned(NamedTuple):
     long_word: bool
 
 
+def _keyed(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows of a chunk that hold what an assign or access match implies, anywhere in a word."""
+    raw = data.tobytes()
+    low, held = raw.lower(), np.zeros(len(offsets) - 1, bool)
+    for text, word in [(low, w.encode()) for w in _ASSIGN_WORDS] + [(raw, b"AKIA")]:
+        at = text.find(word)
+        while at >= 0:
+            k = int(np.searchsorted(offsets, at, "right")) - 1
+            held[k] = True
+            at = text.find(word, int(offsets[k + 1]))
+    return held
+
+
 def _scan(column: pa.Array, every: bool = False) -> Iterator[tuple[int, int, list[Scanned]]]:
-    """Rows of each chunk, and its texts that have a suspicious or long word (or all)."""
+    """Rows of each chunk, and its texts that have a suspicious or long word or can match a base pattern (or all)."""
     for first, end, data, offsets in text_chunks(column):
         starts, ends, at = find_words(data, offsets)
         flags = _suspects(data, starts, ends)
         points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         counted, long = np.concatenate([[0], np.cumsum(flags)])[at], np.concatenate([[0], np.cumsum(ends - starts >= 24)])[at]
         found = []
-        for k in np.flatnonzero((np.diff(counted) > 0) | (np.diff(long) > 0) | every).tolist():
+        for k in np.flatnonzero((np.diff(counted) > 0) | (np.diff(long) > 0) | _keyed(data, offsets) | every).tolist():
             a, b = at[k], at[k + 1]
             zero = points[offsets[k]]
             found.append(Scanned(first + k, data[offsets[k] : offsets[k + 1]].tobytes().decode(), points[starts[a:b]] - zero, points[ends[a:b]] - zero, np.flatnonzero(flags[a:b]), bool(long[k + 1] > long[k])))
