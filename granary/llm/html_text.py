@@ -2,14 +2,15 @@
 
 ``lines`` turns a page into text blocks.  Blocks inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments (by element, role or class) go.  Blocks inside a marked article or main element are kept.  Every other block is open: pages are
-ordered by host and URL path, each is aligned with the pages before and after it in its host by a longest common subsequence of their lines,
-and open lines that it shares with one of them are deleted as template.  A page that marks its article has no open lines left in its text.
+ordered by host and URL path, and neighbours that share ``COPY`` or more of the longer one's characters are a run of copies.  Each page is
+aligned with the nearest pages before and after its run in its host by a longest common subsequence of their lines, and open lines that it
+shares with one of them are deleted as template if both pages have other lines too.  A page that marks its article has no open lines left in
+its text.
 
 The order is made by a range partitioning on host, path and id with two-pass prefix sums, so that a large host is spread over many tasks, and
-the neighbours' lines travel as hashes.
+the neighbours' lines travel as hashes.  The pages beside a long run are dealt to it by blocks of places.
 
-Null or empty pages give an empty text, null URLs have an empty host and path; ties in the order go by id; repeated rows give repeated results
-(a page's own copy may be its neighbour); empty tables give none; other columns are ignored; pages are read whole.
+Null or empty pages give an empty text, null URLs have an empty host and path; ties in the order go by id; repeated rows give repeated results; empty tables give none; other columns are ignored; pages are read whole.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import stash
 
@@ -37,6 +39,8 @@ RAW = frozenset("script style textarea title xmp noembed noframes iframe".split(
 SPACED = frozenset("br td th img".split())
 NEVER = frozenset("nav footer aside form noscript template svg math select button dialog menu object audio video canvas ins head datalist".split())
 MARKED = NEVER | {"article", "main", "header"}
+COPY = 0.75  # share of the longer page's characters that makes two pages copies
+BLOCK = 256  # places that one row of a run's neighbours serves
 PARAGRAPH_ENDS = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "summary"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -176,6 +180,19 @@ def common_subsequence(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
+def shared_of_different(own: list[int], sizes: list[int], other: list[int], other_sizes: list[int]) -> list[int] | None:
+    """Positions in ``own`` of the lines that two pages share; none if they are copies of each other.
+
+    Lines are hashes, ``sizes`` their lengths.  A page whose lines are all in the other one shares nothing, as nothing tells its text from template.
+    """
+    if own == other:
+        return None
+    places = common_subsequence(own, other)
+    if sum(sizes[k] for k in places) >= COPY * max(sum(sizes), sum(other_sizes)):
+        return None
+    return places if len(places) < min(len(own), len(other)) else []
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lowered) and path of a URL; both empty without ``://``."""
     rest = F.when(F.instr(url, "://") > 0, F.expr("substring(url, instr(url, '://') + 3)"))
@@ -188,26 +205,26 @@ def _key() -> Column:
 
 
 def _ordered(pages: DataFrame, tasks: int) -> DataFrame:
-    """``place, key, host, lines, open`` of every page: its place in the global order of host, path and id, its line hashes, and which are open."""
+    """``place, key, host, lines, open, sizes`` of every page: its place in the global order of host, path and id, its line hashes, which are open, and their lengths."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [lines(x) for x in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([[line_hash(x.text) for x in f] for f in found], pa.list_(pa.int64())), pa.array([[not x.main for x in f] for f in found], pa.list_(pa.bool_()))], ["key", "host", "path", "id", "lines", "open"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([[line_hash(x.text) for x in f] for f in found], pa.list_(pa.int64())), pa.array([[not x.main for x in f] for f in found], pa.list_(pa.bool_())), pa.array([[len(x.text) for x in f] for f in found], pa.list_(pa.int32()))], ["key", "host", "path", "id", "lines", "open", "sizes"])
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n)), *batch.columns], ["part", "at", "key", "host", "lines", "open"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n)), *batch.columns], ["part", "at", "key", "host", "lines", "open", "sizes"])
             at += n
 
     host, path = host_and_path(F.col("url"))
     kind = pages.schema["id"].dataType.simpleString()
-    found = pages.select(_key().alias("key"), host.alias("host"), path.alias("path"), "id", "html").mapInArrow(hashed, f"key long, host string, path string, id {kind}, lines array<long>, open array<boolean>")
+    found = pages.select(_key().alias("key"), host.alias("host"), path.alias("path"), "id", "html").mapInArrow(hashed, f"key long, host string, path string, id {kind}, lines array<long>, open array<boolean>, sizes array<int>")
     found = stash(found, "lines")
-    order = found.repartitionByRange(tasks, "host", "path", "id", "key").sortWithinPartitions("host", "path", "id", "key").select("key", "host", "lines", "open")
-    order = stash(order.mapInArrow(numbered, "part int, at long, key long, host string, lines array<long>, open array<boolean>"), "order")
+    order = found.repartitionByRange(tasks, "host", "path", "id", "key").sortWithinPartitions("host", "path", "id", "key").select("key", "host", "lines", "open", "sizes")
+    order = stash(order.mapInArrow(numbered, "part int, at long, key long, host string, lines array<long>, open array<boolean>, sizes array<int>"), "order")
     base, total = {}, 0
     for part, n in sorted(order.groupBy("part").agg(F.count("*").alias("n")).collect()):  # two numbers a partition
         base[part], total = total, total + n
@@ -216,9 +233,32 @@ def _ordered(pages: DataFrame, tasks: int) -> DataFrame:
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts = np.array([shipped.value[p] for p in batch.column(0).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(starts + batch.column(1).to_numpy()), *batch.columns[2:]], ["place", "key", "host", "lines", "open"])
+            yield pa.RecordBatch.from_arrays([pa.array(starts + batch.column(1).to_numpy()), *batch.columns[2:]], ["place", "key", "host", "lines", "open", "sizes"])
 
-    return order.mapInArrow(placed, "place long, key long, host string, lines array<long>, open array<boolean>")
+    return order.mapInArrow(placed, "place long, key long, host string, lines array<long>, open array<boolean>, sizes array<int>")
+
+
+def _with_runs(order: DataFrame) -> DataFrame:
+    """Adds ``run``: neighbours of one host that are copies of each other have one number, which rises with the place."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, sizes, other, other_sizes = (batch.column(k).to_pylist() for k in range(1, 5))
+            copy = [shared_of_different(*x) is None for x in zip(own, sizes, other, other_sizes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(copy, pa.bool_())], ["place", "copy"])
+
+    before = order.select((F.col("place") + 1).alias("place"), F.col("host").alias("other_host"), F.col("lines").alias("other"), F.col("sizes").alias("other_sizes"))
+    pairs = order.join(before, "place").where(F.col("host") == F.col("other_host")).select("place", "lines", "sizes", "other", "other_sizes")
+    copies = pairs.mapInArrow(compared, "place long, copy boolean").where("copy")
+    fresh = order.join(copies, "place", "left").withColumn("fresh", F.col("copy").isNull().cast("long")).withColumn("block", F.expr("place div 4096")).drop("copy")
+    fresh = stash(fresh, "fresh")
+    starts, total = [], 0
+    for block, n in sorted(fresh.groupBy("block").agg(F.sum("fresh").alias("n")).collect()):  # two numbers for 4,096 pages
+        starts.append((block, total))
+        total += n
+    base = order.sparkSession.createDataFrame(starts, "block long, base long")
+    run = F.col("base") + F.sum("fresh").over(Window.partitionBy("block").orderBy("place"))
+    return stash(fresh.join(F.broadcast(base), "block").withColumn("run", run).drop("fresh", "block", "base"), "runs")
 
 
 def shared_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -226,15 +266,21 @@ def shared_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     spark = pages.sparkSession
     tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    order = stash(_ordered(source, tasks), "places")
-    near = order.select(F.explode(F.array(F.col("place") - 1, F.col("place") + 1)).alias("place"), F.col("host").alias("other_host"), F.col("lines").alias("other"))
-    pairs = order.join(near, "place").where(F.col("host") == F.col("other_host")).select("key", "lines", "open", "other")
+    order = _with_runs(stash(_ordered(source, tasks), "places"))
+    ends = order.groupBy("run").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    sides = []
+    for place in (F.col("first") - 1, F.col("last") + 1):
+        beside = order.select(F.col("place").alias("beside"), F.col("host").alias("other_host"), F.col("lines").alias("other"), F.col("sizes").alias("other_sizes"))
+        sides.append(ends.withColumn("beside", place).join(beside, "beside"))
+    near = sides[0].unionByName(sides[1])
+    near = near.select("run", F.explode(F.sequence(F.expr(f"first div {BLOCK}"), F.expr(f"last div {BLOCK}"))).alias("block"), "other_host", "other", "other_sizes")
+    pairs = order.where(F.exists("open", lambda x: x)).withColumn("block", F.expr(f"place div {BLOCK}")).join(near, ["run", "block"]).where(F.col("host") == F.col("other_host")).select("key", "lines", "open", "sizes", "other", "other_sizes")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for own, is_open, other in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                out.append([k for k in common_subsequence(own, other) if is_open[k]])
+            for own, is_open, sizes, other, other_sizes in zip(*(batch.column(k).to_pylist() for k in range(1, 6))):
+                out.append([k for k in shared_of_different(own, sizes, other, other_sizes) or () if is_open[k]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["key", "shared"])
 
     found = pairs.mapInArrow(aligned, "key long, shared array<int>").where(F.size("shared") > 0)

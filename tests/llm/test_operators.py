@@ -245,6 +245,20 @@ def test_main_text_of_pages(spark):
     assert html_text.main_text(pages.where("false")).count() == 0
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    body = "<body><div>Banner</div>{}<div>Closing</div></body>"
+    article = [f"Line {k} of an article that its mirrors repeat" for k in range(8)]
+    page = lambda own: body.format("".join(f"<p>{x}</p>" for x in own))
+    near = [*article[:3], "One line of the copy was edited by somebody", *article[4:]]
+    other = ["Another page of this host has a text of its own", "and more of it"]
+    rows = [(k, f"http://h.org/a/{k:03}", page(near if k % 3 == 1 else article)) for k in range(600)] + [(600, "http://h.org/b/1", page(other)), (601, "http://i.org/1", page(article)), (602, "http://i.org/2", page(article))]
+    pages = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string")
+    out = [(r.page_id, r.text) for r in html_text.main_text(pages).collect()]
+    alone = "\n".join(["Banner", *article, "Closing"])  # no other page tells template from text
+    expected = [(k, "\n".join(near if k % 3 == 1 else article)) for k in range(600)] + [(0, "\n".join(article)), (600, "\n".join(other)), (601, alone), (602, alone)]
+    assert sorted(out) == sorted(expected)
+
+
 def test_common_subsequence_is_longest():
     rnd = random.Random(8)
 
