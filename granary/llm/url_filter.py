@@ -4,8 +4,8 @@ Two variable-order Markov models, of accepted and of rejected URLs, give each ch
 characters, blended from short to long by Witten-Bell smoothing.  A URL's score is the difference of its log-likelihoods divided by its
 length, and a logistic curve through the scores of held-out training URLs makes it the probability of rejection.
 
-Training URLs come from the whole table: those whose host has a word of ``seeds`` are rejected ones, and the others that no rule blocks are
-accepted ones.  All of them are counted; three in four make the models and the fourth calibrates the curve.  Counts of a context and of a
+Training URLs come from the whole table: those that a rule blocks or whose host has a word of ``seeds`` are rejected ones, and the others are
+accepted ones.  A table with neither has no rejected class, and then only rules block.  All of them are counted; three in four make the models and the fourth calibrates the curve.  Counts of a context and of a
 context with its next character lie in ``BUCKETS`` hash buckets for each order, so that the models' size is fixed.
 
 The models read the host's labels without the top two and the path with digits as one sign, so that they don't learn page numbers.  Null URLs
@@ -161,7 +161,7 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     labels = F.regexp_replace("host", r"(^|\.)[^.]*\.[^.]*$", "")
     rows = rows.select("id", F.xxhash64("url").alias("fold"), "host", "path", rule.alias("rule"), allow.alias("allow"), F.concat(F.coalesce(labels, F.lit("")), F.lit("/"), F.col("path")).alias("model_text"))
     seeded = F.regexp_replace("host", r"[^a-z]+", " ").rlike("(^| )(" + "|".join(seeds) + ")( |$)") if seeds else F.lit(False)
-    known = rows.where((F.col("host") != "") & (seeded | F.coalesce("allow", F.lit(True)))).select("fold", seeded.alias("rejected"), "model_text")
+    known = rows.where("host != ''").select("fold", (seeded | ~F.coalesce("allow", F.lit(True))).alias("rejected"), "model_text")
     held = F.pmod("fold", F.lit(4)) == 0
     cells = _counted(known.where(~held).select("model_text", "rejected")).toArrow()  # at most 2 * (ORDER + 1) * 2 * BUCKETS rows
     table = np.zeros(2 * (ORDER + 1) * 2 * BUCKETS, np.int64)

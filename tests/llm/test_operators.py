@@ -72,6 +72,18 @@ def test_url_rules_match_brute_force(spark):
     assert url_filter.judge(pages.where("false"), queries.URL_RULES).count() == 0
 
 
+def test_url_models_learn_from_block_rules(spark):
+    good = [f"http://news.town{k % 9}.net/local/story/{k}" for k in range(200)]
+    bad = [f"http://jackpot.luck{k % 9}.com/de/winbig/now/{k}" for k in range(200)]
+    fresh = [f"http://jackpot.luck{k}.net/de/winbig/now/{k}" for k in range(5)]  # no rule fits
+    pages = spark.createDataFrame(list(enumerate(good + bad + fresh)), "page_id long, url string")
+    out = {r.page_id: r for r in url_filter.judge(pages, [url_filter.Rule("com/de/", False)]).collect()}
+    assert all(out[k].rule is None and out[k].verdict == "allow" for k in range(200))
+    assert all(out[k].rule == "com/de/" and out[k].verdict == "block" for k in range(200, 400))
+    assert min(out[k].rejection for k in range(400, 405)) > max(out[k].rejection for k in range(200))
+    assert any(out[k].rejection > 0.5 for k in range(400, 405))
+
+
 def test_maximal_segments_match_their_definition():
     def brute(scores, base=0):  # the best sum, the shortest then leftmost among ties, then both sides
         best = None
