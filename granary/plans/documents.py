@@ -143,6 +143,13 @@ def snowflake_time(spark: SparkSession, sf: str) -> DataFrame:
     return ids.select("event_id", tx.snowflake_time(F.col("id"), F.lit("2030-01-01").cast("timestamp")).alias("at"))
 
 
+@query("SELECT event_id, CASE WHEN (id >> 22) >= 60000 AND make_timestamp_ms((id >> 22) + 1288834974657) <= TIMESTAMP '2030-01-01' THEN make_timestamp_ms((id >> 22) + 1288834974657) END AS at FROM (SELECT event_id, ((event_id % 30000) * 40000000 + 10000) * 4194304 AS id FROM events)")
+def snowflake_time_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Times in the ids of every event; the time part repeats after 30,000 events, so that no id overflows."""
+    ids = tables.table(spark, sf, "events").select("event_id", ((F.col("event_id") % 30_000 * 40_000_000 + 10_000) * 4_194_304).alias("id"))
+    return ids.select("event_id", tx.snowflake_time(F.col("id"), F.lit("2030-01-01").cast("timestamp")).alias("at"))
+
+
 @query(
     f"""SELECT doc_id, running FROM (SELECT doc_id, source, sum(greatest(n_chars, 1)) OVER (PARTITION BY source ORDER BY doc_id) AS running FROM documents) WHERE running <= 20000"""
 )

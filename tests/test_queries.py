@@ -2,6 +2,7 @@
 
 import math
 import os
+import tempfile
 
 import duckdb
 import pandas as pd
@@ -38,6 +39,15 @@ def rows(df):
     return sorted(repr([plain(x) for x in r]) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
+def test_snowflake_times_of_all_events(spark):
+    ids = [0, 29_999, 30_000, 60_000, 5_000_000_000]
+    folder = tempfile.mkdtemp(prefix="granary-")
+    spark.createDataFrame([(k,) for k in ids], "event_id long").write.parquet(f"{folder}/events.parquet")
+    out = {r.event_id: r.at for r in catalog.queries()["snowflake_time_all"](spark, folder).collect()}
+    assert sorted(out) == ids
+    assert out[30_000] == out[60_000] == out[0]
+
+
 @pytest.mark.parametrize("name", list(catalog.queries()))
 def test_query_matches_its_sql(spark, tables, name):
     out = catalog.queries()[name](spark, SF).toPandas()
