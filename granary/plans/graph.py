@@ -84,6 +84,13 @@ def components(spark: SparkSession, sf: str) -> DataFrame:
     return graph.components(links)
 
 
+@query()
+def components_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of all orders' customers and suppliers."""
+    links = tables.table(spark, sf, "orders").join(tables.table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1_000_000).alias("dst")).distinct()
+    return graph.components(links)
+
+
 @query()
 def louvain(spark: SparkSession, sf: str) -> DataFrame:
     """Communities of parts by lift."""

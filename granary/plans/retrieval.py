@@ -135,6 +135,15 @@ def knn_join(spark: SparkSession, sf: str) -> DataFrame:
     return search.nearest_neighbours(vectors.where("label = 3"), vectors, 5).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    f"SELECT query_id, id, score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 5"
+)
+def knn_join_twentieth(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 20."""
+    vectors = tables.embeddings(spark, sf)
+    return search.nearest_neighbours(vectors.where("id % 20 = 0"), vectors, 5).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     f"SELECT label, max({COSINE}) AS best FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0 GROUP BY 1 HAVING max({COSINE}) >= 0.1"
 )

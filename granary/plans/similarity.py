@@ -60,3 +60,11 @@ def cosine_pairs_in_group(spark: SparkSession, sf: str) -> DataFrame:
     v = tables.embeddings(spark, sf).where(F.col("label").isin(1, 2))
     a, b = (v.select(F.col("id").alias(s), "label", F.col("vector").alias(f"v{s}")) for s in "ab")
     return a.join(b, "label").where("a < b").select("a", "b", F.round(scores.cosine(F.col("va"), F.col("vb")), 6).alias("cosine")).where("cosine >= 0.4")
+
+
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.4")
+def cosine_pairs_in_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of every group's vectors over a floor."""
+    v = tables.embeddings(spark, sf)
+    a, b = (v.select(F.col("id").alias(s), "label", F.col("vector").alias(f"v{s}")) for s in "ab")
+    return a.join(b, "label").where("a < b").select("a", "b", F.round(scores.cosine(F.col("va"), F.col("vb")), 6).alias("cosine")).where("cosine >= 0.4")

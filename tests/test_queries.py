@@ -48,6 +48,26 @@ def test_snowflake_times_of_all_events(spark):
     assert out[30_000] == out[60_000] == out[0]
 
 
+def test_components_of_all_orders(spark, tables):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in tables.execute("SELECT DISTINCT o_custkey, l_suppkey + 1000000 FROM orders JOIN lineitem ON l_orderkey = o_orderkey").fetchall():
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    assert {r.node: r.component for r in catalog.queries()["components_all"](spark, SF).collect()} == {x: find(x) for x in root}
+
+
+def test_pairs_and_neighbours_cover_all_groups(spark, tables):
+    label = dict(tables.execute("SELECT vec_id, label FROM embeddings").fetchall())
+    assert {label[r.query_id] for r in catalog.queries()["knn_join_twentieth"](spark, SF).collect()} == {v for k, v in label.items() if k % 20 == 0}
+    assert {label[r.a] for r in catalog.queries()["cosine_pairs_in_groups"](spark, SF).collect()} - {1, 2}
+
+
 @pytest.mark.parametrize("name", list(catalog.queries()))
 def test_query_matches_its_sql(spark, tables, name):
     out = catalog.queries()[name](spark, SF).toPandas()
