@@ -1,4 +1,4 @@
-"""Entity graphs: co-occurrence, lift, traversal, components, themes, communities."""
+"""Entity graphs: co-occurrence, lift, traversal, components, communities."""
 
 from __future__ import annotations
 
