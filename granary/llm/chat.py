@@ -2,24 +2,28 @@
 
 A transcript is lines in order.  The hidden states are a role and whether a line begins its turn; a line shows its speaker marker, whether a
 blank line stands before it, its length, a question mark, and whether it is the transcript's first.  Start, move and emission tables are
-smoothed counts over all labelled turns.  Viterbi decodes the states.
+smoothed counts over the labelled lines of all transcripts that the caller fits on.  Viterbi decodes the states.
 
-A transcript may be longer than a task can hold: its lines are cut into blocks of bounded size, each block becomes the max-plus matrix of its
-best scores from state to state, blocks are composed ``FAN`` at a time into a tree, and the best states at the blocks' borders flow down the
-tree again; the result is that of one scan over the whole transcript.  A turn that crosses a block's border is rendered in pieces, of which
-the later ones say that they continue.
+A transcript may be longer than a task can hold.  All lines are put in order by a range partitioning, so that a long one lies in several tasks,
+and cut into blocks of at most ``LINES`` lines or about ``BYTES`` bytes; prefix sums over the tasks number a transcript's blocks and lines.
+Each block becomes the max-plus matrix of its best scores from state to state, blocks are composed ``FAN`` at a time into a tree, and the best
+states at the blocks' borders flow down the tree again; the result is that of one scan over the whole transcript.  A turn that crosses a
+block's border is rendered in pieces, of which the later ones say that they continue.
 
-Null texts are empty lines, which have no state and only mark the next line.  Turns with a null conversation or turn number or an unknown
-role are left out; repeated rows of one turn count once (its smallest text).  Empty tables give no rows; other columns are ignored.
+Turn numbers only order the turns: they may be negative, begin anywhere and have gaps.  Null and empty texts are turns of one line, the marker
+alone.  Turns with a null conversation or turn number or an unknown role are left out; repeated rows of one turn count once (its smallest
+text).  Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +32,7 @@ from .shared import stash
 ROLES = ("user", "assistant", "system")
 STATES = len(ROLES) * 2  # role * 2 + (0: begins the turn, 1: inside)
 FAN = 256
-TURNS_A_BLOCK = 16
-LINE_BITS = 24  # a line's place is turn << LINE_BITS plus its number in the turn
+LINES, BYTES = 512, 1 << 20  # of a block
 
 #: Speaker markers of common transcript styles, by role (fixed values).
 MARKERS = {"user": ("user", "human", "q", "customer", "you", "me"), "assistant": ("assistant", "ai", "a", "bot", "agent", "model"), "system": ("system", "system note", "instructions")}
@@ -66,7 +69,7 @@ def observation(line: Column, blank_before: Column, first: Column) -> Column:
 
 
 def raw_lines(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``conv, place, line, blank_before, first, state``: labelled turns written as raw transcripts in a style that depends on the conversation.
+    """``conv, turn, k, line, blank_before, state``: labelled turns written as raw transcripts in a style that depends on the conversation.
 
     Lines that are empty are dropped and mark the next one; ``state`` is the true one.
     """
@@ -80,17 +83,87 @@ def raw_lines(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     lines = known.select("conv", "turn", number.alias("role"), style.alias("style"), F.posexplode(marked).alias("k", "x")).select("conv", "turn", "role", "style", "k", "x.line", "x.gap")
     blank = ((F.col("style") == len(STYLES) - 1) & (F.col("k") == 0)) | F.col("gap")
     lines = lines.where((F.trim("line") != "") | (F.col("k") == 0))
-    return lines.select("conv", (F.shiftleft("turn", LINE_BITS) + F.col("k")).alias("place"), "line", blank.alias("blank_before"), ((F.col("turn") == 0) & (F.col("k") == 0)).alias("first"), (F.col("role") * 2 + F.when(F.col("k") == 0, 0).otherwise(1)).alias("state"))
+    return lines.select("conv", "turn", "k", "line", blank.alias("blank_before"), (F.col("role") * 2 + F.when(F.col("k") == 0, 0).otherwise(1)).alias("state"))
+
+
+def blocked(lines: DataFrame) -> DataFrame:
+    """``conv, block, at, lines``: the blocks of each transcript from 0, the number of their first line, and their lines (line, observed, state).
+
+    ``lines`` has conv, turn, k (which order them), line, blank_before, and the true state or null.
+    """
+    spark, kind = lines.sparkSession, lines.schema["conv"].dataType.simpleString()
+    tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = lines.select("conv", "turn", "k", "line", observation(F.col("line"), F.col("blank_before"), F.lit(False)).alias("observed"), F.col("state").cast("int").alias("state"))
+    row = pa.list_(pa.struct([("line", pa.string()), ("observed", pa.int32()), ("state", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, seq, at, size = TaskContext.get().partitionId(), 0, 0, 0, 0
+        names, kinds = ["conv", "part", "run", "block", "at", "lines"], None
+        held: list[dict] = []
+        out: list[tuple] = []
+        conv = None
+
+        def sent() -> pa.RecordBatch:
+            columns = list(zip(*out))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+        for batch in batches:
+            kinds = [batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), row]
+            for key, line, observed, state in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4, 5))):
+                if held and (key != conv or len(held) == LINES or size > BYTES):
+                    out.append((conv, part, number, seq, at, held))
+                    seq, at, held, size = seq + 1, at + len(held), [], 0
+                    if sum(len(x[-1]) for x in out) >= LINES:
+                        yield sent()
+                if key != conv:
+                    number, seq, at, conv = number + (conv is not None), 0, 0, key
+                held.append({"line": line, "observed": observed, "state": state})
+                size += len(line)
+        if held:
+            out.append((conv, part, number, seq, at, held))
+        if out:
+            yield sent()
+
+    order = rows.repartitionByRange(tasks, "conv", "turn", "k").sortWithinPartitions("conv", "turn", "k")
+    found = stash(order.mapInArrow(run, f"conv {kind}, part int, run long, block long, at long, lines array<struct<line:string,observed:int,state:int>>"), "blocks")
+    counted = found.groupBy("part", "run", "conv").agg(F.count("*").alias("blocks"), F.sum(F.size("lines")).alias("lines"))
+    told = F.struct("run", "conv", "blocks", "lines")
+    before, bases = (None, 0, 0), []
+    for part, first, last in sorted(counted.groupBy("part").agg(F.min(told), F.max(told)).collect()):  # one row a task
+        base = before[1:] if before[0] == first.conv else (0, 0)
+        bases.append((part, *base))
+        before = (last.conv, last.blocks, last.lines) if last.run else (last.conv, last.blocks + base[0], last.lines + base[1])
+    base = F.broadcast(spark.createDataFrame(bases, "part int, blocks long, before long"))
+    whole = found.join(base, "part").select("conv", (F.col("block") + F.when(F.col("run") == 0, F.col("blocks")).otherwise(0)).alias("block"), (F.col("at") + F.when(F.col("run") == 0, F.col("before")).otherwise(0)).alias("at"), "lines")
+    first = lambda k: F.when((F.col("at") == 0) & (k == 0), 1).otherwise(0)
+    return stash(whole.withColumn("lines", F.transform("lines", lambda x, k: F.struct(x["line"].alias("line"), (x["observed"] + first(k)).alias("observed"), x["state"].alias("state")))), "numbered")
+
+
+def _in_blocks(lines: DataFrame) -> DataFrame:
+    return lines if "block" in lines.columns else blocked(lines)
 
 
 def fit(lines: DataFrame) -> Model:
-    """Smoothed tables from labelled lines; moves inside a turn come from its lines, moves between turns from a join on the turn number."""
-    seen = lines.withColumn("observed", observation(F.col("line"), F.col("blank_before"), F.col("first"))).groupBy("state", "observed").agg(F.count("*").alias("n")).toPandas()  # at most STATES * OBSERVATIONS rows
-    turns = stash(lines.groupBy("conv", F.shiftright("place", LINE_BITS).alias("turn")).agg(F.min("state").alias("state"), F.count("*").alias("n")), "turns")
-    inside = turns.groupBy("state").agg(F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("one"), F.sum(F.greatest(F.col("n") - 2, F.lit(0))).alias("more")).collect()
-    ended = F.col("state") + F.when(F.col("n") > 1, 1).otherwise(0)
-    between = turns.select("conv", (F.col("turn") + 1).alias("turn"), ended.alias("a")).join(turns.select("conv", "turn", F.col("state").alias("b")), ["conv", "turn"]).groupBy("a", "b").agg(F.count("*").alias("n")).collect()
-    begun = turns.where("turn = 0").groupBy("state").agg(F.count("*").alias("n")).collect()
+    """Smoothed tables from labelled lines or their blocks; moves are counted inside blocks, and between neighbours by a join."""
+    blocks = _in_blocks(lines)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shows, moves = np.zeros((STATES, OBSERVATIONS), np.int64), np.zeros((STATES, STATES), np.int64)
+        for batch in batches:
+            for found in batch.column(0).to_pylist():
+                state, observed = (np.array([x[name] for x in found]) for name in ("state", "observed"))
+                np.add.at(shows, (state, observed), 1)
+                np.add.at(moves, (state[:-1], state[1:]), 1)
+        for kind, table in enumerate((shows, moves)):
+            a, b = np.nonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind)), pa.array(a), pa.array(b), pa.array(table[a, b])], ["kind", "a", "b", "n"])
+
+    known = blocks.where(~F.exists("lines", lambda x: x["state"].isNull()))
+    counted = known.select("lines").mapInArrow(run, "kind long, a long, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()  # at most STATES * (OBSERVATIONS + STATES) rows
+    ends = known.select("conv", "block", F.col("lines.state")[0].alias("b"), F.element_at("lines.state", -1).alias("a"))
+    between = ends.select("conv", (F.col("block") + 1).alias("block"), "a").join(ends.select("conv", "block", "b"), ["conv", "block"]).groupBy("a", "b").agg(F.count("*").alias("n")).collect()
+    begun = ends.where("block = 0").groupBy("b").agg(F.count("*").alias("n")).collect()
     start, moves, shows = np.full(STATES, 0.1), np.full((STATES, STATES), 0.1), np.full((STATES, OBSERVATIONS), 0.01)
     for state in range(STATES):
         if state % 2:
@@ -99,14 +172,11 @@ def fit(lines: DataFrame) -> Model:
             if other // 2 != state // 2:
                 moves[state, other] = 1e-6  # a turn keeps its role
     for r in begun:
-        start[r.state] += r.n
-    for r in inside:
-        moves[r.state, r.state + 1] += r.one
-        moves[r.state + 1, r.state + 1] += r.more
+        start[r.b] += r.n
     for r in between:
         moves[r.a, r.b] += r.n
-    for state, observed, n in seen.itertuples(index=False):
-        shows[int(state), int(observed)] += n
+    for r in counted:
+        (moves if r.kind else shows)[r.a, r.b] += r.n
     return Model(np.log(start / start.sum()), np.log(moves / moves.sum(axis=1, keepdims=True)), np.log(shows / shows.sum(axis=1, keepdims=True)))
 
 
@@ -189,12 +259,10 @@ def _spread(nodes: DataFrame, above: DataFrame, kind: str) -> DataFrame:
 
 
 def decode(lines: DataFrame, model: Model) -> DataFrame:
-    """``conv, block, lines`` with each block's lines (place, line, state) in order; ``lines`` needs conv, place, line, blank_before, first."""
-    kind = lines.schema["conv"].dataType.simpleString()
+    """``conv, block, at, lines`` with each block's lines (line, state) in order, from lines or their blocks; true states aren't read."""
+    blocks = _in_blocks(lines).select("conv", "block", "at", F.transform("lines", lambda x: F.struct(x["line"].alias("line"), x["observed"].alias("observed"))).alias("lines"))
+    kind = blocks.schema["conv"].dataType.simpleString()
     shipped = lines.sparkSession.sparkContext.broadcast(tuple(model))
-    observed = lines.select("conv", "place", "line", observation(F.col("line"), F.col("blank_before"), F.col("first")).alias("observed"))
-    blocks = observed.groupBy("conv", F.floor(F.shiftright("place", LINE_BITS) / TURNS_A_BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("place", "line", "observed"))).alias("lines"))
-    blocks = stash(blocks, "blocks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shipped.value)
@@ -221,33 +289,43 @@ def decode(lines: DataFrame, model: Model) -> DataFrame:
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shipped.value)
-        row = pa.list_(pa.struct([("place", pa.int64()), ("line", pa.string()), ("state", pa.int32())]))
+        row = pa.list_(pa.struct([("line", pa.string()), ("state", pa.int32())]))
         for batch in batches:
             out = []
-            for found, before, last in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+            for found, before, last in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5))):
                 states = best_path([x["observed"] for x in found], own, before, last)
-                out.append([{"place": x["place"], "line": x["line"], "state": s} for x, s in zip(found, states)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, row)], ["conv", "block", "lines"])
+                out.append([{"line": x["line"], "state": s} for x, s in zip(found, states)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, row)], ["conv", "block", "at", "lines"])
+
+    joined = blocks.join(ends, ["conv", "block"]).select("conv", "block", "at", "lines", "before", "last")
+    return joined.mapInArrow(paths, f"conv {kind}, block long, at long, lines array<struct<line:string,state:int>>")
+
+
+_BARE = re.compile(_MARKER.replace("NAMES", "|".join(n for role in ROLES for n in MARKERS[role])) + r"(?:\*\*)?\s*", re.ASCII)
 
-    joined = blocks.join(ends, ["conv", "block"]).select("conv", "block", "lines", "before", "last")
-    return joined.mapInArrow(paths, f"conv {kind}, block long, lines array<struct<place:long,line:string,state:int>>")
+
+def _turns(found: list[dict], at: int) -> Iterator[tuple]:
+    """Place, role, whether it continues a turn, lines, text and canonical form of each turn or piece of one in a block."""
+    starts = [k for k, x in enumerate(found) if k == 0 or x["state"] % 2 == 0]
+    for a, b in zip(starts, [*starts[1:], len(found)]):
+        inside, role = found[a]["state"] % 2 == 1, ROLES[found[a]["state"] // 2]
+        text = "\n".join([found[a]["line"] if inside else _BARE.sub("", found[a]["line"], count=1), *(x["line"] for x in found[a + 1 : b])])
+        yield at + a, role, inside, b - a, text, ("" if inside else f"<|{role}|>\n") + text + "\n<|end|>"
 
 
 def rendered(decoded: DataFrame) -> DataFrame:
-    """One row a turn (or a block's piece of it): ``conv, place, role, continues, n_lines, text, rendered``.
+    """One row a turn (or a block's piece of it): ``conv, place, role, continues, n_lines, text, rendered``; the place is its first line's number.
 
     The text is the turn's lines without the marker of the first; the canonical form is ``<|role|>``, the text and ``<|end|>``.
     """
-    begins = lambda x: x["state"] % 2 == 0
-    lines = decoded.select("conv", "block", F.posexplode("lines").alias("k", "x"), "lines")
-    # a line's turn is the number of begins up to it in its block
-    lines = lines.select("conv", "block", "k", "x.place", "x.line", "x.state", F.size(F.filter(F.slice("lines", F.lit(1), F.col("k") + 1), begins)).alias("turn"))
-    turns = lines.groupBy("conv", "block", "turn").agg(F.array_sort(F.collect_list(F.struct("place", "line", "state"))).alias("lines"))
-    first = F.col("lines")[0]
-    names = "|".join(n for role in ROLES for n in MARKERS[role])
-    bare = F.when(first["state"] % 2 == 0, F.regexp_replace(first["line"], _MARKER.replace("NAMES", names) + r"(?:\*\*)?\s*", "")).otherwise(first["line"])
-    text = F.concat_ws("\n", bare, F.expr("transform(slice(lines, 2, size(lines)), x -> x.line)"))
-    role = F.array(*map(F.lit, ROLES))[(first["state"] / 2).cast("int")]
-    out = turns.select("conv", first["place"].alias("place"), role.alias("role"), (first["state"] % 2 == 1).alias("continues"), F.size("lines").alias("n_lines"), text.alias("text"))
-    head = F.when(F.col("continues"), F.lit("")).otherwise(F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n")))
-    return out.withColumn("rendered", F.concat(head, "text", F.lit("\n<|end|>")))
+    kind = decoded.schema["conv"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.string()]
+        for batch in batches:
+            for k, (at, found) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                columns = list(zip(*_turns(found, at)))
+                key = batch.column(0).take(pa.array([k] * len(columns[0])))
+                yield pa.RecordBatch.from_arrays([key, *(pa.array(c, t) for c, t in zip(columns, kinds))], ["conv", "place", "role", "continues", "n_lines", "text", "rendered"])
+
+    return decoded.select("conv", "at", "lines").mapInArrow(run, f"conv {kind}, place long, role string, continues boolean, n_lines long, text string, rendered string")

@@ -105,13 +105,16 @@ def pad(payload: bytes) -> bytes:
 
 
 def mux(payload: bytes, frame: int = FRAME) -> bytes:
-    """A Matroska file of one 8-bit track; a timestamp unit is one sample."""
+    """A Matroska file of one 8-bit track; a timestamp unit is one sample.  Larger frames make shorter clusters, as a block's time in its cluster has 16 bits."""
+    if not 0 < frame * FRAMES_A_BLOCK < 1 << 15:
+        raise ValueError(f"a frame must have 1 to {(1 << 15) // FRAMES_A_BLOCK - 1} samples")
     body = _element(INFO, _number(TIMESTAMP_SCALE, 10**9 // RATE) + _element(DURATION, struct.pack(">d", len(payload))) + _element(MUXER, b"granary") + _element(WRITER, b"granary")) + _tracks(frame)
     parts, cues, at = [body], [], len(body)
     span = frame * FRAMES_A_BLOCK
-    for first in range(0, len(payload), span * BLOCKS_A_CLUSTER):
+    reach = span * min(BLOCKS_A_CLUSTER, ((1 << 15) - 1) // span + 1)
+    for first in range(0, len(payload), reach):
         blocks = [_number(TIMESTAMP, first)]
-        for a in range(first, min(first + span * BLOCKS_A_CLUSTER, len(payload)), span):
+        for a in range(first, min(first + reach, len(payload)), span):
             stop = min(a + span, len(payload))
             blocks.append(_laced([payload[k : min(k + frame, stop)] for k in range(a, stop, frame)], a - first))
         cluster = _element(CLUSTER, b"".join(blocks))

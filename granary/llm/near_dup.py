@@ -8,7 +8,9 @@ is full (a value of an earlier round is smaller), so that two registers agree wi
 Candidates pass an estimate from the registers, corrected for collisions of compressed values, with a margin of over six standard errors,
 and are then confirmed on the full shingle sets.
 
-Exact copies (equal sets) form one class first, so that copies are never paired.  Inside a band's bucket, pairs are not all emitted: each
+Shingles are hashed twice, under independent seeds: sketches use one hash and the confirming sets the other, so that no link rests on one hash.
+
+Exact copies (equal sets by size, a sum over one hash and a sum over the other) form one class first, so that copies are never paired.  Inside a band's bucket, pairs are not all emitted: each
 member is first tried against one pivot, then against every bucket's pivot, and only members whose components still differ are tried with
 each other, if a shingle that is rare among these members can be the first of enough common ones.  The components are exact for the candidates that the bands give.
 
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import SHINGLE, mix, shingle_sets, stash, text_chunks
+from .shared import mix, shingle_rows, shingle_sets, stash, text_chunks
 
 ROWS, BANDS = 6, 60
 REGISTERS = ROWS * BANDS
@@ -34,6 +36,7 @@ MANTISSA = 10
 _ROUND_SEED = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Six standard errors of an estimate from REGISTERS registers at 0.75 are 0.137.
 MARGIN = 0.14
+CONFIRM_SEED = 1
 #: Shingles in front of a match that are compared.
 BEFORE = 8
 
@@ -83,10 +86,11 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches:
             for first, end, data, offsets in text_chunks(batch.column(1)):
                 n, low, high, regs = [], [], [], []
-                for s in shingle_sets(data, offsets):
+                for row, again in zip(shingle_rows(data, offsets), shingle_rows(data, offsets, seed=CONFIRM_SEED)):
+                    s, where = np.unique(row, return_index=True)
                     n.append(len(s))
                     low.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                    high.append(int(np.bitwise_xor.reduce(mix(s + np.uint64(7))).view(np.int64)) if len(s) else 0)
+                    high.append(int(mix(again[where]).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                     regs.append(registers(s).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(regs, pa.binary())], ["id", "n", "low", "high", "sketch"])
 
@@ -94,12 +98,12 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def shingle_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, shingles``: the full set of each row as 64-bit hashes."""
+    """``id, shingles``: the full set of each row as 64-bit hashes of the confirming seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in text_chunks(batch.column(1)):
-                sets = list(shingle_sets(data, offsets))
+                sets = list(shingle_sets(data, offsets, seed=CONFIRM_SEED))
                 where = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(where), pa.array(values))], ["id", "shingles"])

@@ -62,13 +62,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _narrow(ids: list[int]) -> np.ndarray:
+    """A document's ids as 16-bit numbers if all of them fit, else as 32-bit ones."""
+    wide = np.array(ids, "<u4")
+    return wide.astype("<u2") if wide.max() < 65536 else wide
+
+
 def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, at = _tokenizer(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 rows = batch.slice(first, 512)
-                ids = [np.array([*encode(text or ""), end_id], "<u2" if end_id < 65536 else "<u4") for text in rows.column(1).to_pylist()]
+                ids = [_narrow([*encode(text or ""), end_id]) for text in rows.column(1).to_pylist()]
                 n = np.array([len(x) for x in ids], np.int64)
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
@@ -83,7 +89,7 @@ def _cut(base, size: int):
         for batch in batches:
             out: list[tuple] = []
             for part, at, key, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.frombuffer(raw, "<u2").astype("<u4")
+                ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
                 place, start = offset_of[part] + at, 0
                 while start < n:
                     inside = (place + start) % size
@@ -98,7 +104,7 @@ def _cut(base, size: int):
 
 
 def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = 0) -> DataFrame:
-    """Stored token rows: partition, place in the partition's stream, document, token count with the end id, ids as 16-bit numbers."""
+    """Stored token rows: partition, place in the partition's stream, document, token count with the end id, ids as 16-bit numbers (32-bit where one needs it)."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return stash(source.mapInArrow(_tokenise(tokenizer_path or default_tokenizer(), end_id), TOKENS), "tokens")
 

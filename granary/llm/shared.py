@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space, the only word separators.
@@ -21,25 +22,28 @@ _SEPARATOR[list(SPACES)] = True
 NOT_ALNUM = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128) for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C55
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+_LANES = 8  # words of more 8-byte lanes are hashed one by one
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see.  It is the session's ``spark.checkpoint.dir``; only a session without one gets a local folder."""
+    """The folder that all executors see, the session's ``spark.checkpoint.dir``.  Only a local session without one gets a local folder, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="granary-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends here, and a lost executor loses nothing."""
-    path = f"{shared_folder(df.sparkSession)}/granary/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and read it again: lineage ends here, and a lost executor loses nothing.  The session's end deletes the table."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/granary/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_chunks(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -70,17 +74,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        _powers[base] = have
-    return have[:n]
-
-
 def find_words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and end byte of every word of a chunk, and for each row where its words begin.  ``apart``: a mask of separating bytes."""
     n = len(data)
@@ -98,25 +91,37 @@ def find_words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SEPAR
 
 
 class Hasher:
-    """64-bit hashes of any byte ranges of an A-Z-lowered chunk: polynomials modulo 2**64 from one running sum."""
+    """64-bit hashes of any byte ranges of a chunk, A-Z lowered or not.
 
-    def __init__(self, data: np.ndarray, lower: bool = True) -> None:
-        n = len(data)
-        value = (_LOWER[data] if lower else data).astype(np.uint64)
-        value += np.uint64(1)
-        value *= _power(_BASE, n)
-        self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum(value, out=self.total[1:])
-        self.inverse = _power(_BASE_INVERSE, n + 1)
+    A range is read in lanes of eight bytes, and each lane goes through the finaliser with what came before; long ranges take xxhash.  Hashers
+    of different seeds are independent.
+    """
 
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.total[ends] - self.total[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    def __init__(self, data: np.ndarray, lower: bool = True, seed: int = 0) -> None:
+        self.data = np.concatenate([_LOWER[data] if lower else data, np.zeros(8, np.uint8)])
+        self.lanes = np.ndarray((len(data) + 1,), "<u8", self.data, strides=(1,))
+        self.seed = seed
 
-
-def word_hashes(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = ends - starts
+        out = mix(size.astype(np.uint64) + np.uint64(((self.seed + 1) * 0x9E3779B97F4A7C55) & 0xFFFFFFFFFFFFFFFF))
+        todo = np.flatnonzero((size > 0) & (size <= 8 * _LANES))
+        for k in range(_LANES):
+            if not len(todo):
+                break
+            left = size[todo] - 8 * k
+            keep = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64))
+            out[todo] = mix((out[todo] ^ (self.lanes[starts[todo] + 8 * k] & keep)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k + 1))
+            todo = todo[left > 8]
+        for k in np.flatnonzero(size > 8 * _LANES).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(self.data[starts[k] : ends[k]], self.seed)
+        return out
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SEPARATOR, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a chunk, and for each row where its words begin."""
     starts, ends, at = find_words(data, offsets, apart)
-    return Hasher(data)(starts, ends), at
+    return Hasher(data, seed=seed)(starts, ends), at
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -130,19 +135,23 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix(total)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each row; fewer words than ``width`` make one shingle, no words none."""
-    words, at = word_hashes(data, offsets)
+def _whole(words: np.ndarray) -> np.ndarray:
+    """One hash of all words of a short text."""
+    whole = np.full(1, len(words), np.uint64)
+    for k in range(len(words)):
+        whole = mix((whole ^ words[k : k + 1]) * np.uint64(0x9FB21C651E98DF25) + np.uint64(1))
+    return whole
+
+
+def shingle_rows(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE, seed: int = 0) -> Iterator[np.ndarray]:
+    """Shingle hashes of each row in order of their places; fewer words than ``width`` make one shingle, no words none."""
+    words, at = word_hashes(data, offsets, seed=seed)
     windows = window_hashes(words, width)
-    for k in range(len(offsets) - 1):
-        a, b = int(at[k]), int(at[k + 1])
-        if b - a >= width:
-            yield np.unique(windows[a : b - width + 1])
-        elif b > a:
-            whole = np.uint64(b - a)
-            for h in words[a:b]:
-                with np.errstate(over="ignore"):
-                    whole = (whole ^ h) * np.uint64(0x9FB21C651E98DF25) + np.uint64(1)
-            yield mix(np.array([whole], np.uint64))
-        else:
-            yield np.zeros(0, np.uint64)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        yield windows[a : b - width + 1] if b - a >= width else _whole(words[a:b]) if b > a else words[:0]
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE, seed: int = 0) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each row."""
+    for row in shingle_rows(data, offsets, width, seed):
+        yield np.unique(row)

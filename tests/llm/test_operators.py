@@ -121,6 +121,36 @@ def test_media_round_trip_is_exact(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
 
 
+@pytest.mark.parametrize("frame", [1, 64, 1024, 1366, 4095])
+def test_media_of_any_frame_size(frame):
+    payload = matroska.pad(bytes(k % 251 for k in range(150_000)))
+    found = matroska.demux(matroska.mux(payload, frame))
+    whole = matroska.mux(payload, frame)
+    assert found.error is None and b"".join(whole[p.start : p.start + p.length] for p in found.packets) == payload
+    assert [p.timestamp for p in found.packets] == list(range(0, len(payload), frame))
+
+
+def test_frames_too_large_for_a_block_are_refused():
+    with pytest.raises(ValueError):
+        matroska.mux(b"x" * 64, 4096)
+
+
+def test_packing_keeps_wide_ids(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, None), (3, "")], "doc_id long, text string")
+    narrow = {r.doc_id: r for r in packing.pack(docs).collect()}
+    wide = {r.doc_id: r for r in packing.pack(docs, end_id=70_000).collect()}
+    assert {k: r.doc_tokens for k, r in wide.items()} == {k: r.doc_tokens for k, r in narrow.items()}
+    assert wide[2].ids_crc32 == zlib.crc32((70_000).to_bytes(4, "little"))
+
+
+def test_packing_edge_rows(spark):
+    docs = spark.createDataFrame([(k, t, 1, "x", 5, 6) for k, t in [*TEXTS, (4, "Hello world, this is a plain sentence of the language.")]], "doc_id long, text string, id int, part string, start int, n int")
+    out = packing.pack(docs, sequence_tokens=64).collect()
+    assert sum(r.length for r in out if r.doc_id == 4) == 3 * next(r.doc_tokens for r in out if r.doc_id == 4)
+    assert {r.doc_id for r in out} == {1, 2, 3, 4, 5, 6, None} and max(r.offset + r.length for r in out) <= 64
+    assert packing.pack(docs.where("false")).count() == 0
+
+
 def test_truncated_media_is_reported_and_keeps_what_came_before():
     whole = matroska.mux(matroska.pad(b"x" * 5000))
     assert matroska.demux(whole).error is None
@@ -234,6 +264,52 @@ def test_tiles_match_brute_force_and_catch_reordering(spark):
     assert 99 not in {r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()}
 
 
+def test_repeated_phrases_tile_without_their_product(monkeypatch):
+    rnd = random.Random(1)
+    for _ in range(300):
+        width, shared = rnd.choice([2, 3]), {}
+        sides = [[rnd.randrange(3) for _ in range(rnd.randrange(3, most))] for most in (60, 40)]
+        for side, words in enumerate(sides):
+            for k in range(len(words) - width + 1):
+                shared.setdefault(tuple(words[k : k + width]), ([], []))[side].append(k)
+        both = [s for s in shared.values() if s[0] and s[1]]
+        if both:
+            monkeypatch.setattr(decontaminate, "PAIRS", 1 << 20)
+            expected = decontaminate.tile_places(both, width)
+            monkeypatch.setattr(decontaminate, "PAIRS", -1)
+            assert decontaminate.tile_places(both, width) == expected
+
+
+def test_rarest_places_lose_no_covered_item(spark):
+    rnd = random.Random(9)
+    common = [f"c{k}" for k in range(12)]  # a phrase of nearly every text and item
+    items = [(k, " ".join(common + [f"i{k}w{j}" for j in range(20)] + common)) for k in range(12)] + [(50, " ".join(common))]
+    rows = []
+    for k in range(120):
+        words = items[rnd.randrange(12)][1].split()
+        parts = [words[a : a + 8] for a in range(0, len(words), 8)]
+        rnd.shuffle(parts)
+        rows.append((k, " ".join([*common, *[x for p in parts[: rnd.randrange(len(parts) + 1)] for x in [*p, "gap"]]])))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for least in (0.2, 0.5, 0.9):
+        reach = lambda found: {(r.id, r.item, r.covered) for r in found.collect() if r.covered >= least * r.item_words}  # noqa: B023, E731
+        assert reach(decontaminate.coverage(docs, bench, least=least)) == reach(decontaminate.coverage(docs, bench))
+
+
+@pytest.mark.parametrize("operator", ["near_dup", "tiling"])
+def test_words_of_mirrored_letters_are_told_apart(spark, operator):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(3, word), (4, other), (5, f"{word} one two three {other} four five six"), (6, f"{other} one two three {word} four five six")], "doc_id long, text string")
+    if operator == "near_dup":
+        assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs).collect()} == {k: k for k in (3, 4, 5, 6)}
+    else:
+        bench = spark.createDataFrame([(1, f"{word} one two three {other}")], "item_id long, text string")
+        assert {r.doc_id: r.covered_words for r in decontaminate.decontaminated(docs, bench).collect()} == {3: 0, 4: 0, 5: 5, 6: 0}
+
+
 def test_transcripts_recover_roles(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
     lines = chat.raw_lines(turns)
