@@ -1,11 +1,12 @@
-"""Main text of web pages: markup decides what can be text, and pages with near URLs of the same host decide what is template.
+"""Main text of web pages: markup proposes what is text, and pages with near URLs of the same host decide what is template.
 
 ``lines`` turns a page into text blocks.  Blocks inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments (by element, role or class) go.  Blocks inside a marked article or main element are kept.  Every other block is open: pages are
-ordered by host and URL path, and neighbours that share ``COPY`` or more of the longer one's characters are a run of copies.  Each page is
-aligned with the nearest pages before and after its run in its host by a longest common subsequence of their lines, and open lines that it
-shares with one of them are deleted as template if both pages have other lines too.  A page that marks its article has no open lines left in
-its text.
+comments (by element, role or class) go.  The others are proposed: those inside a marked article or main element, or all of a page without
+one.  Pages are ordered by host and URL path, and neighbours that share ``COPY`` or more of the longer one's characters are a run of copies.
+Each page is aligned with the nearest pages before and after its run in its host by a longest common subsequence of their lines, and lines that
+it shares with one of them are deleted as template if both pages have other lines too.  Inside a marked article a shared line goes only where
+its place in the element tree says the same: ``PAGES`` or more pages of the host have lines there, and ``RATE`` or more of these lines are
+shared with a neighbour.  So a bar that every article of a site repeats goes, and a paragraph that two articles have in common stays.
 
 The order is made by a range partitioning on host, path and id with two-pass prefix sums, so that a large host is spread over many tasks, and
 the neighbours' lines travel as hashes.  The pages beside a long run are dealt to it by blocks of places.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import bisect
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -40,6 +42,8 @@ SPACED = frozenset("br td th img".split())
 NEVER = frozenset("nav footer aside form noscript template svg math select button dialog menu object audio video canvas ins head datalist".split())
 MARKED = NEVER | {"article", "main", "header"}
 COPY = 0.75  # share of the longer page's characters that makes two pages copies
+RATE, PAGES = 0.8, 8  # evidence that a place in the element tree holds template
+MATCHES = 1 << 20  # equal pairs of lines that one alignment lists
 BLOCK = 256  # places that one row of a run's neighbours serves
 PARAGRAPH_ENDS = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "summary"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -53,20 +57,26 @@ HEADER_WORDS = frozenset("header masthead topbar".split())
 TEMPLATE_ROLES = frozenset("navigation contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 MAIN_WORDS = frozenset("articlebody entrycontent postcontent articlecontent maincontent storybody postbody".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>"']|\Z)""", re.IGNORECASE)
 
 
 class Line(NamedTuple):
     text: str
     main: bool
+    path: int  # of its place in the element tree
 
 
 _TELLING = re.compile("class|id|role|hidden|style|itemprop", re.IGNORECASE)
 
 
-@lru_cache(maxsize=4096)
 def _role(name: str, attributes: str, in_main: bool) -> int:
+    return _short_role(name, attributes, in_main) if len(attributes) <= 500 else _short_role.__wrapped__(name, attributes, in_main)
+
+
+@lru_cache(maxsize=4096)
+def _short_role(name: str, attributes: str, in_main: bool) -> int:
     """-1 for an element whose text goes, 1 for one that marks main text, 0 otherwise."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes and not attributes.isspace() else {}
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
@@ -79,59 +89,84 @@ def _role(name: str, attributes: str, in_main: bool) -> int:
     return int(main)
 
 
+def _markup(page: str) -> Iterator[tuple[int, int, re.Match | None]]:
+    """Begin, end and match of each tag, comment (no match) or declaration (no match) of a page, in linear time.
+
+    A tag ends at the first ``>`` outside of its quotes; one with an open quote at the first ``>``; one without any takes the rest of the page.
+    """
+    at, end = page.find("<"), len(page)
+    while at >= 0:
+        follows, m = page[at + 1 : at + 2], None
+        if follows in ("!", "?"):
+            mark = "-->" if page.startswith("<!--", at) else ">"
+            close = page.find(mark, at + 4 if mark == "-->" else at)
+            stop = close + len(mark) if close >= 0 else end
+        elif follows.isascii() and follows.isalpha() or follows == "/" and page[at + 2 : at + 3].isascii() and page[at + 2 : at + 3].isalpha():
+            m = _TAG.match(page, at) or _BARE_TAG.match(page, at)
+            stop = m.end() if m else end
+        else:
+            at = page.find("<", at + 1)
+            continue
+        skip = yield at, stop, m
+        at = page.find("<", max(stop, skip or 0))
+
+
 def lines(page: str | None) -> list[Line]:
     """Text blocks of a page in order, without what its markup says isn't main text."""
     out: list[Line] = []
     page = page or ""
     parts: list[str] = []
-    open_tags: list[tuple[str, int, int]] = []  # name, elements that hide, elements that mark main text; both as counts up to here
-    hide = main = at = 0
+    open_tags: list[tuple[str, int, int, int]] = []  # name, elements that hide, elements that mark main text, path; counts and path up to here
+    inside: dict[str, int] = {}  # open elements by name
+    hide = main = at = path = 0
 
     def flush() -> None:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Line(text, main > 0))
+                out.append(Line(text, main > 0, path))
             parts.clear()
 
     def close(k: int) -> None:
-        nonlocal hide, main
+        nonlocal hide, main, path
         flush()
+        for x in open_tags[k:]:
+            inside[x[0]] -= 1
         del open_tags[k:]
-        hide, main = open_tags[-1][1:] if open_tags else (0, 0)
-
-    search, end = _TOKEN.search, len(page)
-    while at < end:
-        m = search(page, at)
-        stop = m.start() if m else end
-        if stop > at and not hide:
-            text = page[at:stop]
-            if not m:  # an unfinished tag at the end is no text
-                text = re.sub(r"<[/!?a-zA-Z][^>]*\Z", "", text)
-            parts.append(text)
-        if not m:
+        hide, main, path = open_tags[-1][1:] if open_tags else (0, 0, 0)
+
+    def last(name: str) -> int:
+        return next(k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == name)
+
+    tags, skip = _markup(page), None
+    while True:
+        try:
+            start, stop, m = tags.send(skip)
+        except StopIteration:
             break
-        at, name = m.end(), (m[2] or "").lower()
-        if not name:
+        skip = None
+        if start > at and not hide:
+            parts.append(page[at:start])
+        at = stop
+        if not m:
             continue
+        name = m[2].lower()
         if m[1]:
             if name in BLOCKS:
                 flush()
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == name:
-                    close(k)
-                    break
+            if inside.get(name):
+                close(last(name))
             continue
         if name in RAW:
             finish = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.IGNORECASE).search(page, at)
-            at = end if not finish else (page.find(">", finish.end()) + 1 or end)
+            at = skip = len(page) if not finish else (page.find(">", finish.end()) + 1 or len(page))
             continue
         if name in BLOCKS:
             flush()
         elif name in SPACED and not hide:
             parts.append(" ")
-        if name == "body" and any(x[0] == "head" for x in open_tags):
-            close(next(k for k, x in enumerate(open_tags) if x[0] == "head"))
+        if name == "body" and inside.get("head"):
+            close(last("head"))
         if name in PARAGRAPH_ENDS and open_tags and open_tags[-1][0] == "p":
             close(len(open_tags) - 1)
         while name in SIBLINGS and open_tags and open_tags[-1][0] in SIBLINGS[name]:
@@ -142,8 +177,11 @@ def lines(page: str | None) -> list[Line]:
         role = _role(name, told, main > 0) if told or name in MARKED else 0
         if role or name in BLOCKS or name in NEVER:
             flush()
-            hide, main = hide + (role < 0), main + (role > 0)
-            open_tags.append((name, hide, main))
+            hide, main, path = hide + (role < 0), main + (role > 0), zlib.crc32(f"{path}>{name}{re.sub('[0-9]', '', told[:80])}".encode())
+            open_tags.append((name, hide, main, path))
+            inside[name] = inside.get(name, 0) + 1
+    if not hide:
+        parts.append(page[at:])
     flush()
     return out
 
@@ -153,13 +191,28 @@ def line_hash(text: str) -> int:
 
 
 def common_subsequence(a: list[int], b: list[int]) -> list[int]:
-    """Positions in ``a`` of a longest common subsequence with ``b`` (the earliest in ``a`` among ties that the scan meets).
+    """Positions in ``a`` of a longest common subsequence with ``b``.
 
-    Matches are scanned by position in ``a`` and falling position in ``b``; the longest rising chain of positions in ``b`` is the answer.
+    Equal ends are taken first.  Matches are scanned by position in ``a`` and falling position in ``b``; the longest rising chain of positions
+    in ``b`` is the answer.  Pages of many equal lines are halved first, so that no more than ``MATCHES`` matches are listed.
     """
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    if head or tail:
+        inner = common_subsequence(a[head : len(a) - tail], b[head : len(b) - tail])
+        return [*range(head), *(head + k for k in inner), *range(len(a) - tail, len(a))]
     places: dict[int, list[int]] = {}
     for k in range(len(b) - 1, -1, -1):
         places.setdefault(b[k], []).append(k)
+    if sum(len(places.get(x, ())) for x in a) > MATCHES and len(a) > 1:
+        half = len(a) // 2
+        front, back = _lengths(a[:half], b), _lengths(a[half:][::-1], b[::-1])
+        cut = int((front + back[::-1]).argmax())
+        return common_subsequence(a[:half], b[:cut]) + [half + k for k in common_subsequence(a[half:], b[cut:])]
     ends: list[int] = []
     last: list[int] = []
     chain: list[tuple[int, int]] = []  # position in a, and the link before
@@ -180,6 +233,29 @@ def common_subsequence(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of ``a`` with each beginning of ``b``; the rows of the table are bits of one integer."""
+    full = (1 << len(b)) - 1
+    bits: dict[int, int] = {}
+    for value, places in _grouped(b).items():
+        row = np.zeros(len(b), np.uint8)
+        row[places] = 1
+        bits[value] = int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little")
+    rest = full
+    for x in a:
+        match = rest & bits.get(x, 0)
+        rest = ((rest + match) | (rest & ~match)) & full
+    steps = np.unpackbits(np.frombuffer((full ^ rest).to_bytes(-(-len(b) // 8), "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(steps.astype(np.int64))])
+
+
+def _grouped(b: list[int]) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for k, x in enumerate(b):
+        out.setdefault(x, []).append(k)
+    return out
+
+
 def shared_of_different(own: list[int], sizes: list[int], other: list[int], other_sizes: list[int]) -> list[int] | None:
     """Positions in ``own`` of the lines that two pages share; none if they are copies of each other.
 
@@ -205,26 +281,26 @@ def _key() -> Column:
 
 
 def _ordered(pages: DataFrame, tasks: int) -> DataFrame:
-    """``place, key, host, lines, open, sizes`` of every page: its place in the global order of host, path and id, its line hashes, which are open, and their lengths."""
+    """``place, key, host, lines, open, sizes, paths`` of every page: its place in the global order of host, path and id, its line hashes, which are in no marked article, their lengths and places in the tree."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [lines(x) for x in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([[line_hash(x.text) for x in f] for f in found], pa.list_(pa.int64())), pa.array([[not x.main for x in f] for f in found], pa.list_(pa.bool_())), pa.array([[len(x.text) for x in f] for f in found], pa.list_(pa.int32()))], ["key", "host", "path", "id", "lines", "open", "sizes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([[line_hash(x.text) for x in f] for f in found], pa.list_(pa.int64())), pa.array([[not x.main for x in f] for f in found], pa.list_(pa.bool_())), pa.array([[len(x.text) for x in f] for f in found], pa.list_(pa.int32())), pa.array([[x.path - (1 << 31) for x in f] for f in found], pa.list_(pa.int32()))], ["key", "host", "path", "id", "lines", "open", "sizes", "paths"])
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n)), *batch.columns], ["part", "at", "key", "host", "lines", "open", "sizes"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n)), *batch.columns], ["part", "at", "key", "host", "lines", "open", "sizes", "paths"])
             at += n
 
     host, path = host_and_path(F.col("url"))
     kind = pages.schema["id"].dataType.simpleString()
-    found = pages.select(_key().alias("key"), host.alias("host"), path.alias("path"), "id", "html").mapInArrow(hashed, f"key long, host string, path string, id {kind}, lines array<long>, open array<boolean>, sizes array<int>")
+    found = pages.select(_key().alias("key"), host.alias("host"), path.alias("path"), "id", "html").mapInArrow(hashed, f"key long, host string, path string, id {kind}, lines array<long>, open array<boolean>, sizes array<int>, paths array<int>")
     found = stash(found, "lines")
-    order = found.repartitionByRange(tasks, "host", "path", "id", "key").sortWithinPartitions("host", "path", "id", "key").select("key", "host", "lines", "open", "sizes")
-    order = stash(order.mapInArrow(numbered, "part int, at long, key long, host string, lines array<long>, open array<boolean>, sizes array<int>"), "order")
+    order = found.repartitionByRange(tasks, "host", "path", "id", "key").sortWithinPartitions("host", "path", "id", "key").select("key", "host", "lines", "open", "sizes", "paths")
+    order = stash(order.mapInArrow(numbered, "part int, at long, key long, host string, lines array<long>, open array<boolean>, sizes array<int>, paths array<int>"), "order")
     base, total = {}, 0
     for part, n in sorted(order.groupBy("part").agg(F.count("*").alias("n")).collect()):  # two numbers a partition
         base[part], total = total, total + n
@@ -233,9 +309,9 @@ def _ordered(pages: DataFrame, tasks: int) -> DataFrame:
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts = np.array([shipped.value[p] for p in batch.column(0).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(starts + batch.column(1).to_numpy()), *batch.columns[2:]], ["place", "key", "host", "lines", "open", "sizes"])
+            yield pa.RecordBatch.from_arrays([pa.array(starts + batch.column(1).to_numpy()), *batch.columns[2:]], ["place", "key", "host", "lines", "open", "sizes", "paths"])
 
-    return order.mapInArrow(placed, "place long, key long, host string, lines array<long>, open array<boolean>, sizes array<int>")
+    return order.mapInArrow(placed, "place long, key long, host string, lines array<long>, open array<boolean>, sizes array<int>, paths array<int>")
 
 
 def _with_runs(order: DataFrame) -> DataFrame:
@@ -262,7 +338,7 @@ def _with_runs(order: DataFrame) -> DataFrame:
 
 
 def shared_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``key, shared``: for each page with open lines that a near page of its host shares, their positions among its lines."""
+    """``key, shared``: for each page with template lines, their positions among its lines."""
     spark = pages.sparkSession
     tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
@@ -274,25 +350,32 @@ def shared_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         sides.append(ends.withColumn("beside", place).join(beside, "beside"))
     near = sides[0].unionByName(sides[1])
     near = near.select("run", F.explode(F.sequence(F.expr(f"first div {BLOCK}"), F.expr(f"last div {BLOCK}"))).alias("block"), "other_host", "other", "other_sizes")
-    pairs = order.where(F.exists("open", lambda x: x)).withColumn("block", F.expr(f"place div {BLOCK}")).join(near, ["run", "block"]).where(F.col("host") == F.col("other_host")).select("key", "lines", "open", "sizes", "other", "other_sizes")
+    pairs = order.where(F.size("lines") > 0).withColumn("block", F.expr(f"place div {BLOCK}")).join(near, ["run", "block"]).where(F.col("host") == F.col("other_host")).select("key", "host", "lines", "open", "sizes", "paths", "other", "other_sizes")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for own, is_open, sizes, other, other_sizes in zip(*(batch.column(k).to_pylist() for k in range(1, 6))):
-                out.append([k for k in shared_of_different(own, sizes, other, other_sizes) or () if is_open[k]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["key", "shared"])
-
-    found = pairs.mapInArrow(aligned, "key long, shared array<int>").where(F.size("shared") > 0)
-    return stash(found.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared")), "shared")
+            shared = []
+            for own, sizes, other, other_sizes in zip(*(batch.column(k).to_pylist() for k in (2, 4, 6, 7))):
+                row = np.zeros(len(own), bool)
+                row[shared_of_different(own, sizes, other, other_sizes) or []] = True
+                shared.append(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(5), pa.array(shared, pa.list_(pa.bool_()))], ["key", "host", "open", "paths", "shared"])
+
+    found = pairs.mapInArrow(aligned, "key long, host string, open array<boolean>, paths array<int>, shared array<boolean>")
+    either = F.reduce(F.collect_list("shared"), F.array_repeat(F.lit(False), F.size(F.first("paths"))), lambda a, b: F.zip_with(a, b, lambda x, y: x | y))
+    found = stash(found.groupBy("key", "host").agg(F.first("open").alias("open"), F.first("paths").alias("paths"), either.alias("shared")), "shared")
+    seen = found.select("key", "host", F.posexplode(F.arrays_zip("open", "paths", "shared")).alias("k", "x")).select("key", "host", "k", "x.open", "x.shared", F.col("x.paths").alias("path"))
+    rates = seen.where("not open").groupBy("host", "path").agg(F.avg(F.col("shared").cast("int")).alias("rate"), F.approx_count_distinct("key").alias("pages")).where((F.col("rate") >= RATE) & (F.col("pages") >= PAGES)).select("host", "path")
+    spot = seen.where("shared")
+    gone = spot.where("open").select("key", "k").union(spot.where("not open").join(rates, ["host", "path"], "left_semi").select("key", "k"))
+    return stash(gone.groupBy("key").agg(F.collect_set("k").alias("shared")), "template")
 
 
 def text_of(found: list[Line], shared: list[int] | None) -> str:
-    """A page's main text: the blocks of its marked article, or without one all blocks that no near page shares."""
-    if any(x.main for x in found):
-        return "\n".join(x.text for x in found if x.main)
-    gone = set(shared or ())
-    return "\n".join(x.text for k, x in enumerate(found) if k not in gone)
+    """A page's main text: the blocks of its marked article, or all without one, less those that near pages show to be template."""
+    gone, marked = set(shared or ()), any(x.main for x in found)
+    proposed = [(k, x.text) for k, x in enumerate(found) if x.main or not marked]
+    return "\n".join([x for k, x in proposed if k not in gone] or [x for _, x in proposed])
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

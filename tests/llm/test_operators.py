@@ -347,6 +347,50 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert sorted(out) == sorted(expected)
 
 
+def test_a_bar_in_every_article_goes_and_a_common_paragraph_stays(spark):
+    page = "<html><body><nav>Menu</nav><article><h1>Title {k}</h1><div class='x9'>Send this to somebody you know</div><p>Own text of page {k} that no other has</p>{more}<p>The end of page {k}, with more of its own words</p></article><footer>Foot</footer></body></html>"
+    paragraph = "<p>A paragraph that two neighbours have in common</p>"
+    rows = [(k, f"http://h.org/{k:02}", page.format(k=k, more=paragraph if k in (6, 7) else "")) for k in range(20)]
+    rows += [(k, f"http://few.org/{k:02}", page.format(k=k, more="")) for k in range(100, 103)]  # too few pages to tell
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html_text.main_text(pages).collect():
+        k = r.page_id
+        expected = [f"Title {k}", *["Send this to somebody you know"] * (k >= 100), f"Own text of page {k} that no other has", *["A paragraph that two neighbours have in common"] * (k in (6, 7)), f"The end of page {k}, with more of its own words"]
+        assert r.text == "\n".join(expected)
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<p", "</p>", "<div>", "<div></b>", '<a "', "<a '>", "<!-", "<!--x-->", "<li>x", "<p class='", "&amp", "<script>", "<body>", "< ", "x\n"])
+def test_pages_of_a_megabyte_take_linear_time(unit):
+    import time
+
+    took = []
+    for size in (1 << 17, 1 << 20):
+        page = "<p>begin</p>" + unit * (size // len(unit))
+        began = time.perf_counter()
+        found = html_text.lines(page)
+        took.append(time.perf_counter() - began)
+        assert found[0].text == "begin"
+    assert took[1] < 40 * max(took[0], 0.02)
+
+
+def test_markup_of_odd_pages():
+    texts = lambda page: [x.text for x in html_text.lines(page)]
+    assert texts("a < b <3 <p title='x > y'>c</p><!-- <p>no</p> -->d<?php x ?>e<!doctype html>f<p <b>g") == ["a < b <3", "c", "def", "g"]
+    assert texts("<p>a<b>b</b></p>c<p class=\"x>d</p>e") == ["ab", "c", "d", "e"]
+    assert texts("<p>a</p><a href='x") == ["a"]
+    assert texts("<script>if (a<b) '</p>'</script><p>&lt;x&gt;</p>") == ["<x>"]
+
+
+def test_common_subsequence_of_many_equal_lines():
+    rnd = random.Random(3)
+    a, b = ([rnd.randrange(3) for _ in range(4000)] for _ in "ab")
+    places = html_text.common_subsequence(a, b)
+    assert len(places) == int(html_text._lengths(a, b)[-1]) and places == sorted(set(places))
+    at = 0
+    for k in places:  # it is a subsequence of b
+        at = b.index(a[k], at) + 1
+
+
 def test_common_subsequence_is_longest():
     rnd = random.Random(8)
 
