@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scores
-from ..sources.shared import shared_folder
-
-
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read again, so that loops don't grow their plan."""
-    path = f"{shared_folder(df.sparkSession)}/granary/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.shared import stored
 
 
 def document_frequency(mentions: DataFrame) -> DataFrame:
@@ -103,11 +94,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(edges.select("dst", "src")).distinct()
     labels = both.groupBy("node").agg(F.least("node", F.min("other")).alias("component"))
     for _ in range(rounds):
-        labels = _stored(labels, "labels")
+        labels = stored(labels, "labels")
         near = both.join(labels.toDF("other", "near"), "other").groupBy("node").agg(F.min("near").alias("near"))
         spread = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("now"))
         jumped = spread.join(labels.toDF("now", "far"), "now", "left").select("node", "component", F.least("now", F.coalesce("far", "now")).alias("now"))
-        jumped = _stored(jumped, "labels")
+        jumped = stored(jumped, "labels")
         moved = jumped.where("now < component").limit(1).count()
         labels = jumped.select("node", F.col("now").alias("component"))
         if not moved:
@@ -121,12 +112,12 @@ def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, least:
     Each round is a join of edges with labels and an aggregation by node and neighbouring community.  Ties go to the smaller label and the
     halves are a hash of the node, so the result is the same each time.  Communities under ``least`` members are dropped.
     """
-    both = _stored(both_ways(edges), "edges")
-    degree = _stored(both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("degree")), "degree")
+    both = stored(both_ways(edges), "edges")
+    degree = stored(both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("degree")), "degree")
     total = degree.agg(F.sum("degree")).first()[0] or 1.0
     labels = degree.select("node", F.col("node").alias("community"))
     for k in range(rounds):
-        labels = _stored(labels, "communities")
+        labels = stored(labels, "communities")
         size = labels.join(degree, "node").groupBy("community").agg(F.sum("degree").alias("size"))
         near = both.join(labels.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("inside"))
         own = labels.select("node", F.col("community").alias("now"))
@@ -136,7 +127,7 @@ def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, least:
         best = choice.groupBy("node").agg(F.max(F.struct(gain.alias("gain"), (-F.col("community")).alias("c"))).alias("x"), F.max(F.when(F.col("community") == F.col("now"), gain)).alias("stay"))
         moves = best.where((F.pmod(F.xxhash64("node", F.lit(k // 2)), F.lit(2)) == k % 2) & (F.col("x.gain") > F.coalesce("stay", F.lit(0.0)))).select("node", (-F.col("x.c")).alias("to"))
         labels = labels.join(moves, "node", "left").select("node", F.coalesce("to", "community").alias("community"))
-    labels = _stored(labels, "communities")
+    labels = stored(labels, "communities")
     kept = labels.groupBy("community").agg(F.count("*").alias("n"), F.min("node").alias("first")).where(F.col("n") >= least)
     return labels.join(kept, "community").select("node", F.col("first").alias("community"))
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scores
 from ..functions.text import tokens
+from ..sources.shared import stored
 
 CANDIDATES, CAP, FLOOR, HALF_LIFE = 50, 3, 0.25, 180.0
 
@@ -26,10 +27,44 @@ def inverted_index(rows: DataFrame, keys: list[str], text_col: str, weight: floa
     return terms.groupBy(*keys, "term").agg(F.count("*").alias("tf")).withColumn("weight", F.lit(weight))
 
 
+BUCKETS = 64
+_indexes: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored_index(rows: DataFrame, keys: list[str], text_col: str, name: str) -> DataFrame:
+    """``keys, term, tf, bucket``: an inverted index in folders by the term's hash, sorted by term, built once a session for ``name``.
+
+    ``name`` says which rows it holds, such as a table's path.  A common term's postings lie in several files of its folder.
+    """
+    key = (rows.sparkSession.sparkContext.applicationId, name)
+    if key not in _indexes:
+        index = inverted_index(rows, keys, text_col).select(*keys, "term", "tf", term_bucket(F.col("term")).alias("bucket"))
+        spread = index.repartition(F.col("bucket"), F.pmod(F.xxhash64(*keys), F.lit(4))).sortWithinPartitions("bucket", "term")
+        _indexes[key] = stored(spread, "index", "bucket")
+    return _indexes[key]
+
+
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def postings(index: DataFrame, terms: list[str]) -> DataFrame:
+    """The index's rows of some terms; only their folders are read."""
+    spark = index.sparkSession
+    buckets = [r.b for r in spark.createDataFrame([(t,) for t in terms], "t string").select(term_bucket(F.col("t")).alias("b")).distinct().collect()]
+    return index.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms))
+
+
+def index_scores(index: DataFrame, keys: list[str], terms: list[str], every: bool = True) -> DataFrame:
+    """``keys, score`` of what holds all (or any) of the terms: the sum over terms of tf / (tf + 1)."""
+    found = postings(index, terms).groupBy(*keys).agg(F.count("*").alias("_n"), F.round(F.sum(F.col("tf") / (F.col("tf") + 1)), 6).alias("score"))
+    return (found.where(F.col("_n") == len(set(terms))) if every else found).drop("_n")
+
+
 def lexical_scores(rows: DataFrame, terms: list[str], text_col: str = "content", every: bool = True) -> DataFrame:
     """The rows that hold all (or any) of the terms, with ``score``: the sum over terms of the weight tf / (tf + 1).
 
-    The terms' counts are expressions over each row's tokens, so nothing is shuffled.
+    For rows without a stored index: the terms' counts are expressions over each row's tokens, so nothing is shuffled.
     """
     words = tokens(F.col(text_col))
     count = lambda term: F.size(F.filter(words, lambda x: x == term))
@@ -57,38 +92,43 @@ def vector_leg(vectors: DataFrame, query: Column, n: int = CANDIDATES, floor: fl
     return best if floor is None else best.where(F.col("score") >= floor)
 
 
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 65_536
+
+
 def nearest_neighbours(queries: DataFrame, vectors: DataFrame, n: int, floor: float = -1.0) -> DataFrame:
     """``query_id, id, score, rank``: each query's ``n`` nearest other rows.
 
-    Every query meets every vector, so the query set must be stated and small; it is sent to the tasks in blocks, the vectors aren't
-    shuffled, and each task keeps only ``n`` rows a query before anything is exchanged.
+    A stated query set against all rows, in blocks: queries are dealt to blocks of about ``QUERY_BLOCK`` rows and vectors to parts of about
+    ``VECTOR_BLOCK``, each block meets each part in one bounded group, and a group keeps only ``n`` rows a query before anything is exchanged.
+    Nothing goes through the driver.
     """
-    from collections.abc import Iterator
-
     import numpy as np
     import pandas as pd
 
-    rows = queries.select(F.col("id").alias("query_id"), "vector").orderBy("query_id").collect()  # a stated query set
-    shipped = queries.sparkSession.sparkContext.broadcast(([r.query_id for r in rows], np.array([r.vector for r in rows], float)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, q = shipped.value
-        if not keys:
-            return
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        for batch in batches:
-            v = np.array(batch["vector"].tolist(), float).reshape(len(batch), -1)
-            size = np.linalg.norm(v, axis=1)
-            cos = np.round(q @ (v / np.maximum(size, 1e-300)[:, None]).T, 6)
-            ids = batch["id"].to_numpy()
-            out = []
-            for k, row in enumerate(cos):
-                fine = np.flatnonzero((ids != keys[k]) & (size > 0) & (row >= floor))
-                best = fine[np.lexsort((ids[fine], -row[fine]))][:n]
-                out.append(pd.DataFrame({"query_id": keys[k], "id": ids[best], "score": row[best]}))
-            yield pd.concat(out)
-
-    found = vectors.select("id", "vector").mapInPandas(run, "query_id long, id long, score double").withColumn("score", F.round("score", 6))
+    spark = vectors.sparkSession
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // VECTOR_BLOCK))
+    dealt = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    asked = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("query"), dealt(blocks).alias("q_block"), each(parts).alias("q_part"))
+    held = vectors.select("id", "vector", each(blocks).alias("block"), dealt(parts).alias("part"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            v = np.array(right["vector"].tolist(), float).reshape(len(right), -1)
+            size, ids = np.linalg.norm(v, axis=1), right["id"].to_numpy()
+            v = (v / np.maximum(size, 1e-300)[:, None]).T
+            for first in range(0, len(left), 64):
+                q = np.array(left["query"].tolist()[first : first + 64], float)
+                q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+                for key, row in zip(left["query_id"].to_numpy()[first : first + 64], np.round(q @ v, 6)):
+                    fine = np.flatnonzero((ids != key) & (size > 0) & (row >= floor))
+                    best = fine[np.lexsort((ids[fine], -row[fine]))][:n]
+                    out.append(pd.DataFrame({"query_id": key, "id": ids[best], "score": row[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+    found = asked.groupBy("q_block", "q_part").cogroup(held.groupBy("block", "part")).applyInPandas(run, "query_id long, id long, score double").withColumn("score", F.round("score", 6))
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= n)
 
 

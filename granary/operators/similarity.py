@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.shared import stored
 
 PERMUTATIONS, BANDS, BAND_ROWS, LEAST_WORDS = 128, 32, 4, 50
 _PRIME = (1 << 31) - 1
@@ -19,26 +24,64 @@ def shingles(words: Column, width: int = 5) -> Column:
     return F.when(count >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
-def shingled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """``doc_id, shingles`` of the texts with enough words."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("words"))
-    return rows.where(F.size("words") >= least_words).select("doc_id", shingles(F.col("words")).alias("shingles"))
+def shingled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, width: int = 5) -> DataFrame:
+    """``doc_id, shingles`` of the texts with enough words: the distinct runs of ``width`` words as 64-bit hashes."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("words")).where(F.size("words") >= least_words)
+    runs = F.transform(F.sequence(F.lit(1), F.size("words") - width + 1), lambda k: F.xxhash64(F.slice("words", k, F.lit(width))))
+    return rows.select("doc_id", F.array_distinct(runs).alias("shingles"))
+
+
+def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents of equal sets as one: the sets of the smallest ids (``doc_id, shingles``), and the membership ``doc_id, class_id``."""
+    keyed = stored(sets.select("doc_id", F.size("shingles").alias("n"), F.array_sort("shingles").alias("shingles")).select("*", F.xxhash64("shingles").alias("h"), F.xxhash64(F.lit(1), F.reverse("shingles")).alias("g")), "sets")
+    key = ["n", "h", "g"]
+    first = keyed.groupBy(*key).agg(F.min("doc_id").alias("class_id"))
+    members = stored(keyed.select("doc_id", *key).join(first, key).select("doc_id", "class_id"), "members")
+    own = members.where("doc_id = class_id").select("doc_id")
+    return keyed.join(own, "doc_id", "left_semi").select("doc_id", "shingles"), members
+
+
+def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """``a, b, similarity`` of documents, a < b, from the pairs of their classes; members of one class are equal."""
+    a, b = (members.select(F.col("class_id").alias(f"c{x}"), F.col("doc_id").alias(x)) for x in "ab")
+    across = pairs.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "similarity").join(a, "ca").join(b, "cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    inside = a.join(b, F.col("ca") == F.col("cb")).where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    return across.unionByName(inside)
 
 
 def signatures(sets: DataFrame, permutations: int = PERMUTATIONS) -> DataFrame:
-    """``doc_id, signature``: minima of linear permutations of the shingles' hashes, one aggregate a permutation, combined on the map side."""
-    h = F.pmod(F.xxhash64("shingle"), F.lit(_PRIME))
-    rows = sets.select("doc_id", F.explode("shingles").alias("shingle")).select("doc_id", h.alias("h"))
-    minima = [F.min((F.col("h") * ((2654435761 * (k + 1)) % _PRIME) + (40503 * (k + 7) * (k + 13)) % _PRIME) % _PRIME).alias(f"m{k}") for k in range(permutations)]
-    return rows.groupBy("doc_id").agg(*minima).select("doc_id", F.array(*[F.col(f"m{k}") for k in range(permutations)]).alias("signature"))
+    """``doc_id, signature``: minima of linear permutations of the shingles' hashes, a few rows' hashes at a time."""
+    factors = np.array([[(2654435761 * (k + 1)) % _PRIME] for k in range(permutations)], np.uint64)
+    shifts = np.array([[(40503 * (k + 7) * (k + 13)) % _PRIME] for k in range(permutations)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.uint64)
+            out = np.full((batch.num_rows, permutations), _PRIME, np.int64)
+            for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                for first in range(a, b, 4096):
+                    part = (values[None, first : min(b, first + 4096)] * factors + shifts) % np.uint64(_PRIME)
+                    out[k] = np.minimum(out[k], part.min(axis=1).astype(np.int64))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, permutations, np.int32)), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["doc_id", "signature"])
+
+    hashes = sets.select("doc_id", F.transform("shingles", lambda x: F.pmod(x, F.lit(_PRIME))).alias("shingles"))
+    return hashes.mapInArrow(run, "doc_id long, signature array<long>")
 
 
 def candidate_pairs(signed: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """``a, b`` of documents that agree on all rows of a band, a < b."""
+    """``a, b`` of documents that agree on all rows of a band, a < b; a band's bucket with one member is dropped before the join."""
     keys = F.explode(F.array(*[F.xxhash64(F.lit(k), F.slice("signature", k * rows + 1, rows)) for k in range(bands)]))
     banded = signed.select("doc_id", keys.alias("band"))
-    other = banded.select(F.col("doc_id").alias("b"), "band")
-    return banded.select(F.col("doc_id").alias("a"), "band").join(other, "band").where("a < b").select("a", "b").distinct()
+    return overlapping(banded.select("doc_id", "band"), "band")
+
+
+def overlapping(rows: DataFrame, key: str) -> DataFrame:
+    """``a, b`` of documents that share a value of ``key``, a < b: an array-overlap join over exploded values."""
+    common = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    held = rows.join(common, key).select(key, F.col("doc_id").alias("a"))
+    return held.join(held.withColumnRenamed("a", "b"), key).where("a < b").select("a", "b").distinct()
 
 
 def jaccard(a: Column, b: Column) -> Column:

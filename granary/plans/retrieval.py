@@ -28,13 +28,19 @@ def _query_vector(vectors: DataFrame, key: int = 0) -> Column:
     return F.array(*map(F.lit, vectors.where(F.col("id") == key).first().vector))
 
 
+def _matched(spark: SparkSession, sf: str) -> DataFrame:
+    """``doc_id, chunk_index, score`` of the chunks that hold all terms, from the stored index."""
+    index = search.stored_index(_chunks(spark, sf), ["doc_id", "chunk_index"], "content", f"{sf}/documents chunks")
+    return search.index_scores(index, ["doc_id", "chunk_index"], TERMS)
+
+
 def _lexical(spark: SparkSession, sf: str) -> DataFrame:
-    return search.top(search.cap_per_document(search.lexical_scores(_chunks(spark, sf), TERMS)), 50, "doc_id", "chunk_index")
+    return search.top(search.cap_per_document(_matched(spark, sf)), 50, "doc_id", "chunk_index")
 
 
 @query(f"SELECT doc_id, chunk_index, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id, chunk_index) - 1 AS rank FROM {SCORED}) WHERE rank < 50")
 def fts_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return search.top(search.lexical_scores(_chunks(spark, sf), TERMS), 50, "doc_id", "chunk_index").select("doc_id", "chunk_index", "score", "rank")
+    return search.top(_matched(spark, sf), 50, "doc_id", "chunk_index").select("doc_id", "chunk_index", "score", "rank")
 
 
 @query(f"SELECT doc_id, chunk_index, score, rank FROM {LEXICAL}")
@@ -44,7 +50,7 @@ def fts_doc_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks FROM {SCORED}")
 def match_total(spark: SparkSession, sf: str) -> DataFrame:
-    return search.lexical_scores(_chunks(spark, sf), TERMS).agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("chunks"))
+    return _matched(spark, sf).agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("chunks"))
 
 
 @query(f"SELECT id, score, rank FROM {VECTOR}")
@@ -108,7 +114,7 @@ def recency_decay(spark: SparkSession, sf: str) -> DataFrame:
   UNION ALL SELECT doc_id, 'tag', unnest([lang, source]) FROM documents WHERE doc_id IN (SELECT doc_id FROM {SCORED})) GROUP BY 1, 2"""
 )
 def facets(spark: SparkSession, sf: str) -> DataFrame:
-    matched = tables.documents(spark, sf).join(search.lexical_scores(_chunks(spark, sf), TERMS).select("doc_id").distinct(), "doc_id", "left_semi")
+    matched = tables.documents(spark, sf).join(_matched(spark, sf).select("doc_id").distinct(), "doc_id", "left_semi")
     return search.facets(matched, {"source": F.array("source"), "lang": F.array("lang"), "tag": F.col("tags")})
 
 
@@ -122,8 +128,7 @@ def facet_rollup(spark: SparkSession, sf: str) -> DataFrame:
 SELECT b.doc_id, string_agg(c.content, chr(10) ORDER BY c.chunk_index) AS snippet FROM b JOIN {CHUNKS} c ON c.doc_id = b.doc_id AND c.chunk_index BETWEEN b.chunk_index - 2 AND b.chunk_index + 2 GROUP BY 1"""
 )
 def snippet_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _chunks(spark, sf)
-    return search.snippet(rows, search.best_chunk(search.lexical_scores(rows, TERMS)))
+    return search.snippet(_chunks(spark, sf), search.best_chunk(_matched(spark, sf)))
 
 
 @query(

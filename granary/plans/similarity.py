@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import similarity
+from ..sources.shared import stored
 from ..sources import tables
 from .registry import TOKENS, query
 
@@ -20,21 +21,23 @@ SELECT a, b, round(c.n / (x.n + y.n - c.n)::DOUBLE, 6) AS similarity FROM common
 
 @query(NEAR)
 def near_dup_exact(spark: SparkSession, sf: str) -> DataFrame:
-    return similarity.exact_pairs(similarity.shingled(tables.documents(spark, sf)), 0.85)
+    sets, members = similarity.classes(similarity.shingled(tables.documents(spark, sf)))
+    return similarity.expanded(similarity.exact_pairs(sets, 0.85), members)
 
 
 @query(NEAR)
 def near_dup_lsh(spark: SparkSession, sf: str) -> DataFrame:
-    """Signatures and bands find the pairs, full sets confirm them."""
-    sets = similarity.shingled(tables.documents(spark, sf))
-    return similarity.verified(similarity.candidate_pairs(similarity.signatures(sets)), sets)
+    """Signatures and bands find the pairs of different sets, full sets confirm them, and copies come back at the end."""
+    sets, members = similarity.classes(similarity.shingled(tables.documents(spark, sf)))
+    return similarity.expanded(similarity.verified(similarity.candidate_pairs(similarity.signatures(sets)), sets), members)
 
 
 @query()
 def near_dup_estimated(spark: SparkSession, sf: str) -> DataFrame:
     """The pairs by the signatures' estimate."""
-    signed = similarity.signatures(similarity.shingled(tables.documents(spark, sf)))
-    return similarity.estimated(similarity.candidate_pairs(signed), signed)
+    sets, members = similarity.classes(similarity.shingled(tables.documents(spark, sf)))
+    signed = stored(similarity.signatures(sets), "signatures")
+    return similarity.expanded(similarity.estimated(similarity.candidate_pairs(signed), signed), members)
 
 
 @query(

@@ -1,16 +1,29 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables stored in it."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only a session without one gets a local folder, as in tests."""
+    """The session's ``spark.checkpoint.dir``; only a local session without one gets a local folder, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="granary-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def stored(df: DataFrame, name: str, *partitions: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that its plan ends here; the session's end deletes it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/granary/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partitions).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
