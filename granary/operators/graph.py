@@ -15,14 +15,33 @@ def document_frequency(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("entity_id").agg(F.countDistinct("doc_id").alias("df"))
 
 
-def cooccurrence(mentions: DataFrame) -> DataFrame:
-    """``src, dst, co_count, co_docs`` of entity pairs that share documents, src < dst.
+PAIR_BLOCK = 64
+
+
+def contributions(mentions: DataFrame) -> DataFrame:
+    """``doc_id, src, dst, n`` of each document's entity pairs, src < dst, with the smaller mention count.
 
-    Pairs are made inside one document at a time; a document's entities are capped upstream by ``capped_entities``.
+    A document's entities are dealt to blocks of at most ``PAIR_BLOCK``, and each pair of its blocks makes its pairs in a row of its own, so that
+    no row holds all pairs of a long document.
     """
-    sets = mentions.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("entity_id", "mention_count"))).alias("es"))
-    pairs = F.flatten(F.transform("es", lambda a, k: F.transform(F.slice("es", k + 2, F.size("es")), lambda b: F.struct(a["entity_id"].alias("src"), b["entity_id"].alias("dst"), F.least(a["mention_count"], b["mention_count"]).alias("c")))))
-    return sets.select("doc_id", F.explode(pairs).alias("p")).groupBy("p.src", "p.dst").agg(F.sum("p.c").alias("co_count"), F.countDistinct("doc_id").alias("co_docs"))
+    held = mentions.groupBy("doc_id", "entity_id").agg(F.max("mention_count").alias("c"))
+    sized = held.groupBy("doc_id").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks"))
+    dealt = held.join(sized, "doc_id").withColumn("block", F.pmod(F.xxhash64("entity_id"), F.col("blocks")).cast("int"))
+    blocks = dealt.groupBy("doc_id", "block", "blocks").agg(F.collect_list(F.struct("entity_id", "c")).alias("es"))
+    one = blocks.where("blocks = 1").select("doc_id", F.col("es").alias("x"), F.lit(None).cast(blocks.schema["es"].dataType).alias("y"))
+    many = blocks.where("blocks > 1")
+    other = many.select("doc_id", F.col("block").alias("other"), F.col("es").alias("y"))
+    two = many.join(other, "doc_id").where("block <= other").select("doc_id", F.col("es").alias("x"), F.when(F.col("block") < F.col("other"), F.col("y")).alias("y"))
+    pair = lambda a, b: F.struct(F.least(a["entity_id"], b["entity_id"]).alias("src"), F.greatest(a["entity_id"], b["entity_id"]).alias("dst"), F.least(a["c"], b["c"]).alias("c"))
+    own = F.flatten(F.transform("x", lambda a, k: F.transform(F.slice("x", k + 2, F.size("x")), lambda b: pair(a, b))))
+    across = F.flatten(F.transform("x", lambda a: F.transform("y", lambda b: pair(a, b))))
+    pairs = one.unionByName(two).select("doc_id", F.explode(F.when(F.col("y").isNull(), own).otherwise(across)).alias("p"))
+    return pairs.select("doc_id", "p.src", "p.dst", F.col("p.c").alias("n"))
+
+
+def cooccurrence(mentions: DataFrame) -> DataFrame:
+    """``src, dst, co_count, co_docs`` of entity pairs that share documents, src < dst."""
+    return contributions(mentions).groupBy("src", "dst").agg(F.sum("n").alias("co_count"), F.count("*").alias("co_docs"))
 
 
 def capped_entities(mentions: DataFrame, most: int = 40) -> DataFrame:
@@ -106,16 +125,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components didn't settle")
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, least: int = 3) -> DataFrame:
-    """``node, community``: local moves by modularity gain, all nodes at once, on alternate halves so that neighbours don't swap for ever.
-
-    Each round is a join of edges with labels and an aggregation by node and neighbouring community.  Ties go to the smaller label and the
-    halves are a hash of the node, so the result is the same each time.  Communities under ``least`` members are dropped.
-    """
-    both = stored(both_ways(edges), "edges")
-    degree = stored(both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("degree")), "degree")
-    total = degree.agg(F.sum("degree")).first()[0] or 1.0
+def _moved(both: DataFrame, degree: DataFrame, total: float, resolution: float, rounds: int) -> DataFrame:
+    """``node, community`` after local moves: all nodes at once, on alternate halves so that neighbours don't swap for ever."""
     labels = degree.select("node", F.col("node").alias("community"))
+    still = 0
     for k in range(rounds):
         labels = stored(labels, "communities")
         size = labels.join(degree, "node").groupBy("community").agg(F.sum("degree").alias("size"))
@@ -125,11 +138,38 @@ def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, least:
         without = F.col("size") - F.when(F.col("community") == F.col("now"), F.col("degree")).otherwise(0.0)
         gain = F.round(F.col("inside") - resolution * F.col("degree") * without / total, 9)
         best = choice.groupBy("node").agg(F.max(F.struct(gain.alias("gain"), (-F.col("community")).alias("c"))).alias("x"), F.max(F.when(F.col("community") == F.col("now"), gain)).alias("stay"))
-        moves = best.where((F.pmod(F.xxhash64("node", F.lit(k // 2)), F.lit(2)) == k % 2) & (F.col("x.gain") > F.coalesce("stay", F.lit(0.0)))).select("node", (-F.col("x.c")).alias("to"))
+        # a node that leaves a community of others has no gain there but what it pays for their degrees
+        left = own.join(size, F.col("now") == F.col("community")).join(degree, "node").select("node", F.round(-resolution * F.col("degree") * (F.col("size") - F.col("degree")) / total, 9).alias("alone"))
+        moves = best.join(left, "node").where((F.pmod(F.xxhash64("node", F.lit(k // 2)), F.lit(2)) == k % 2) & (F.col("x.gain") > F.coalesce("stay", "alone"))).select("node", (-F.col("x.c")).alias("to"))
+        moves = stored(moves, "moves")
+        still = 0 if moves.limit(1).count() else still + 1
         labels = labels.join(moves, "node", "left").select("node", F.coalesce("to", "community").alias("community"))
-    labels = stored(labels, "communities")
-    kept = labels.groupBy("community").agg(F.count("*").alias("n"), F.min("node").alias("first")).where(F.col("n") >= least)
-    return labels.join(kept, "community").select("node", F.col("first").alias("community"))
+        if still == 4:  # both halves, under two deals
+            break
+    return stored(labels, "communities")
+
+
+def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, least: int = 3, levels: int = 4) -> DataFrame:
+    """``node, community``: local moves by modularity gain, then the communities as nodes of a smaller graph, until nothing joins.
+
+    Each round is a join of edges with labels and an aggregation by node and neighbouring community.  Ties go to the smaller label and the
+    halves are a hash of the node, so the result is the same each time.  A community's label is its smallest member; those under ``least``
+    members are dropped.
+    """
+    both = stored(both_ways(edges), "edges")
+    degree = stored(both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("degree")), "degree")
+    total = degree.agg(F.sum("degree")).first()[0] or 1.0
+    found = degree.select("node", F.col("node").alias("community"))
+    for _ in range(levels):
+        labels = _moved(both, degree, total, resolution, rounds)
+        if not labels.where("node <> community").limit(1).count():
+            break
+        found = stored(found.join(labels.select(F.col("node").alias("community"), F.col("community").alias("_to")), "community").select("node", F.col("_to").alias("community")), "found")
+        a, b = (labels.select(F.col("node").alias(x), F.col("community").alias(f"c{x}")) for x in "ab")
+        both = stored(both.join(a, "a").join(b, "b").where("ca <> cb").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")), "edges")
+        degree = stored(degree.join(labels, "node").groupBy(F.col("community").alias("node")).agg(F.sum("degree").alias("degree")), "degree")
+    kept = found.groupBy("community").agg(F.count("*").alias("n"), F.min("node").alias("first")).where(F.col("n") >= least)
+    return found.join(kept, "community").select("node", F.col("first").alias("community"))
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> float:

@@ -24,10 +24,16 @@ def search_predicate(
     before: datetime | str | None = None,
     kind: str | None = None,
     confidential: bool | None = None,
+    thread: str | None = None,
+    draft: bool | None = None,
+    updated_after: datetime | str | None = None,
+    updated_before: datetime | str | None = None,
+    date: str = "ingested_at",
 ) -> Column:
     """One conjunction for every search leg, count and facet; dates are inclusive below and exclusive above.
 
-    It reads the columns source, tags, ingested_at, participants, lang and sensitivity, each only if its argument is given.
+    It reads the columns source, tags, ingested_at (``date`` for the range), participants, lang, sensitivity, thread_id, draft and updated_at,
+    each only if its argument is given.  Times without a zone are in the session's, which is UTC.
     """
     parts: list[Column] = [F.lit(True)]
     if source_missing:
@@ -43,10 +49,15 @@ def search_predicate(
         parts.append(F.col("ingested_at") >= F.timestamp_micros(F.unix_micros(now) - F.lit(since_days * 86_400_000_000)))
     if keys := [p.lower() for p in persons]:
         parts.append(F.exists("participants", lambda x: F.lower(x).isin(*keys)))
-    if after is not None:
-        parts.append(F.col("ingested_at") >= F.lit(after).cast("timestamp"))
-    if before is not None:
-        parts.append(F.col("ingested_at") < F.lit(before).cast("timestamp"))
+    for column, low, high in ((date, after, before), ("updated_at", updated_after, updated_before)):
+        if low is not None:
+            parts.append(F.col(column) >= F.lit(low).cast("timestamp"))
+        if high is not None:
+            parts.append(F.col(column) < F.lit(high).cast("timestamp"))
+    if thread is not None:
+        parts.append(F.col("thread_id") == thread)
+    if draft is not None:
+        parts.append(F.col("draft") == draft)
     if kind is not None:
         parts.append(F.col("lang") == kind)
     if confidential is not None:
@@ -54,6 +65,40 @@ def search_predicate(
     return reduce(lambda a, b: a & b, parts)
 
 
+def discoverable(confidential: bool = False) -> Column:
+    """Notes that a browser may list: no drafts, with a path, not an index, not under people, and not confidential unless asked for."""
+    fine = ~F.col("draft") & F.col("path").isNotNull() & ~F.col("path").endswith("index.md") & ~F.col("path").startswith("people/")
+    return fine if confidential else fine & (F.col("sensitivity") != "confidential")
+
+
+def mentioning(docs: DataFrame, mentions: DataFrame, entities: Iterable[object]) -> DataFrame:
+    """The documents that mention one of some entities."""
+    return docs.join(mentions.where(F.col("entity_id").isin(*entities)).select("doc_id"), "doc_id", "left_semi")
+
+
+def in_public_record(names: DataFrame, docs: DataFrame) -> DataFrame:
+    """The names (``name``, of one or two words) that a text which is neither confidential nor a draft holds as words.
+
+    Texts' words and pairs of words meet the names by equality, so that no name is searched in every text.
+    """
+    words = F.split(F.lower("text"), "[^\\p{L}\\p{N}]+")
+    pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+    held = docs.where("sensitivity <> 'confidential' AND NOT draft").select(F.explode(F.array_distinct(F.concat(words, pairs))).alias("_word"))
+    return names.join(held, F.lower("name") == F.col("_word"), "left_semi")
+
+
+def resolve_person(people: DataFrame, query: str) -> DataFrame:
+    """``outcome, person``: by address, else by name, else by a part of the name; ambiguous if several persons fit a level.
+
+    ``people`` has email, name and person, the key of one person's rows.
+    """
+    needle = query.strip().lower()
+    level = F.when(F.lower("email") == needle, 0).when(F.lower("name") == needle, 1).when(F.contains(F.lower("name"), F.lit(needle)), 2)
+    found = people.select("person", level.alias("level")).where("level IS NOT NULL").groupBy("level").agg(F.countDistinct("person").alias("n"), F.min("person").alias("person"))
+    best = found.agg(F.min(F.struct("level", "n", "person")).alias("x"))
+    return best.select(F.when(F.col("x.n") == 1, "found").when(F.col("x.n") > 1, "ambiguous").otherwise("missing").alias("outcome"), F.when(F.col("x.n") == 1, F.col("x.person")).alias("person"))
+
+
 def newest(docs: DataFrame, n: int, date: str = "ingested_at", key: str = "doc_id") -> DataFrame:
     """The first ``n`` by date descending, nulls last, then by key."""
     return docs.orderBy(F.col(date).desc_nulls_last(), F.col(key)).limit(n)

@@ -98,6 +98,101 @@ def packed_prefix(rows: DataFrame, group: list[str], order: list[Column], tokens
     return rows.withColumn("running", F.sum(F.greatest(F.col(tokens), F.lit(1))).over(w)).where(F.col("running") <= budget)
 
 
+def patched(stored: DataFrame, patches: DataFrame) -> DataFrame:
+    """Stored rows (id, title, text, tags, metadata map) with field-level patches: null fields stay, metadata keys are set one by one.
+
+    ``rechunk`` says whether the text changed.
+    """
+    s, n = stored.alias("s"), patches.alias("n")
+    rows = s.join(n, F.col("s.id") == F.col("n.id"), "left")
+    kept = F.map_filter("s.metadata", lambda k, v: ~F.coalesce(F.map_contains_key("n.metadata", k), F.lit(False)))
+    metadata = F.when(F.col("n.metadata").isNull(), F.col("s.metadata")).otherwise(F.map_concat(kept, "n.metadata"))
+    pick = lambda c: F.coalesce(f"n.{c}", f"s.{c}").alias(c)
+    return rows.select(F.col("s.id").alias("id"), pick("title"), pick("text"), pick("tags"), metadata.alias("metadata"), F.coalesce(F.col("n.text") != F.col("s.text"), F.lit(False)).alias("rechunk"))
+
+
+def upserted_sources(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Stored sources (kind, external_id, metadata) and the new ones, one a kind and external id; those without an external id share one a kind."""
+    tidy = incoming.groupBy("kind", "external_id").agg(F.min("metadata").alias("metadata"))
+    fresh = tidy.alias("i").join(stored.alias("s"), (F.col("i.kind") == F.col("s.kind")) & F.col("i.external_id").eqNullSafe(F.col("s.external_id")), "left_anti")
+    return stored.unionByName(fresh.select("kind", "external_id", "metadata"))
+
+
+def chunk_rows(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """Chunks with the fields of their document that search reads: title, tags as text, and the parts of addresses in the chunk."""
+    fields = docs.select("doc_id", F.col("title").alias("title_text"), F.array_join("tags", " ").alias("tags_text"))
+    return chunks.join(fields, "doc_id").withColumn("search_extras", F.array_join(tx.sub_tokens(F.col("content")), " "))
+
+
+def stale_chunk_fields(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """The chunks whose stored title or tags differ from their document's, with the new values; equal nulls are equal."""
+    now = docs.select("doc_id", F.col("title").alias("new_title"), F.array_join("tags", " ").alias("new_tags"))
+    return chunks.join(now, "doc_id").where(~F.col("title_text").eqNullSafe(F.col("new_title")) | ~F.col("tags_text").eqNullSafe(F.col("new_tags")))
+
+
+def merged_occurrences(stored: Column, incoming: Column, first: Column, last: Column, most: int) -> Column:
+    """Starts of a series after a run over ``[first, last]``: stored ones inside it count only if they were seen again; the last ``most``."""
+    outside = F.filter(stored, lambda x: (x < first) | (x > last))
+    merged = F.array_sort(F.array_distinct(F.concat(outside, incoming)))
+    return F.slice(merged, F.greatest(F.lit(1), F.size(merged) - most + 1), F.lit(most))
+
+
+def item_documents(items: DataFrame, events: DataFrame) -> DataFrame:
+    """``item_id, title, content``: one text an item, its sections (kind, at, body) in order of time, then kind; ``updated`` chooses among repeated items."""
+    newest = items.groupBy("item_id").agg(F.max_by("title", "updated").alias("title"))
+    section = F.struct("at", "kind", "body")
+    parts = events.groupBy("item_id").agg(F.array_sort(F.collect_list(section)).alias("s"))
+    text = F.array_join(F.transform("s", lambda x: F.concat(F.lit("## "), x["kind"], F.lit("\n"), x["body"])), "\n")
+    return newest.join(parts, "item_id", "left").select("item_id", "title", F.concat_ws("\n", F.concat(F.lit("# "), F.col("title")), text).alias("content"))
+
+
+def export_plan(paths: Column, databases: bool = True) -> Column:
+    """What an export's file is: page, database, or why it is skipped (attachment, index, database)."""
+    low = F.lower(paths)
+    return F.when(low.endswith(".md"), "page").when(low.endswith("_all.csv"), "skip: index").when(low.endswith(".csv"), "database" if databases else "skip: database").otherwise("skip: attachment")
+
+
+def selected_posts(posts: DataFrame, since: Column | None, most: int) -> DataFrame:
+    """The newest posts (undated last, then by id), with the number of those beyond the limit; undated ones don't count where ``since`` is set."""
+    rows = posts if since is None else posts.where(F.col("at") >= since)
+    total = rows.count()
+    return rows.orderBy(F.col("at").desc_nulls_last(), "id").limit(most).withColumn("remaining", F.lit(max(0, total - most)).cast("long"))
+
+
+def sync_actions(listed: DataFrame, stored: DataFrame, prune: bool = True) -> DataFrame:
+    """``path, action`` of a folder against what is stored: insert, update, keep, and prune (or missing)."""
+    rows = listed.select("path", F.col("content_hash").alias("_new")).join(stored.select("path", F.col("content_hash").alias("_old")), "path", "full_outer")
+    return rows.select("path", F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "prune" if prune else "missing").when(F.col("_new") == F.col("_old"), "keep").otherwise("update").alias("action"))
+
+
+def stale_aspects(docs: DataFrame, state: DataFrame, version: int) -> DataFrame:
+    """``doc_id, reason`` of documents whose stored state (content_hash, inputs_hash, version) isn't that of now: new, content, inputs or version."""
+    s = state.select("doc_id", F.col("content_hash").alias("_c"), F.col("inputs_hash").alias("_i"), F.col("version").alias("_v"))
+    reason = F.when(F.col("_v").isNull(), "new").when(~F.col("content_hash").eqNullSafe(F.col("_c")), "content").when(~F.col("inputs_hash").eqNullSafe(F.col("_i")), "inputs").when(F.col("_v") != version, "version")
+    return docs.join(s, "doc_id", "left").select("doc_id", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def directory_index(entries: DataFrame) -> DataFrame:
+    """``email, name``: each address's name, curated entries first, then the most frequent, then the first by text."""
+    counted = entries.groupBy("email", "name").agg(F.sum("n").alias("n"), F.bool_or("curated").alias("curated"))
+    order = Window.partitionBy("email").orderBy(F.desc("curated"), F.desc("n"), "name")
+    return counted.withColumn("_k", F.row_number().over(order)).where("_k = 1").select("email", "name")
+
+
+def over_fetch(budget: int, item_tokens: int = 120, least: int = 5, most: int = 50) -> int:
+    """How many candidates a token budget is worth."""
+    return max(least, min(most, -(-budget // item_tokens)))
+
+
+def without_repeated_lines(pages: DataFrame, least_pages: int = 3) -> DataFrame:
+    """``doc_id, text`` from ``doc_id, page, text``: lines on over half of a document's pages (of at least ``least_pages``) are headers and go."""
+    lines = pages.select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    sized = lines.groupBy("doc_id").agg(F.countDistinct("page").alias("_pages")).where(F.col("_pages") >= least_pages)
+    often = lines.groupBy("doc_id", "line").agg(F.countDistinct("page").alias("_on")).join(sized, "doc_id").where("_on * 2 > _pages").select("doc_id", "line")
+    kept = lines.join(often, ["doc_id", "line"], "left_anti")
+    return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "k", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
 def chunked(docs: DataFrame, most: int = 600, overlap: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, chunk_index, content, tokens``: paragraphs (lines) packed up to ``most`` words, each chunk led by the tail of the one before.
 
@@ -146,4 +241,4 @@ def promoted(rows: DataFrame, column: str = "metadata") -> DataFrame:
 def email_parts(address: Column) -> tuple[Column, Column]:
     """Display name and lower-case address of ``Name <a@b>`` or a bare address."""
     mail = F.lower(F.regexp_extract(address, r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)", 1))
-    return tx.person_name(F.trim(F.regexp_replace(F.regexp_replace(address, r"<[^>]*>", ""), r'^"|"$', ""))), F.when(mail != "", mail)
+    return tx.person_name(F.trim(F.regexp_replace(F.trim(F.regexp_replace(address, r"<[^>]*>", "")), r'^"|"$', ""))), F.when(mail != "", mail)

@@ -20,6 +20,23 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("*", F.substring_index("text", "\n", 1).alias("title"), F.array("lang", "source").alias("tags"), at.alias("ingested_at"))
 
 
+def notes(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the fields of notes: draft, sensitivity, updated_at, sent_at, doc_date, thread_id, participants, path, summary."""
+    hours = lambda n: F.timestamp_micros(F.unix_micros("ingested_at") + n * 3_600_000_000)
+    rows = documents(spark, folder).select(
+        "*",
+        (F.col("n_chars") < 200).alias("draft"),
+        F.when(F.col("source").isin("src1", "src2"), "confidential").otherwise("normal").alias("sensitivity"),
+        hours(F.col("n_chars") % 24).alias("updated_at"),
+        F.when(F.col("lang") != "en", hours(F.lit(-24))).alias("sent_at"),
+        F.concat_ws("-", "source", F.floor(F.col("n_chars") / 40).cast("string")).alias("thread_id"),
+        F.slice(F.split(F.lower("title"), " "), 1, 2).alias("participants"),
+        F.concat(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), F.lit(".md")).alias("path"),
+        F.when(F.col("n_chars") >= 1000, F.col("title")).alias("summary"),
+    )
+    return rows.withColumn("doc_date", F.coalesce("sent_at", "ingested_at"))
+
+
 def interactions(spark: SparkSession, folder: str) -> DataFrame:
     """Events as interactions: ``event_id, at, session_id, action, value, doc_id``; the document is the number in the event's properties."""
     return table(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"), F.col("user_id").alias("session_id"), F.col("event_type").alias("action"), "value", F.get_json_object("props", "$.k").cast("long").alias("doc_id"))
