@@ -68,7 +68,7 @@ def graph_rows(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def suggestions(graph_scores: DataFrame, vector_scores: DataFrame, linked: DataFrame, least: float = 0.6, most: int = 5) -> DataFrame:
     """``src, dst, score``: the mean of both affinities, a missing one as zero, without linked pairs, the best ``most`` of each source."""
     joined = graph_scores.select("src", "dst", F.col("affinity").alias("_g")).join(vector_scores.select("src", "dst", F.col("affinity").alias("_v")), ["src", "dst"], "full_outer")
-    scored = joined.select("src", "dst", F.round((F.coalesce("_g", F.lit(0.0)) + F.coalesce("_v", F.lit(0.0))) / 2, 6).alias("score")).where(F.col("score") >= least)
+    scored = joined.select("src", "dst", F.round((F.coalesce("_g", F.lit(0.0)) + F.coalesce("_v", F.lit(0.0))) / 2, 7).alias("score")).where(F.col("score") >= least)
     fresh = scored.join(linked.select("src", "dst"), ["src", "dst"], "left_anti")
     order = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
     return fresh.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from . import ranges
 
 
 def ingest_actions(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,8 +95,7 @@ def cascaded(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame, key: str
 
 def packed_prefix(rows: DataFrame, group: list[str], order: list[Column], tokens: str, budget: int) -> DataFrame:
     """The longest prefix of each group whose running token sum fits; each row counts one token at least, and nothing is skipped."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.sum(F.greatest(F.col(tokens), F.lit(1))).over(w)).where(F.col("running") <= budget)
+    return ranges.running(rows, group, order, F.greatest(F.col(tokens), F.lit(1))).where(F.col("running") <= budget)
 
 
 def patched(stored: DataFrame, patches: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -181,3 +182,102 @@ def slot_rerank(ranked: DataFrame, side_scores: DataFrame, key: str, weight: flo
     rows = joined.withColumn("_slot", F.row_number().over(slots)).withColumn("_want", F.when(has, F.row_number().over(blended)).otherwise(F.row_number().over(slots))).withColumn("_has", has)
     places = rows.select("_has", F.col("_slot").alias("_want"), F.col("rank").alias("new_rank"))
     return rows.drop("_slot", "rank").join(places, ["_has", "_want"]).select(*[c for c in ranked.columns if c != "rank"], F.col("new_rank").alias("rank"))
+
+
+FIELD_WEIGHTS = {"title": 1.0, "tags": 0.4, "content": 0.2}
+
+
+def field_index(rows: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
+    """``key, field, term, tf`` over several text fields of each row."""
+    parts = F.array(*[F.struct(F.lit(name).alias("field"), tokens(text).alias("terms")) for name, text in fields.items()])
+    held = rows.select(key, F.explode(parts).alias("x")).select(key, "x.field", F.explode("x.terms").alias("term"))
+    return held.groupBy(key, "field", "term").agg(F.count("*").alias("tf"))
+
+
+def query_terms(text: str) -> tuple[list[str], str | None]:
+    """The words of a plain query, all of which must match, and their compact spelling, which may match instead if there are several."""
+    words = list(dict.fromkeys("".join(c if c.isalnum() else " " for c in text.lower()).split()))
+    return words, "".join(words) if len(words) >= 2 else None
+
+
+def field_scores(index: DataFrame, key: str, text: str, weights: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
+    """``key, score`` of the rows that hold all of a query's words in any fields, or its compact spelling; terms count by their field's weight."""
+    words, compact = query_terms(text)
+    weight = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[F.col("field")]
+    found = index.where(F.col("term").isin(*words, *([compact] if compact else [])))
+    scored = found.groupBy(key).agg(F.countDistinct(F.when(F.col("term").isin(*words), F.col("term"))).alias("_n"), F.max(F.col("term") == F.lit(compact or "")).alias("_compact"), F.round(F.sum(weight * F.col("tf") / (F.col("tf") + 1)), 6).alias("score"))
+    return scored.where((F.col("_n") == len(words)) | F.col("_compact")).select(key, "score")
+
+
+def explained(lexical: DataFrame, vector: DataFrame, key: str) -> DataFrame:
+    """One row a result of either leg: its ranks from 1, scores and contributions, and their sum."""
+    part = lambda d, x: d.select(key, F.col("rank").alias(f"_{x}"), F.col("score").alias(f"{x}_score"))
+    rows = part(lexical, "fts").join(part(vector, "vec"), key, "full_outer")
+    told = lambda x: [(F.col(f"_{x}") + 1).alias(f"{x}_rank"), f"{x}_score", F.round(scores.rrf(F.col(f"_{x}")), 9).alias(f"{x}_part")]
+    return rows.select(key, *told("fts"), *told("vec"), F.round(scores.rrf(F.col("_fts")) + scores.rrf(F.col("_vec")), 9).alias("score"))
+
+
+class Stage(NamedTuple):
+    """A step after the search: its name, how many rows it must see for a page of ``limit``, and what it makes of ranked rows."""
+
+    name: str
+    reach: Callable[[int], int]
+    apply: Callable[[DataFrame], DataFrame]
+
+
+def engagement_reach(limit: int, least: float = 0.8, most: float = 1.25, k: int = scores.RRF_K) -> int:
+    """The rows that can reach the first ``limit`` if every one of those has the least multiplier and a later row the most."""
+    return max(limit, int((k + limit) * most / least) - k)
+
+
+def piped(search: Callable[[int], DataFrame], stages: list[Stage], limit: int) -> DataFrame:
+    """The search over as many rows as any stage needs, the stages in order, then the first ``limit`` rows by rank.
+
+    Stages that can't be planned are left out and keep the order as it was.
+    """
+    from pyspark.errors import AnalysisException
+
+    rows = search(max([limit, *(s.reach(limit) for s in stages)]))
+    for stage in stages:
+        try:
+            changed = stage.apply(rows)
+            changed.schema  # noqa: B018  analyses the plan
+        except AnalysisException:
+            continue
+        rows = changed
+    return rows.where(F.col("rank") < limit)
+
+
+def with_fallback(search: Callable[[Column | None], DataFrame], embed: Callable[[], Column]) -> DataFrame:
+    """The search with the query's vector, or text alone if the embedder fails; ``text_only`` says which."""
+    try:
+        vector = embed()
+    except (ConnectionError, TimeoutError):
+        vector = None
+    return search(vector).withColumn("text_only", F.lit(vector is None))
+
+
+def engaged(ranked: DataFrame, multipliers: DataFrame, key: str) -> DataFrame:
+    """The rows re-sorted by multiplier / (60 + place), places from 1; rows without a multiplier have 1."""
+    rows = ranked.join(multipliers.select(key, F.col("multiplier").alias("_m")), key, "left")
+    now = F.coalesce("_m", F.lit(1.0)) / (F.col("rank") + scores.RRF_K + 1)
+    return rows.withColumn("_now", F.round(now, 9)).withColumn("rank", (F.row_number().over(Window.orderBy(F.desc("_now"), "rank")) - 1).cast("long")).drop("_m", "_now")
+
+
+def related(asked: DataFrame, titles: DataFrame, neighbours: DataFrame, common_share: float = 0.025, candidates: int = 10, floor: float = 0.02) -> DataFrame:
+    """``doc_id, other, score``: each asked document's related ones, by shared title words that aren't common and by near vectors, fused.
+
+    ``titles`` has doc_id and words; words of more than ``common_share`` of the titles (and more than two) say nothing, so no word joins many
+    documents with many.  ``neighbours`` has query_id, id and rank from 1.
+    """
+    total = titles.count()
+    words = titles.select("doc_id", F.explode(F.array_distinct("words")).alias("word"))
+    rare = words.groupBy("word").agg(F.count("*").alias("_n")).where(F.col("_n") <= max(2, int(total * common_share))).select("word")
+    held = words.join(rare, "word")
+    mine = held.join(asked.select("doc_id"), "doc_id", "left_semi")
+    shared = mine.join(held.withColumnRenamed("doc_id", "other"), "word").where("doc_id <> other").groupBy("doc_id", "other").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "other")
+    lexical = shared.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < candidates).select("doc_id", "other", "rank")
+    near = neighbours.select(F.col("query_id").alias("doc_id"), F.col("id").alias("other"), (F.col("rank") - 1).alias("rank"))
+    fused = lexical.unionByName(near).groupBy("doc_id", "other").agg(F.round(F.sum(scores.rrf(F.col("rank"))), 9).alias("score"))
+    return fused.where(F.col("score") >= floor)

@@ -136,3 +136,36 @@ def mean_vectors(rows: DataFrame, key: str, vector: str = "vector") -> DataFrame
     """``key, vector``: the mean of each group's vectors, place by place."""
     places = rows.select(key, F.posexplode(vector).alias("place", "x")).groupBy(key, "place").agg(F.avg("x").alias("x"))
     return places.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda p: p["x"]).alias("vector"))
+
+
+PAIR_BLOCK = 2048
+
+
+def cosine_pairs(vectors: DataFrame, group: str, floor: float) -> DataFrame:
+    """``group, a, b, cosine`` of all pairs of a group at or over a floor, a < b.
+
+    A group is dealt to blocks of about ``PAIR_BLOCK`` vectors, and each two blocks meet in a task of their own, so that a hot group is spread
+    and memory is bounded; only pairs over the floor leave the task.
+    """
+    import pandas as pd
+
+    sized = vectors.groupBy(group).agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("_blocks"))
+    dealt = vectors.select("id", "vector", group).join(sized, group).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    spread = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(group, "id", "vector", "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        v = np.array(rows["vector"].tolist(), float).reshape(len(rows), -1)
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        ids, own, out = rows["id"].to_numpy(), rows["_own"].to_numpy(), []
+        first, second = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
+        for k in range(0, len(first), 256):
+            part = first[k : k + 256]
+            cos = np.round(v[part] @ v[second].T, 6)
+            x, y = np.nonzero(cos >= floor)
+            a, b = ids[part][x], ids[second][y]
+            fine = a < b if key[1] == key[2] else a != b
+            out.append(pd.DataFrame({group: key[0], "a": np.minimum(a, b)[fine], "b": np.maximum(a, b)[fine], "cosine": cos[x, y][fine]}))
+        return pd.concat(out)
+
+    kind = vectors.schema[group].dataType.simpleString()
+    return spread.groupBy(group, "_i", "_j").applyInPandas(run, f"`{group}` {kind}, a long, b long, cosine double")

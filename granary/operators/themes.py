@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.shared import stored
-from . import graph
+from . import graph, ranges
 
 
 def kept_edges(nodes: DataFrame, edges: DataFrame, least: float) -> DataFrame:
@@ -71,18 +71,10 @@ def grouped(nodes: DataFrame, edges: DataFrame, least: float = 0.2, keep: float
     sized = labels.groupBy("component").agg(F.count("*").alias("members")).join(inside, "component", "left").select("component", "members", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
     order = [F.desc("score"), F.desc("members"), F.col("component")]
     best = sized.orderBy(*order).limit(most) if most else sized
-    ranked = best.withColumn("group_id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")) if most else _numbered(best, order)
+    ranked = ranges.numbered(best, [], order).withColumn("group_id", (F.col("k") - 1).cast("long"))
     return labels.join(ranked, "component").select("group_id", "entity_id"), ranked.select("group_id", "members", "score")
 
 
-def _numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """``group_id`` from 0 in an order, by a range partitioning and the counts of the partitions before."""
-    parts = stored(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
-    return parts.join(F.broadcast(before), "_part").withColumn("group_id", (F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + F.col("_before")).cast("long")).drop("_part", "_before")
-
-
 def theme_documents(groups: DataFrame, mentions: DataFrame, most: int = 5) -> DataFrame:
     """``group_id, doc_id, members``: each group's documents by the number of its members that they mention."""
     counted = groups.join(mentions.select("doc_id", "entity_id").distinct(), "entity_id").groupBy("group_id", "doc_id").agg(F.count("*").alias("members"))

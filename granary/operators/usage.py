@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scores
+from ..sources.shared import stored
+from . import ranges
 
 
 def totals(acts: DataFrame) -> DataFrame:
@@ -96,27 +98,27 @@ def sessionised(acts: DataFrame, gap_minutes: int) -> DataFrame:
     return runs.groupBy("session_id", "_run").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.count("*").alias("n")).drop("_run")
 
 
-def greedy_clusters(queries: DataFrame, threshold: float = 0.5) -> list[list[str]]:
-    """Clusters of a bounded report's query texts in order: each joins the first cluster whose first member's words it shares to ``threshold``."""
-    out: list[tuple[set[str], list[str]]] = []
-    for row in queries.collect():  # a top-k report
-        words = set(row[0].lower().split())
-        for seed, members in out:
-            if words | seed and len(words & seed) / len(words | seed) >= threshold:
-                members.append(row[0])
-                break
-        else:
-            out.append((words, [row[0]]))
-    return [m for _, m in out]
+def with_seed(seed: DataFrame, hits: DataFrame) -> DataFrame:
+    """``search, doc_id, seeded``: the hits of saved searches, those that a seed run had found before marked."""
+    known = seed.select("search", "doc_id", F.lit(True).alias("_s")).distinct()
+    return hits.join(known, ["search", "doc_id"], "left").select("search", "doc_id", F.coalesce("_s", F.lit(False)).alias("seeded"))
+
+
+def notified(ledger: DataFrame, listed: DataFrame) -> DataFrame:
+    """The ledger (search, doc_id, notified) with exactly the listed keys marked."""
+    marks = listed.select("search", "doc_id", F.lit(True).alias("_m")).distinct()
+    return ledger.join(marks, ["search", "doc_id"], "left").select("search", "doc_id", (F.col("notified") | F.coalesce("_m", F.lit(False))).alias("notified"))
 
 
 def gap_fusion(signals: DataFrame) -> DataFrame:
     """``target, score``: each signal's scores over its maximum, ranked and fused by reciprocal ranks, over the fused maximum.
 
-    ``signals`` has signal, target and score; it is a queue of a few findings a signal.
+    ``signals`` has signal, target and score.  Maxima are aggregates joined back, and ranks come from a range partitioning with the counts of
+    the partitions before, so that a signal of many targets is no single group.
     """
-    most = Window.partitionBy("signal")
-    scaled = signals.withColumn("scaled", F.col("score") / F.max("score").over(most))
-    ranked = scaled.withColumn("rank", F.row_number().over(most.orderBy(F.desc("scaled"), "target")) - 1)
-    fused = ranked.groupBy("target").agg(F.sum(scores.rrf(F.col("rank"))).alias("score"))
-    return fused.select("target", (F.col("score") / F.max("score").over(Window.partitionBy(F.lit(0)))).alias("score"))
+    most = signals.groupBy("signal").agg(F.max("score").alias("_most"))
+    scaled = signals.join(F.broadcast(most), "signal").select("signal", "target", (F.col("score") / F.col("_most")).alias("scaled"))  # a row a signal
+    ranked = ranges.numbered(scaled, ["signal"], [F.desc("scaled"), F.col("target")]).withColumn("rank", F.col("k") - 1)
+    fused = stored(ranked.groupBy("target").agg(F.sum(scores.rrf(F.col("rank"))).alias("score")), "fused")
+    top = fused.agg(F.max("score")).first()[0]
+    return fused.select("target", (F.col("score") / F.lit(top)).alias("score"))

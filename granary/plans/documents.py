@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from ..operators import predicates, records
+from ..operators import predicates, ranges, records
 from ..sources import tables
 from .registry import DOCS, TOKENS, query
 
@@ -136,11 +136,10 @@ def minified(spark: SparkSession, sf: str) -> DataFrame:
     return tables.documents(spark, sf).select("doc_id", tx.is_minified(F.col("text")).alias("minified"))
 
 
-@query("SELECT event_id, CASE WHEN (id >> 22) >= 60000 AND make_timestamp_ms((id >> 22) + 1288834974657) <= TIMESTAMP '2030-01-01' THEN make_timestamp_ms((id >> 22) + 1288834974657) END AS at FROM (SELECT event_id, (event_id * 40000000 + 10000) * 4194304 AS id FROM events WHERE event_id < 30000)")
+@query("SELECT event_id, CASE WHEN (id >> 22) >= 60000 AND make_timestamp_ms((id >> 22) + 1288834974657) <= TIMESTAMP '2030-01-01' THEN make_timestamp_ms((id >> 22) + 1288834974657) END AS at FROM (SELECT event_id, (event_id % 30000 * 40000000 + 10000) * 4194304 AS id FROM events)")
 def snowflake_time(spark: SparkSession, sf: str) -> DataFrame:
-    """Times in ids; those after the as-of time have none."""
-    ids = tables.table(spark, sf, "events").where("event_id < 30000").select("event_id", ((F.col("event_id") * 40_000_000 + 10_000) * 4_194_304).alias("id"))
-    return ids.select("event_id", tx.snowflake_time(F.col("id"), F.lit("2030-01-01").cast("timestamp")).alias("at"))
+    """Times in the ids of every event; those after the as-of time have none."""
+    return snowflake_time_all(spark, sf)
 
 
 @query("SELECT event_id, CASE WHEN (id >> 22) >= 60000 AND make_timestamp_ms((id >> 22) + 1288834974657) <= TIMESTAMP '2030-01-01' THEN make_timestamp_ms((id >> 22) + 1288834974657) END AS at FROM (SELECT event_id, ((event_id % 30000) * 40000000 + 10000) * 4194304 AS id FROM events)")
@@ -228,5 +227,5 @@ def newest_per_tag(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT title, doc_id, CASE WHEN k = 1 THEN title ELSE title || '-' || k END AS numbered FROM (SELECT split_part(text, chr(10), 1) AS title, doc_id, row_number() OVER (PARTITION BY split_part(text, chr(10), 1) ORDER BY doc_id) AS k FROM documents)")
 def slug_collisions(spark: SparkSession, sf: str) -> DataFrame:
     """Equal titles are numbered from the second."""
-    k = F.row_number().over(Window.partitionBy("title").orderBy("doc_id"))
-    return tables.documents(spark, sf).select("title", "doc_id", k.alias("k")).select("title", "doc_id", F.when(F.col("k") == 1, F.col("title")).otherwise(F.concat_ws("-", "title", F.col("k").cast("string"))).alias("numbered"))
+    rows = tables.documents(spark, sf).select("title", "doc_id", F.xxhash64("title").alias("group"))
+    return ranges.numbered(rows, ["group"], [F.col("doc_id")]).select("title", "doc_id", F.when(F.col("k") == 1, F.col("title")).otherwise(F.concat_ws("-", "title", F.col("k").cast("string"))).alias("numbered"))

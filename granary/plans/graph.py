@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..operators import graph
+from ..operators import graph, links
 from ..sources import tables
 from .registry import MENTIONS, query
 
@@ -15,7 +14,6 @@ DF = f"(SELECT entity_id, count(DISTINCT doc_id) AS df FROM {MENTIONS} GROUP BY
 LIFT = f"(SELECT src, dst, round(co_docs / least(x.df, y.df)::DOUBLE, 6) AS weight, co_docs FROM {PAIRS} p JOIN {DF} x ON x.entity_id = src JOIN {DF} y ON y.entity_id = dst)"
 STRONG = f"(SELECT src, dst, weight FROM {LIFT} WHERE co_docs >= 2)"
 BOTH = f"(SELECT src AS a, dst AS b, weight FROM {STRONG} UNION ALL SELECT dst, src, weight FROM {STRONG})"
-CUSTOMER_LINKS = "(SELECT DISTINCT o_custkey AS src, l_suppkey + 1000000 AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000)"
 
 
 def _strong(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,13 +72,13 @@ def in_scope_lift(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM {CUSTOMER_LINKS} UNION SELECT dst, src FROM {CUSTOMER_LINKS}), r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen)
-SELECT node, min(seen) AS component FROM r GROUP BY 1"""
+    """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, s_suppkey + 1000000 AS b FROM customer JOIN supplier ON s_nationkey = c_nationkey UNION SELECT s_suppkey + 1000000, c_nationkey FROM customer JOIN supplier ON s_nationkey = c_nationkey),
+r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen) SELECT CAST(node AS BIGINT) AS node, CAST(min(seen) AS BIGINT) AS component FROM r GROUP BY 1"""
 )
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    """Components of urgent large orders' customers and suppliers."""
-    orders = tables.table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' AND o_totalprice > 400000")
-    links = orders.join(tables.table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1_000_000).alias("dst")).distinct()
+    """Components of all suppliers and the nations where they have customers."""
+    held = tables.table(spark, sf, "customer").select(F.col("c_nationkey").alias("s_nationkey")).distinct()
+    links = tables.table(spark, sf, "supplier").join(held, "s_nationkey").select(F.col("s_nationkey").cast("long").alias("src"), (F.col("s_suppkey") + 1_000_000).alias("dst"))
     return graph.components(links)
 
 
@@ -223,10 +221,16 @@ def positional_cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
     return graph.positional_cooccurrence(tables.documents(spark, sf).select("doc_id", tokens(F.col("text")).alias("words")), names)
 
 
-@query(f"SELECT src, dst, score FROM (SELECT src, dst, round((weight + 0.5) / 2, 7) AS score, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM {STRONG}) WHERE k <= 5 AND score >= 0.26")
+@query(
+    f"""SELECT src, dst, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS k FROM (SELECT src, dst, round((weight + coalesce(price, 0)) / 2, 7) AS score FROM {STRONG} LEFT JOIN (
+SELECT x.p_partkey AS src, y.p_partkey AS dst, round(1 - abs(x.p_retailprice - y.p_retailprice) / greatest(x.p_retailprice, y.p_retailprice), 6) AS price FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey) USING (src, dst)) WHERE score >= 0.04) WHERE k <= 5"""
+)
 def link_suggestions(spark: SparkSession, sf: str) -> DataFrame:
-    """Blend of two affinities, with a floor, the best five of each."""
-    rows = _strong(spark, sf).select("src", "dst", F.round((F.col("weight") + 0.5) / 2, 7).alias("score"), "weight")
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))).where("k <= 5 AND score >= 0.26").select("src", "dst", "score")
-
-
+    """Blend of the graph's affinity and that of prices within a brand (none elsewhere), with a floor, the best five of each."""
+    strong = _strong(spark, sf)
+    part = tables.table(spark, sf, "part")
+    x, y = (part.select(F.col("p_partkey").alias(e), F.col("p_brand").alias(f"b_{e}"), F.col("p_retailprice").alias(f"v_{e}")) for e in ("src", "dst"))
+    like = F.round(1 - F.abs(F.col("v_src") - F.col("v_dst")) / F.greatest("v_src", "v_dst"), 6)
+    prices = strong.join(x, "src").join(y, "dst").where("b_src = b_dst").select("src", "dst", like.alias("affinity"))
+    none = strong.where("false").select("src", "dst")
+    return links.suggestions(strong.select("src", "dst", F.col("weight").alias("affinity")), prices, none, 0.04, 5)

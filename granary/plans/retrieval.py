@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import search
+from ..operators import ranges, search
 from ..operators.predicates import search_predicate
 from ..sources import tables
 from .registry import DOCS, TOKENS, query
@@ -132,12 +132,12 @@ def snippet_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"SELECT query_id, id, score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.label = 3 AND e.vec_id <> q.vec_id) WHERE rank <= 5"
+    f"SELECT query_id, id, score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 5"
 )
 def knn_join(spark: SparkSession, sf: str) -> DataFrame:
-    """The five nearest vectors of every vector of one label."""
+    """The five nearest vectors of every vector of the stated query set."""
     vectors = tables.embeddings(spark, sf)
-    return search.nearest_neighbours(vectors.where("label = 3"), vectors, 5).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+    return search.nearest_neighbours(vectors.where("id % 20 = 0"), vectors, 5).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -189,7 +189,7 @@ def lexeme_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT label, vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS rank, 1.0::DOUBLE / (61 + row_number() OVER (ORDER BY vec_id) - 1) AS score FROM embeddings ORDER BY vec_id LIMIT 40),
+    """WITH r AS (SELECT label, vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS rank, 1.0::DOUBLE / (61 + row_number() OVER (ORDER BY vec_id) - 1) AS score FROM embeddings),
 s AS (SELECT id, CASE WHEN label < 5 THEN label / 10.0::DOUBLE END AS side FROM embeddings e JOIN r USING (label) WHERE e.vec_id = r.id),
 h AS (SELECT r.id, r.rank, r.score, s.side, row_number() OVER (PARTITION BY side IS NOT NULL ORDER BY rank) AS slot,
   CASE WHEN side IS NOT NULL THEN row_number() OVER (PARTITION BY side IS NOT NULL ORDER BY r.score * 0.5 + side * 0.5 DESC, r.id) ELSE row_number() OVER (PARTITION BY side IS NOT NULL ORDER BY rank) END AS want FROM r JOIN s USING (id))
@@ -197,7 +197,7 @@ SELECT a.id, b.rank FROM h a JOIN h b ON (a.side IS NULL) = (b.side IS NULL) AND
 )
 def slot_preserving_rerank(spark: SparkSession, sf: str) -> DataFrame:
     """Rows with a second score are re-sorted among their own slots."""
-    rows = tables.embeddings(spark, sf).orderBy("id").limit(40).select("id", "label", F.lit(0.0).alias("score"))
-    ranked = search.top(rows, 40, "id").withColumn("score", scores.rrf(F.col("rank")))
+    rows = tables.embeddings(spark, sf).select("id", "label")
+    ranked = ranges.numbered(rows, [], [F.col("id")]).withColumn("rank", F.col("k") - 1).drop("k").withColumn("score", scores.rrf(F.col("rank")))
     side = ranked.where("label < 5").select("id", (F.col("label") / 10.0).alias("score"))
     return search.slot_rerank(ranked.select("id", "score", "rank"), side, "id", 0.5).select("id", "rank")

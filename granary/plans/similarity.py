@@ -57,17 +57,20 @@ def spelling_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, F.col("i") < F.col("j")).select("a", "b", F.round(similarity.spelling_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.label IN (1, 2) AND round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.4")
+_COS = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
+_SAME = f"SELECT a.vec_id AS a, b.vec_id AS b, {_COS} AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 20 = 0"
+
+
+@query(f"{_SAME} WHERE {_COS} >= 0.4")
 def cosine_pairs_in_group(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of two groups' vectors over a floor."""
-    v = tables.embeddings(spark, sf).where(F.col("label").isin(1, 2))
-    a, b = (v.select(F.col("id").alias(s), "label", F.col("vector").alias(f"v{s}")) for s in "ab")
-    return a.join(b, "label").where("a < b").select("a", "b", F.round(scores.cosine(F.col("va"), F.col("vb")), 6).alias("cosine")).where("cosine >= 0.4")
+    """The stated set of vectors with every vector of their group over a floor; groups are split, so that a hot one is no single task."""
+    v = tables.embeddings(spark, sf)
+    asked = v.where("id % 20 = 0").select(F.col("id").alias("a"), "label", F.col("vector").alias("va"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    held = v.select(F.col("id").alias("b"), "label", F.col("vector").alias("vb"), F.pmod(F.xxhash64("id"), F.lit(16)).cast("int").alias("salt"))
+    return asked.join(held, ["label", "salt"]).where("a <> b").select("a", "b", F.round(scores.cosine(F.col("va"), F.col("vb")), 6).alias("cosine")).where("cosine >= 0.4")
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) >= 0.4")
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, {_COS} AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_COS} >= 0.4")
 def cosine_pairs_in_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of every group's vectors over a floor."""
-    v = tables.embeddings(spark, sf)
-    a, b = (v.select(F.col("id").alias(s), "label", F.col("vector").alias(f"v{s}")) for s in "ab")
-    return a.join(b, "label").where("a < b").select("a", "b", F.round(scores.cosine(F.col("va"), F.col("vb")), 6).alias("cosine")).where("cosine >= 0.4")
+    """Pairs of every group's vectors over a floor, in blocks."""
+    return similarity.cosine_pairs(tables.embeddings(spark, sf), "label", 0.4).select("a", "b", F.round("cosine", 6).alias("cosine"))
