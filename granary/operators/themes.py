@@ -17,10 +17,10 @@ def kept_edges(nodes: DataFrame, edges: DataFrame, least: float) -> DataFrame:
     return inner.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("weight").alias("weight"))
 
 
-def spanning_forest(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """``node, parent, level``: breadth-first trees from the smallest node of each component; the smallest neighbour of the level above is the parent."""
+def spanning_forest(edges: DataFrame, labels: DataFrame, rounds: int = 200) -> DataFrame:
+    """``node, parent, level``: breadth-first trees from the smallest node of each component (``node, component``); the smallest neighbour of the level above is the parent."""
     both = stored(edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(edges.select("dst", "src")).distinct(), "both")
-    roots = graph.components(edges).where("node = component").select("node")
+    roots = labels.where("node = component").select("node")
     level = seen = stored(roots.select("node", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("level")), "forest")
     for k in range(1, rounds + 1):
         reached = level.select(F.col("node").alias("other")).join(both, "other").groupBy("node").agg(F.min("other").alias("parent"))
@@ -38,7 +38,8 @@ def bridges(edges: DataFrame) -> DataFrame:
     if the numbers below it cancel out: no other edge leaves the subtree (an error has probability 2**-64).  Sums flow up one level at a time.
     """
     pairs = edges.select("src", "dst")
-    forest = spanning_forest(pairs)
+    sizes = graph.components(pairs)
+    forest = spanning_forest(pairs, sizes)
     tree = forest.where("parent IS NOT NULL").select(F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst"))
     marks = pairs.join(tree, ["src", "dst"], "left_anti").select(F.explode(F.array("src", "dst")).alias("node"), F.xxhash64("src", "dst", F.lit(11)).alias("mark"))
     own = forest.join(marks.groupBy("node").agg(F.expr("bit_xor(mark)").alias("mark")), "node", "left").select("node", "parent", "level", F.coalesce("mark", F.lit(0)).alias("mark"), F.lit(1).alias("size"))
@@ -50,7 +51,6 @@ def bridges(edges: DataFrame) -> DataFrame:
         below = own.where(F.col("level") == level).join(up, "node", "left").select("node", "parent", "level", F.col("mark").bitwiseXOR(F.coalesce("_mark", F.lit(0))).alias("mark"), (F.col("size") + F.coalesce("_size", F.lit(0))).alias("size"))
         below = stored(below, "below")
         done = done.unionByName(below)
-    sizes = graph.components(pairs)
     total = sizes.join(sizes.groupBy("component").agg(F.count("*").alias("all")), "component").select("node", "all")
     cut = done.where("parent IS NOT NULL AND mark = 0").join(total, "node")
     return cut.select(F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst"), F.col("size").cast("long").alias("below"), (F.col("all") - F.col("size")).alias("beyond"))

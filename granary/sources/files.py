@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def text_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """``path, text`` of whole text files."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def front_matter(text: Column) -> tuple[Column, Column]:
@@ -61,3 +63,33 @@ def export_notes(documents: DataFrame, path: str) -> None:
 def prune_plan(stored: DataFrame, listed: DataFrame) -> DataFrame:
     """Stored paths that a listing no longer has."""
     return stored.join(listed, "path", "left_anti")
+
+
+#: Readers by file ending: functions of session and folder that give ``path`` and ``text`` or ``body``, and what else they find.
+READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def register_reader(endings: tuple[str, ...], reader: Callable[[SparkSession, str], DataFrame]) -> None:
+    """Name the reader of some endings; an ending that has one is an error."""
+    for ending in endings:
+        if READERS.get(ending):
+            raise ValueError(f"{ending} has a reader")
+        READERS[ending] = reader
+
+
+register_reader((".txt",), text_files)
+register_reader((".md", ".markdown"), markdown_notes)
+
+
+def read_folder(spark: SparkSession, path: str) -> DataFrame:
+    """``path, title, text, tags`` of all files in a folder that a reader knows."""
+    found = None
+    for reader in dict.fromkeys(READERS.values()):
+        rows = reader(spark, path)
+        if "body" in rows.columns:
+            rows = rows.withColumnRenamed("body", "text")
+        title = F.col("title") if "title" in rows.columns else F.regexp_extract("path", r"([^/]+?)\.[^./]+$", 1)
+        tags = F.col("tags") if "tags" in rows.columns else F.array().cast("array<string>")
+        rows = rows.select("path", title.alias("title"), "text", tags.alias("tags"))
+        found = rows if found is None else found.unionByName(rows)
+    return found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,13 +38,20 @@ def new_hits(documents: DataFrame, searches: list[tuple[str, Column]], key: str
 
 
 def recorded_hits(hits: DataFrame, ledger: str, checkpoint: str) -> StreamingQuery:
-    """Append hits to a ledger table; a hit that the ledger has stays as it is, so that a batch run again changes nothing."""
+    """Append hits to a ledger table (folders by stream and batch); a hit that the ledger has stays as it is.
+
+    A batch that runs again replaces its own folder only, so that it changes nothing, and another stream's batches are all known to it.
+    """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select("search", "doc_id").dropDuplicates().withColumn("batch", F.lit(number))
-        known = spark.read.schema(rows.schema).option("recursiveFileLookup", True).parquet(ledger) if _exists(spark, ledger) else spark.createDataFrame([], rows.schema)
-        rows.join(known.where(F.col("batch") != number), ["search", "doc_id"], "left_anti").select(rows.columns).write.mode("overwrite").parquet(f"{ledger}/batch_{number}")
+        rows = batch.select("search", "doc_id").dropDuplicates()
+        if _exists(spark, ledger):
+            schema = f"search {rows.schema['search'].dataType.simpleString()}, doc_id {rows.schema['doc_id'].dataType.simpleString()}, run string, batch long"
+            known = spark.read.schema(schema).parquet(ledger).where((F.col("run") != run) | (F.col("batch") != number))
+            rows = rows.join(known, ["search", "doc_id"], "left_anti")
+        rows.write.mode("overwrite").parquet(f"{ledger}/run={run}/batch={number}")
 
     return hits.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
