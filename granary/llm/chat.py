@@ -194,13 +194,13 @@ def block_matrix(observed: list[int], model: Model) -> np.ndarray:
 
 
 def best_path(observed: list[int], model: Model, before: int, last: int) -> list[int]:
-    """The best states of a block's lines, given the state before it (``STATES`` for none) and its last state."""
+    """The best states of a block's lines, given the state before it (``STATES`` for none) and its last state (-1 for the best one)."""
     scores, back = (model.start if before == STATES else model.moves[before]) + model.shows[:, observed[0]], []
     for o in observed[1:]:
         through = scores[:, None] + model.moves
         back.append(through.argmax(axis=0))
         scores = through.max(axis=0) + model.shows[:, o]
-    states = [last]
+    states = [last if last >= 0 else int(scores.argmax())]
     for step in reversed(back):
         states.append(int(step[states[-1]]))
     return states[::-1]
@@ -274,7 +274,8 @@ def decode(lines: DataFrame, model: Model) -> DataFrame:
                 out.append((first[:, :, None] + rest[None, :, :]).max(axis=1).ravel().tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], ["conv", "block", "matrix"])
 
-    levels = [stash(blocks.select("conv", "block", F.col("lines.observed").alias("seen")).mapInArrow(matrices, _NODE.format(kind)), "level")]
+    long = blocks.join(blocks.where("block = 1").select("conv"), "conv", "left_semi")  # transcripts of one block need no matrix
+    levels = [stash(long.select("conv", "block", F.col("lines.observed").alias("seen")).mapInArrow(matrices, _NODE.format(kind)), "level")]
     while levels[-1].agg(F.max("block")).first()[0]:
         levels.append(_composed(levels[-1], kind))
 
@@ -297,7 +298,7 @@ def decode(lines: DataFrame, model: Model) -> DataFrame:
                 out.append([{"line": x["line"], "state": s} for x, s in zip(found, states)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, row)], ["conv", "block", "at", "lines"])
 
-    joined = blocks.join(ends, ["conv", "block"]).select("conv", "block", "at", "lines", "before", "last")
+    joined = blocks.join(ends, ["conv", "block"], "left").select("conv", "block", "at", "lines", F.coalesce("before", F.lit(STATES)).alias("before"), F.coalesce("last", F.lit(-1)).alias("last"))
     return joined.mapInArrow(paths, f"conv {kind}, block long, at long, lines array<struct<line:string,state:int>>")
 
 
