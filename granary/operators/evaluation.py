@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scores
+from ..sources.shared import stored
 
 
 def metrics(ranked: DataFrame, relevant: DataFrame, k: int = 5, recall_k: int = 20) -> DataFrame:
@@ -54,3 +56,27 @@ def fact_recall(answers: DataFrame, facts: DataFrame, least: float = 0.6) -> Dat
     share = F.size(F.array_intersect(words(F.col("fact")), words(F.coalesce("answer", F.lit(""))))) / F.greatest(F.size(words(F.col("fact"))), F.lit(1))
     hit = F.coalesce(F.contains(F.lower("answer"), F.lower("fact")), F.lit(False)) | (share >= least)
     return rows.groupBy("id").agg(F.round(F.avg(hit.cast("int")), 6).alias("recall"))
+
+
+def set_matches(actual: DataFrame, expected: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``precision, recall, f1`` of sets (``set_id, member``) matched one to one: pairs by falling Jaccard similarity from ``threshold`` up, mutual best first.
+
+    Only sets that share a member meet, and each round matches all pairs that are the best of both sides, which is what taking one pair after
+    the other does; the matched ones leave.
+    """
+    a, b = actual.select(F.col("set_id").alias("a"), "member").distinct(), expected.select(F.col("set_id").alias("b"), "member").distinct()
+    na, nb = a.groupBy("a").agg(F.count("*").alias("na")), b.groupBy("b").agg(F.count("*").alias("nb"))
+    both = a.join(b, "member").groupBy("a", "b").agg(F.count("*").alias("n")).join(na, "a").join(nb, "b")
+    pairs = stored(both.select("a", "b", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("j")).where(F.col("j") >= threshold), "pairs")
+    hits = 0
+    while True:
+        best = lambda side: F.row_number().over(Window.partitionBy(side).orderBy(F.desc("j"), "a", "b")) == 1
+        taken = stored(pairs.withColumn("_x", best("a")).withColumn("_y", best("b")).where("_x AND _y").select("a", "b"), "taken")
+        found = taken.count()
+        if not found:
+            break
+        hits += found
+        pairs = stored(pairs.join(taken.select("a"), "a", "left_anti").join(taken.select("b"), "b", "left_anti"), "pairs")
+    of, wanted = na.count(), nb.count()
+    p, r = hits / of if of else 0.0, hits / wanted if wanted else 0.0
+    return actual.sparkSession.createDataFrame([(round(p, 6), round(r, 6), round(2 * p * r / (p + r), 6) if hits else 0.0)], "precision double, recall double, f1 double")

@@ -203,14 +203,25 @@ def stable_matches(old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFr
 
 
 def affinity(mentions: DataFrame, least_shared: int = 1) -> DataFrame:
-    """``a, b, shared, affinity`` of document pairs that share entities: shared over the smaller entity count, a < b."""
-    sized = mentions.groupBy("doc_id").agg(F.countDistinct("entity_id").alias("n"))
-    holders = mentions.select("doc_id", "entity_id").distinct()
-    pairs = holders.select(F.col("doc_id").alias("a"), "entity_id").join(holders.select(F.col("doc_id").alias("b"), "entity_id"), "entity_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared)
+    """``a, b, shared, affinity`` of document pairs that share entities: shared over the smaller entity count, a < b.
+
+    An entity's documents are paired in blocks, as a document's entities are in ``contributions``, so that a frequent entity is spread.
+    """
+    held = mentions.select("doc_id", "entity_id").distinct()
+    sized = held.groupBy("doc_id").agg(F.count("*").alias("n"))
+    turned = held.select(F.col("entity_id").alias("doc_id"), F.col("doc_id").alias("entity_id"), F.lit(1).alias("mention_count"))
+    pairs = contributions(turned).groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared)
     na, nb = (sized.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
     return pairs.join(na, "a").join(nb, "b").select("a", "b", "shared", F.round(F.col("shared") / F.least("na", "nb"), 6).alias("affinity"))
 
 
+def refreshed(entities: DataFrame, mentions: DataFrame, cap_share: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """Entities with their document counts (those without a mention go), and the edges between ones that aren't generic."""
+    df = document_frequency(mentions)
+    cap = mentions.agg(generic_cap(F.countDistinct("doc_id"), cap_share)).first()[0]
+    return entities.join(df, "entity_id").withColumnRenamed("df", "doc_count"), lift_edges(cooccurrence(mentions), df, int(cap))
+
+
 def breadth_first(links: DataFrame, root: int, depth: int) -> DataFrame:
     """``node, hops`` within ``depth`` undirected links of a root."""
     both = links.select("src", "dst").union(links.select("dst", "src")).distinct()

@@ -281,3 +281,10 @@ def related(asked: DataFrame, titles: DataFrame, neighbours: DataFrame, common_s
     near = neighbours.select(F.col("query_id").alias("doc_id"), F.col("id").alias("other"), (F.col("rank") - 1).alias("rank"))
     fused = lexical.unionByName(near).groupBy("doc_id", "other").agg(F.round(F.sum(scores.rrf(F.col("rank"))), 9).alias("score"))
     return fused.where(F.col("score") >= floor)
+
+
+def top_terms(terms: DataFrame, most_docs: int, n: int) -> DataFrame:
+    """``doc_id, word``: each document's ``n`` terms of most documents, among those of ``most_docs`` at most; ``terms`` is an inverted index."""
+    known = terms.groupBy("term").agg(F.count("*").alias("_d")).where(F.col("_d") <= most_docs)
+    order = Window.partitionBy("doc_id").orderBy(F.desc("_d"), F.desc("tf"), "term")
+    return terms.join(known, "term").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).select("doc_id", F.col("term").alias("word"))

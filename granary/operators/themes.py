@@ -110,6 +110,12 @@ def tainted(labels: DataFrame, mentions: DataFrame, docs: DataFrame) -> DataFram
     return labels.join(secret, labels.node == secret.entity_id, "left_semi").select("community").distinct()
 
 
+def built(edges: DataFrame, known: str | None) -> tuple[str, DataFrame | None]:
+    """The edges' fingerprint and their communities; no communities if the fingerprint is the known one, as nothing changed."""
+    now = fingerprint(edges).first()[0]
+    return now, None if now == known else graph.louvain(edges)
+
+
 def fingerprint(edges: DataFrame) -> DataFrame:
     """``fingerprint``: a digest of the whole edge table that its order doesn't change; lines are digested where they lie and only their sums meet."""
     line = F.sha2(F.concat_ws("|", "src", "dst", F.format_number("weight", 6)), 256)

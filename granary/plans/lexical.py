@@ -9,7 +9,7 @@ from ..functions import scores
 from ..functions.text import tokens
 from ..operators import graph, merges, search, usage
 from ..sources import tables
-from .graph import DF
+from .graph import DF, LIFT
 from .registry import ACTS, DOCS, MENTIONS, TOKENS, query
 from .retrieval import COSINE, LEXICAL, VECTOR, _lexical, _query_vector
 
@@ -215,3 +215,43 @@ def seeded_hits(spark: SparkSession, sf: str) -> DataFrame:
     hits = acts.where(F.col("action").isin("error", "purchase")).select(F.concat("action", F.lit("s")).alias("search"), "doc_id").distinct()
     seed = acts.where((F.col("action") == "error") & (F.col("at") < F.lit("2024-01-05").cast("timestamp"))).select(F.lit("errors").alias("search"), "doc_id").distinct()
     return usage.with_seed(seed, hits)
+
+
+@query(f"SELECT doc_id, word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY ndoc DESC, nentry DESC, word) AS k FROM (SELECT doc_id, w AS word, count(*) AS nentry FROM (SELECT doc_id, unnest({TOKENS}) AS w FROM documents) GROUP BY 1, 2) JOIN (SELECT w AS word, count(DISTINCT doc_id) AS ndoc FROM (SELECT doc_id, unnest({TOKENS}) AS w FROM documents) GROUP BY 1) USING (word) WHERE ndoc <= 20) WHERE k <= 5")
+def body_lexemes(spark: SparkSession, sf: str) -> DataFrame:
+    """The five words of each document that most documents hold, of those that at most twenty do."""
+    terms = search.inverted_index(tables.documents(spark, sf), ["doc_id"], "text")
+    return search.top_terms(terms, 20, 5)
+
+
+@query(f"SELECT 'entity' AS what, entity_id AS id, df AS n FROM {DF} JOIN part ON p_partkey = entity_id UNION ALL SELECT 'edges', 0, count(*) FROM {LIFT} l JOIN {DF} x ON x.entity_id = src JOIN {DF} y ON y.entity_id = dst WHERE greatest(x.df, y.df) <= (SELECT round_even(count(DISTINCT l_orderkey) * 0.02::DOUBLE, 0) FROM lineitem)")
+def aggregate_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Document counts of the entities that are mentioned, and the number of edges between ones that aren't generic."""
+    entities, edges = graph.refreshed(tables.entities(spark, sf), tables.mentions(spark, sf), 0.02)
+    count = edges.agg(F.count("*").alias("n")).select(F.lit("edges").alias("what"), F.lit(0).cast("long").alias("id"), "n")
+    return entities.select(F.lit("entity").alias("what"), F.col("entity_id").alias("id"), F.col("doc_count").alias("n")).unionByName(count)
+
+
+BUILT = f"""(SELECT doc_id, key, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, key) AS k FROM (SELECT doc_id, name AS key, count(*) AS n FROM (SELECT doc_id, text, unnest({TOKENS}) AS name FROM documents) WHERE length(name) >= 2 AND NOT regexp_full_match(name, '[0-9]+') AND contains(lower(text), lower(name)) GROUP BY 1, 2)) WHERE k <= 5)"""
+
+
+@query(f"WITH m AS (SELECT * FROM {BUILT}), d AS (SELECT key, count(*) AS df FROM m GROUP BY 1) SELECT a.key AS src, b.key AS dst, round(count(*) / min(least(x.df, y.df))::DOUBLE, 6) AS weight, count(*) AS co_docs FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.key < b.key JOIN d x ON x.key = a.key JOIN d y ON y.key = b.key GROUP BY 1, 2 HAVING count(*) >= 2")
+def graph_build(spark: SparkSession, sf: str) -> DataFrame:
+    """From texts to edges: candidates, final entities, pairs by document, lift."""
+    mentions = entity_finalise(spark, sf).select("doc_id", F.col("key").alias("entity_id"), "mention_count")
+    return graph.lift_edges(graph.cooccurrence(mentions), graph.document_frequency(mentions)).where("co_docs >= 2")
+
+
+@query(
+    """WITH a AS (SELECT p_type AS s, p_partkey AS m FROM part WHERE p_size > 5), b AS (SELECT CASE WHEN p_size > 40 THEN 'other' ELSE p_type END AS s, p_partkey AS m FROM part), na AS (SELECT s, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT s, count(*) AS n FROM b GROUP BY 1),
+j AS (SELECT a.s AS x, b.s AS y, count(*) / (min(na.n) + min(nb.n) - count(*))::DOUBLE AS j FROM a JOIN b USING (m) JOIN na ON na.s = a.s JOIN nb ON nb.s = b.s GROUP BY 1, 2 HAVING count(*) / (min(na.n) + min(nb.n) - count(*))::DOUBLE >= 0.5)
+SELECT round(count(*) / (SELECT count(*) FROM na)::DOUBLE, 6) AS precision, round(count(*) / (SELECT count(*) FROM nb)::DOUBLE, 6) AS recall, round(2 * (count(*) / (SELECT count(*) FROM na)::DOUBLE) * (count(*) / (SELECT count(*) FROM nb)::DOUBLE) / ((count(*) / (SELECT count(*) FROM na)::DOUBLE) + (count(*) / (SELECT count(*) FROM nb)::DOUBLE)), 6) AS f1 FROM j"""
+)
+def theme_f1(spark: SparkSession, sf: str) -> DataFrame:
+    """Found themes against expected ones."""
+    from ..operators.evaluation import set_matches
+
+    part = tables.table(spark, sf, "part")
+    actual = part.where("p_size > 5").select(F.col("p_type").alias("set_id"), F.col("p_partkey").alias("member"))
+    expected = part.select(F.when(F.col("p_size") > 40, "other").otherwise(F.col("p_type")).alias("set_id"), F.col("p_partkey").alias("member"))
+    return set_matches(actual, expected)

@@ -147,3 +147,29 @@ def test_backlink_budget(spark):
 
 def test_spelling_ratio_of_nothing(spark):
     assert spark.createDataFrame([("", "")], "a string, b string").select(spelling_ratio(F.col("a"), F.col("b"))).first()[0] == 1.0
+
+
+def test_unchanged_graphs_are_not_built_again(spark):
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 1.0)], "src long, dst long, weight double")
+    mark, found = themes.built(edges, None)
+    assert found.count() == 3 and themes.built(edges, mark) == (mark, None)
+
+
+def test_set_matches_take_the_best_pairs_first(spark):
+    from granary.operators.evaluation import set_matches
+
+    rnd = random.Random(4)
+    sides = [{f"{side}{k}": set(rnd.sample(range(30), rnd.randrange(2, 9))) for k in range(8)} for side in "ab"]
+    for k in range(4):
+        sides[1][f"b{k}"] = set(sides[0][f"a{k}"]) | ({99} if k % 2 else set())
+    pairs = sorted((-len(x & y) / len(x | y), a, b) for a, x in sides[0].items() for b, y in sides[1].items() if len(x & y) / len(x | y) >= 0.3)
+    used, hits = set(), 0
+    for _, a, b in pairs:
+        if not {a, b} & used:
+            used |= {a, b}
+            hits += 1
+    frames = [spark.createDataFrame([(s, m) for s, ms in side.items() for m in ms], "set_id string, member long") for side in sides]
+    p, r = hits / 8, hits / 8
+    got = set_matches(*frames, 0.3).first()
+    assert (got.precision, got.recall) == (round(p, 6), round(r, 6)) and abs(got.f1 - p) < 1e-6
+    assert tuple(set_matches(frames[0], frames[1].where("false")).first()) == (0.0, 0.0, 0.0)
