@@ -196,6 +196,7 @@ def demux(data: bytes) -> Media:
     cues: list[tuple[int, int]] = []
     duration: dict[int, int] = {}  # of a track's frames, in nanoseconds
     scale, clusters, blocks = 1_000_000, 0, 0
+    starts: set[int] = set()  # of clusters, from the segment's first byte
     whole = lambda a, b: int.from_bytes(data[a:b], "big")
     real = lambda a, b: struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0] if b > a else 0.0
 
@@ -217,7 +218,9 @@ def demux(data: bytes) -> Media:
         for key, a, b in top:
             if key != SEGMENT:
                 continue
+            origin = at = a
             for key, a, b in _children(data, a, b):
+                before, at = at, b
                 if key == INFO:
                     scale = next((whole(x, y) for k, x, y in _children(data, a, b) if k == TIMESTAMP_SCALE), scale)
                 elif key == TRACKS:
@@ -240,6 +243,7 @@ def demux(data: bytes) -> Media:
                             tracks.append((number, codec, rate, depth))
                 elif key == CLUSTER:
                     base, clusters = 0, clusters + 1
+                    starts.add(before - origin)
                     for k, x, y in _children(data, a, b):
                         if k == TIMESTAMP:
                             base = whole(x, y)
@@ -259,6 +263,8 @@ def demux(data: bytes) -> Media:
                                 elif k2 == CUE_PLACE:
                                     place = next((whole(x3, y3) for k3, x3, y3 in _children(data, x2, y2) if k3 == CUE_CLUSTER), 0)
                             cues.append((time, place))
+            if any(place not in starts for _, place in cues):
+                raise ValueError("a cue points at no cluster")
     except (ValueError, IndexError, struct.error) as e:
         return Media(packets, tracks, cues, scale, str(e))
     return Media(packets, tracks, cues, scale, None)

@@ -2,7 +2,8 @@
 
 Tokens are words between ASCII white space.  The field tags each as begin, inside or outside of a secret from its shape, its neighbours and
 features of the whole text (share of suspicious words), and Viterbi decodes the tags.  It is trained by gradient steps on windows of about
-``fit_rows`` texts, picked by a hash of their id and labelled by the base patterns, and on generated secrets of public key formats.
+``fit_rows`` texts, picked by a hash of their id and labelled by the base patterns, and on generated secrets of public key formats.  Windows
+with a long mixed word that no pattern matches are left out, as nothing says whether it is a secret.
 
 Words without digits, ``=`` or a key word are plain.  A plain word between plain words is outside on every best path; ``Model.locked`` proves
 it from the weights, and then only the stretches around other words are decoded, which gives the tags of the whole chain.
@@ -14,6 +15,7 @@ none; other columns are ignored; texts are read whole.
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 import string
@@ -62,14 +64,13 @@ class Model(NamedTuple):
         return np.array([self.weights[f].sum(axis=0) for f in features])
 
     def locked(self) -> bool:
-        """Whether a plain word between plain words is outside on each best path, whatever the tags around it."""
-        for share in range(SHARES):
-            for size in range(SIZES):
-                e = self.weights[plain_features(size, share)].sum(axis=0)
-                for a in range(3):
-                    for c in range(3):
-                        if max(e[s] + self.moves[a, s] + self.moves[s, c] for s in (B, I)) >= e[O] + self.moves[a, O] + self.moves[O, c]:
-                            return False
+        """Whether a plain word between plain words or the text's ends is outside on each best path, whatever the tags around it."""
+        sides = ("plain", "edge")
+        for share, size, before, after in itertools.product(range(SHARES), range(SIZES), sides, sides):
+            e = self.weights[plain_features(size, share, before, after)].sum(axis=0)
+            for a, c in itertools.product(range(3) if before == "plain" else (O,), range(3) if after == "plain" else (O,)):
+                if max(e[s] + self.moves[a, s] + self.moves[s, c] for s in (B, I)) >= e[O] + self.moves[a, O] + self.moves[O, c]:
+                    return False
         return True
 
     def decode(self, features: list[list[int]]) -> list[int]:
@@ -139,6 +140,11 @@ def _kind(word: str | None) -> str:
     return "value" if len(bare) >= 16 else "short"
 
 
+def _unknown(word: str) -> bool:
+    """Whether a word may be a secret as far as its shape tells: long, neither address nor URL, letters and digits mixed."""
+    return _kind(word) in ("value", "keyvalue") and "@" not in word and "://" not in word and sum(a.isdigit() != b.isdigit() for a, b in zip(word, word[1:])) >= 3
+
+
 def plain_features(size: int, share: int, before: str = "plain", after: str = "plain") -> list[int]:
     return [_hash("plain"), _hash("plain", size), _hash("share", share), _hash("before", before), _hash("after", after), _hash("between", before, after)]
 
@@ -375,7 +381,8 @@ def _windows(texts: DataFrame, fit_rows: int) -> list[tuple[list[str], list[int]
                             hit = next((j for j, s in enumerate(spans) if s.start < x.ends[k] and x.starts[k] < s.end), None)
                             tags.append(O if hit is None else I if last is not None and hit == last else B)
                             last = hit
-                        out.append(([w or "" for w in words], tags, level))
+                        if not any(t == O and _unknown(w) for w, t in zip(words[1:], tags)):
+                            out.append(([w or "" for w in words], tags, level))
             columns = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.list_(pa.string())), pa.array(columns[1], pa.list_(pa.int32())), pa.array(columns[2], pa.int32())], ["words", "tags", "level"])
 
@@ -399,7 +406,9 @@ def fit(texts: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 7) -> Model:
         sequences.append(([features(padded, j, k % 2) for j in range(1, len(padded) - 1)], tags))
     for size in range(SIZES):  # plain text, whatever the rest of the text looks like
         for level in range(SHARES):
-            sequences += [([plain_features(size, level)] * LENGTH, [O] * LENGTH)] * 5
+            inner = plain_features(size, level)
+            ends = [plain_features(size, level, "edge"), plain_features(size, level, "plain", "edge")]
+            sequences += [([inner] * LENGTH, [O] * LENGTH)] * 5 + [([ends[0], *[inner] * (LENGTH - 2), ends[1]], [O] * LENGTH), ([plain_features(size, level, "edge", "edge")], [O])]
     return train(sequences)
 
 

@@ -121,6 +121,26 @@ def test_media_round_trip_is_exact(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
 
 
+def test_lacings_groups_and_unknown_sizes():
+    import struct
+
+    m, frames = matroska, [b"a" * 3, b"b" * 300, b"c" * 255, b"d" * 7]
+    head = b"\x81" + struct.pack(">h", 5)
+    xiph = bytes([3, 3, 255, 45, 255, 0]) + b"".join(frames)
+    group = m._element(m.BLOCK_GROUP, m._element(m.BLOCK, head + bytes([1 << 1]) + xiph))
+    fixed = m._element(m.SIMPLE_BLOCK, head + bytes([0x80 | 2 << 1, 1]) + b"xxxxyyyy")
+    plain = m._element(m.SIMPLE_BLOCK, head + bytes([0]) + b"zz")
+    unknown = lambda key, body: key.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + body
+    cluster = unknown(m.CLUSTER, m._number(m.TIMESTAMP, 10) + group + fixed) + m._element(m.CLUSTER, m._number(m.TIMESTAMP, 20) + plain)
+    point = lambda at: m._element(m.CUES, m._element(m.CUE_POINT, m._number(m.CUE_TIME, 0) + m._element(m.CUE_PLACE, m._number(m.CUE_TRACK, 1) + m._number(m.CUE_CLUSTER, at))))
+    data = m._HEAD + unknown(m.SEGMENT, cluster + point(0))
+    found = m.demux(data)
+    assert found.error is None and len(found.cues) == 1
+    assert [data[p.start : p.start + p.length] for p in found.packets] == [*frames, b"xxxx", b"yyyy", b"zz"]
+    assert [(p.cluster, p.timestamp, p.key) for p in found.packets] == [(0, 15, True)] * 6 + [(1, 25, False)]
+    assert m.demux(m._HEAD + unknown(m.SEGMENT, cluster + point(3))).error == "a cue points at no cluster"
+
+
 @pytest.mark.parametrize("frame", [1, 64, 1024, 1366, 4095])
 def test_media_of_any_frame_size(frame):
     payload = matroska.pad(bytes(k % 251 for k in range(150_000)))
@@ -177,6 +197,28 @@ def test_base_secrets_inside_of_words_without_digits(spark):
     assert redacted == ["the db_<secret> here", '{"access_<secret>"}', "é (<secret>)", "MY<secret>", "no such value", ""]
 
 
+def test_the_field_finds_secrets_that_the_patterns_miss(spark):
+    """Secrets of public formats under another seed than the training's, in the words of other texts."""
+    plain = [w for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").limit(20).collect() for w in (r.text or "").split() if w.isalpha()][:3000]
+    rnd, rows, where = random.Random(31), [], {}
+    for k, (words, tags) in enumerate(secret_crf.generated(4242, plain, 300)):
+        before, after = rnd.choices(plain, k=rnd.randrange(10, 40)), rnd.choices(plain, k=rnd.randrange(10, 40))
+        text = " ".join([*before, *words, *after])
+        if secret_crf.B in tags:
+            first = tags.index(secret_crf.B)
+            at = len(" ".join([*before, *words[:first]])) + (1 if before or first else 0)
+            last = max(j for j, t in enumerate(tags) if t != secret_crf.O)
+            where[k] = at, at + len(" ".join(words[first : last + 1]))
+        rows.append((k, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").union(spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id") + 1000, "text"))
+    found = {r.doc_id: r for r in secret_crf.scan(docs).where("doc_id < 1000").collect()}
+    hit = lambda spans, k: any(s.start < where[k][1] and where[k][0] < s.end for s in spans)
+    missed = [k for k in where if not hit(found[k].base, k)]
+    assert len(missed) >= 20 and sum(hit(found[k].added, k) for k in missed) >= 0.9 * len(missed)
+    clean = [k for k, _ in rows if k not in where]
+    assert sum(bool(found[k].added) for k in clean) <= 0.1 * len(clean)
+
+
 def test_viterbi_equals_all_paths():
     import itertools
 
