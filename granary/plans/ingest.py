@@ -20,7 +20,7 @@ def edit_documents(spark: SparkSession, sf: str) -> DataFrame:
     return records.patched(stored, patches).select("id", "title", F.sha2("text", 256).alias("hash"), F.concat_ws(",", F.col("metadata")["lang"], F.col("metadata")["v"]).alias("metadata"), "rechunk")
 
 
-@query("SELECT doc_id, text FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id + 1000000000, text FROM documents d WHERE lang <> 'en' AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.lang = 'en' AND e.text = d.text)".replace("text FROM documents WHERE", "sha256(text) AS hash FROM documents WHERE").replace("1000000000, text", "1000000000, sha256(text)"))
+@query("SELECT doc_id, sha256(text) AS hash FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id + 1000000000, sha256(text) FROM documents d WHERE lang <> 'en' AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.lang = 'en' AND e.text = d.text)")
 def insert_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Stored documents and the incoming ones that aren't stored."""
     docs = tables.documents(spark, sf).select("doc_id", "lang", F.sha2("text", 256).alias("hash"))
@@ -165,7 +165,7 @@ def chunks_without_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return missing.join(public, "doc_id", "left_semi").select("doc_id", "chunk_index")
 
 
-@query(f"SELECT doc_id, ingested_at FROM {NOTES}, (SELECT max(ingested_at) AS m FROM documents_view) WHERE ingested_at >= m - INTERVAL 12 HOUR AND NOT draft ORDER BY ingested_at DESC, doc_id LIMIT 20".replace("documents_view", DOCS))
+@query(f"SELECT doc_id, ingested_at FROM {NOTES}, (SELECT max(ingested_at) AS m FROM {DOCS}) WHERE ingested_at >= m - INTERVAL 12 HOUR AND NOT draft ORDER BY ingested_at DESC, doc_id LIMIT 20")
 def recent_captures(spark: SparkSession, sf: str) -> DataFrame:
     """The newest notes of the last twelve hours."""
     notes = tables.notes(spark, sf)

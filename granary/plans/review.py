@@ -175,7 +175,7 @@ def pair_listing(spark: SparkSession, sf: str) -> DataFrame:
     return rows.orderBy(F.desc("similarity"), "a", "b").limit(25)
 
 
-@query(f"SELECT src, dst FROM (SELECT DISTINCT src, dst FROM {PAIRS} WHERE co_docs >= 2) p WHERE NOT EXISTS (SELECT 1 FROM partlinks l WHERE (l.a = src AND l.b = dst) OR (l.a = dst AND l.b = src))".replace("partlinks", "(SELECT p_partkey + p_size AS a, p_partkey AS b FROM part)"))
+@query(f"SELECT src, dst FROM (SELECT DISTINCT src, dst FROM {PAIRS} WHERE co_docs >= 2) p WHERE NOT EXISTS (SELECT 1 FROM (SELECT p_partkey + p_size AS a, p_partkey AS b FROM part) l WHERE (l.a = src AND l.b = dst) OR (l.a = dst AND l.b = src))")
 def retired_suggestions(spark: SparkSession, sf: str) -> DataFrame:
     """Pending suggestions without those that are linked by now."""
     pending = graph.cooccurrence(tables.mentions(spark, sf)).where("co_docs >= 2").select("src", "dst")

@@ -42,8 +42,8 @@ _PATH = "regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1)"
 
 
 @query(
-    f"""SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM (SELECT CASE WHEN regexp_matches('/' || lower(p), '/(node_modules|vendor|third_party|dist|build|es)/') THEN 'vendored' WHEN regexp_matches(lower(f), '(^|[-.])lock(\\.|$)|-lock\\.(json|yaml)$') THEN 'lockfile'
-WHEN regexp_matches(lower(f), '\\.(min\\.[a-z]+|map)$') THEN 'minified' WHEN NOT regexp_matches(lower(f), '\\.(html|py)$') THEN 'extension' END AS reason FROM (SELECT p, split_part(p, '/', -1) AS f FROM (SELECT replace({_PATH}, 'de/', 'build/') AS p FROM pages))) GROUP BY 1""".replace("|build|es)", "|build)")
+    f"""SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM (SELECT CASE WHEN regexp_matches('/' || lower(p), '/(node_modules|vendor|third_party|dist|build)/') THEN 'vendored' WHEN regexp_matches(lower(f), '(^|[-.])lock(\\.|$)|-lock\\.(json|yaml)$') THEN 'lockfile'
+WHEN regexp_matches(lower(f), '\\.(min\\.[a-z]+|map)$') THEN 'minified' WHEN NOT regexp_matches(lower(f), '\\.(html|py)$') THEN 'extension' END AS reason FROM (SELECT p, split_part(p, '/', -1) AS f FROM (SELECT replace({_PATH}, 'de/', 'build/') AS p FROM pages))) GROUP BY 1"""
 )
 def code_file_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Paths by the reason that leaves them out."""
@@ -77,7 +77,7 @@ def dates_to_utc(spark: SparkSession, sf: str) -> DataFrame:
     return tables.table(spark, sf, "orders").select("o_orderkey", tx.sent_at(text).alias("at"))
 
 
-@query("SELECT conv_id, array_to_string(list_distinct(list(role)), ',') AS speakers FROM (SELECT DISTINCT conv_id, role FROM conversations) GROUP BY 1".replace("array_to_string(list_distinct(list(role)), ',')", "string_agg(role, ',' ORDER BY role)"))
+@query("SELECT conv_id, string_agg(role, ',' ORDER BY role) AS speakers FROM (SELECT DISTINCT conv_id, role FROM conversations) GROUP BY 1")
 def transcript_speakers(spark: SparkSession, sf: str) -> DataFrame:
     """Speakers of transcripts that label every turn with a name and a time."""
     label = F.concat(F.lit("**"), F.col("role"), F.lit(" | 00:"), F.lpad((F.col("turn") % 60).cast("string"), 2, "0"), F.lit("**\n"), F.col("text"))
@@ -107,7 +107,7 @@ def token_truncation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT conv_id, turn, left(text, 30) AS item, role = 'assistant' AS done FROM conversations UNION ALL SELECT conv_id, turn, 'again', false FROM conversations""".replace("left(text, 30)", "trim(regexp_replace(left(text, 30), '[ \\n\\t]+', ' ', 'g'))")
+    r"SELECT conv_id, turn, trim(regexp_replace(left(text, 30), '[ \n\t]+', ' ', 'g')) AS item, role = 'assistant' AS done FROM conversations UNION ALL SELECT conv_id, turn, 'again', false FROM conversations"
 )
 def action_items(spark: SparkSession, sf: str) -> DataFrame:
     """One row an item of every turn that lists its beginning and one item more."""
