@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 PAD = 64
 FRAME = 1024
 FRAMES_A_BLOCK = 8
@@ -283,6 +285,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fr
                 raw = [(x or "").encode() for x in rows.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([mux(pad(x), frame) for x in raw], pa.binary())], ["id", "n_bytes", "media"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 

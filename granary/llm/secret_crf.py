@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import find_words, text_chunks
+from .shared import bounded_batches, find_words, text_chunks
 
 # Base patterns (fixed values): kind, pattern, the group that is measured and its least length.
 BASE = (
@@ -365,6 +365,7 @@ def decoded_spans(x: Scanned, model: Model, whole: bool) -> list[Span]:
 
 def _windows(texts: DataFrame, fit_rows: int) -> list[tuple[list[str], list[int], int]]:
     """At most ``WINDOWS`` labelled windows of about ``fit_rows`` texts, in the order of their checksum."""
+    bounded_batches(texts.sparkSession)
     total = texts.count()
     share = min(1.0, fit_rows / max(total, 1))
 

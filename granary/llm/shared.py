@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: ASCII white space, the only word separators.
 SPACES = (9, 10, 11, 12, 13, 32)
 SHINGLE = 5
+BATCH_ROWS = 1000
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[list(SPACES)] = True
@@ -36,9 +37,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts are long: tasks exchange them with Python in Arrow batches of at most ``BATCH_ROWS`` rows.  A session's own smaller number stays."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, BATCH_ROWS)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends here, and a lost executor loses nothing.  The session's end deletes the table."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_folder(spark)}/granary/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -46,7 +55,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_chunks(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of whole rows of about ``limit`` bytes: first row, end row, bytes, offsets.  Null is empty."""
     column = pc.fill_null(column, "").cast(pa.large_binary())
     if isinstance(column, pa.ChunkedArray):
