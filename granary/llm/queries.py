@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, matroska, near_dup, packing, quality, secret_crf, toxicity, url_filter
+from . import byte_bpe, chat, decontaminate, html_text, matroska, near_dup, packing, quality, secret_crf, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,11 @@ def op10_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded by the ranks of the many-language vocabulary, and decoded again."""
+    return byte_bpe.digests(_table(spark, sf_dir, "documents"), byte_bpe.Vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_character_models": op1_character_models,
@@ -106,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_string_tiling": op8_string_tiling,
         "op9_transcripts": op9_transcripts,
         "op10_page_differencing": op10_page_differencing,
+        "op13_byte_bpe": op13_byte_bpe,
     }
 
 
