@@ -44,14 +44,19 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(setting, BATCH_ROWS)
 
 
+def deleted_at_exit(spark: SparkSession, path: str) -> None:
+    """The session's end deletes a folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends here, and a lost executor loses nothing.  The session's end deletes the table."""
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{shared_folder(spark)}/granary/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
+    deleted_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
