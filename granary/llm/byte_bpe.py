@@ -1,9 +1,7 @@
 """Byte-level BPE with the ranks of a public vocabulary: higher-order functions fold ranked merges over the bytes of a word.
 
 A text's words are the matches of the vocabulary's pattern.  The words that occur most often in all texts are folded once each, as rows of their
-own, and become a literal map of a bounded size; every other word is folded where it stands, so that no text is joined or shuffled.  Pieces are
-byte strings in Latin-1, one character a byte.  Maps are literals too, as arrays of small maps by the key's CRC-32, since a map is searched from
-its first entry on.
+own, and become a constant map of a bounded size; every other word is folded where it stands, so that no text is joined or shuffled.
 
 A fold copies the word's pieces once a merge, which is quadratic, so texts that hold a word of over ``LONG_WORD`` bytes take those words through
 a heap of pairs in Python instead; both give the same ids.
@@ -15,20 +13,20 @@ import base64
 import heapq
 import json
 import re
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 import public_tokenizers
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import stash
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of the literal map of frequent words: entries, and bytes of a word.
-FREQUENT, FREQUENT_BYTES = 1 << 17, 64
-LONG_WORD = 1024
+FREQUENT, FREQUENT_BYTES = 1 << 19, 64
+LONG_WORD, SURROGATES = 1024, 0xD800
 
 # Letters and numbers that Unicode 14 to 16 added, which the pattern's engine knows and the JVM's may not, and its white space.
 _NEW_LETTERS = (
@@ -74,72 +72,128 @@ def read_ranks(path: str | None = None) -> dict[bytes, int]:
     return ranks
 
 
-def slotted(entries: dict[str, object], kind: str) -> Callable[[Column], Column]:
-    """A literal map as a function of its key; null where it has none."""
-    n = 1 << max(4, len(entries).bit_length())
-    slots: list[dict] = [{} for _ in range(n)]
-    for key, value in entries.items():
-        slots[zlib.crc32(key.encode()) % n][key] = value
-    table = F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), f"array<map<string,{kind}>>")
-    return lambda key: F.element_at(F.get(table, F.pmod(F.crc32(key), F.lit(n)).cast("int")), key)
+class Lookup:
+    """A map of strings that is a constant of a plan, as an array of small maps by the key's hash.
 
+    Spark searches a map from its first entry on, and prints a literal as a whole in every plan; so the map is the one row of a small table, which
+    a scalar subquery turns into a constant before tasks begin.  A column of it must be named once only, as by ``with_constant``, so that it isn't
+    copied into rows.
+    """
+
+    def __init__(self, n: int, table: DataFrame) -> None:
+        self.n, self.table = n, table
+
+    @staticmethod
+    def slots(entries: int) -> int:
+        return 1 << max(4, entries.bit_length())
+
+    @classmethod
+    def of(cls, spark: SparkSession, entries: dict[str, str]) -> Lookup:
+        """A map that the driver knows."""
+        n = cls.slots(len(entries))
+        slots: list[dict[str, str]] = [{} for _ in range(n)]
+        for key, value in entries.items():
+            slots[xxhash.xxh64_intdigest(key.encode(), 42) % n][key] = value
+        return cls(n, constant(spark, slots, "array<map<string,string>>"))
+
+    @classmethod
+    def of_rows(cls, rows: DataFrame, count: int) -> Lookup:
+        """A map of a bounded number of rows ``key, value``."""
+        n = cls.slots(count)
+        held = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(n)).alias("slot")).agg(F.collect_list(F.struct("key", "value")).alias("entries"))
+        every = rows.sparkSession.range(n).withColumnRenamed("id", "slot").join(held, "slot", "left")
+        every = every.select("slot", F.coalesce("entries", F.array().cast("array<struct<key:string,value:string>>")).alias("entries"))
+        table = every.agg(F.array_sort(F.collect_list(F.struct("slot", "entries"))).alias("all"))
+        return cls(n, table.select(F.transform("all", lambda s: F.map_from_entries(s["entries"])).alias("value")))
+
+    def find(self, table: Column, key: Column) -> Column:
+        """The value of a key in the table's column; null where it has none."""
+        return F.element_at(F.get(table, F.pmod(F.xxhash64(key), F.lit(self.n)).cast("int")), key)
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+
+def constant(spark: SparkSession, value: object, kind: str) -> DataFrame:
+    """A local table of one row that holds ``value``."""
+    text = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return spark.createDataFrame([(text,)], "text string").select(F.from_json("text", kind).alias("value"))
+
+
+def with_constant(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 class Vocabulary:
-    """Ranks as literals: ids of words, byte strings of ids."""
+    """Ranks as constants of a plan.
 
-    def __init__(self, ranks: dict[bytes, int] | None = None, pattern: str = public_tokenizers.PATTERN) -> None:
-        self.ranks = ranks or read_ranks()
+    An id is a character with that code point, so ids of a text are a string and merges are string functions.  Ids therefore lie below the first
+    surrogate, 55,296.
+    """
+
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int] | None = None, pattern: str = public_tokenizers.PATTERN) -> None:
+        self.ranks = ranks = ranks or read_ranks()
         self.pattern = jvm_pattern(pattern)
-        self.rank = slotted({k.decode("latin-1"): v for k, v in self.ranks.items()}, "int")
-        self.size = max(self.ranks.values()) + 1
-        pieces = [""] * self.size
-        for key, value in self.ranks.items():
+        if not 0 <= min(ranks.values()) <= max(ranks.values()) < SURROGATES - 2:
+            raise ValueError(f"ids must be from 0 to {SURROGATES - 3}")
+        self.bytes = "".join(chr(ranks[bytes([b])] or SURROGATES - 2) for b in range(256))
+        pairs = {}
+        for key, value in ranks.items():
+            for cut in range(1, len(key)):
+                if key[:cut] in ranks and key[cut:] in ranks:
+                    pairs[chr(ranks[key[:cut]]) + chr(ranks[key[cut:]])] = chr(value)
+        self.pairs = Lookup.of(spark, pairs)
+        pieces = [""] * (max(ranks.values()) + 1)
+        for key, value in ranks.items():
             pieces[value] = key.decode("latin-1")
-        self._pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-        self._little = F.from_json(F.lit(json.dumps([k.to_bytes(4, "little").decode("latin-1") for k in range(self.size)])), "array<string>")
+        self.pieces = constant(spark, pieces, "array<string>")
 
     def words(self, text: Column) -> Column:
         """All matches of the pattern, which cover the text."""
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def fold(self, word: Column) -> Column:
-        """Ids of one word: as often as it has bytes but one, the leftmost pair of the lowest rank becomes one piece."""
-        join = lambda a, b: self.rank(F.concat(a, b))
+    def fold(self, word: Column, pairs: Column) -> Column:
+        """Ids of one word: as often as it has bytes but one, the leftmost pair of the lowest rank becomes one piece.
+
+        A step holds the pieces' ids ``p`` and the ids ``k`` that each piece and the next would make; the least of these is the next merge.
+        """
+        none = F.lit(chr(SURROGATES - 1))
+        made = lambda pair: F.coalesce(self.pairs.find(pairs, pair), none)
+        first = lambda s, n: F.substring(s, F.lit(1), n)
+        after = lambda s, n: F.substring(s, n, F.length(s))
 
         def merged(s: Column, i: Column) -> Column:
             p, k = s["p"], s["k"]
-            at = lambda d: F.get(p, (i + d).cast("int"))  # noqa: E731  i counts from 1
-            one = lambda there, rank: F.when(there, F.array(rank)).otherwise(F.array().cast("array<int>"))
-
-            def made(piece: Column) -> Column:
-                pieces = F.concat(F.slice(p, 1, i - 1), F.array(piece), F.slice(p, i + 2, F.size(p)))
-                left, right = one(i > 1, join(at(-2), piece)), one(i < F.size(k), join(piece, at(1)))
-                return F.struct(pieces.alias("p"), F.concat(F.slice(k, 1, F.greatest(i - 2, F.lit(0))), left, right, F.slice(k, i + 2, F.size(p))).alias("k"))
-
-            return _let(F.concat(at(-1), at(0)), made)
+            x = F.substring(k, i, F.lit(1))
+            left = F.when(i > 1, made(F.concat(F.substring(p, i - 1, F.lit(1)), x))).otherwise("")
+            right = F.when(i < F.length(k), made(F.concat(x, F.substring(p, i + 2, F.lit(1))))).otherwise("")
+            return F.struct(F.concat(first(p, i - 1), x, after(p, i + 2)).alias("p"), F.concat(first(k, i - 2), left, right, after(k, i + 2)).alias("k"))
 
         def step(s: Column, _: Column) -> Column:
-            return _let(F.array_position(s["k"], F.array_min(s["k"])).cast("int"), lambda i: F.when(i.isNull(), s).otherwise(merged(s, i)))
+            least = F.array_min(F.split(s["k"], ""))
+            return with_constant(least, lambda m: F.when(m.isNull() | (m == none), s).otherwise(with_constant(F.instr(s["k"], m), lambda i: merged(s, i))))
+
+        def folded(p: Column) -> Column:
+            rest = F.split(F.substring(p, F.lit(2), F.length(p)), "")
+            pairs_of = F.array_join(F.zip_with(F.split(first(p, F.length(p) - 1), ""), rest, lambda a, b: made(F.concat(a, b))), "")
+            return F.when(F.length(p) < 2, p).otherwise(F.aggregate(rest, F.struct(p.alias("p"), pairs_of.alias("k")), step, lambda s: s["p"]))
 
-        def folded(pieces: Column) -> Column:
-            rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-            pairs = F.zip_with(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), rest, join)
-            return F.aggregate(rest, F.struct(pieces.alias("p"), pairs.alias("k")), step, lambda s: F.transform(s["p"], self.rank))
+        latin = "".join(map(chr, range(256)))
+        ids = F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), latin, self.bytes)
+        return with_constant(F.replace(ids, F.lit(chr(SURROGATES - 2)), F.lit("\0")), folded)  # translate takes a zero for nothing
 
-        return _let(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), folded)
+    @staticmethod
+    def ids(folded: Column) -> Column:
+        """Characters as whole numbers."""
+        return F.when(folded == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(folded, ""), F.ascii))
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes of ids, end to end; an id that the vocabulary lacks, or null, is no bytes."""
-        return F.encode(F.array_join(F.transform(ids, lambda k: F.get(self._pieces, k)), ""), "ISO-8859-1")
+    @staticmethod
+    def little_endian(folded: Column) -> Column:
+        """Ids as unsigned 32-bit integers, lowest byte first: UTF-16 of the characters, each with a zero after it."""
+        return F.encode(F.when(folded == "", "").otherwise(F.concat(F.array_join(F.split(folded, ""), "\0"), F.lit("\0"))), "UTF-16LE")
 
-    def little_endian(self, ids: Column) -> Column:
-        """Ids as unsigned 32-bit integers, lowest byte first."""
-        return F.encode(F.array_join(F.transform(ids, lambda k: F.get(self._little, k)), ""), "ISO-8859-1")
+    @staticmethod
+    def decode(folded: Column, pieces: Column) -> Column:
+        """The bytes of ids, end to end; an id that the vocabulary lacks is no bytes."""
+        return F.encode(F.array_join(F.transform(F.split(folded, ""), lambda c: F.get(pieces, F.ascii(c))), ""), "ISO-8859-1")
 
 
 def heap_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -172,60 +226,78 @@ def heap_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def frequent_words(words: DataFrame, vocabulary: Vocabulary, most: int = FREQUENT) -> dict[str, list[int]]:
+def frequent_words(words: DataFrame, vocabulary: Vocabulary, most: int = FREQUENT) -> Lookup:
     """Ids of the words that occur most often, at most ``most`` of them, each folded once; ``words`` has word.
 
     Which count a word needs comes from a histogram of all counts in sixteenths of powers of two.
     """
     counts = words.where(F.octet_length("word") <= FREQUENT_BYTES).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
     counts = stash(counts.withColumn("bin", F.floor(F.log2("n") * 16).cast("int")), "word-counts")
-    held, least = 0, None
+    held, least, taken = 0, 1 << 30, 0
     for row in sorted(counts.groupBy("bin").agg(F.count("*").alias("words")).collect(), reverse=True):
         held += row.words
         if held > most:
             break
-        least = row.bin
-    if least is None:
-        return {}
-    return {r.word: r.ids for r in counts.where(F.col("bin") >= least).select("word", vocabulary.fold(F.col("word")).alias("ids")).toLocalIterator()}
+        least, taken = row.bin, held
+    chosen = counts.where(F.col("bin") >= least).repartition(F.col("word")).select("word", vocabulary.pairs.table.scalar().alias("pairs"))
+    folded = with_constant(F.col("pairs"), lambda pairs: vocabulary.fold(F.col("word"), pairs))
+    return Lookup.of_rows(chosen.select(F.col("word").alias("key"), folded.alias("value")), taken)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, derive: Callable[[Column], list[Column]] | None = None, key: str = "doc_id", text: str = "text", most: int = FREQUENT) -> DataFrame:
-    """``key, ids`` of every text, or ``key`` with what ``derive`` makes of the ids' column.
+def encode(docs: DataFrame, vocabulary: Vocabulary, derive: Callable[[Column, Column], list[Column]] | None = None, key: str = "doc_id", text: str = "text", most: int = FREQUENT) -> DataFrame:
+    """``key, ids`` of every text, or ``key`` with what ``derive`` makes of the folded text and the column of pieces.
 
     Rows stay apart, so repeated rows give repeated results and any kind of key, null too, will do.  Null and empty texts have no ids; columns
-    other than key and text are ignored, and an empty table gives an empty one.  With ``derive`` only its columns are stored between the folds
-    and the rare texts with long words.
+    other than key and text are ignored, and an empty table gives an empty one.  What is derived is stored once, beside the rare texts that hold
+    long words.
     """
-    derive = derive or (lambda ids: [ids.alias("ids")])
+    derive = derive or (lambda folded, _: [vocabulary.ids(folded).alias("ids")])
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     words = docs.select(F.explode(vocabulary.words(F.col("text"))).alias("word"))
-    known = slotted(frequent_words(words, vocabulary, most), "array<int>")
-    # null stands for a long word
-    ids = lambda w: F.coalesce(known(w), F.when(F.octet_length(w) <= LONG_WORD, vocabulary.fold(w)))
-    parts = docs.select("key", "text", F.transform(vocabulary.words(F.col("text")), ids).alias("parts"))
-    folded = parts.select("key", "text", F.flatten("parts").alias("ids"))  # null if any part is
-    made = folded.select("key", F.when(F.col("ids").isNull(), F.col("text")).alias("left"), *derive(F.col("ids")))
-    made = stash(made, "encoded")
-    rest = made.where(F.col("left").isNotNull()).select("key", "left", F.transform(vocabulary.words(F.col("left")), lambda w: F.struct(w.alias("word"), F.when(F.octet_length(w) <= LONG_WORD, vocabulary.fold(w)).alias("ids"))).alias("parts"))
+    known = frequent_words(words, vocabulary, most)
+    constants = [vocabulary.pairs.table.scalar().alias("pairs"), known.table.scalar().alias("known")]
+
+    def short(w: Column, pairs: Column) -> Column:
+        return F.when(F.octet_length(w) <= LONG_WORD, vocabulary.fold(w, pairs))
+
+    def parts(known_table: Column, pairs: Column) -> Column:
+        return F.transform(vocabulary.words(F.col("text")), lambda w: F.coalesce(known.find(known_table, w), short(w, pairs)))
+
+    def whole(parts: Column) -> Column:
+        return F.when(~F.exists(parts, F.isnull), F.array_join(parts, ""))
+
+    found = with_constant(F.col("known"), lambda table: with_constant(F.col("pairs"), lambda pairs: with_constant(parts(table, pairs), whole)))
+    made = docs.select("key", "text", *constants).select("key", "text", found.alias("folded"))
+    derived = lambda df: df.select("*", vocabulary.pieces.scalar().alias("pieces")).select("key", *left, F.inline(F.array(with_constant(F.col("pieces"), lambda p: F.struct(*derive(F.col("folded"), p))))))
+    left = [F.when(F.col("folded").isNull(), F.col("text")).alias("left")]
+    made = stash(derived(made), "encoded")
+
     ranks = vocabulary.ranks
 
-    @F.pandas_udf("array<array<int>>")
+    @F.pandas_udf("array<string>")
     def long_ids(words: pd.Series) -> pd.Series:
-        return words.map(lambda row: [heap_ids(w.encode(), ranks) for w in row])
+        return words.map(lambda row: ["".join(map(chr, heap_ids(w.encode(), ranks))) for w in row])
+
+    rest = made.where(F.col("left").isNotNull()).select("key", vocabulary.words(F.col("left")).alias("words"))
+    rest = rest.withColumn("long", long_ids(F.filter("words", lambda w: F.octet_length(w) > LONG_WORD)))
+
+    def joined(pairs: Column) -> Column:
+        # a long word takes the ids that have its number among the long ones
+        def add(s: Column, w: Column) -> Column:
+            return F.struct(F.concat(s["out"], F.array(F.coalesce(short(w, pairs), F.get("long", s["n"])))).alias("out"), (s["n"] + (F.octet_length(w) > LONG_WORD).cast("int")).alias("n"))
+
+        return F.aggregate("words", F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("n")), add, lambda s: F.array_join(s["out"], ""))
 
-    longs = F.filter("parts", lambda p: p["ids"].isNull())
-    rest = rest.withColumn("long", long_ids(F.transform(longs, lambda p: p["word"])))
-    # a long part takes its place's number among the long ones
-    number = F.aggregate("parts", F.struct(F.array().cast("array<array<int>>").alias("out"), F.lit(0).alias("n")), lambda s, p: F.struct(F.concat(s["out"], F.array(F.coalesce(p["ids"], F.get("long", s["n"])))).alias("out"), (s["n"] + p["ids"].isNull().cast("int")).alias("n")))
-    rest = rest.select("key", F.flatten(number["out"]).alias("ids")).select("key", *derive(F.col("ids")))
+    rest = rest.select("key", "words", "long", constants[0]).select("key", with_constant(F.col("pairs"), joined).alias("folded"))
+    left = []
+    rest = derived(rest)
     return made.where(F.col("left").isNull()).drop("left").unionByName(rest).withColumnRenamed("key", key)
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", most: int = FREQUENT) -> DataFrame:
     """``key, n_tokens, ids_sha256, decoded_sha256``: each text encoded, and its ids decoded again."""
 
-    def derive(ids: Column) -> list[Column]:
-        return [F.size(ids).cast("long").alias("n_tokens"), F.sha2(vocabulary.little_endian(ids), 256).alias("ids_sha256"), F.sha2(vocabulary.decode(ids), 256).alias("decoded_sha256")]
+    def derive(folded: Column, pieces: Column) -> list[Column]:
+        return [F.length(folded).cast("long").alias("n_tokens"), F.sha2(vocabulary.little_endian(folded), 256).alias("ids_sha256"), F.sha2(vocabulary.decode(folded, pieces), 256).alias("decoded_sha256")]
 
     return encode(docs, vocabulary, derive, key, text, most)

@@ -133,7 +133,7 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded by the ranks of the many-language vocabulary, and decoded again."""
-    return byte_bpe.digests(_table(spark, sf_dir, "documents"), byte_bpe.Vocabulary())
+    return byte_bpe.digests(_table(spark, sf_dir, "documents"), byte_bpe.Vocabulary(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
