@@ -72,12 +72,16 @@ def read_ranks(path: str | None = None) -> dict[bytes, int]:
     return ranks
 
 
+#: Signs around keys and values of a map's entries; no id is one of them.
+_ENTRY, _VALUE = chr(SURROGATES - 1), chr(SURROGATES - 2)
+
+
 class Lookup:
-    """A map of strings that is a constant of a plan, as an array of small maps by the key's hash.
+    """A map of strings that is a constant of a plan: an array of strings by the key's hash, each with its entries end to end.
 
-    Spark searches a map from its first entry on, and prints a literal as a whole in every plan; so the map is the one row of a small table, which
-    a scalar subquery turns into a constant before tasks begin.  A column of it must be named once only, as by ``with_constant``, so that it isn't
-    copied into rows.
+    Spark searches a map's keys one by one as objects, and prints a literal as a whole in every plan; so the map is the one row of a small table,
+    which a scalar subquery turns into a constant before tasks begin, and string functions find an entry.  A column of it must be named once only,
+    as by ``with_constant``, so that it isn't copied into rows.  Keys must not hold the entries' first sign, and values are not empty.
     """
 
     def __init__(self, n: int, table: DataFrame) -> None:
@@ -91,30 +95,33 @@ class Lookup:
     def of(cls, spark: SparkSession, entries: dict[str, str]) -> Lookup:
         """A map that the driver knows."""
         n = cls.slots(len(entries))
-        slots: list[dict[str, str]] = [{} for _ in range(n)]
+        slots = [""] * n
         for key, value in entries.items():
-            slots[xxhash.xxh64_intdigest(key.encode(), 42) % n][key] = value
-        return cls(n, constant(spark, slots, "array<map<string,string>>"))
+            slots[xxhash.xxh64_intdigest(key.encode(), 42) % n] += _ENTRY + key + _VALUE + value
+        return cls(n, constant(spark, slots))
 
     @classmethod
     def of_rows(cls, rows: DataFrame, count: int) -> Lookup:
         """A map of a bounded number of rows ``key, value``."""
         n = cls.slots(count)
-        held = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(n)).alias("slot")).agg(F.collect_list(F.struct("key", "value")).alias("entries"))
-        every = rows.sparkSession.range(n).withColumnRenamed("id", "slot").join(held, "slot", "left")
-        every = every.select("slot", F.coalesce("entries", F.array().cast("array<struct<key:string,value:string>>")).alias("entries"))
+        entry = F.concat(F.lit(_ENTRY), "key", F.lit(_VALUE), "value")
+        held = rows.groupBy(F.xxhash64("key").bitwiseAND(F.lit(n - 1)).alias("slot")).agg(F.array_join(F.collect_list(entry), "").alias("entries"))
+        every = rows.sparkSession.range(n).withColumnRenamed("id", "slot").join(held, "slot", "left").select("slot", F.coalesce("entries", F.lit("")).alias("entries"))
         table = every.agg(F.array_sort(F.collect_list(F.struct("slot", "entries"))).alias("all"))
-        return cls(n, table.select(F.transform("all", lambda s: F.map_from_entries(s["entries"])).alias("value")))
+        return cls(n, table.select(F.transform("all", lambda s: s["entries"]).alias("value")))
 
     def find(self, table: Column, key: Column) -> Column:
         """The value of a key in the table's column; null where it has none."""
-        return F.element_at(F.get(table, F.pmod(F.xxhash64(key), F.lit(self.n)).cast("int")), key)
+        slot = F.get(table, F.xxhash64(key).bitwiseAND(F.lit(self.n - 1)).cast("int"))
+        # without the key, the slot's own first sign ends the value at once
+        after = F.call_function("substring_index", slot, F.concat(F.lit(_ENTRY), key, F.lit(_VALUE)), F.lit(-1))
+        return F.nullif(F.substring_index(after, _ENTRY, 1), F.lit(""))
 
 
-def constant(spark: SparkSession, value: object, kind: str) -> DataFrame:
+def constant(spark: SparkSession, value: list[str]) -> DataFrame:
     """A local table of one row that holds ``value``."""
     text = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
-    return spark.createDataFrame([(text,)], "text string").select(F.from_json("text", kind).alias("value"))
+    return spark.createDataFrame([(text,)], "text string").select(F.from_json("text", "array<string>").alias("value"))
 
 
 def with_constant(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -133,7 +140,7 @@ class Vocabulary:
         self.ranks = ranks = ranks or read_ranks()
         self.pattern = jvm_pattern(pattern)
         if not 0 <= min(ranks.values()) <= max(ranks.values()) < SURROGATES - 2:
-            raise ValueError(f"ids must be from 0 to {SURROGATES - 3}")
+            raise ValueError(f"ids must be from 0 to {SURROGATES - 3}")  # two characters are signs of their own
         self.bytes = "".join(chr(ranks[bytes([b])] or SURROGATES - 2) for b in range(256))
         pairs = {}
         for key, value in ranks.items():
@@ -144,7 +151,7 @@ class Vocabulary:
         pieces = [""] * (max(ranks.values()) + 1)
         for key, value in ranks.items():
             pieces[value] = key.decode("latin-1")
-        self.pieces = constant(spark, pieces, "array<string>")
+        self.pieces = constant(spark, pieces)
 
     def words(self, text: Column) -> Column:
         """All matches of the pattern, which cover the text."""
@@ -153,28 +160,29 @@ class Vocabulary:
     def fold(self, word: Column, pairs: Column) -> Column:
         """Ids of one word: as often as it has bytes but one, the leftmost pair of the lowest rank becomes one piece.
 
-        A step holds the pieces' ids ``p`` and the ids ``k`` that each piece and the next would make; the least of these is the next merge.
+        A step holds the pieces' ids ``p``, the ids ``k`` that each piece and the next would make, and the least ``m`` of these, the next merge.
         """
         none = F.lit(chr(SURROGATES - 1))
         made = lambda pair: F.coalesce(self.pairs.find(pairs, pair), none)
         first = lambda s, n: F.substring(s, F.lit(1), n)
-        after = lambda s, n: F.substring(s, n, F.length(s))
+        after = lambda s, n: F.substring(s, n, F.lit(LONG_WORD))
+        least = lambda k: F.array_min(F.split(k, ""))
 
         def merged(s: Column, i: Column) -> Column:
-            p, k = s["p"], s["k"]
-            x = F.substring(k, i, F.lit(1))
+            p, k, x = s["p"], s["k"], s["m"]
             left = F.when(i > 1, made(F.concat(F.substring(p, i - 1, F.lit(1)), x))).otherwise("")
             right = F.when(i < F.length(k), made(F.concat(x, F.substring(p, i + 2, F.lit(1))))).otherwise("")
-            return F.struct(F.concat(first(p, i - 1), x, after(p, i + 2)).alias("p"), F.concat(first(k, i - 2), left, right, after(k, i + 2)).alias("k"))
+            changed = F.concat(first(k, i - 2), left, right, after(k, i + 2))
+            return with_constant(changed, lambda k: F.struct(F.concat(first(p, i - 1), x, after(p, i + 2)).alias("p"), k.alias("k"), least(k).alias("m")))
 
         def step(s: Column, _: Column) -> Column:
-            least = F.array_min(F.split(s["k"], ""))
-            return with_constant(least, lambda m: F.when(m.isNull() | (m == none), s).otherwise(with_constant(F.instr(s["k"], m), lambda i: merged(s, i))))
+            return F.when(s["m"] < none, with_constant(F.instr(s["k"], s["m"]), lambda i: merged(s, i))).otherwise(s)
 
         def folded(p: Column) -> Column:
             rest = F.split(F.substring(p, F.lit(2), F.length(p)), "")
             pairs_of = F.array_join(F.zip_with(F.split(first(p, F.length(p) - 1), ""), rest, lambda a, b: made(F.concat(a, b))), "")
-            return F.when(F.length(p) < 2, p).otherwise(F.aggregate(rest, F.struct(p.alias("p"), pairs_of.alias("k")), step, lambda s: s["p"]))
+            start = with_constant(pairs_of, lambda k: F.struct(p.alias("p"), k.alias("k"), least(k).alias("m")))
+            return F.when(F.length(p) < 2, p).otherwise(F.aggregate(rest, start, step, lambda s: s["p"]))
 
         latin = "".join(map(chr, range(256)))
         ids = F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), latin, self.bytes)
@@ -231,7 +239,7 @@ def frequent_words(words: DataFrame, vocabulary: Vocabulary, most: int = FREQUEN
 
     Which count a word needs comes from a histogram of all counts in sixteenths of powers of two.
     """
-    counts = words.where(F.octet_length("word") <= FREQUENT_BYTES).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    counts = words.where((F.octet_length("word") <= FREQUENT_BYTES) & ~F.contains("word", F.lit(_ENTRY))).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
     counts = stash(counts.withColumn("bin", F.floor(F.log2("n") * 16).cast("int")), "word-counts")
     held, least, taken = 0, 1 << 30, 0
     for row in sorted(counts.groupBy("bin").agg(F.count("*").alias("words")).collect(), reverse=True):
@@ -261,7 +269,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, derive: Callable[[Column, Co
         return F.when(F.octet_length(w) <= LONG_WORD, vocabulary.fold(w, pairs))
 
     def parts(known_table: Column, pairs: Column) -> Column:
-        return F.transform(vocabulary.words(F.col("text")), lambda w: F.coalesce(known.find(known_table, w), short(w, pairs)))
+        return F.transform(vocabulary.words(F.col("text")), lambda w: F.coalesce(F.when(~F.contains(w, F.lit(_ENTRY)), known.find(known_table, w)), short(w, pairs)))
 
     def whole(parts: Column) -> Column:
         return F.when(~F.exists(parts, F.isnull), F.array_join(parts, ""))
