@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scores
 from ..functions.text import tokens
-from ..sources.shared import stored
+from ..sources.shared import stored, version
 
 CANDIDATES, CAP, FLOOR, HALF_LIFE = 50, 3, 0.25, 180.0
 
@@ -33,11 +34,11 @@ _indexes: dict[tuple[str, str], DataFrame] = {}
 
 
 def stored_index(rows: DataFrame, keys: list[str], text_col: str, name: str) -> DataFrame:
-    """``keys, term, tf, bucket``: an inverted index in folders by the term's hash, sorted by term, built once a session for ``name``.
+    """``keys, term, tf, bucket``: an inverted index in folders by the term's hash, sorted by term, built once a session for ``name`` and the state of the files behind the rows.
 
     ``name`` says which rows it holds, such as a table's path.  A common term's postings lie in several files of its folder.
     """
-    key = (rows.sparkSession.sparkContext.applicationId, name)
+    key = (rows.sparkSession.sparkContext.applicationId, f"{name} {version(rows)}")
     if key not in _indexes:
         index = inverted_index(rows, keys, text_col).select(*keys, "term", "tf", term_bucket(F.col("term")).alias("bucket"))
         spread = index.repartition(F.col("bucket"), F.pmod(F.xxhash64(*keys), F.lit(4))).sortWithinPartitions("bucket", "term")
@@ -51,8 +52,7 @@ def term_bucket(term: Column) -> Column:
 
 def postings(index: DataFrame, terms: list[str]) -> DataFrame:
     """The index's rows of some terms; only their folders are read."""
-    spark = index.sparkSession
-    buckets = [r.b for r in spark.createDataFrame([(t,) for t in terms], "t string").select(term_bucket(F.col("t")).alias("b")).distinct().collect()]
+    buckets = {xxhash.xxh64_intdigest(t.encode(), 42) % BUCKETS for t in terms}  # as ``term_bucket``
     return index.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms))
 
 

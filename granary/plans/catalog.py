@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, evaluation, graph, ingest, lexical, links, relational, retrieval, review, similarity, textual, themes, usage  # noqa: F401  registers the queries
+from . import documents, evaluation, graph, indexed, ingest, lexical, links, relational, retrieval, review, similarity, textual, themes, usage  # noqa: F401  registers the queries
 from .registry import QUERIES, SQL, Query
 
 

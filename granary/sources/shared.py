@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -19,11 +20,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def folder_for(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; the session's end deletes it."""
+    path = f"{shared_folder(spark)}/granary/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
+    return path
+
+
+def version(df: DataFrame) -> str:
+    """A digest of the paths, lengths and times of the files that a table reads, from listings of their folders; it changes if the table is written again."""
+    spark, found = df.sparkSession, hashlib.sha256()
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    files = set(df.inputFiles())
+    for parent in sorted({f.rpartition("/")[0] for f in files}):
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(parent))
+        for status in path.getFileSystem(conf).listStatus(path):
+            found.update(f"{status.getPath()} {status.getLen()} {status.getModificationTime()}\n".encode())
+    return found.hexdigest()
+
+
 def stored(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     """``df`` written to the shared folder and read again, so that its plan ends here; the session's end deletes it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/granary/{name}-{uuid.uuid4().hex}"
+    path = folder_for(spark, name)
     df.write.partitionBy(*partitions).parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
