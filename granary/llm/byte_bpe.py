@@ -25,7 +25,7 @@ from .shared import stash
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of the literal map of frequent words: entries, and bytes of a word.
-FREQUENT, FREQUENT_BYTES = 1 << 19, 64
+FREQUENT, FREQUENT_BYTES = 1 << 20, 64
 LONG_WORD, SURROGATES = 1024, 0xD800
 
 # Letters and numbers that Unicode 14 to 16 added, which the pattern's engine knows and the JVM's may not, and its white space.
@@ -98,7 +98,7 @@ class Lookup:
         slots = [""] * n
         for key, value in entries.items():
             slots[xxhash.xxh64_intdigest(key.encode(), 42) % n] += _ENTRY + key + _VALUE + value
-        return cls(n, constant(spark, slots))
+        return cls(n, constant(spark, [s or _ENTRY for s in slots]))
 
     @classmethod
     def of_rows(cls, rows: DataFrame, count: int) -> Lookup:
@@ -106,16 +106,18 @@ class Lookup:
         n = cls.slots(count)
         entry = F.concat(F.lit(_ENTRY), "key", F.lit(_VALUE), "value")
         held = rows.groupBy(F.xxhash64("key").bitwiseAND(F.lit(n - 1)).alias("slot")).agg(F.array_join(F.collect_list(entry), "").alias("entries"))
-        every = rows.sparkSession.range(n).withColumnRenamed("id", "slot").join(held, "slot", "left").select("slot", F.coalesce("entries", F.lit("")).alias("entries"))
+        every = rows.sparkSession.range(n).withColumnRenamed("id", "slot").join(held, "slot", "left").select("slot", F.coalesce("entries", F.lit(_ENTRY)).alias("entries"))
         table = every.agg(F.array_sort(F.collect_list(F.struct("slot", "entries"))).alias("all"))
         return cls(n, table.select(F.transform("all", lambda s: s["entries"]).alias("value")))
 
-    def find(self, table: Column, key: Column) -> Column:
-        """The value of a key in the table's column; null where it has none."""
+    def found(self, table: Column, key: Column) -> Column:
+        """The slot from the key's value on; where it lacks the key, it begins with the entries' first sign."""
         slot = F.get(table, F.xxhash64(key).bitwiseAND(F.lit(self.n - 1)).cast("int"))
-        # without the key, the slot's own first sign ends the value at once
-        after = F.call_function("substring_index", slot, F.concat(F.lit(_ENTRY), key, F.lit(_VALUE)), F.lit(-1))
-        return F.nullif(F.substring_index(after, _ENTRY, 1), F.lit(""))
+        return F.call_function("substring_index", slot, F.concat(F.lit(_ENTRY), key, F.lit(_VALUE)), F.lit(-1))
+
+    def value(self, table: Column, key: Column) -> Column:
+        """The value of a key in the table's column; empty where it has none."""
+        return F.substring_index(self.found(table, key), _ENTRY, 1)
 
 
 def constant(spark: SparkSession, value: list[str]) -> DataFrame:
@@ -162,8 +164,8 @@ class Vocabulary:
 
         A step holds the pieces' ids ``p``, the ids ``k`` that each piece and the next would make, and the least ``m`` of these, the next merge.
         """
-        none = F.lit(chr(SURROGATES - 1))
-        made = lambda pair: F.coalesce(self.pairs.find(pairs, pair), none)
+        none = F.lit(_ENTRY)
+        made = lambda pair: F.substring(self.pairs.found(pairs, pair), F.lit(1), F.lit(1))  # noqa: E731  one character, or none
         first = lambda s, n: F.substring(s, F.lit(1), n)
         after = lambda s, n: F.substring(s, n, F.lit(LONG_WORD))
         least = lambda k: F.array_min(F.split(k, ""))
@@ -269,7 +271,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, derive: Callable[[Column, Co
         return F.when(F.octet_length(w) <= LONG_WORD, vocabulary.fold(w, pairs))
 
     def parts(known_table: Column, pairs: Column) -> Column:
-        return F.transform(vocabulary.words(F.col("text")), lambda w: F.coalesce(F.when(~F.contains(w, F.lit(_ENTRY)), known.find(known_table, w)), short(w, pairs)))
+        def ids(w: Column) -> Column:
+            value = F.when(~F.contains(w, F.lit(_ENTRY)), known.value(known_table, w)).otherwise("")
+            return with_constant(value, lambda v: F.when(v != "", v).otherwise(short(w, pairs)))
+
+        return F.transform(vocabulary.words(F.col("text")), ids)
 
     def whole(parts: Column) -> Column:
         return F.when(~F.exists(parts, F.isnull), F.array_join(parts, ""))
