@@ -272,10 +272,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, derive: Callable[[Column, Co
 
     def parts(known_table: Column, pairs: Column) -> Column:
         def ids(w: Column) -> Column:
-            value = F.when(~F.contains(w, F.lit(_ENTRY)), known.value(known_table, w)).otherwise("")
-            return with_constant(value, lambda v: F.when(v != "", v).otherwise(short(w, pairs)))
+            return with_constant(known.value(known_table, w), lambda v: F.when(v != "", v).otherwise(short(w, pairs)))
 
-        return F.transform(vocabulary.words(F.col("text")), ids)
+        # a text that holds the sign of entries isn't looked up
+        words = vocabulary.words(F.col("text"))
+        return F.when(F.contains("text", F.lit(_ENTRY)), F.transform(words, lambda w: short(w, pairs))).otherwise(F.transform(words, ids))
 
     def whole(parts: Column) -> Column:
         return F.when(~F.exists(parts, F.isnull), F.array_join(parts, ""))
