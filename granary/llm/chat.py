@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import stash
 
@@ -71,19 +72,21 @@ def observation(line: Column, blank_before: Column, first: Column) -> Column:
 def raw_lines(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``conv, turn, k, line, blank_before, state``: labelled turns written as raw transcripts in a style that depends on the conversation.
 
-    Lines that are empty are dropped and mark the next one; ``state`` is the true one.
+    Lines that are empty are dropped and mark the next one; ``state`` is the true one.  Repeated rows count once; different texts under one turn
+    number all stay, in order of text and role.
     """
     known = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = known.where(F.col("conv").isNotNull() & F.col("turn").isNotNull() & F.col("role").isin(*ROLES)).groupBy("conv", "turn").agg(F.min(F.struct("text", "role")).alias("t")).select("conv", "turn", F.col("t.role").alias("speaker"), F.col("t.text").alias("text"))
+    known = known.where(F.col("conv").isNotNull() & F.col("turn").isNotNull() & F.col("role").isin(*ROLES)).select("conv", "turn", F.col("role").alias("speaker"), "text").distinct()
+    known = known.withColumn("other", F.row_number().over(Window.partitionBy("conv", "turn").orderBy("text", "speaker")) - 1)
     style = F.pmod(F.xxhash64("conv"), F.lit(len(STYLES))).cast("int")
     number = F.array_position(F.array(*map(F.lit, ROLES)), F.col("speaker")).cast("int") - 1
     prefix = F.array(*[F.array(*map(F.lit, s)) for s in STYLES])[style][number]
     split = F.split(F.concat(prefix, "text"), "\n")
     marked = F.transform(split, lambda x, k: F.struct(x.alias("line"), F.when(k > 0, F.trim(split[F.greatest(k - 1, F.lit(0))]) == "").otherwise(False).alias("gap")))
-    lines = known.select("conv", "turn", number.alias("role"), style.alias("style"), F.posexplode(marked).alias("k", "x")).select("conv", "turn", "role", "style", "k", "x.line", "x.gap")
+    lines = known.select("conv", "turn", number.alias("role"), style.alias("style"), "other", F.posexplode(marked).alias("k", "x")).select("conv", "turn", "role", "style", "other", "k", "x.line", "x.gap")
     blank = ((F.col("style") == len(STYLES) - 1) & (F.col("k") == 0)) | F.col("gap")
     lines = lines.where((F.trim("line") != "") | (F.col("k") == 0))
-    return lines.select("conv", "turn", "k", "line", blank.alias("blank_before"), (F.col("role") * 2 + F.when(F.col("k") == 0, 0).otherwise(1)).alias("state"))
+    return lines.select("conv", "turn", (F.col("other") * F.lit(1 << 32) + F.col("k")).alias("k"), "line", blank.alias("blank_before"), (F.col("role") * 2 + F.when(F.col("k") == 0, 0).otherwise(1)).alias("state"))
 
 
 def blocked(lines: DataFrame) -> DataFrame:
@@ -305,28 +308,46 @@ def decode(lines: DataFrame, model: Model) -> DataFrame:
 _BARE = re.compile(_MARKER.replace("NAMES", "|".join(n for role in ROLES for n in MARKERS[role])) + r"(?:\*\*)?\s*", re.ASCII)
 
 
-def _turns(found: list[dict], at: int) -> Iterator[tuple]:
-    """Place, role, whether it continues a turn, lines, text and canonical form of each turn or piece of one in a block."""
+def _turns(found: list[dict], at: int, more: bool) -> Iterator[tuple]:
+    """Place, role, whether it continues a turn, lines, text and canonical form of each turn or piece of one in some lines; ``more``: the last goes on behind them."""
     starts = [k for k, x in enumerate(found) if k == 0 or x["state"] % 2 == 0]
     for a, b in zip(starts, [*starts[1:], len(found)]):
-        inside, role = found[a]["state"] % 2 == 1, ROLES[found[a]["state"] // 2]
+        inside, role = found[a]["state"] % 2 == 1 and at + a > 0, ROLES[found[a]["state"] // 2]
         text = "\n".join([found[a]["line"] if inside else _BARE.sub("", found[a]["line"], count=1), *(x["line"] for x in found[a + 1 : b])])
-        yield at + a, role, inside, b - a, text, ("" if inside else f"<|{role}|>\n") + text + "\n<|end|>"
+        yield at + a, role, inside, b - a, text, ("" if inside else f"<|{role}|>\n") + text + ("" if more and b == len(found) else "\n<|end|>")
+
+
+def _pages(decoded: DataFrame) -> DataFrame:
+    """``conv, at, lines, more``: transcripts cut at every ``LINES``-th line, wherever blocks ended, and whether the next cut's first line goes on with the turn."""
+    long = decoded.where("block > 0").select("conv").distinct()
+    short = decoded.join(long, "conv", "left_anti").select("conv", "at", "lines", F.lit(False).alias("more"))  # one block has LINES lines at most
+    rows = decoded.join(long, "conv", "left_semi")
+    first, last = F.expr(f"at div {LINES}"), F.expr(f"(at + size(lines) - 1) div {LINES}")
+    rows = rows.select("conv", "at", "lines", F.explode(F.sequence(first, last)).alias("page"))
+    begin = F.greatest(F.col("at"), F.col("page") * LINES)
+    part = F.slice("lines", (begin - F.col("at") + 1).cast("int"), ((F.col("page") + 1) * LINES - begin).cast("int"))
+    pages = rows.select("conv", "page", begin.alias("at"), part.alias("lines")).groupBy("conv", "page").agg(F.array_sort(F.collect_list(F.struct("at", "lines"))).alias("parts"))
+    pages = stash(pages.select("conv", "page", F.flatten("parts.lines").alias("lines")), "pages")
+    goes_on = pages.select("conv", (F.col("page") - 1).alias("page"), (F.col("lines")[0]["state"] % 2 == 1).alias("more"))
+    whole = pages.join(goes_on, ["conv", "page"], "left").select("conv", (F.col("page") * LINES).alias("at"), "lines", F.coalesce("more", F.lit(False)).alias("more"))
+    return short.unionByName(whole)
 
 
 def rendered(decoded: DataFrame) -> DataFrame:
-    """One row a turn (or a block's piece of it): ``conv, place, role, continues, n_lines, text, rendered``; the place is its first line's number.
+    """One row a turn: ``conv, place, role, continues, n_lines, text, rendered``; the place is its first line's number.
 
-    The text is the turn's lines without the marker of the first; the canonical form is ``<|role|>``, the text and ``<|end|>``.
+    The text is the turn's lines without the marker of the first; the canonical form is ``<|role|>``, the text and ``<|end|>``.  A turn that
+    crosses a ``LINES``-th line of its transcript comes as several rows, cut there: only the first has the role's sign and only the last the end,
+    so that rows written one after the other are the canonical transcript.  Where tasks or blocks end changes nothing.
     """
     kind = decoded.schema["conv"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
-            for k, (at, found) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                columns = list(zip(*_turns(found, at)))
+            for k, (at, found, more) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))):
+                columns = list(zip(*_turns(found, at, more)))
                 key = batch.column(0).take(pa.array([k] * len(columns[0])))
                 yield pa.RecordBatch.from_arrays([key, *(pa.array(c, t) for c, t in zip(columns, kinds))], ["conv", "place", "role", "continues", "n_lines", "text", "rendered"])
 
-    return decoded.select("conv", "at", "lines").mapInArrow(run, f"conv {kind}, place long, role string, continues boolean, n_lines long, text string, rendered string")
+    return _pages(decoded).mapInArrow(run, f"conv {kind}, place long, role string, continues boolean, n_lines long, text string, rendered string")

@@ -1,7 +1,8 @@
 """Main text of web pages: markup proposes what is text, and pages with near URLs of the same host decide what is template.
 
 ``lines`` turns a page into text blocks.  Blocks inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments (by element, role or class) go.  The others are proposed: those inside a marked article or main element, or all of a page without
+comments go, by element, role or class.  Inside of a marked article ids say nothing, and a class only if it is made of such names alone and stands
+on an element that holds others: adverts and comments differ from page to page, so that differencing can't find them.  The others are proposed: those inside a marked article or main element, or all of a page without
 one.  Pages are ordered by host and URL path, and neighbours that share ``COPY`` or more of the longer one's characters are a run of copies.
 Each page is aligned with the nearest pages before and after its run in its host by a longest common subsequence of their lines, and lines that
 it shares with one of them are deleted as template if both pages have other lines too.  Inside a marked article a shared line goes only where
@@ -39,8 +40,8 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 SPACED = frozenset("br td th img".split())
-NEVER = frozenset("nav footer aside form noscript template svg math select button dialog menu object audio video canvas ins head datalist".split())
-MARKED = NEVER | {"article", "main", "header"}
+NEVER = frozenset("nav footer aside noscript template svg math select button dialog menu object audio video canvas ins head datalist".split())
+MARKED = NEVER | {"article", "main", "header", "form"}
 COPY = 0.75  # share of the longer page's characters that makes two pages copies
 RATE, PAGES = 0.8, 8  # evidence that a place in the element tree holds template
 MATCHES = 1 << 20  # equal pairs of lines that one alignment lists
@@ -55,9 +56,13 @@ TEMPLATE_WORDS = frozenset(
 )
 HEADER_WORDS = frozenset("header masthead topbar".split())
 TEMPLATE_ROLES = frozenset("navigation contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+# Inside of a marked article a class names template only if no other words stand beside these, and only on elements that hold others.
+BESIDE = frozenset("area bar block box button buttons container content form group inner item items link links list panel post posts row section slot title unit widget wrap wrapper".split())
+CONTAINERS = frozenset("div section ul ol table span".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN_WORDS = frozenset("articlebody entrycontent postcontent articlecontent maincontent storybody postbody".split())
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+)>""")
 _BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>"']|\Z)""", re.IGNORECASE)
 
@@ -80,11 +85,17 @@ def _short_role(name: str, attributes: str, in_main: bool) -> int:
     """-1 for an element whose text goes, 1 for one that marks main text, 0 otherwise."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes and not attributes.isspace() else {}
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
-    words = set(re.split(r"[^a-z0-9]+", names)) if found else set()
     role = found.get("role", "").lower()
-    gone = name in NEVER or (name == "header" and not in_main) or role in TEMPLATE_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    if gone or (words & TEMPLATE_WORDS and name not in ("body", "html", "main")) or (not in_main and (words & HEADER_WORDS or role == "banner") and name not in ("body", "html", "main", "article", "h1")):
+    if name in NEVER or (name == "header" and not in_main) or role in TEMPLATE_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
         return -1
+    if in_main:
+        kinds = [set(re.split("[^a-z0-9]+", token)) for token in found.get("class", "").lower().split()] if name in CONTAINERS else []
+        if any(words & TEMPLATE_WORDS and words <= TEMPLATE_WORDS | BESIDE for words in kinds):
+            return -1
+    elif found and name not in HEADINGS and name not in ("body", "html", "main"):
+        words = set(re.split(r"[^a-z0-9]+", names))
+        if words & TEMPLATE_WORDS or (words & HEADER_WORDS or role == "banner") and name != "article":
+            return -1
     main = name in ("article", "main") or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody" or bool(set(re.sub(r"[^a-z ]", "", names).split()) & MAIN_WORDS)
     return int(main)
 
@@ -92,9 +103,10 @@ def _short_role(name: str, attributes: str, in_main: bool) -> int:
 def _markup(page: str) -> Iterator[tuple[int, int, re.Match | None]]:
     """Begin, end and match of each tag, comment (no match) or declaration (no match) of a page, in linear time.
 
-    A tag ends at the first ``>`` outside of its quotes; one with an open quote at the first ``>``; one without any takes the rest of the page.
+    A tag ends at the first ``>`` outside of its quoted values.  From the first tag on that never ends so, tags end at the first ``>``, and one
+    without any takes the rest of the page; so at most one scan is in vain.
     """
-    at, end = page.find("<"), len(page)
+    at, end, quoted = page.find("<"), len(page), True
     while at >= 0:
         follows, m = page[at + 1 : at + 2], None
         if follows in ("!", "?"):
@@ -102,7 +114,9 @@ def _markup(page: str) -> Iterator[tuple[int, int, re.Match | None]]:
             close = page.find(mark, at + 4 if mark == "-->" else at)
             stop = close + len(mark) if close >= 0 else end
         elif follows.isascii() and follows.isalpha() or follows == "/" and page[at + 2 : at + 3].isascii() and page[at + 2 : at + 3].isalpha():
-            m = _TAG.match(page, at) or _BARE_TAG.match(page, at)
+            m = _TAG.match(page, at) if quoted else None
+            if not m:
+                quoted, m = False, page.find(">", at) >= 0 and _BARE_TAG.match(page, at) or None
             stop = m.end() if m else end
         else:
             at = page.find("<", at + 1)
@@ -112,28 +126,33 @@ def _markup(page: str) -> Iterator[tuple[int, int, re.Match | None]]:
 
 
 def lines(page: str | None) -> list[Line]:
-    """Text blocks of a page in order, without what its markup says isn't main text."""
+    """Text blocks of a page in order, without what its markup says isn't main text.
+
+    A form inside of an article goes; a form around one, or around all of a page's text, is a wrapper.
+    """
     out: list[Line] = []
     page = page or ""
     parts: list[str] = []
-    open_tags: list[tuple[str, int, int, int]] = []  # name, elements that hide, elements that mark main text, path; counts and path up to here
+    open_tags: list[tuple[str, int, int, int, int]] = []  # name, elements that hide, elements that mark main text, path, in a form; counts and path up to here
     inside: dict[str, int] = {}  # open elements by name
-    hide = main = at = path = 0
+    formed: list[bool] = []  # of the lines
+    hide = main = at = path = form = 0
 
     def flush() -> None:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
                 out.append(Line(text, main > 0, path))
+                formed.append(form > 0)
             parts.clear()
 
     def close(k: int) -> None:
-        nonlocal hide, main, path
+        nonlocal hide, main, path, form
         flush()
         for x in open_tags[k:]:
             inside[x[0]] -= 1
         del open_tags[k:]
-        hide, main, path = open_tags[-1][1:] if open_tags else (0, 0, 0)
+        hide, main, path, form = open_tags[-1][1:] if open_tags else (0, 0, 0, 0)
 
     def last(name: str) -> int:
         return next(k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == name)
@@ -177,13 +196,14 @@ def lines(page: str | None) -> list[Line]:
         role = _role(name, told, main > 0) if told or name in MARKED else 0
         if role or name in BLOCKS or name in NEVER:
             flush()
-            hide, main, path = hide + (role < 0), main + (role > 0), zlib.crc32(f"{path}>{name}{re.sub('[0-9]', '', told[:80])}".encode())
-            open_tags.append((name, hide, main, path))
+            hide, main, path = hide + (role < 0), main + (role > 0), zlib.crc32(f"{path}>{name}{re.sub('[0-9]', '', told)}".encode())
+            form = 0 if role > 0 else int(form or name == "form")
+            open_tags.append((name, hide, main, path, form))
             inside[name] = inside.get(name, 0) + 1
     if not hide:
         parts.append(page[at:])
     flush()
-    return out
+    return [x for x, f in zip(out, formed) if not f] if not all(formed) else out
 
 
 def line_hash(text: str) -> int:

@@ -55,8 +55,27 @@ def test_blocks_give_the_path_of_one_scan(spark, monkeypatch):
     assert decoded(lines, model) == expected
     out = chat.rendered(chat.decode(lines, model)).collect()
     assert sum(r.n_lines for r in out) == sum(map(len, expected.values()))
+    order = sorted(out, key=lambda r: (r.conv, r.place))
+    last = {(a.conv, a.place) for a, b in zip(order, [*order[1:], None]) if b is None or b.conv != a.conv or not b.continues}
     for r in out:
-        assert r.rendered == ("" if r.continues else f"<|{r.role}|>\n") + r.text + "\n<|end|>"
+        assert r.rendered == ("" if r.continues else f"<|{r.role}|>\n") + r.text + ("\n<|end|>" if (r.conv, r.place) in last else "")
+
+
+def test_long_turns_are_the_same_rows_whatever_the_tasks(spark):
+    turns = [(1, 0, "user", "short question?", 0), (1, 1, "assistant", "\n".join(f"line {k} of a long turn" for k in range(1200)), 0), (1, 2, "user", "thanks", 0), (1, 2, "user", "another text of the same number", 0), (1, 2, "user", "thanks", 0)]
+    frame = spark.createDataFrame(turns, SCHEMA)
+    model, found = chat.fit(chat.raw_lines(frame)), []
+    for tasks in ("1", "8", "16"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        try:
+            found.append(sorted(map(tuple, chat.rendered(chat.decode(chat.raw_lines(frame), model)).collect())))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
+    transcript = "\n".join(r[-1] for r in found[0])
+    assert transcript.count("<|end|>") == transcript.count("<|user|>") + transcript.count("<|assistant|>")
+    assert sum(r[4] for r in found[0]) == 1203 and {r[1] for r in found[0] if r[3]} == {512, 1024}
 
 
 def test_counts_equal_those_of_whole_transcripts(spark, monkeypatch):
