@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import scores
 from ..functions.text import tokens
 from ..sources.shared import stored, version
+from .blocks import PART_BYTES, best_rows
 
 CANDIDATES, CAP, FLOOR, HALF_LIFE = 50, 3, 0.25, 180.0
 
@@ -93,43 +94,25 @@ def vector_leg(vectors: DataFrame, query: Column, n: int = CANDIDATES, floor: fl
     return best if floor is None else best.where(F.col("score") >= floor)
 
 
-QUERY_BLOCK, VECTOR_BLOCK = 4096, 65_536
+QUERY_BLOCK = 4096
 
 
 def nearest_neighbours(queries: DataFrame, vectors: DataFrame, n: int, floor: float = -1.0) -> DataFrame:
     """``query_id, id, score, rank``: each query's ``n`` nearest other rows.
 
-    A stated query set against all rows, in blocks: queries are dealt to blocks of about ``QUERY_BLOCK`` rows and vectors to parts of about
-    ``VECTOR_BLOCK``, each block meets each part in one bounded group, and a group keeps only ``n`` rows a query before anything is exchanged.
-    Nothing goes through the driver.
+    A stated query set against all rows, in blocks: queries are dealt to blocks of about ``QUERY_BLOCK`` rows and vectors to parts of a bounded
+    size in bytes, each block meets each part in one group, and a group keeps only ``n`` rows a query before anything is exchanged.  Nothing goes
+    through the driver.
     """
-    import numpy as np
-    import pandas as pd
-
     spark = vectors.sparkSession
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // VECTOR_BLOCK))
+    size = vectors.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0)) * 8).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     dealt = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
     each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    asked = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("query"), dealt(blocks).alias("q_block"), each(parts).alias("q_part"))
-    held = vectors.select("id", "vector", each(blocks).alias("block"), dealt(parts).alias("part"))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            v = np.array(right["vector"].tolist(), float).reshape(len(right), -1)
-            size, ids = np.linalg.norm(v, axis=1), right["id"].to_numpy()
-            v = (v / np.maximum(size, 1e-300)[:, None]).T
-            for first in range(0, len(left), 64):
-                q = np.array(left["query"].tolist()[first : first + 64], float)
-                q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-                for key, row in zip(left["query_id"].to_numpy()[first : first + 64], np.round(q @ v, 6)):
-                    fine = np.flatnonzero((ids != key) & (size > 0) & (row >= floor))
-                    best = fine[np.lexsort((ids[fine], -row[fine]))][:n]
-                    out.append(pd.DataFrame({"query_id": key, "id": ids[best], "score": row[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
-
-    found = asked.groupBy("q_block", "q_part").cogroup(held.groupBy("block", "part")).applyInPandas(run, "query_id long, id long, score double").withColumn("score", F.round("score", 6))
+    asked = queries.select(F.col("id").cast("long").alias("query_id"), F.col("vector").alias("query"), dealt(blocks).alias("q_block"), each(parts).alias("q_part"))
+    held = vectors.select(F.col("id").cast("long").alias("id"), "vector", each(blocks).alias("block"), dealt(parts).alias("part"))
+    found = asked.groupBy("q_block", "q_part").cogroup(held.groupBy("block", "part")).applyInArrow(best_rows(n, floor), "query_id long, id long, score double").withColumn("score", F.round("score", 6))
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= n)
 
 

@@ -92,10 +92,10 @@ def stemmed_search(spark: SparkSession, sf: str) -> DataFrame:
     return lexical_index.scores(_index(spark, sf, True), ASKED).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
-@query(f"WITH {LEXEMES} SELECT a.doc_id, a.field, count(*) AS n FROM held_stems a JOIN held_stems b ON a.doc_id = b.doc_id AND a.field = b.field AND b.place = a.place + 2 AND a.lexeme = 'orant' AND b.lexeme = 'thon' GROUP BY 1, 2")
+@query(f"WITH {LEXEMES} SELECT a.doc_id, a.field, count(*) AS n FROM held_stems a JOIN held_stems b ON a.doc_id = b.doc_id AND a.field = b.field AND b.place = a.place + 2 AND a.lexeme = 'orant' AND b.lexeme = 'orant' GROUP BY 1, 2")
 def stemmed_phrases(spark: SparkSession, sf: str) -> DataFrame:
     """A phrase with a stop word in its middle, whose place may hold any word."""
-    return lexical_index.phrases(_index(spark, sf, True), "orantion of thons")
+    return lexical_index.phrases(_index(spark, sf, True), "orantion of orantions")
 
 
 @query(

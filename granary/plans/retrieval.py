@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import ranges, search
+from ..operators import ranges, search, vector_index
 from ..operators.predicates import search_predicate
 from ..sources import tables
 from .registry import DOCS, TOKENS, query
@@ -149,6 +149,23 @@ def knn_join_twentieth(spark: SparkSession, sf: str) -> DataFrame:
     return search.nearest_neighbours(vectors.where("id % 20 = 0"), vectors, 5).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    f"SELECT query_id, id, score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id AND {COSINE} >= 0.3) WHERE rank <= 5"
+)
+def adaptive_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest vectors over a floor of the stated query set, by an index whose search widens until no unread cell can hold more."""
+    vectors = tables.embeddings(spark, sf)
+    return vector_index.adaptive(vector_index.built(vectors), vectors.where("id % 20 = 0"), 5, 0.3)
+
+
+@query()
+def approximate_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest vectors of the stated query set in half of the index's cells."""
+    vectors = tables.embeddings(spark, sf)
+    index = vector_index.built(vectors)
+    return vector_index.approximate(index, vectors.where("id % 20 = 0"), 5, max(1, index.cells.count() // 2))
+
+
 @query(
     f"SELECT label, max({COSINE}) AS best FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0 GROUP BY 1 HAVING max({COSINE}) >= 0.1"
 )
