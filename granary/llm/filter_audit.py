@@ -1,7 +1,7 @@
 """Audit of document filters in all their orders, from a stream that retracts what later rows prove wrong.
 
 All files pass as available-now micro-batches.  Four filters look at a row alone; the fifth drops a text that a smaller id has too, which no row
-can tell by itself.  State keyed by the text holds the smallest id so far and the counters its rows stand in: a smaller id that arrives later
+can tell by itself.  State keyed by the text, in buckets of keys, holds the smallest id so far and the counters its rows stand in: a smaller id that arrives later
 takes them back and puts them among the duplicates.  Every batch writes the sum of its changes under its own number, so a repeated batch replaces
 itself, and the report is made of the sums alone.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 import itertools
 import json
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,8 +28,8 @@ from .shared import bounded_batches, deleted_at_exit, shared_folder, stash
 FILTERS = "ABCDE"
 DUPLICATE = 1 << FILTERS.index("E")
 GOOD, TOXIC = 1 << len(FILTERS), 2 << len(FILTERS)
-#: Micro-batches that the files are dealt to, and rows that a task merges at once.
-BATCHES, MERGED_ROWS = 4, 1 << 16
+#: Micro-batches that the files are dealt to, rows that a task merges at once, and texts of a bucket of states.
+BATCHES, MERGED_ROWS, TEXTS = 4, 1 << 16, 256
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGES = "part string, cell int, n long"
 
@@ -70,27 +71,34 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield merge(pa.Table.from_batches(held))
 
 
-def _changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of the counters by one text's new rows."""
-    rows = [row for f in frames for row in zip(f["id"].tolist(), f["part"].tolist(), f["cell"].tolist(), f["n"].tolist())]
-    ids = [int(i) for i, *_ in rows if i == i and i is not None]
-    out: list[tuple[str, int, int]] = []
-    if ids:
-        old, held = None, []
-        if state.exists:
-            old, text = state.get
-            held = json.loads(text)
-        least = min(ids) if old is None else min(old, *ids)
-        if old is not None and least < old:
-            out += [(part, cell, -n) for part, cell, n in held] + [(part, cell | DUPLICATE, n) for part, cell, n in held]
-            held = []
-        mine = [[part, int(cell), n] for i, part, cell, n in rows if i == least]
-        if mine:
-            state.update((least, json.dumps(held + mine)))
-    else:
-        least = None
-    out += [(part, int(cell) | (DUPLICATE if i == i and i is not None and i != least else 0), n) for i, part, cell, n in rows]
-    yield pd.DataFrame(out, columns=["part", "cell", "n"])
+def _changes(bucket: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Changes of the counters by the new rows of a bucket's texts.
+
+    The state has, for each text's key, the smallest id so far and the counters of its rows: ``key: [id, [[part, cell, n], ...]]``.
+    """
+    fresh: dict[str, list[tuple]] = {}
+    out: Counter[tuple[str, int]] = Counter()
+    for f in frames:
+        for key, i, part, cell, n in zip(*(f[c].tolist() for c in ("key", "id", "part", "cell", "n"))):
+            if i is None or i != i:  # counted only
+                out[part, cell] += n
+            else:
+                fresh.setdefault(key, []).append((int(i), part, int(cell), n))
+    if fresh:
+        known = json.loads(state.get[0]) if state.exists else {}
+        for key, rows in fresh.items():
+            old, held = known.get(key, (None, []))
+            least = min(r[0] for r in rows) if old is None else min(old, *(r[0] for r in rows))
+            if old is not None and least < old:
+                for part, cell, n in held:
+                    out[part, cell] -= n
+                    out[part, cell | DUPLICATE] += n
+                held = []
+            for i, part, cell, n in rows:
+                out[part, cell | (0 if i == least else DUPLICATE)] += n
+            known[key] = (least, held + [r[1:] for r in rows if r[0] == least])
+        state.update((json.dumps(known),))
+    yield pd.DataFrame([(part, cell, n) for (part, cell), n in out.items() if n], columns=["part", "cell", "n"])
 
 
 def file_stream(spark: SparkSession, path: str, batches: int = BATCHES) -> DataFrame:
@@ -104,9 +112,11 @@ def file_stream(spark: SparkSession, path: str, batches: int = BATCHES) -> DataF
     return stream.parquet(path)
 
 
-def counters(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def counters(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 12) -> DataFrame:
     """``part, mask, good, toxic, n``: rows of a stream of documents (doc_id integer, text, source) by the filters they fail.
 
+    The texts' states lie in ``buckets`` by their keys, as calls of Python cost more than their work; about ``TEXTS`` texts a bucket are fine.
+
     A null source is the empty string, a null text an empty one.  A row without an id is no duplicate and makes none.  Rows of the smallest id
     of a text, repeated ones too, are no duplicates.  Several labels of an id count as the best quality and the worst toxicity, missing or null
     ones as neither.  Other columns are ignored; an empty stream gives no rows.
@@ -118,10 +128,10 @@ def counters(docs: DataFrame, labels: DataFrame) -> DataFrame:
     flags = stash(flags.where("flags > 0"), "flags")
     text = F.coalesce("text", F.lit(""))
     # a checksum of 256 bits is the text's key
-    rows = docs.select(F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"), F.col("doc_id").cast("long").alias("id"), F.coalesce("source", F.lit("")).alias("part"), failures(F.col("text")).alias("mask"))
+    rows = docs.select(F.sha2(text.cast("binary"), 256).alias("key"), F.col("doc_id").cast("long").alias("id"), F.coalesce("source", F.lit("")).alias("part"), failures(F.col("text")).alias("mask"))
     rows = rows.join(flags, "id", "left").select("key", "id", "part", (F.col("mask") + F.coalesce("flags", F.lit(0))).alias("cell"), F.lit(1).cast("long").alias("n"))
-    merged = rows.mapInArrow(_merged, "key binary, id long, part string, cell int, n long")
-    changes = merged.groupBy("key").applyInPandasWithState(_changes, CHANGES, "id long, held string", "update", GroupStateTimeout.NoTimeout)
+    merged = rows.mapInArrow(_merged, "key string, id long, part string, cell int, n long").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    changes = merged.groupBy("bucket").applyInPandasWithState(_changes, CHANGES, "known string", "update", GroupStateTimeout.NoTimeout)
 
     place = f"{shared_folder(spark)}/granary/audit-{uuid.uuid4().hex}"
     deleted_at_exit(spark, place)
@@ -183,6 +193,6 @@ def report(counted: DataFrame) -> DataFrame:
     )
 
 
-def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The report of a stream of documents."""
-    return report(counters(docs, labels))
+def audit(docs: DataFrame, labels: DataFrame, rows: int = 1 << 18) -> DataFrame:
+    """The report of a stream of about so many documents."""
+    return report(counters(docs, labels, max(1, rows // TEXTS)))

@@ -128,7 +128,8 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
 
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters in all orders over every document, from a stream of the table's files."""
-    return filter_audit.audit(filter_audit.file_stream(spark, f"{sf_dir}/documents.parquet"), _table(spark, sf_dir, "labels"))
+    rows = _table(spark, sf_dir, "documents").count()
+    return filter_audit.audit(filter_audit.file_stream(spark, f"{sf_dir}/documents.parquet"), _table(spark, sf_dir, "labels"), rows)
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
