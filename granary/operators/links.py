@@ -7,19 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def participant_keys(rows: DataFrame, most: int | None = None) -> DataFrame:
-    """``doc_id, key`` of each document's lower-case participants; keys of more than ``most`` documents say nothing and go."""
-    keys = rows.select("doc_id", F.explode(F.array_distinct(F.transform("participants", F.lower))).alias("key")).where("key <> ''")
-    if most is None:
-        return keys
-    return keys.join(keys.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") <= most), "key", "left_semi")
+SPLIT = 16
+
+
+def participant_keys(rows: DataFrame) -> DataFrame:
+    """``doc_id, key`` of each document's lower-case participants."""
+    return rows.select("doc_id", F.explode(F.array_distinct(F.transform("participants", F.lower))).alias("key")).where("key <> ''")
+
+
+def split_join(touched: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Equality join of touched rows (``x``) with all rows (``y``), of which each key is dealt to ``SPLIT`` parts.
+
+    A key that a third of all rows share is no single task; the few touched rows meet every part.
+    """
+    a = touched.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))))
+    b = rows.withColumn("_part", F.pmod(F.xxhash64("y"), F.lit(SPLIT)).cast("int"))
+    return a.join(b, [*keys, "_part"]).drop("_part")
 
 
 def _pairs(touched: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """``src, dst, key`` of touched documents and others that share a key, the smaller id first, each pair once."""
-    a = touched.select(F.col("doc_id").alias("x"), key)
-    b = rows.select(F.col("doc_id").alias("y"), key)
-    return a.join(b, key).where("x <> y").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), key).distinct()
+    a, b = touched.select(F.col("doc_id").alias("x"), key), rows.select(F.col("doc_id").alias("y"), key)
+    return split_join(a, b, [key]).where("x <> y").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), key).distinct()
 
 
 def shared_thread(touched: DataFrame, rows: DataFrame) -> DataFrame:
@@ -38,7 +47,7 @@ def same_day_participant(touched: DataFrame, rows: DataFrame, dates: DataFrame,
     dated = lambda d: d.join(dates, "doc_id")
     a = dated(touched).select(F.col("doc_id").alias("x"), "key", F.col("day").alias("dx"), F.explode(F.sequence(F.date_sub("day", days), F.date_add("day", days))).alias("at"))
     b = dated(rows).select(F.col("doc_id").alias("y"), "key", F.col("day").alias("at"))
-    near = a.join(b, ["key", "at"]).where("x <> y")
+    near = split_join(a, b, ["key", "at"]).where("x <> y")
     return near.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "key").groupBy("src", "dst").agg(F.min("key").alias("evidence"))
 
 

@@ -26,3 +26,15 @@ def running(rows: DataFrame, group: list[str], order: list[Column], value: Colum
 def numbered(rows: DataFrame, group: list[str], order: list[Column], name: str = "k") -> DataFrame:
     """The rows with their number in the group's order, from 1."""
     return running(rows, group, order, F.lit(1), name)
+
+
+def percentiles(rows: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``group`` and a column a share: the least value that this share of the group's values (nulls aside) doesn't exceed; exact.
+
+    ``group`` names one column or more.  Equal values are counted first, and running counts over ranges of values say which one it is, so no task holds a group's values.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_value")).agg(F.count("*").alias("_count"))
+    placed = running(counted, group, [F.col("_value")], F.col("_count"), "_upto")
+    both = placed.join(counted.groupBy(*group).agg(F.sum("_count").alias("_total")), group)
+    rank = lambda share: F.greatest(F.ceil(F.col("_total") * F.lit(share)), F.lit(1))
+    return both.groupBy(*group).agg(*[F.min(F.when(F.col("_upto") >= rank(share), F.col("_value"))).alias(name) for name, share in shares.items()])

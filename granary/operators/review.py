@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scores
+from ..sources.shared import stored
+from . import ranges
 
 #: Gap detectors by signal: functions from the tables of ``queue`` to ``target, score, evidence``.
 DETECTORS: dict[str, Callable[..., DataFrame]] = {}
@@ -126,27 +128,40 @@ def retired(pending: DataFrame, links: DataFrame) -> DataFrame:
     return pending.join(both, ["src", "dst"], "left_anti")
 
 
-def query_clusters(queries: DataFrame, threshold: float = 0.5, most: int = 1000) -> DataFrame:
-    """``seed, query``: the report's ``most`` failed queries in order, each with the first seed whose words it shares to ``threshold``.
+def query_clusters(queries: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``seed, query``: every query in order, each with the first seed whose words it shares to ``threshold``; without one it is a seed.
 
-    The rule depends on the order, so the bounded report is settled in one group; ``queries`` has query and n, most frequent first.
+    ``queries`` has query (unique) and n, most frequent first.  Which queries are seeds depends on the order, so they are settled in rounds: a
+    query is a seed once no earlier neighbour can be one, and no seed once an earlier neighbour is.  Neighbours come from a join on rare words: a
+    pair of that similarity shares one of the n - ceil(threshold * n) + 1 rarest words of each.  Rounds go on as long as something is settled, and
+    a chain of decisions is as long as the order makes it, not as the table.
     """
-    import pandas as pd
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[str, set[str]]] = []
-        out = []
-        for q in frame.sort_values(["n", "query"], ascending=[False, True])["query"]:
-            words = set(q.lower().split())
-            seed = next((s for s, w in found if w | words and len(w & words) / len(w | words) >= threshold), None)
-            if seed is None:
-                seed = q
-                found.append((q, words))
-            out.append((seed, q))
-        return pd.DataFrame(out, columns=["seed", "query"])
-
-    report = queries.orderBy(F.desc("n"), "query").limit(most).withColumn("_all", F.lit(0))
-    return report.groupBy("_all").applyInPandas(run, "seed string, query string")
+    ranked = ranges.numbered(queries.select("query", "n"), [], [F.desc("n"), F.col("query")], "place")
+    words = stored(ranked.select("place", "query", F.array_distinct(F.split(F.trim(F.lower("query")), r"\s+")).alias("words")), "queries")
+    held = words.select("place", F.size("words").alias("size"), F.explode("words").alias("word"))
+    often = held.groupBy("word").agg(F.count("*").alias("holders"))
+    rare = held.join(often, "word").groupBy("place", "size").agg(F.array_sort(F.collect_list(F.struct("holders", "word"))).alias("all"))
+    prefix = rare.select("place", "size", F.explode(F.slice("all", F.lit(1), (F.col("size") - F.ceil(F.col("size") * threshold) + 1).cast("int"))).alias("x")).where("x.holders > 1")
+    x, y = (prefix.select(F.col("x.word").alias("word"), F.col("place").alias(s), F.col("size").alias(f"n{s}")) for s in "ab")
+    near = x.join(y, "word").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)).select("a", "b").distinct()
+    wa, wb = (words.select(F.col("place").alias(s), F.col("words").alias(f"w{s}")) for s in "ab")
+    both = F.size(F.array_intersect("wa", "wb"))
+    near = stored(near.join(wa, "a").join(wb, "b").where(both / (F.size("wa") + F.size("wb") - both) >= threshold).select("a", "b"), "neighbours")
+
+    # a query without an earlier neighbour is a seed at once
+    known = stored(words.select("place").join(near.select(F.col("b").alias("place")), "place", "left_anti").withColumn("is_seed", F.lit(True)), "settled")
+    total = words.count()
+    while known.count() < total:
+        a = near.join(known.select(F.col("place").alias("b")), "b", "left_anti")
+        told = a.join(known.select(F.col("place").alias("a"), "is_seed"), "a", "left")
+        settled = told.groupBy(F.col("b").alias("place")).agg(F.max(F.coalesce("is_seed", F.lit(False))).alias("follows"), F.count_if(F.col("is_seed").isNull()).alias("open"))
+        fresh = settled.where("follows OR open = 0").select("place", (~F.col("follows")).alias("is_seed"))
+        known = stored(known.unionByName(fresh), "settled")
+    seeds = known.where("is_seed").select(F.col("place").alias("a"))
+    first = near.join(seeds, "a", "left_semi").groupBy(F.col("b").alias("place")).agg(F.min("a").alias("seed"))
+    out = known.where("NOT is_seed").join(first, "place").select("place", "seed").unionByName(known.where("is_seed").select("place", F.col("place").alias("seed")))
+    names = words.select(F.col("place").alias("seed"), F.col("query").alias("name"))
+    return out.join(words.select("place", "query"), "place").join(names, "seed").select(F.col("name").alias("seed"), "query")
 
 
 def keyed_failures(failures: DataFrame, key: Column) -> DataFrame:

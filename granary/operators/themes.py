@@ -17,43 +17,74 @@ def kept_edges(nodes: DataFrame, edges: DataFrame, least: float) -> DataFrame:
     return inner.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("weight").alias("weight"))
 
 
-def spanning_forest(edges: DataFrame, labels: DataFrame, rounds: int = 200) -> DataFrame:
-    """``node, parent, level``: breadth-first trees from the smallest node of each component (``node, component``); the smallest neighbour of the level above is the parent."""
-    both = stored(edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(edges.select("dst", "src")).distinct(), "both")
-    roots = labels.where("node = component").select("node")
-    level = seen = stored(roots.select("node", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("level")), "forest")
-    for k in range(1, rounds + 1):
-        reached = level.select(F.col("node").alias("other")).join(both, "other").groupBy("node").agg(F.min("other").alias("parent"))
-        level = stored(reached.join(seen.select("node"), "node", "left_anti").select("node", "parent", F.lit(k).alias("level")), "level")
-        if not level.limit(1).count():
-            return seen
-        seen = stored(seen.unionByName(level), "forest")
-    raise RuntimeError(f"a component is deeper than {rounds} levels")
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """``src, dst``: the edges of a forest that spans every component.
+
+    Each round every tree so far takes its least edge to another tree, by a hash of the edge, and the trees that meet become one; trees at least
+    double, so rounds are as many as the logarithm of the nodes.
+    """
+    key = F.struct(F.xxhash64("src", "dst").alias("h"), "src", "dst")
+    left = stored(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().select("src", "dst", F.col("src").alias("a"), F.col("dst").alias("b")), "left")
+    forest = None
+    while not left.isEmpty():
+        ends = left.select(F.col("a").alias("tree"), key.alias("edge"), "a", "b").unionByName(left.select(F.col("b").alias("tree"), key.alias("edge"), "a", "b"))
+        best = ends.groupBy("tree").agg(F.min(F.struct("edge", "a", "b")).alias("x"))
+        best = stored(best.select("x.edge.src", "x.edge.dst", "x.a", "x.b").distinct(), "taken")
+        forest = best.select("src", "dst") if forest is None else forest.unionByName(best.select("src", "dst"))
+        trees = graph.components(best.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        to = lambda end: trees.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+        # each end of an edge that is left lies in a tree that took an edge, as it has one
+        left = stored(left.join(to("a"), "a").join(to("b"), "b").where("_a <> _b").select("src", "dst", F.col("_a").alias("a"), F.col("_b").alias("b")), "left")
+    return left.select("src", "dst") if forest is None else forest
+
+
+def tree_tours(tree: DataFrame, roots: DataFrame) -> DataFrame:
+    """``u, v, component, rest``: both directions of every tree edge, and how many steps of its tree's tour follow.
+
+    A tour takes each edge once in either direction: after ``u, v`` comes ``v`` and its next neighbour behind ``u``, in a circle.  It begins at the
+    root, the tree's ``component`` (``node, component`` for all nodes).  Steps are counted by doubling, so rounds are as many as the logarithm of
+    the longest tour.
+    """
+    both = tree.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(tree.select("dst", "src"))
+    arcs = stored(ranges.numbered(both, [], [F.col("u"), F.col("v")], "k"), "arcs")
+    first = arcs.groupBy("u").agg(F.min("k").alias("first"))
+    after = arcs.select((F.col("k") - 1).alias("k"), F.col("u").alias("_u"))
+    turn = arcs.join(after, "k", "left").join(first, "u").select("u", "v", "k", F.when(F.col("_u") == F.col("u"), F.col("k") + 1).otherwise(F.col("first")).alias("turn"))
+    back = turn.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("turn").alias("next"))
+    starts = first.join(roots.where("node = component").select(F.col("node").alias("u")), "u").select(F.col("first").alias("next"), F.lit(True).alias("_start"))
+    steps = arcs.join(back, ["u", "v"]).join(starts, "next", "left").select("k", F.when(F.col("_start").isNull(), F.col("next")).alias("next"))
+    steps = stored(steps.withColumn("rest", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long")), "steps")
+    while not steps.where("next IS NOT NULL").isEmpty():
+        far = steps.select(F.col("k").alias("next"), F.col("next").alias("_next"), F.col("rest").alias("_rest"))
+        steps = stored(steps.join(far, "next", "left").select("k", F.col("_next").alias("next"), (F.col("rest") + F.coalesce("_rest", F.lit(0))).alias("rest")), "steps")
+    return arcs.join(steps.select("k", "rest"), "k").join(roots.select(F.col("node").alias("u"), "component"), "u").select("u", "v", "component", "rest")
 
 
 def bridges(edges: DataFrame) -> DataFrame:
-    """``src, dst, below, beyond``: the edges on no cycle, and the nodes on either side of each.
+    """``src, dst, below, beyond``: the edges on no cycle, and the nodes on either side of each; the smallest node of the component lies beyond.
 
-    Each edge outside of a spanning forest gets a random 64-bit number, a node the exclusive or of its edges' numbers.  A tree edge is a bridge
-    if the numbers below it cancel out: no other edge leaves the subtree (an error has probability 2**-64).  Sums flow up one level at a time.
+    Each edge outside of a spanning forest gets a random number, which one of its ends adds and the other takes away.  A tree edge is a bridge if
+    the numbers below it cancel out, so that no other edge leaves the subtree (an error has probability 2**-63).  A subtree is a stretch of the
+    tree's tour, and sums of stretches are differences of running sums, however deep the tree is.
     """
-    pairs = edges.select("src", "dst")
-    sizes = graph.components(pairs)
-    forest = spanning_forest(pairs, sizes)
-    tree = forest.where("parent IS NOT NULL").select(F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst"))
-    marks = pairs.join(tree, ["src", "dst"], "left_anti").select(F.explode(F.array("src", "dst")).alias("node"), F.xxhash64("src", "dst", F.lit(11)).alias("mark"))
-    own = forest.join(marks.groupBy("node").agg(F.expr("bit_xor(mark)").alias("mark")), "node", "left").select("node", "parent", "level", F.coalesce("mark", F.lit(0)).alias("mark"), F.lit(1).alias("size"))
-    own = stored(own, "marks")
-    deepest = own.agg(F.max("level")).first()[0] or 0
-    below = done = own.where(F.col("level") == deepest)
-    for level in range(deepest - 1, -1, -1):
-        up = below.groupBy(F.col("parent").alias("node")).agg(F.expr("bit_xor(mark)").alias("_mark"), F.sum("size").alias("_size"))
-        below = own.where(F.col("level") == level).join(up, "node", "left").select("node", "parent", "level", F.col("mark").bitwiseXOR(F.coalesce("_mark", F.lit(0))).alias("mark"), (F.col("size") + F.coalesce("_size", F.lit(0))).alias("size"))
-        below = stored(below, "below")
-        done = done.unionByName(below)
-    total = sizes.join(sizes.groupBy("component").agg(F.count("*").alias("all")), "component").select("node", "all")
-    cut = done.where("parent IS NOT NULL AND mark = 0").join(total, "node")
-    return cut.select(F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst"), F.col("size").cast("long").alias("below"), (F.col("all") - F.col("size")).alias("beyond"))
+    pairs = stored(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "pairs")
+    roots = stored(graph.components(pairs), "roots")
+    tree = stored(spanning_forest(pairs), "tree")
+    tour = stored(tree_tours(tree, roots), "tour")
+    number = F.xxhash64("src", "dst", F.lit(11)).cast("decimal(38,0)")
+    marks = pairs.join(tree, ["src", "dst"], "left_anti").select(F.explode(F.array(F.struct(F.col("src").alias("node"), number.alias("mark")), F.struct(F.col("dst").alias("node"), (-number).alias("mark")))).alias("x")).select("x.*")
+    own = marks.groupBy(F.col("node").alias("v")).agg(F.sum("mark").alias("mark"))
+    up = tour.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("rest").alias("_rest"))
+    steps = tour.join(up, ["u", "v"]).withColumn("down", F.col("rest") > F.col("_rest")).join(own, "v", "left")
+    steps = steps.select("u", "v", "component", "rest", "down", F.when(F.col("down"), F.coalesce("mark", F.lit(0))).otherwise(0).cast("decimal(38,0)").alias("mark"), F.col("down").cast("long").alias("size"))
+    order = [F.desc("rest")]
+    summed = ranges.running(ranges.running(steps, ["component"], order, F.col("mark"), "marks"), ["component"], order, F.col("size"), "sizes")
+    summed = stored(summed, "summed")
+    down = summed.where("down").select("u", "v", "component", (F.col("marks") - F.col("mark")).alias("m0"), (F.col("sizes") - F.col("size")).alias("s0"))
+    ends = summed.where("NOT down").select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("marks").alias("m1"), F.col("sizes").alias("s1"))
+    cut = down.join(ends, ["u", "v"]).where("m0 = m1").join(roots.groupBy("component").agg(F.count("*").alias("all")), "component")
+    below = (F.col("s1") - F.col("s0")).cast("long")
+    return cut.select(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst"), below.alias("below"), (F.col("all") - below).alias("beyond"))
 
 
 def grouped(nodes: DataFrame, edges: DataFrame, least: float = 0.2, keep: float = 0.5, most: int | None = None) -> tuple[DataFrame, DataFrame]:

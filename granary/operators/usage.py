@@ -14,16 +14,15 @@ from . import ranges
 def totals(acts: DataFrame) -> DataFrame:
     """Counts by kind, sessions, and discrete percentiles of the values of searches (views)."""
     is_ = lambda a: F.col("action") == a
-    disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value) FILTER (WHERE action = 'view')")
-    return acts.agg(
+    counts = acts.agg(
         F.count("*").alias("events"),
         F.count_if(is_("view")).alias("views"),
         F.count_if(is_("error")).alias("errors"),
         F.countDistinct("session_id").alias("sessions"),
         F.round(F.sum(F.when(is_("purchase"), F.col("value"))), 4).alias("purchase_value"),
-        disc(0.5).alias("view_p50"),
-        disc(0.95).alias("view_p95"),
     )
+    views = ranges.percentiles(acts.where(is_("view")).select(F.lit(0).alias("_all"), "value"), ["_all"], "value", {"view_p50": 0.5, "view_p95": 0.95})
+    return counts.withColumn("_all", F.lit(0)).join(views, "_all", "left").drop("_all")
 
 
 def daily(acts: DataFrame) -> DataFrame:

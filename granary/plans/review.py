@@ -19,13 +19,11 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _people(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents mention the words of their participants: ``doc_id, entity_id``; words of more than 200 documents are no names."""
-    keys = tables.notes(spark, sf).select("doc_id", F.explode(F.array_distinct("participants")).alias("entity_id")).where("entity_id <> ''")
-    return keys.join(keys.groupBy("entity_id").agg(F.count("*").alias("n")).where("n <= 200"), "entity_id", "left_semi").select("doc_id", "entity_id")
+    """Documents mention the words of their participants: ``doc_id, entity_id``."""
+    return tables.notes(spark, sf).select("doc_id", F.explode(F.array_distinct("participants")).alias("entity_id")).where("entity_id <> ''")
 
 
-_KEYS = f"(SELECT DISTINCT doc_id, e AS entity_id FROM (SELECT doc_id, unnest(participants) AS e FROM {NOTES}) WHERE e <> '')"
-PEOPLE = f"(SELECT * FROM {_KEYS} WHERE entity_id IN (SELECT entity_id FROM {_KEYS} GROUP BY 1 HAVING count(*) <= 200))"
+PEOPLE = f"(SELECT DISTINCT doc_id, e AS entity_id FROM (SELECT doc_id, unnest(participants) AS e FROM {NOTES}) WHERE e <> '')"
 
 
 @query(
@@ -195,6 +193,6 @@ def failures_by_key(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def failed_query_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Clusters of the report's failed queries."""
+    """Clusters of all failed queries, in the order of their number."""
     rows = tables.table(spark, sf, "part").groupBy(F.col("p_name").alias("query")).agg(F.count("*").alias("n"))
     return review.query_clusters(rows)

@@ -37,6 +37,15 @@ def new_hits(documents: DataFrame, searches: list[tuple[str, Column]], key: str
     return documents.withWatermark(at, late).select(F.explode(names).alias("search"), key, at).dropDuplicatesWithinWatermark(["search", key])
 
 
+def remembered_hits(documents: DataFrame, searches: list[tuple[str, Column]], key: str = "doc_id") -> DataFrame:
+    """``search, doc_id``: each saved search's hits, each once however late its document comes again.
+
+    The state keeps every hit (two values each) and no watermark drops late documents; ``new_hits`` is for streams whose state must stay bounded.
+    """
+    names = F.filter(F.array(*[F.when(where, F.lit(name)) for name, where in searches]), lambda x: x.isNotNull())
+    return documents.select(F.explode(names).alias("search"), key).dropDuplicates(["search", key])
+
+
 def recorded_hits(hits: DataFrame, ledger: str, checkpoint: str) -> StreamingQuery:
     """Append hits to a ledger table (folders by stream and batch); a hit that the ledger has stays as it is.
 

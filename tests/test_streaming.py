@@ -108,3 +108,13 @@ def test_notification_ledger(spark):
     ledger = spark.createDataFrame([("s", 1, False), ("s", 2, True), ("t", 1, False)], "search string, doc_id long, notified boolean")
     listed = spark.createDataFrame([("s", 1), ("s", 1), ("x", 9)], "search string, doc_id long")
     assert sorted(tuple(r) for r in usage.notified(ledger, listed).collect()) == [("s", 1, True), ("s", 2, True), ("t", 1, False)]
+
+
+def test_remembered_hits_outlive_the_watermark(spark):
+    """Documents that come again long after, and late ones, give the ledger of the whole table."""
+    schema = "doc_id long, text string, updated_at timestamp"
+    rows = [(k % 20, ("alpha", "beta", "alpha beta")[k % 3], T0 + dt.timedelta(days=(k * 37) % 90)) for k in range(80)]
+    searches = [("a", F.contains("text", F.lit("alpha"))), ("b", F.contains("text", F.lit("beta")))]
+    got = drained(jobs.remembered_hits(source(spark, rows, schema, files=8), searches), "remembered").collect()
+    want = {(s, k) for k, text, _ in rows for s, word in (("a", "alpha"), ("b", "beta")) if word in text}
+    assert sorted((r.search, r.doc_id) for r in got) == sorted(want)
