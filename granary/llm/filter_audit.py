@@ -112,10 +112,12 @@ def file_stream(spark: SparkSession, path: str, batches: int = BATCHES) -> DataF
     return stream.parquet(path)
 
 
-def counters(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 12) -> DataFrame:
+def counters(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 12, provider: str | None = None) -> DataFrame:
     """``part, mask, good, toxic, n``: rows of a stream of documents (doc_id integer, text, source) by the filters they fail.
 
     The texts' states lie in ``buckets`` by their keys, as calls of Python cost more than their work; about ``TEXTS`` texts a bucket are fine.
+    ``provider`` names the class that stores states, such as ``ROCKSDB`` for more texts than the executors' memory holds (about 150 bytes a text);
+    without one it is the session's own.
 
     A null source is the empty string, a null text an empty one.  A row without an id is no duplicate and makes none.  Rows of the smallest id
     of a text, repeated ones too, are no duplicates.  Several labels of an id count as the best quality and the worst toxicity, missing or null
@@ -140,13 +142,13 @@ def counters(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 12) -> Data
     def add(batch: DataFrame, k: int) -> None:
         batch.groupBy("part", "cell").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{place}/changes/batch={k}")
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, ROCKSDB)
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, provider or before)
     try:
         stream = changes.writeStream.outputMode("update").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).foreachBatch(add).start()
     finally:
-        spark.conf.set(provider, before)
+        spark.conf.set(setting, before)
     stream.awaitTermination()
     found = spark.read.schema(CHANGES).parquet(f"{place}/changes").groupBy("part", "cell").agg(F.sum("n").alias("n")).where("n <> 0")
     bit = lambda b: F.col("cell").bitwiseAND(F.lit(b)) != 0
