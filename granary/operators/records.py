@@ -55,11 +55,6 @@ def upsert_undirected(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("a", "b", "score", "status")
 
 
-def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in an order."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
-
-
 def assembled_threads(turns: DataFrame, conv: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """``conv_id, n, participants, content``: a thread's messages oldest first, all but the last marked as collapsed."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct(order, role, text))), lambda x: x)

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import scores
 from ..functions.text import tokens
 from ..sources.shared import stored, version
+from . import ranges
 from .blocks import PART_BYTES, best_rows
 
 CANDIDATES, CAP, FLOOR, HALF_LIFE = 50, 3, 0.25, 180.0
@@ -157,14 +158,18 @@ def snippet(chunk_rows: DataFrame, best: DataFrame, reach: int = 2) -> DataFrame
 
 
 def slot_rerank(ranked: DataFrame, side_scores: DataFrame, key: str, weight: float) -> DataFrame:
-    """Rows that have a side score are re-sorted by the blend among their own slots; the others keep theirs."""
-    joined = ranked.join(side_scores.select(key, F.col("score").alias("_side")), key, "left")
-    has = F.col("_side").isNotNull()
-    slots = Window.partitionBy(has).orderBy("rank")
-    blended = Window.partitionBy(has).orderBy(F.desc(F.col("score") * (1 - weight) + F.coalesce("_side", F.lit(0.0)) * weight), key)
-    rows = joined.withColumn("_slot", F.row_number().over(slots)).withColumn("_want", F.when(has, F.row_number().over(blended)).otherwise(F.row_number().over(slots))).withColumn("_has", has)
-    places = rows.select("_has", F.col("_slot").alias("_want"), F.col("rank").alias("new_rank"))
-    return rows.drop("_slot", "rank").join(places, ["_has", "_want"]).select(*[c for c in ranked.columns if c != "rank"], F.col("new_rank").alias("rank"))
+    """Rows that have a side score are re-sorted by the blend among their own slots; the others keep theirs.
+
+    Slots are numbered over ranges, so that either kind may be a whole table.
+    """
+    joined = ranked.join(side_scores.select(key, F.col("score").alias("_side")), key, "left").withColumn("_has", F.col("_side").isNotNull())
+    held = ranges.numbered(joined.where("_has"), [], [F.col("rank")], "_slot")
+    blend = F.col("score") * (1 - weight) + F.col("_side") * weight
+    wanted = ranges.numbered(held.withColumn("_blend", -blend), [], [F.col("_blend"), F.col(key)], "_want")
+    places = held.select(F.col("_slot").alias("_want"), F.col("rank").alias("new_rank"))
+    names = [c for c in ranked.columns if c != "rank"]
+    moved = wanted.drop("_slot", "rank").join(places, "_want").select(*names, F.col("new_rank").alias("rank"))
+    return moved.unionByName(joined.where("NOT _has").select(*names, "rank"))
 
 
 FIELD_WEIGHTS = {"title": 1.0, "tags": 0.4, "content": 0.2}
@@ -216,8 +221,10 @@ def engagement_reach(limit: int, least: float = 0.8, most: float = 1.25, k: int
 def piped(search: Callable[[int], DataFrame], stages: list[Stage], limit: int) -> DataFrame:
     """The search over as many rows as any stage needs, the stages in order, then the first ``limit`` rows by rank.
 
-    Stages that can't be planned are left out and keep the order as it was.
+    Stages that can't be planned are left out, with a warning that names them, and keep the order as it was.
     """
+    import warnings
+
     from pyspark.errors import AnalysisException
 
     rows = search(max([limit, *(s.reach(limit) for s in stages)]))
@@ -225,7 +232,8 @@ def piped(search: Callable[[int], DataFrame], stages: list[Stage], limit: int) -
         try:
             changed = stage.apply(rows)
             changed.schema  # noqa: B018  analyses the plan
-        except AnalysisException:
+        except AnalysisException as error:
+            warnings.warn(f"stage {stage.name} is left out: {error.getCondition()}", stacklevel=2)
             continue
         rows = changed
     return rows.where(F.col("rank") < limit)
