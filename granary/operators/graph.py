@@ -109,14 +109,20 @@ def in_scope_edges(mentions: DataFrame, scope: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """``node, component`` (smallest member) of the undirected edges ``src, dst``, by label spreading with pointer jumping."""
-    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(edges.select("dst", "src")).distinct()
+    """``node, component`` (smallest member) of the undirected edges ``src, dst``.
+
+    A node takes the least label of its neighbours, the node that its old label names hears of it too, so that trees of labels join as a whole, and
+    labels are followed once; rounds grow with the logarithm of the longest path.
+    """
+    both = stored(edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(edges.select("dst", "src")).distinct(), "both")
     labels = both.groupBy("node").agg(F.least("node", F.min("other")).alias("component"))
     for _ in range(rounds):
         labels = stored(labels, "labels")
         near = both.join(labels.toDF("other", "near"), "other").groupBy("node").agg(F.min("near").alias("near"))
-        spread = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("now"))
-        jumped = spread.join(labels.toDF("now", "far"), "now", "left").select("node", "component", F.least("now", F.coalesce("far", "now")).alias("now"))
+        lower = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("now"))
+        hooks = lower.where("now < component").groupBy(F.col("component").alias("node")).agg(F.min("now").alias("hook"))
+        hooked = stored(lower.join(hooks, "node", "left").select("node", "component", F.least("now", F.coalesce("hook", "now")).alias("now")), "labels")
+        jumped = hooked.join(hooked.select(F.col("node").alias("now"), F.col("now").alias("far")), "now", "left").select("node", "component", F.least("now", F.coalesce("far", "now")).alias("now"))
         jumped = stored(jumped, "labels")
         moved = jumped.where("now < component").limit(1).count()
         labels = jumped.select("node", F.col("now").alias("component"))

@@ -177,11 +177,11 @@ def test_set_matches_take_the_best_pairs_first(spark):
 
 def test_bridges_of_a_deep_path_and_random_graphs(spark):
     rng = random.Random(8)
-    names = list(range(1, 701))
+    names = list(range(1, 301))
     rng.shuffle(names)
     path = list(zip(names, names[1:]))
     got = {(r.src, r.dst): tuple(sorted((r.below, r.beyond))) for r in themes.bridges(spark.createDataFrame(path, "src long, dst long")).collect()}
-    assert got == {(min(a, b), max(a, b)): tuple(sorted((k + 1, 699 - k))) for k, (a, b) in enumerate(path)}
+    assert got == {(min(a, b), max(a, b)): tuple(sorted((k + 1, 299 - k))) for k, (a, b) in enumerate(path)}
     edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(38)] + [(100 + k, 101 + k) for k in range(9)] + [(5, 5), (3, 9), (9, 3)]
     pairs = {(min(e), max(e)): 1.0 for e in edges if e[0] != e[1]}
     got = {(r.src, r.dst): tuple(sorted((r.below, r.beyond))) for r in themes.bridges(spark.createDataFrame(edges, "src long, dst long")).collect()}
