@@ -134,6 +134,14 @@ def test_approximate_search_has_recall(spark):
     assert len(near & exact) >= 0.95 * len(exact)
 
 
+def test_approximate_query_has_recall_on_the_given_vectors(spark):
+    from granary.plans import catalog
+
+    pairs = lambda name: {(r.query_id, r.id) for r in catalog.queries()[name](spark, SF).collect()}
+    exact = pairs("knn_join")
+    assert len(exact & pairs("approximate_neighbours")) >= 0.9 * len(exact)
+
+
 def test_vector_index_of_few_rows(spark):
     frame = spark.createDataFrame([(1, [1.0, 0.0])], "id long, vector array<double>")
     assert vector_index.adaptive(vector_index.built(frame), frame, 3).count() == 0
