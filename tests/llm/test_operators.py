@@ -463,3 +463,22 @@ def test_pipeline_stages_narrow_the_documents(spark):
         assert 0 < now <= before, name
         kept = out
     assert kept.where(F.col("text").contains("AKIA")).where(F.col("text").rlike("AKIA[A-Z0-9]{16}")).count() == 0
+
+
+def test_articles_keep_what_ids_and_compound_classes_name():
+    text = lambda page: html_text.text_of(html_text.lines(page), None)
+    assert text('<article><h2 id="search">Search trees</h2><p>Body a.</p><section id="related-work"><p>Body b.</p></section></article>') == "Search trees\nBody a.\nBody b."
+    assert text('<article><p class="share">A</p><div class="ad-hoc">B</div><div class="ad">C</div><div class="comment-list"><p>D</p></div></article>') == "A\nB"
+    assert text('<body><form id="aspnetForm"><div><p>Text one.</p></div></form></body>') == "Text one."
+    assert text("<form><nav>x</nav><article><p>T</p><form><label>mail</label></form></article></form>") == "T"
+    assert text("<p>hello</p><form><label>mail</label></form>") == "hello"
+
+
+@pytest.mark.parametrize("unit", ['<a ">"', "<b '>'", '<a x=">" ', '<a x="> ', "<a ="])
+def test_quoted_tags_take_linear_time(unit):
+    import time
+
+    for tail in ("", '"', "'"):
+        began = time.process_time()
+        html_text.lines(unit * (1_000_000 // len(unit)) + tail)
+        assert time.process_time() - began < 10
