@@ -2,7 +2,7 @@
 
 Every stage takes the session, its predecessor's documents and the folder of the tables; its result is stored and read again before the next.
 Null texts count as empty ones, and whether they stay is the quality stage's decision; repeated rows are copies of each other, of which one stays;
-null sources and languages pass as they are; other columns pass all stages but the last; an empty table gives an empty one.  Ids are whole numbers.
+null sources and languages pass as they are; the columns of documents pass all stages but the last; an empty table gives an empty one.  Ids are whole numbers.
 """
 
 from __future__ import annotations
