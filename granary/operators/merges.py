@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import tokens
+
 #: Types from the strongest to the weakest.
 TYPES = ("person", "org", "project", "topic", "tool")
 
@@ -69,13 +71,27 @@ def subsumed(names: DataFrame) -> DataFrame:
     return names.join(longer.select(F.col("doc_id").alias("_d"), "_part"), (F.col("doc_id") == F.col("_d")) & (F.lower("name") == F.col("_part")), "left_semi").distinct()
 
 
+def present(rows: DataFrame, text: str, names: Column) -> DataFrame:
+    """The rows' columns but ``text``, and ``name``: one row each time that ``names`` has a name which stands in the text, in either case.
+
+    The text is read where it lies; no row that leaves has it, so that what is exchanged grows with the names and not with names times text.
+    A name that is one of the text's words is found by a hash, and only the others are searched for.
+    """
+    kept = [c for c in rows.columns if c != text]
+    held = rows.select(*kept, F.lower(text).alias("_low"), tokens(F.col(text)).alias("_words"), names.alias("_names"))
+    absent = F.filter(F.array_except(F.transform("_names", F.lower), "_words"), lambda x: ~F.contains("_low", x))
+    told = held.select(*kept, "_names", absent.alias("_absent"))
+    found = F.when(F.size("_absent") == 0, F.col("_names")).otherwise(F.filter("_names", lambda x: ~F.array_contains("_absent", F.lower(x))))
+    # the outer form, as Spark makes a filter of what the other one explodes and finds the words again for it
+    return told.select(*kept, F.explode_outer(found).alias("name")).where("name IS NOT NULL")
+
+
 def finalised(candidates: DataFrame, most: int, least_length: int = 2) -> DataFrame:
-    """``doc_id, key, name, entity_type, mention_count`` of raw candidates: noise goes (short keys, digits only, absent from the text), one type a key, the ``most`` frequent.
+    """``doc_id, key, name, entity_type, mention_count`` of candidates: noise goes (short keys, digits only), one type a key, the ``most`` frequent.
 
-    ``candidates`` has doc_id, text, name, key, entity_type and mention_count.
+    ``candidates`` has doc_id, name, key, entity_type and mention_count; ``present`` leaves out names that aren't in the text.
     """
-    present = F.contains(F.lower("text"), F.lower("name"))
-    fine = candidates.where((F.length("key") >= least_length) & ~F.col("key").rlike("^[0-9]+$") & present)
+    fine = candidates.where((F.length("key") >= least_length) & ~F.col("key").rlike("^[0-9]+$"))
     best = fine.groupBy("doc_id", "key").agg(F.min_by(F.struct("name", "entity_type"), F.struct(type_rank(F.col("entity_type")), "name")).alias("x"), F.sum("mention_count").alias("mention_count"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("mention_count"), "key")
     return best.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).select("doc_id", "key", "x.name", "x.entity_type", "mention_count")
