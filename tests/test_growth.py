@@ -17,3 +17,7 @@ def test_names_are_found_without_sending_texts_on(spark):
     assert sorted(map(tuple, found.collect())) == [(1, "Bo"), (1, "and"), (1, "ann"), (1, "ann met"), (1, "bob"), (1, "bob"), (1, "met"), (3, "a"), (3, "b")]
     plan = catalog.queries()["entity_finalise"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "first(text" not in plan
+
+
+def test_graph_build_reads_its_texts_once(spark):
+    assert not [f for f in catalog.queries()["graph_build"](spark, SF).inputFiles() if "documents.parquet" in f]
