@@ -1,9 +1,10 @@
 """What queries exchange and keep grows with their input."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from granary.functions.text import tokens
-from granary.operators import merges
+from granary.operators import merges, packed
 from granary.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -21,3 +22,25 @@ def test_names_are_found_without_sending_texts_on(spark):
 
 def test_graph_build_reads_its_texts_once(spark):
     assert not [f for f in catalog.queries()["graph_build"](spark, SF).inputFiles() if "documents.parquet" in f]
+
+
+def test_packed_postings_hold_each_word_once_a_stretch(spark):
+    texts = [(1, ["a", "b", "a"]), (2, None), (3, []), (4, ["b", "c", "b", "a"])]
+    rows = spark.createDataFrame(texts, "id long, words array<string>").coalesce(1)
+    plain = sorted((w, k, words.count(w), [i + 1 for i, x in enumerate(words) if x == w]) for k, words in texts for w in set(words or []))
+    held = packed.packed(rows, "words", positions=True)
+    assert held.count() == held.select("word").distinct().count() == 3
+    assert sorted((r.word, r.id, r.tf, r.positions) for r in packed.unpacked(held, ["id"], "word").collect()) == plain
+    counts = packed.unpacked(packed.packed(rows, "words"), ["id"], "word").collect()
+    assert sorted((r.word, r.id, r.tf) for r in counts) == [x[:3] for x in plain]
+
+
+def test_stretches_lose_no_text(monkeypatch):
+    monkeypatch.setattr(packed, "WORDS", 5)
+    sizes = [0, 3, 2, 9, 0, 1, 1, 4, 0]
+    column = pa.array([list("x" * n) if n else None for n in sizes], pa.list_(pa.string()))
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, b)), column[a:b]], ["id", "words"]) for a, b in ((0, 4), (4, 9))]
+    out = list(packed._stretches(iter(batches), "words"))
+    assert sum((t["id"].to_pylist() for t in out), []) == list(range(9))
+    held = [[len(w or []) for w in t["words"].to_pylist()] for t in out]
+    assert len(held) > 2 and all(sum(x) <= 5 or sum(map(bool, x)) == 1 for x in held)
