@@ -1,6 +1,6 @@
 """A stored index of text fields: lexemes with their positions, in segments that follow a table's changes.
 
-An index is a folder: ``postings`` (one row a row of the table, field and lexeme, in folders by segment and the lexeme's hash, sorted by lexeme)
+An index is a folder: ``postings`` (packed, an item a row of the table, field and word of a lexeme, in folders by segment and the lexeme's hash, sorted by lexeme)
 and ``live`` (which segment holds each row, and a checksum of its fields).  A query reads the postings of its lexemes and no texts.  An update
 compares checksums, indexes the rows that are new or changed as another segment, and writes ``live`` again; rows whose segment has passed are
 left out of results until the segments are merged.
@@ -14,8 +14,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stemming import STOP_WORDS, lexemes, with_stems, words_of
+from ..functions.stemming import STOP_WORDS, with_stems, words_of
 from ..sources.shared import folder_for, version
+from .packed import packed, unpacked
 
 BUCKETS, MOST_SEGMENTS = 64, 8
 WEIGHTS = {"title": 1.0, "tags": 0.4, "content": 0.2}
@@ -46,14 +47,15 @@ def bucket_of(term: str) -> int:
 
 
 def _postings(rows: DataFrame, index: TextIndex) -> DataFrame:
-    """``keys, field, term, positions`` of rows; positions count all words of the field from 1, stop words too."""
+    """Packed postings of rows by ``term``; positions count all words of the field from 1, stop words too.
+
+    A lexeme's words lie in rows of their own, each stemmed once a stretch of rows, and meet when they are read.
+    """
     parts = F.array(*[F.struct(F.lit(f).alias("field"), words_of(F.col(f)).alias("words")) for f in index.fields])
-    held = rows.select(*index.keys, F.explode(parts).alias("x")).select(*index.keys, "x.field", F.posexplode("x.words").alias("position", "word"))
-    at = F.array_sort(F.collect_list(F.col("position") + 1)).alias("positions")
+    held = packed(rows.select(*index.keys, F.explode_outer(parts).alias("x")).select(*index.keys, "x.field", "x.words"), "words", positions=True)
     if not index.english:
-        return held.groupBy(*index.keys, "field", F.col("word").alias("term")).agg(at)
-    known = held.join(lexemes(held), "word")  # each distinct word is stemmed once; stop words have no lexeme
-    return known.groupBy(*index.keys, "field", F.col("lexeme").alias("term")).agg(at)
+        return held.withColumnRenamed("word", "term")
+    return with_stems(held.where(~F.col("word").isin(*STOP_WORDS)), "word", "term").drop("word")
 
 
 def _checksums(rows: DataFrame, index: TextIndex) -> DataFrame:
@@ -63,9 +65,13 @@ def _checksums(rows: DataFrame, index: TextIndex) -> DataFrame:
 
 def _write(rows: DataFrame, index: TextIndex) -> None:
     path = f"{index.folder}/postings/segment={index.segments}"
-    spread = _postings(rows, index).withColumn("bucket", _bucket(F.col("term")))
-    # a common lexeme's postings lie in several files of its folder
-    spread.repartition(F.col("bucket"), F.pmod(F.xxhash64(*index.keys), F.lit(4))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(path)
+    _spread(_postings(rows, index).withColumn("bucket", _bucket(F.col("term"))), index, path)
+
+
+def _spread(postings: DataFrame, index: TextIndex, path: str) -> None:
+    """Write packed postings in folders by bucket; a common lexeme's lie in several files of its folder."""
+    part = F.pmod(F.xxhash64(*[F.col(k)[0] for k in index.keys]), F.lit(4))
+    postings.repartition(F.col("bucket"), part).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(path)
 
 
 def updated(index: TextIndex, rows: DataFrame) -> int:
@@ -99,23 +105,26 @@ def merged(index: TextIndex) -> None:
     rows, index.merges = all_postings(index), index.merges + 1
     live = index.spark.read.parquet(index.live)
     index.folder = f"{index.folder}/merged-{index.merges}"
-    rows.drop("segment").repartition(F.col("bucket"), F.pmod(F.xxhash64(*index.keys), F.lit(4))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{index.folder}/postings/segment=0")
+    ones = rows.select("term", *[F.array(c).alias(c) for c in (*index.keys, "field")], F.array(F.size("positions")).alias("tf"), F.array(F.size("positions")).alias("ends"), "positions", "bucket")
+    _spread(ones, index, f"{index.folder}/postings/segment=0")
     live.withColumn("segment", F.lit(0)).write.mode("overwrite").parquet(f"{index.folder}/live/version=0-{index.merges}")
     index.live, index.segments = f"{index.folder}/live/version=0-{index.merges}", 1
 
 
 def all_postings(index: TextIndex) -> DataFrame:
-    """``keys, field, term, positions, bucket, segment`` of live rows."""
-    kinds = ", ".join(f"`{k}` {index.spark.read.parquet(index.live).schema[k].dataType.simpleString()}" for k in index.keys)
-    stored = index.spark.read.schema(f"{kinds}, field string, term string, positions array<int>, segment int, bucket int").parquet(f"{index.folder}/postings")
+    """``keys, field, term, positions, bucket, segment`` of live rows; a lexeme comes once for each of its words in a field."""
+    kinds = ", ".join(f"`{k}` array<{index.spark.read.parquet(index.live).schema[k].dataType.simpleString()}>" for k in index.keys)
+    stored = index.spark.read.schema(f"{kinds}, field array<string>, term string, tf array<int>, ends array<int>, positions array<int>, segment int, bucket int").parquet(f"{index.folder}/postings")
+    found = unpacked(stored, [*index.keys, "field"], "term", "segment", "bucket").select(*index.keys, "field", "term", "positions", "bucket", "segment")
     if index.segments == 1:
-        return stored
-    return stored.join(index.spark.read.parquet(index.live).select(*index.keys, "segment"), [*index.keys, "segment"], "left_semi")
+        return found
+    return found.join(index.spark.read.parquet(index.live).select(*index.keys, "segment"), [*index.keys, "segment"], "left_semi")
 
 
 def postings_of(index: TextIndex, terms: list[str]) -> DataFrame:
-    """Live postings of some lexemes; only their folders are read."""
-    return all_postings(index).where(F.col("bucket").isin(*{bucket_of(t) for t in terms}) & F.col("term").isin(*terms))
+    """Live postings of some lexemes, one a row, field and lexeme; only their folders are read."""
+    found = all_postings(index).where(F.col("bucket").isin(*{bucket_of(t) for t in terms}) & F.col("term").isin(*terms))
+    return found.groupBy(*index.keys, "field", "term").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
 _current: dict[tuple[str, str, bool], TextIndex] = {}
