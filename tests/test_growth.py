@@ -1,10 +1,13 @@
 """What queries exchange and keep grows with their input."""
 
+from datetime import date
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from granary.functions.text import tokens
-from granary.operators import merges, packed
+from granary.operators import links, merges, packed, similarity
 from granary.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +47,36 @@ def test_stretches_lose_no_text(monkeypatch):
     assert sum((t["id"].to_pylist() for t in out), []) == list(range(9))
     held = [[len(w or []) for w in t["words"].to_pylist()] for t in out]
     assert len(held) > 2 and all(sum(x) <= 5 or sum(map(bool, x)) == 1 for x in held)
+
+
+def _aggregates(df):
+    """The aggregates of a plan, each of which exchanges its rows."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [x for x in plan.splitlines() if "Aggregate [" in x]
+
+
+def test_pairs_of_participants_are_not_exchanged(spark):
+    rows = [(1, ["B", "a"]), (20, ["a", "b"]), (40, ["b"]), (3, ["c"]), (60, ["c", "b", "c"])]
+    keys = links.participant_keys(spark.createDataFrame(rows, "doc_id long, participants array<string>"))
+    touched = keys.where("doc_id % 20 = 0")
+    found = links.shared_participant(touched, keys)
+    sets = {k: {p.lower() for p in ps} for k, ps in rows}
+    plain = [(a, b, min(sets[a] & sets[b]), len(sets[a] & sets[b])) for a in sets for b in sets if a < b and sets[a] & sets[b] and (a % 20 == 0 or b % 20 == 0)]
+    assert sorted(map(tuple, found.collect())) == sorted(plain)
+    assert not [x for x in _aggregates(found) if "src" in x]
+    days = spark.createDataFrame([(k, date(2024, 1, 1 + k % 7)) for k in sets], "doc_id long, day date")
+    ruled = links.ruled_participant(touched, keys, days).collect()
+    assert sorted(map(tuple, ruled)) == sorted(("same_day" if abs(a % 7 - b % 7) <= 1 else "participant", a, b, e) for a, b, e, _ in plain)
+    assert not [x for x in _aggregates(catalog.queries()["rule_precedence"](spark, SF)) if "src" in x]
+
+
+def test_cosines_of_asked_rows_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "PAIR_BLOCK", 3)
+    monkeypatch.setattr(similarity, "PART_BYTES", 100)
+    v = np.random.default_rng(1).normal(size=(60, 4)).round(3)
+    v[7] = v[20] = 0
+    rows = [(k, [float(x) for x in v[k]], None if k % 11 == 0 else k % 2) for k in range(60)]
+    data = spark.createDataFrame(rows, "id long, vector array<double>, label int")
+    plain = {(a, b): round(float(v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b])), 6) for a, _, x in rows for b, _, y in rows if a % 5 == 0 and a != b and x is not None and x == y and v[a].any() and v[b].any()}
+    found = similarity.cosine_to(data.where("id % 5 = 0"), data, "label", 0.2).collect()
+    assert {(r.a, r.b): r.cosine for r in found} == {k: c for k, c in plain.items() if c >= 0.2} and len(found) > 50
