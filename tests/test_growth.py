@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from granary.functions.text import tokens
-from granary.operators import links, merges, packed, similarity
+from granary.operators import links, merges, packed, search, similarity
 from granary.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -80,3 +80,21 @@ def test_cosines_of_asked_rows_by_blocks(spark, monkeypatch):
     plain = {(a, b): round(float(v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b])), 6) for a, _, x in rows for b, _, y in rows if a % 5 == 0 and a != b and x is not None and x == y and v[a].any() and v[b].any()}
     found = similarity.cosine_to(data.where("id % 5 = 0"), data, "label", 0.2).collect()
     assert {(r.a, r.b): r.cosine for r in found} == {k: c for k, c in plain.items() if c >= 0.2} and len(found) > 50
+
+
+def test_titles_that_share_words_are_counted_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "HELD_WORDS", 40)
+    monkeypatch.setattr(search, "ASKED_TITLES", 2)
+    rng = np.random.default_rng(5)
+    sets = {k: {f"w{x}" for x in rng.integers(0, 30, rng.integers(0, 9))} | ({"all"} if k % 2 else set()) for k in range(90)}
+    titles = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "doc_id long, words array<string>")
+    none = spark.createDataFrame([], "query_id long, id long, rank int")
+    found = search.related(titles.where("doc_id % 20 = 0"), titles, none, 0.3, 4, 0.0)
+    often = {w for w in set().union(*sets.values()) if sum(w in v for v in sets.values()) > 27}
+    assert often
+    want = []
+    for a in range(0, 90, 20):
+        shared = sorted((-len((sets[a] & sets[b]) - often), b) for b in sets if b != a and (sets[a] & sets[b]) - often)
+        want += [(a, b, round(1 / (61 + k), 9)) for k, (_, b) in enumerate(shared[:4])]
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) == 12
+    assert "count(1) AS n" not in found._jdf.queryExecution().optimizedPlan().toString()
