@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from granary.functions.text import tokens
-from granary.operators import links, merges, packed, search, similarity
+from granary.operators import links, merges, near_dup_store, packed, search, similarity
 from granary.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -98,3 +98,30 @@ def test_titles_that_share_words_are_counted_by_blocks(spark, monkeypatch):
         want += [(a, b, round(1 / (61 + k), 9)) for k, (_, b) in enumerate(shared[:4])]
     assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) == 12
     assert "count(1) AS n" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_exact_pairs_exchange_prefixes_alone(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "STRETCH", 500)
+    rng = np.random.default_rng(8)
+    base = [list(range(1000 * k, 1000 * k + 60)) for k in range(6)]
+    sets = {k: sorted({*(x if rng.random() > 0.04 else int(rng.integers(9000, 9999)) for x in base[k % 6]), *range(50_000, 50_020)}) for k in range(60)} | {70: [], 71: [5]}
+    frame = spark.createDataFrame(list(sets.items()), "doc_id long, shingles array<long>")
+    often = similarity.frequent_shingles(frame)
+    assert set(range(50_000, 50_020)) <= set(often.tolist())
+    rows = similarity.prefixes(frame, 0.85, often)
+    assert rows.count() < sum(map(len, sets.values())) / 5 and not rows.where("shingle >= 50000").count()
+    want = {(a, b): round(len(x & y) / len(x | y), 6) for a, x in ((k, set(v)) for k, v in sets.items()) for b, y in ((k, set(v)) for k, v in sets.items()) if a < b and x | y}
+    want = {k: s for k, s in want.items() if s >= 0.85}
+    assert {(r.a, r.b): r.similarity for r in similarity.exact_pairs(frame, 0.85).collect()} == want and len(want) > 30
+
+
+def test_near_dup_state_writes_each_set_once(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k % 3, 80)), "t") for k in range(9)] + [(9, "short", "t")], "doc_id long, text string, thread string")
+    state = near_dup_store.started(spark)
+    near_dup_store.updated(state, docs)
+    near_dup_store.updated(state, docs.withColumn("text", F.when(F.col("doc_id") == 4, F.concat("text", F.lit(" more"))).otherwise(F.col("text"))))
+    sets = spark.read.parquet(f"{state.folder}/sets")
+    assert sorted((r.segment, r.doc_id) for r in sets.collect()) == [(1, k) for k in range(10)] + [(2, 4)]
+    bands = spark.read.parquet(f"{state.folder}/bands")
+    assert {len(r["class"]) for r in bands.collect()} == {16} and bands.count() == 4 * similarity.BANDS
+    assert near_dup_store.listing(state)[1].count() == 9
