@@ -4,7 +4,8 @@ Copies are one class, by a digest of their shingles, and everything after that i
 are of classes, never of all their documents; a listing leaves out pairs whose documents all lie in one thread.  Folders of a state:
 
 * ``members``: each document's class, thread and checksum, one version an update;
-* ``bands`` and ``sets``: the band keys and shingles of every class ever seen, one segment an update, in folders by key;
+* ``sets``: the changed documents with their classes and shingles, one segment an update, written by the task that reads the text;
+* ``bands``: the band keys of every class ever seen, one segment an update, in folders by key;
 * ``pairs``: classes over the threshold, one segment an update.  A class without members stays, and counts again if its text comes back.
 """
 
@@ -14,7 +15,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.text import tokens
 from ..sources.shared import folder_for, stored
 from . import similarity
 
@@ -34,7 +37,7 @@ def started(spark: SparkSession, least: float = 0.85, least_words: int = similar
     return NearDupState(spark, folder_for(spark, "near-dups"), least, least_words)
 
 
-MEMBERS = "doc_id long, thread string, checksum string, class string"
+MEMBERS = "doc_id long, thread string, checksum string, class binary"
 
 
 def _bucket(column: str):
@@ -53,46 +56,48 @@ def members(state: NearDupState) -> DataFrame:
 def updated(state: NearDupState, docs: DataFrame) -> dict[str, int]:
     """Bring the state up to ``doc_id, text, thread`` (ids unique, whole, not null; null texts are empty), and say how many texts and classes were new.
 
-    Only documents whose text or thread changed are read in full; only classes that were never seen are signed, and they meet only the folders of
-    their own band keys.
+    Only documents whose text changed are read in full, and what they give is written where it is read; no text is exchanged.  Only classes that
+    were never seen are kept by band, and they meet only the folders of their own band keys.
     """
     now = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("thread").cast("string").alias("thread"))
-    sums = now.withColumn("checksum", F.sha2(F.col("text").cast("binary"), 256))
+    checksum = F.sha2(F.col("text").cast("binary"), 256).alias("checksum")
+    kept, changed, version = None, now, state.updates + 1
     if state.updates:
-        before = members(state)
-        kept = sums.select("doc_id", "thread", "checksum").join(before.select("doc_id", "checksum", "class"), ["doc_id", "checksum"]).select("doc_id", "thread", "checksum", "class")
-        changed = sums.join(before, ["doc_id", "checksum"], "left_anti")
-    else:
-        kept, changed = None, sums
-    sets = similarity.shingled(changed, least_words=state.least_words)
-    held = stored(sets.select("doc_id", F.sha2(F.array_join(F.array_sort("shingles"), " ").cast("binary"), 256).alias("class"), "shingles"), "sets")
-    fresh = changed.select("doc_id", "thread", "checksum").join(held.select("doc_id", "class"), "doc_id", "left")
-    version = state.updates + 1
-    every = fresh if kept is None else kept.unionByName(fresh)
-    every.write.mode("overwrite").parquet(f"{state.folder}/members/version={version}")
-
-    first = held.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    new = held.join(first, ["class", "doc_id"])
+        sums, before = now.select("doc_id", "thread", checksum), members(state).select("doc_id", "checksum", "class")
+        kept = sums.join(before, ["doc_id", "checksum"]).select("doc_id", "thread", "checksum", "class")
+        # checksums are compared without texts
+        moved = stored(sums.join(before, ["doc_id", "checksum"], "left_anti").select("doc_id"), "moved")
+        changed = now.join(moved, "doc_id", "left_semi")
+    rows = changed.select("doc_id", "thread", checksum, tokens(F.col("text")).alias("words"))
+    rows = rows.select("doc_id", "thread", "checksum", F.when(F.size("words") >= state.least_words, F.array_sort(similarity.hashed_runs("words"))).alias("shingles"))
+    digest = F.unhex(F.substring(F.sha2(F.array_join("shingles", " ").cast("binary"), 256), 1, 32))  # 128 bits
+    rows.withColumn("class", digest).write.mode("overwrite").parquet(f"{state.folder}/sets/segment={version}")
+    sets = _read(state, "sets", f"{MEMBERS}, shingles array<long>, segment int")
+    fresh = sets.where(F.col("segment") == version)
+    every = fresh.select("doc_id", "thread", "checksum", "class")
+    (every if kept is None else kept.unionByName(every)).write.mode("overwrite").parquet(f"{state.folder}/members/version={version}")
+
+    sets, held = sets.where(F.col("class").isNotNull()), fresh.where(F.col("class").isNotNull())
+    new = held.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     if state.updates:
-        touched = {r.b for r in first.select(_bucket("class").alias("b")).distinct().collect()}  # at most BUCKETS
-        known = _read(state, "sets", "class string, shingles array<long>, segment int, bucket int").where(F.col("bucket").isin(*touched) if touched else F.lit(False))
-        new = new.join(known.select("class"), "class", "left_anti")
-    new = stored(new.select("class", "doc_id", "shingles"), "new")
+        new = new.join(sets.where(F.col("segment") < version).select("class"), "class", "left_anti")
+    new = stored(new, "new")
     counts = {"texts": held.count(), "classes": new.count()}
-    signed = similarity.signatures(new.select("doc_id", "shingles")).join(new.select("doc_id", "class"), "doc_id")
-    rows = similarity.BAND_ROWS
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(k), F.slice("signature", k * rows + 1, rows)) for k in range(similarity.BANDS)]))
-    bands = stored(signed.select("class", keys.alias("band")).withColumn("bucket", _bucket("band")), "bands")
-    _folders(bands, f"{state.folder}/bands/segment={version}")
-    _folders(new.select("class", "shingles", _bucket("class").alias("bucket")), f"{state.folder}/sets/segment={version}")
+    n = similarity.BAND_ROWS
+    keys = F.array(*[F.xxhash64(F.lit(k), F.slice("signature", k * n + 1, n)) for k in range(similarity.BANDS)])
+    signed = similarity.signatures(held.select("doc_id", "shingles")).select("doc_id", keys.alias("bands")).join(new, "doc_id")
+    _folders(signed.select("class", F.explode("bands").alias("band")).withColumn("bucket", _bucket("band")), f"{state.folder}/bands/segment={version}")
 
     # new classes against all classes of their bands: the rest of a bucket hangs on few of them, so nothing pairs old with old
-    touched = {r.bucket for r in bands.select("bucket").distinct().collect()}
-    all_bands = _read(state, "bands", "class string, band long, segment int, bucket int").where(F.col("bucket").isin(*touched) if touched else F.lit(False))
-    pairs = bands.select("band", F.col("class").alias("x")).join(all_bands.select("band", F.col("class").alias("y")), "band").where("x <> y")
+    bands = _read(state, "bands", "class binary, band long, segment int, bucket int")
+    touched = {r.bucket for r in bands.where(F.col("segment") == version).select("bucket").distinct().collect()}  # at most BUCKETS
+    bands = bands.where(F.col("bucket").isin(*touched) if touched else F.lit(False)).select("band", "class", (F.col("segment") == version).alias("new")).repartition("band")
+    over = Window.partitionBy("band")
+    shared = bands.withColumn("_n", F.count("*").over(over)).withColumn("_new", F.max("new").over(over)).where("_n > 1 AND _new").select("band", "class", "new")
+    x, y = shared.where("new").select("band", F.col("class").alias("x")), shared.select("band", F.col("class").alias("y"), "new")
+    pairs = x.join(y, "band").where((F.col("x") < F.col("y")) | ((F.col("x") > F.col("y")) & ~F.col("new")))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    all_sets = _read(state, "sets", "class string, shingles array<long>, segment int, bucket int").select(F.col("class").alias("doc_id"), "shingles")
-    similarity.verified(pairs, all_sets, state.least).write.mode("overwrite").parquet(f"{state.folder}/pairs/segment={version}")
+    similarity.verified(pairs, sets.select(F.col("class").alias("doc_id"), "shingles"), state.least).write.mode("overwrite").parquet(f"{state.folder}/pairs/segment={version}")
     state.updates = version
     return counts
 
@@ -110,7 +115,7 @@ def listing(state: NearDupState) -> tuple[DataFrame, DataFrame]:
     # two threads are enough to tell; a document without a thread is a thread of its own
     thread = F.coalesce("thread", F.concat(F.lit("\0"), F.col("doc_id").cast("string")))
     classes = alive.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min(thread).alias("t1"), F.max(thread).alias("t2"))
-    pairs = _read(state, "pairs", "a string, b string, similarity double, segment int").select("a", "b", "similarity")
+    pairs = _read(state, "pairs", "a binary, b binary, similarity double, segment int").select("a", "b", "similarity")
     x, y = (classes.select(F.col("class").alias(k), F.col("class_id").alias(f"i{k}"), F.col("t1").alias(f"t{k}"), F.col("t2").alias(f"u{k}")) for k in "ab")
     joined = pairs.join(x, "a").join(y, "b").where(~((F.col("ta") == F.col("ua")) & (F.col("tb") == F.col("ub")) & (F.col("ta") == F.col("tb"))))
     found = joined.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "similarity")
