@@ -67,14 +67,19 @@ def stale_funnel(docs: DataFrame, mentions: DataFrame, as_of: Column, age_days:
     return docs.join(known, "doc_id", "left").agg(F.count_if(aged).alias("aged"), F.count_if(held).alias("in_graph"), F.count_if(held & F.col("summary").isNotNull()).alias("summarised"))
 
 
-def community_weight(labels: DataFrame, contributions: DataFrame, docs: DataFrame, most: int) -> DataFrame:
-    """``community, weight``: co-occurrence in a set of documents, each edge and document once for a community that holds either end.
+def community_weight(labels: DataFrame, contributions: DataFrame, docs: DataFrame | None, most: int) -> DataFrame:
+    """``community, weight``: co-occurrence in a set of documents (all without one), each edge and document once for a community that holds either end.
 
-    ``contributions`` has doc_id, src, dst, n.  The condition on either end is two equalities, united before the sum.
+    ``contributions`` has doc_id, src, dst, n, each edge of a document once.  Both ends bring the communities of their nodes, whose union the edge
+    counts for, so that edges aren't made distinct again.
     """
-    inside = contributions.join(docs.select("doc_id"), "doc_id", "left_semi")
-    ends = [inside.join(labels, F.col(end) == F.col("node")).select("community", "doc_id", "src", "dst", "n") for end in ("src", "dst")]
-    return ends[0].union(ends[1]).distinct().groupBy("community").agg(F.sum("n").alias("weight")).orderBy(F.desc("weight"), "community").limit(most)
+    inside = contributions if docs is None else contributions.join(docs.select("doc_id"), "doc_id", "left_semi")
+    held = labels.groupBy("node").agg(F.collect_set("community").alias("all"))
+    for end in ("src", "dst"):
+        inside = inside.join(held.select(F.col("node").alias(end), F.col("all").alias(f"_{end}")), end, "left")
+    none = F.array().cast(held.schema["all"].dataType)
+    both = F.array_union(F.coalesce("_src", none), F.coalesce("_dst", none))
+    return inside.select(F.explode(both).alias("community"), "n").groupBy("community").agg(F.sum("n").alias("weight")).orderBy(F.desc("weight"), "community").limit(most)
 
 
 def tag_themes(docs: DataFrame, most: int, most_docs: int) -> DataFrame:

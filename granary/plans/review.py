@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import graph, review
 from ..sources import tables
+from ..sources.shared import stored, tasks_for
 from .graph import PAIRS
 from .registry import ACTS, DOCS, MENTIONS, NOTES, query
 
@@ -70,7 +71,9 @@ def weekly_community_weight(spark: SparkSession, sf: str) -> DataFrame:
     """The communities of most co-occurrence in a period's documents."""
     docs = tables.table(spark, sf, "orders").where("o_orderdate >= '1995-01-01' AND o_orderdate < '1996-01-01'").select(F.col("o_orderkey").alias("doc_id"))
     labels = tables.table(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("community"))
-    return review.community_weight(labels, graph.contributions(tables.mentions(spark, sf)), docs, 5)
+    inside = stored(tables.mentions_by_document(spark, sf, docs), "period-mentions")
+    spread = inside.repartition(tasks_for(inside.count(), spark), "doc_id")
+    return review.community_weight(labels, graph.contributions(spread), None, 5)
 
 
 @query(f"WITH t AS (SELECT lang AS tag, doc_id FROM documents), b AS (SELECT tag FROM t GROUP BY 1 ORDER BY count(*) DESC, tag LIMIT 2) SELECT tag, doc_id FROM (SELECT tag, doc_id, row_number() OVER (PARTITION BY tag ORDER BY doc_id) AS k FROM t WHERE tag IN (SELECT tag FROM b)) WHERE k <= 10")
