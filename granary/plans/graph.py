@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, links
 from ..sources import tables
+from ..sources.shared import tasks_for
 from .registry import MENTIONS, query
 
 PAIRS = f"(SELECT a.entity_id AS src, b.entity_id AS dst, sum(least(a.mention_count, b.mention_count)) AS co_count, count(DISTINCT a.doc_id) AS co_docs FROM {MENTIONS} a JOIN {MENTIONS} b ON a.doc_id = b.doc_id AND a.entity_id < b.entity_id GROUP BY 1, 2)"
@@ -85,8 +86,10 @@ def components(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def components_all(spark: SparkSession, sf: str) -> DataFrame:
     """Components of all orders' customers and suppliers."""
-    links = tables.table(spark, sf, "orders").join(tables.table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1_000_000).alias("dst")).distinct()
-    return graph.components(links)
+    lines = tables.table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
+    lines = lines.repartition(tasks_for(lines.count(), spark), "l_orderkey")
+    orders = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return graph.components(orders.join(lines, "l_orderkey").select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1_000_000).alias("dst")))
 
 
 @query()

@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from granary.functions.text import tokens
-from granary.operators import links, merges, near_dup_store, packed, search, similarity
+from granary.operators import graph, links, merges, near_dup_store, packed, review, search, similarity
 from granary.plans import catalog
+from granary.sources import shared, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -125,3 +126,38 @@ def test_near_dup_state_writes_each_set_once(spark):
     bands = spark.read.parquet(f"{state.folder}/bands")
     assert {len(r["class"]) for r in bands.collect()} == {16} and bands.count() == 4 * similarity.BANDS
     assert near_dup_store.listing(state)[1].count() == 9
+
+
+def test_tasks_of_mentions_grow_with_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 100)
+    found = tables.mentions_by_document(spark, SF)
+    assert found.rdd.getNumPartitions() >= 60
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, tables.mentions(spark, SF).collect()))
+    assert catalog.queries()["document_rewrite"](spark, SF).rdd.getNumPartitions() >= 60
+
+
+def test_communities_count_an_edge_once_without_a_distinct(spark):
+    labels = {1: "a", 2: "a", 3: "b"}
+    edges = [(1, 1, 2, 5), (1, 1, 3, 7), (1, 3, 9, 2), (2, 1, 2, 5), (3, 8, 9, 4), (4, 1, 2, 100)]
+    found = review.community_weight(spark.createDataFrame(list(labels.items()), "node long, community string"), spark.createDataFrame(edges, "doc_id long, src long, dst long, n long"), spark.createDataFrame([(1,), (2,), (3,)], "doc_id long"), 5)
+    assert [tuple(r) for r in found.collect()] == [("a", 17), ("b", 9)]
+    assert not [x for x in _aggregates(found) if "src" in x and "dst" in x]
+
+
+def test_components_of_repeated_edges_make_nothing_distinct(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 3)
+    edges = spark.createDataFrame([(5, 4), (4, 5), (5, 4), (4, 3), (9, 8), (7, 7)], "src long, dst long")
+    assert {r.node: r.component for r in graph.components(edges).collect()} == {3: 3, 4: 3, 5: 3, 7: 7, 8: 8, 9: 8}
+    assert graph.tasks_for(100, spark) == 34
+
+
+def test_affinity_by_pairs_of_entities(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    docs = {k: {int(x) for x in rng.integers(0, 9, rng.integers(1, 5))} for k in range(60)}
+    mentions = spark.createDataFrame([(k, e, 1) for k, v in docs.items() for e in v], "doc_id long, entity_id long, mention_count int")
+    made = []
+    monkeypatch.setattr(graph, "contributions", lambda m, f=graph.contributions: made.append(1) or f(m))
+    for least in (1, 2, 3):
+        want = {(a, b): (n, round(n / min(len(docs[a]), len(docs[b])), 6)) for a in docs for b in docs if a < b and (n := len(docs[a] & docs[b])) >= least}
+        assert {(r.a, r.b): (r.shared, r.affinity) for r in graph.affinity(mentions, least).collect()} == want and want
+    assert len(made) == 5  # by entities, then twice by their pairs
