@@ -3,6 +3,9 @@
 A text's words are the matches of the vocabulary's pattern.  The words that occur most often in all texts are folded once each, as rows of their
 own, and become a constant map of a bounded size; every other word is folded where it stands, so that no text is joined or shuffled.
 
+Words are folded in batches: the merges of the lowest ranks, which are most of a word's, are applied to all words of a batch end to end, one after
+the other; what is left is folded a word at a time, by the least rank of its pairs.
+
 A fold copies the word's pieces once a merge, which is quadratic, so texts that hold a word of over ``LONG_WORD`` bytes take those words through
 a heap of pairs in Python instead; both give the same ids.
 """
@@ -27,6 +30,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bounds of the literal map of frequent words: entries, and bytes of a word.
 FREQUENT, FREQUENT_BYTES = 1 << 20, 64
 LONG_WORD, SURROGATES = 1024, 0xD800
+#: Merges that are applied to a whole batch, and frequent words of a batch.
+BULK, BATCH_WORDS = 64, 256
 
 # Letters and numbers that Unicode 14 to 16 added, which the pattern's engine knows and the JVM's may not, and its white space.
 _NEW_LETTERS = (
@@ -41,24 +46,28 @@ _NEW_LETTERS = (
     r"\x{1E7ED}-\x{1E7EE}\x{1E7F0}-\x{1E7FE}\x{2A6DE}-\x{2A6DF}\x{2B735}-\x{2B739}\x{2EBF0}-\x{2EE5D}\x{31350}-\x{323AF}"
 )
 _NEW_NUMBERS = r"\x{10D40}-\x{10D49}\x{116D0}-\x{116E3}\x{11BF0}-\x{11BF9}\x{11F50}-\x{11F59}\x{16130}-\x{16139}\x{16AC0}-\x{16AC9}\x{16D70}-\x{16D79}\x{1CCF0}-\x{1CCF9}\x{1D2C0}-\x{1D2D3}\x{1E4F0}-\x{1E4F9}\x{1E5F1}-\x{1E5FA}"
-_SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The first of these letters; below it the JVM's letters and numbers are the engine's, and white space is short.
+_FIRST_NEW, _LOW_SPACE = r"\x{870}", r"\t-\r \x{85}\x{A0}"
+_SPACE = _LOW_SPACE + r"\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
-def jvm_pattern(pattern: str = public_tokenizers.PATTERN) -> str:
-    """The pattern in Java's notation, with the letters, numbers and white space of the pattern's own engine.
+def jvm_pattern(pattern: str = public_tokenizers.PATTERN, low: bool = False) -> str:
+    """The pattern in Java's notation, with the letters, numbers and white space of the pattern's own engine; ``low``: for texts without a character
+    from the first new letter on.
 
     The intersections make a character below the first new one cost a single comparison.
     """
-    new = lambda ranges: rf"[\x{{870}}-\x{{323AF}}&&[{ranges}]]"
+    new = lambda ranges: "" if low else rf"[{_FIRST_NEW}-\x{{323AF}}&&[{ranges}]]"
+    space = _LOW_SPACE if low else _SPACE
     letters, numbers = rf"\p{{L}}{new(_NEW_LETTERS)}", rf"\p{{N}}{new(_NEW_NUMBERS)}"
-    inside = {r"\p{L}": letters, r"\p{N}": numbers, r"\s": _SPACE}
+    inside = {r"\p{L}": letters, r"\p{N}": numbers, r"\s": space}
     out, depth = [], 0
     for part in re.findall(r"\\p\{\w\}|\\.|.", pattern, re.S):
         depth += (part == "[") - (part == "]")
         if part in inside:
             part = inside[part] if depth else f"[{inside[part]}]"
         elif part == r"\S":
-            part = f"[^{_SPACE}]"
+            part = f"[^{space}]"
         out.append(part)
     return "".join(out)
 
@@ -72,6 +81,26 @@ def read_ranks(path: str | None = None) -> dict[bytes, int]:
     return ranks
 
 
+def sure_merges(ranks: dict[bytes, int], most: int = BULK) -> list[tuple[bytes, bytes]]:
+    """The pairs that make the pieces of the lowest ranks, in the order of ranks, as far as they may be merged one after the other.
+
+    The bytes that become a piece are merged among themselves as if they stood alone, until a merge crosses their border.  If alone they become the
+    piece by merges of no higher rank, then wherever all lower ranks are done, the piece is whole already or comes from the last of these pairs;
+    and no merge makes a pair of a lower rank.  The list ends before the first piece of which that isn't so.
+    """
+    out = []
+    for rank, piece in sorted((r, p) for p, r in ranks.items() if len(p) > 1)[:most]:
+        parts = [piece[k : k + 1] for k in range(len(piece))]
+        while len(parts) > 1:
+            least, k = min((ranks.get(a + b, rank + 1), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
+            if least > rank:
+                return out
+            pair = parts[k], parts[k + 1]
+            parts[k : k + 2] = [b"".join(pair)]
+        out.append(pair)
+    return out
+
+
 #: Signs around keys and values of a map's entries; no id is one of them.
 _ENTRY, _VALUE = chr(SURROGATES - 1), chr(SURROGATES - 2)
 
@@ -81,7 +110,8 @@ class Lookup:
 
     Spark searches a map's keys one by one as objects, and prints a literal as a whole in every plan; so the map is the one row of a small table,
     which a scalar subquery turns into a constant before tasks begin, and string functions find an entry.  A column of it must be named once only,
-    as by ``with_constant``, so that it isn't copied into rows.  Keys must not hold the entries' first sign, and values are not empty.
+    as by ``with_constant``, so that it isn't copied into rows.  Keys, of one string or more, must hold neither sign, and values are not empty.  The
+    values' sign begins each string, so that it stands for the value of a key without one.
     """
 
     def __init__(self, n: int, table: DataFrame) -> None:
@@ -92,32 +122,35 @@ class Lookup:
         return 1 << max(4, entries.bit_length())
 
     @classmethod
-    def of(cls, spark: SparkSession, entries: dict[str, str]) -> Lookup:
+    def of(cls, spark: SparkSession, entries: dict[tuple[str, ...], str]) -> Lookup:
         """A map that the driver knows."""
         n = cls.slots(len(entries))
-        slots = [""] * n
+        slots = [_VALUE] * n
         for key, value in entries.items():
-            slots[xxhash.xxh64_intdigest(key.encode(), 42) % n] += _ENTRY + key + _VALUE + value
-        return cls(n, constant(spark, [s or _ENTRY for s in slots]))
+            hashed = 42
+            for part in key:
+                hashed = xxhash.xxh64_intdigest(part.encode(), hashed)
+            slots[hashed % n] += _ENTRY + "".join(key) + _VALUE + value
+        return cls(n, constant(spark, slots))
 
     @classmethod
     def of_rows(cls, rows: DataFrame, count: int) -> Lookup:
         """A map of a bounded number of rows ``key, value``."""
         n = cls.slots(count)
         entry = F.concat(F.lit(_ENTRY), "key", F.lit(_VALUE), "value")
-        held = rows.groupBy(F.xxhash64("key").bitwiseAND(F.lit(n - 1)).alias("slot")).agg(F.array_join(F.collect_list(entry), "").alias("entries"))
-        every = rows.sparkSession.range(n).withColumnRenamed("id", "slot").join(held, "slot", "left").select("slot", F.coalesce("entries", F.lit(_ENTRY)).alias("entries"))
+        held = rows.groupBy(F.xxhash64("key").bitwiseAND(F.lit(n - 1)).alias("slot")).agg(F.concat(F.lit(_VALUE), F.array_join(F.collect_list(entry), "")).alias("entries"))
+        every = rows.sparkSession.range(n).withColumnRenamed("id", "slot").join(held, "slot", "left").select("slot", F.coalesce("entries", F.lit(_VALUE)).alias("entries"))
         table = every.agg(F.array_sort(F.collect_list(F.struct("slot", "entries"))).alias("all"))
         return cls(n, table.select(F.transform("all", lambda s: s["entries"]).alias("value")))
 
-    def found(self, table: Column, key: Column) -> Column:
-        """The slot from the key's value on; where it lacks the key, it begins with the entries' first sign."""
-        slot = F.get(table, F.xxhash64(key).bitwiseAND(F.lit(self.n - 1)).cast("int"))
-        return F.call_function("substring_index", slot, F.concat(F.lit(_ENTRY), key, F.lit(_VALUE)), F.lit(-1))
+    def found(self, table: Column, *key: Column) -> Column:
+        """The slot from the key's value on; where it lacks the key, it begins with the values' sign."""
+        slot = F.get(table, F.xxhash64(*key).bitwiseAND(F.lit(self.n - 1)).cast("int"))
+        return F.call_function("substring_index", slot, F.concat(F.lit(_ENTRY), *key, F.lit(_VALUE)), F.lit(-1))
 
-    def value(self, table: Column, key: Column) -> Column:
-        """The value of a key in the table's column; empty where it has none."""
-        return F.substring_index(self.found(table, key), _ENTRY, 1)
+    def value(self, table: Column, *key: Column) -> Column:
+        """The value of a key in the table's column; the values' sign where it has none."""
+        return F.substring_index(self.found(table, *key), _ENTRY, 1)
 
 
 def constant(spark: SparkSession, value: list[str]) -> DataFrame:
@@ -140,7 +173,7 @@ class Vocabulary:
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int] | None = None, pattern: str = public_tokenizers.PATTERN) -> None:
         self.ranks = ranks = ranks or read_ranks()
-        self.pattern = jvm_pattern(pattern)
+        self.pattern, self.low_pattern = jvm_pattern(pattern), jvm_pattern(pattern, low=True)
         if not 0 <= min(ranks.values()) <= max(ranks.values()) < SURROGATES - 2:
             raise ValueError(f"ids must be from 0 to {SURROGATES - 3}")  # two characters are signs of their own
         self.bytes = "".join(chr(ranks[bytes([b])] or SURROGATES - 2) for b in range(256))
@@ -148,8 +181,10 @@ class Vocabulary:
         for key, value in ranks.items():
             for cut in range(1, len(key)):
                 if key[:cut] in ranks and key[cut:] in ranks:
-                    pairs[chr(ranks[key[:cut]]) + chr(ranks[key[cut:]])] = chr(value)
+                    pairs[chr(ranks[key[:cut]]), chr(ranks[key[cut:]])] = chr(value)
         self.pairs = Lookup.of(spark, pairs)
+        first = [(chr(ranks[a]) + chr(ranks[b]), chr(ranks[a + b])) for a, b in sure_merges(ranks)]
+        self.first = F.array(*(F.struct(F.lit(pair).alias("pair"), F.lit(made).alias("made")) for pair, made in first))
         pieces = [""] * (max(ranks.values()) + 1)
         for key, value in ranks.items():
             pieces[value] = key.decode("latin-1")
@@ -157,38 +192,44 @@ class Vocabulary:
 
     def words(self, text: Column) -> Column:
         """All matches of the pattern, which cover the text."""
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
+        found = lambda pattern: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
+        return F.when(F.rlike(text, F.lit(rf"[{_FIRST_NEW}-\x{{10FFFF}}]")), found(self.pattern)).otherwise(found(self.low_pattern))
+
+    def folded(self, words: Column, pairs: Column) -> Column:
+        """Ids of each word of an array; of no word, one empty string."""
+        latin = "".join(map(chr, range(256)))
+        placed = lambda w: F.translate(F.decode(w.cast("binary"), "ISO-8859-1"), latin, self.bytes)
+        ids = F.replace(F.array_join(F.transform(words, placed), _ENTRY), F.lit(chr(SURROGATES - 2)), F.lit("\0"))  # translate takes a zero for nothing
+        merged = F.aggregate(self.first, ids, lambda s, m: F.replace(s, m["pair"], m["made"]))
+        return F.transform(F.split(merged, _ENTRY), lambda p: self.fold(p, pairs))
 
-    def fold(self, word: Column, pairs: Column) -> Column:
-        """Ids of one word: as often as it has bytes but one, the leftmost pair of the lowest rank becomes one piece.
+    def fold(self, pieces: Column, pairs: Column) -> Column:
+        """Pieces of one word, folded: as often as there are pieces but one, the leftmost pair of the lowest rank becomes one piece.
 
-        A step holds the pieces' ids ``p``, the ids ``k`` that each piece and the next would make, and the least ``m`` of these, the next merge.
+        A step holds the pieces' ids ``p`` between two signs, the ids ``k`` that each of them and the next would make, and the least ``m`` of these,
+        the next merge.
         """
-        none = F.lit(_ENTRY)
-        made = lambda pair: F.substring(self.pairs.found(pairs, pair), F.lit(1), F.lit(1))  # noqa: E731  one character, or none
-        first = lambda s, n: F.substring(s, F.lit(1), n)
-        after = lambda s, n: F.substring(s, n, F.lit(LONG_WORD))
-        least = lambda k: F.array_min(F.split(k, ""))
+        none, sign = F.lit(_VALUE), F.lit(_ENTRY)
+        made = lambda *pair: F.substring(self.pairs.found(pairs, *pair), F.lit(1), F.lit(1))  # noqa: E731  one character
+        at = lambda s, n: F.substring(s, n, F.lit(1))
+        state = lambda p, k: with_constant(k, lambda k: F.struct(p.alias("p"), k.alias("k"), F.array_min(F.split(k, "")).alias("m")))
 
         def merged(s: Column, i: Column) -> Column:
-            p, k, x = s["p"], s["k"], s["m"]
-            left = F.when(i > 1, made(F.concat(F.substring(p, i - 1, F.lit(1)), x))).otherwise("")
-            right = F.when(i < F.length(k), made(F.concat(x, F.substring(p, i + 2, F.lit(1))))).otherwise("")
-            changed = F.concat(first(k, i - 2), left, right, after(k, i + 2))
-            return with_constant(changed, lambda k: F.struct(F.concat(first(p, i - 1), x, after(p, i + 2)).alias("p"), k.alias("k"), least(k).alias("m")))
+            p, x = s["p"], s["m"]
+            left = F.when(i > 2, made(at(p, i - 1), x)).otherwise(none)
+            right = F.when(i < F.length(s["k"]) - 1, made(x, at(p, i + 2))).otherwise(none)
+            return state(F.overlay(p, x, i, F.lit(2)), F.overlay(s["k"], F.concat(left, right), i - 1, F.lit(3)))
 
         def step(s: Column, _: Column) -> Column:
             return F.when(s["m"] < none, with_constant(F.instr(s["k"], s["m"]), lambda i: merged(s, i))).otherwise(s)
 
-        def folded(p: Column) -> Column:
-            rest = F.split(F.substring(p, F.lit(2), F.length(p)), "")
-            pairs_of = F.array_join(F.zip_with(F.split(first(p, F.length(p) - 1), ""), rest, lambda a, b: made(F.concat(a, b))), "")
-            start = with_constant(pairs_of, lambda k: F.struct(p.alias("p"), k.alias("k"), least(k).alias("m")))
-            return F.when(F.length(p) < 2, p).otherwise(F.aggregate(rest, start, step, lambda s: s["p"]))
+        def stepped(rest: Column) -> Column:
+            pairs_of = F.zip_with(F.split(F.substring(pieces, F.lit(1), F.length(pieces) - 1), ""), rest, lambda a, b: made(a, b))
+            start = state(F.concat(sign, pieces, sign), F.concat(none, F.array_join(pairs_of, ""), none))
+            return F.aggregate(rest, start, step, lambda s: F.substring(s["p"], F.lit(2), F.length(s["p"]) - 2))
 
-        latin = "".join(map(chr, range(256)))
-        ids = F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), latin, self.bytes)
-        return with_constant(F.replace(ids, F.lit(chr(SURROGATES - 2)), F.lit("\0")), folded)  # translate takes a zero for nothing
+        rest = F.split(F.substring(pieces, F.lit(2), F.length(pieces)), "")
+        return F.when(F.length(pieces) < 2, pieces).otherwise(with_constant(rest, stepped))
 
     @staticmethod
     def ids(folded: Column) -> Column:
@@ -241,7 +282,7 @@ def frequent_words(words: DataFrame, vocabulary: Vocabulary, most: int = FREQUEN
 
     Which count a word needs comes from a histogram of all counts in sixteenths of powers of two.
     """
-    counts = words.where((F.octet_length("word") <= FREQUENT_BYTES) & ~F.contains("word", F.lit(_ENTRY))).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    counts = words.where((F.octet_length("word") <= FREQUENT_BYTES) & ~F.contains("word", F.lit(_ENTRY)) & ~F.contains("word", F.lit(_VALUE))).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
     counts = stash(counts.withColumn("bin", F.floor(F.log2("n") * 16).cast("int")), "word-counts")
     held, least, taken = 0, 1 << 30, 0
     for row in sorted(counts.groupBy("bin").agg(F.count("*").alias("words")).collect(), reverse=True):
@@ -249,9 +290,10 @@ def frequent_words(words: DataFrame, vocabulary: Vocabulary, most: int = FREQUEN
         if held > most:
             break
         least, taken = row.bin, held
-    chosen = counts.where(F.col("bin") >= least).repartition(F.col("word")).select("word", vocabulary.pairs.table.scalar().alias("pairs"))
-    folded = with_constant(F.col("pairs"), lambda pairs: vocabulary.fold(F.col("word"), pairs))
-    return Lookup.of_rows(chosen.select(F.col("word").alias("key"), folded.alias("value")), taken)
+    batch = F.pmod(F.xxhash64("word"), F.lit(max(1, taken // BATCH_WORDS)))
+    chosen = counts.where(F.col("bin") >= least).groupBy(batch).agg(F.collect_list("word").alias("words")).select("words", vocabulary.pairs.table.scalar().alias("pairs"))
+    folded = with_constant(F.col("pairs"), lambda pairs: vocabulary.folded(F.col("words"), pairs))
+    return Lookup.of_rows(chosen.select(F.inline(F.zip_with("words", folded, lambda w, v: F.struct(w.alias("key"), v.alias("value"))))), taken)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, derive: Callable[[Column, Column], list[Column]] | None = None, key: str = "doc_id", text: str = "text", most: int = FREQUENT) -> DataFrame:
@@ -267,21 +309,24 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, derive: Callable[[Column, Co
     known = frequent_words(words, vocabulary, most)
     constants = [vocabulary.pairs.table.scalar().alias("pairs"), known.table.scalar().alias("known")]
 
-    def short(w: Column, pairs: Column) -> Column:
-        return F.when(F.octet_length(w) <= LONG_WORD, vocabulary.fold(w, pairs))
+    def filled(values: Column, others: Column) -> Column:
+        # the values end to end, each sign replaced by the next of the others
+        return F.array_join(F.zip_with(F.split(F.array_join(values, ""), _VALUE), others, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
-    def parts(known_table: Column, pairs: Column) -> Column:
-        def ids(w: Column) -> Column:
-            return with_constant(known.value(known_table, w), lambda v: F.when(v != "", v).otherwise(short(w, pairs)))
+    def whole(words: Column, values: Column, pairs: Column) -> Column:
+        others = F.filter(F.zip_with(words, values, lambda w, v: F.when(v == _VALUE, w)), F.isnotnull)
+        short = lambda others: ~F.exists(others, lambda w: F.octet_length(w) > LONG_WORD)
+        return with_constant(others, lambda others: F.when(short(others), filled(values, vocabulary.folded(others, pairs))))
 
+    def ids(known_table: Column, pairs: Column) -> Column:
         # a text that holds the sign of entries isn't looked up
-        words = vocabulary.words(F.col("text"))
-        return F.when(F.contains("text", F.lit(_ENTRY)), F.transform(words, lambda w: short(w, pairs))).otherwise(F.transform(words, ids))
+        def of(words: Column) -> Column:
+            values = F.when(F.contains("text", F.lit(_ENTRY)), F.transform(words, lambda _: F.lit(_VALUE))).otherwise(F.transform(words, lambda w: known.value(known_table, w)))
+            return with_constant(values, lambda values: whole(words, values, pairs))
 
-    def whole(parts: Column) -> Column:
-        return F.when(~F.exists(parts, F.isnull), F.array_join(parts, ""))
+        return with_constant(vocabulary.words(F.col("text")), of)
 
-    found = with_constant(F.col("known"), lambda table: with_constant(F.col("pairs"), lambda pairs: with_constant(parts(table, pairs), whole)))
+    found = with_constant(F.col("known"), lambda table: with_constant(F.col("pairs"), lambda pairs: ids(table, pairs)))
     made = docs.select("key", "text", *constants).select("key", "text", found.alias("folded"))
     derived = lambda df: df.select("*", vocabulary.pieces.scalar().alias("pieces")).select("key", *left, F.inline(F.array(with_constant(F.col("pieces"), lambda p: F.struct(*derive(F.col("folded"), p))))))
     left = [F.when(F.col("folded").isNull(), F.col("text")).alias("left")]
@@ -297,11 +342,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, derive: Callable[[Column, Co
     rest = rest.withColumn("long", long_ids(F.filter("words", lambda w: F.octet_length(w) > LONG_WORD)))
 
     def joined(pairs: Column) -> Column:
-        # a long word takes the ids that have its number among the long ones
-        def add(s: Column, w: Column) -> Column:
-            return F.struct(F.concat(s["out"], F.array(F.coalesce(short(w, pairs), F.get("long", s["n"])))).alias("out"), (s["n"] + (F.octet_length(w) > LONG_WORD).cast("int")).alias("n"))
-
-        return F.aggregate("words", F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("n")), add, lambda s: F.array_join(s["out"], ""))
+        short = lambda w: F.get(vocabulary.folded(F.array(w), pairs), F.lit(0))
+        return filled(F.transform("words", lambda w: F.when(F.octet_length(w) > LONG_WORD, F.lit(_VALUE)).otherwise(short(w))), F.col("long"))
 
     rest = rest.select("key", "words", "long", constants[0]).select("key", with_constant(F.col("pairs"), joined).alias("folded"))
     left = []

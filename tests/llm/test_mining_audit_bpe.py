@@ -209,6 +209,37 @@ def test_long_words_by_heap_are_those_of_the_library(vocabulary, library):
         assert byte_bpe.heap_ids(word.encode(), vocabulary.ranks) == library.encode_ordinary(word)
 
 
+def test_batches_of_words_are_folded_like_the_library_s(spark, vocabulary, library):
+    """Merges of the lowest ranks are applied to a whole batch at once, and do not cross from word to word."""
+    rng = random.Random(4)
+    words = ["th", "the", " the", "t", "h", "e", "aaaaa", "tthhee", " ofthdthtion", "ciónrrasmi", "日本", "\0\0"]
+    words += ["".join(rng.choice("aehinorst dé") for _ in range(rng.randrange(1, 40))) for _ in range(300)]
+    frame = spark.createDataFrame([(words,), ([],)], "words array<string>").select("words", vocabulary.pairs.table.scalar().alias("pairs"))
+    batch = byte_bpe.with_constant(F.col("pairs"), lambda pairs: vocabulary.folded(F.col("words"), pairs))
+    full, empty = (r.ids for r in frame.select(batch.alias("ids")).collect())
+    one = lambda word: [library._mergeable_ranks[word]] if word in library._mergeable_ranks else byte_bpe.heap_ids(word, vocabulary.ranks)
+    assert [list(map(ord, ids)) for ids in full] == [one(w.encode()) for w in words]
+    assert empty == [""]
+
+
+def test_sure_merges_end_where_their_order_could_matter(vocabulary):
+    single = {bytes([b]): b for b in range(256)}
+    assert byte_bpe.sure_merges(single) == []
+    assert byte_bpe.sure_merges(single | {b"th": 300, b"the": 301, b" the": 302}) == [(b"t", b"h"), (b"th", b"e"), (b" ", b"the")]
+    assert byte_bpe.sure_merges(single | {b"ab": 300, b"bc": 299, b"abd": 301}) == [(b"b", b"c"), (b"a", b"b"), (b"ab", b"d")]
+    assert byte_bpe.sure_merges(single | {b"ab": 300, b"abc": 290, b"bc": 310}) == []  # abc comes from a pair of a higher rank
+    found = byte_bpe.sure_merges(vocabulary.ranks)
+    assert len(found) == byte_bpe.BULK and [vocabulary.ranks[a + b] for a, b in found] == list(range(256, 256 + byte_bpe.BULK))
+
+
+def test_low_texts_have_the_words_of_the_whole_pattern(spark, vocabulary):
+    points = [chr(c) for c in range(0x86F)] + ["\u086f", "\u0870", "\u2003"]
+    texts = ["".join(f"a{c} 1{c} !{c}{c}  {c}" for c in points[k : k + 50]) for k in range(0, len(points), 50)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    out = frame.select(vocabulary.words(F.col("text")).alias("a"), F.regexp_extract_all("text", F.lit(vocabulary.pattern), F.lit(0)).alias("b")).collect()
+    assert all(r.a == r.b and "".join(r.a) for r in out)
+
+
 def test_vocabularies_are_checked():
     with pytest.raises(ValueError):
         byte_bpe.Vocabulary(None, {bytes([b]): b + 60_000 for b in range(256)})
