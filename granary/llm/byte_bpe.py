@@ -1,13 +1,14 @@
 """Byte-level BPE with the ranks of a public vocabulary: higher-order functions fold ranked merges over the bytes of a word.
 
 A text's words are the matches of the vocabulary's pattern.  The words that occur most often in all texts are folded once each, as rows of their
-own, and become a constant map of a bounded size; every other word is folded where it stands, so that no text is joined or shuffled.
+own, and become a broadcast table of a bounded size; every other word is folded where it stands, so that no text is joined or shuffled.  Tasks look
+up each distinct word of an Arrow batch once, and take the values of all words, and the bytes of all ids, from Arrow arrays.
 
 Words are folded in batches: the merges of the lowest ranks, which are most of a word's, are applied to all words of a batch end to end, one after
 the other; what is left is folded a word at a time, by the least rank of its pairs.
 
-A fold copies the word's pieces once a merge, which is quadratic, so texts that hold a word of over ``LONG_WORD`` bytes take those words through
-a heap of pairs in Python instead; both give the same ids.
+A fold copies the word's pieces once a merge, which is quadratic, so words of over ``LONG_WORD`` bytes go through a heap of pairs in Python
+instead; both give the same ids.
 """
 
 from __future__ import annotations
@@ -16,18 +17,21 @@ import base64
 import heapq
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .shared import stash
+from .shared import Hasher, bounded_batches, stash
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Bounds of the literal map of frequent words: entries, and bytes of a word.
+#: Bounds of the table of frequent words: entries, and bytes of a word.
 FREQUENT, FREQUENT_BYTES = 1 << 20, 64
 LONG_WORD, SURROGATES = 1024, 0xD800
 #: Merges that are applied to a whole batch, and frequent words of a batch.
@@ -133,25 +137,11 @@ class Lookup:
             slots[hashed % n] += _ENTRY + "".join(key) + _VALUE + value
         return cls(n, constant(spark, slots))
 
-    @classmethod
-    def of_rows(cls, rows: DataFrame, count: int) -> Lookup:
-        """A map of a bounded number of rows ``key, value``."""
-        n = cls.slots(count)
-        entry = F.concat(F.lit(_ENTRY), "key", F.lit(_VALUE), "value")
-        held = rows.groupBy(F.xxhash64("key").bitwiseAND(F.lit(n - 1)).alias("slot")).agg(F.concat(F.lit(_VALUE), F.array_join(F.collect_list(entry), "")).alias("entries"))
-        every = rows.sparkSession.range(n).withColumnRenamed("id", "slot").join(held, "slot", "left").select("slot", F.coalesce("entries", F.lit(_VALUE)).alias("entries"))
-        table = every.agg(F.array_sort(F.collect_list(F.struct("slot", "entries"))).alias("all"))
-        return cls(n, table.select(F.transform("all", lambda s: s["entries"]).alias("value")))
-
     def found(self, table: Column, *key: Column) -> Column:
         """The slot from the key's value on; where it lacks the key, it begins with the values' sign."""
         slot = F.get(table, F.xxhash64(*key).bitwiseAND(F.lit(self.n - 1)).cast("int"))
         return F.call_function("substring_index", slot, F.concat(F.lit(_ENTRY), *key, F.lit(_VALUE)), F.lit(-1))
 
-    def value(self, table: Column, *key: Column) -> Column:
-        """The value of a key in the table's column; the values' sign where it has none."""
-        return F.substring_index(self.found(table, *key), _ENTRY, 1)
-
 
 def constant(spark: SparkSession, value: list[str]) -> DataFrame:
     """A local table of one row that holds ``value``."""
@@ -185,10 +175,10 @@ class Vocabulary:
         self.pairs = Lookup.of(spark, pairs)
         first = [(chr(ranks[a]) + chr(ranks[b]), chr(ranks[a + b])) for a, b in sure_merges(ranks)]
         self.first = F.array(*(F.struct(F.lit(pair).alias("pair"), F.lit(made).alias("made")) for pair, made in first))
-        pieces = [""] * (max(ranks.values()) + 1)
+        pieces = [b""] * (max(ranks.values()) + 2)  # the last is that of any higher id
         for key, value in ranks.items():
-            pieces[value] = key.decode("latin-1")
-        self.pieces = constant(spark, pieces)
+            pieces[value] = key
+        self.pieces = pa.array(pieces, pa.binary())
 
     def words(self, text: Column) -> Column:
         """All matches of the pattern, which cover the text."""
@@ -231,20 +221,63 @@ class Vocabulary:
         rest = F.split(F.substring(pieces, F.lit(2), F.length(pieces)), "")
         return F.when(F.length(pieces) < 2, pieces).otherwise(with_constant(rest, stepped))
 
-    @staticmethod
-    def ids(folded: Column) -> Column:
-        """Characters as whole numbers."""
-        return F.when(folded == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(folded, ""), F.ascii))
+def _ends(lengths: pa.Array) -> np.ndarray:
+    """Where each of some values ends, after a zero."""
+    return np.concatenate(([0], np.cumsum(lengths.to_numpy(zero_copy_only=False), dtype=np.int64)))
 
-    @staticmethod
-    def little_endian(folded: Column) -> Column:
-        """Ids as unsigned 32-bit integers, lowest byte first: UTF-16 of the characters, each with a zero after it."""
-        return F.encode(F.when(folded == "", "").otherwise(F.concat(F.array_join(F.split(folded, ""), "\0"), F.lit("\0"))), "UTF-16LE")
 
-    @staticmethod
-    def decode(folded: Column, pieces: Column) -> Column:
-        """The bytes of ids, end to end; an id that the vocabulary lacks is no bytes."""
-        return F.encode(F.array_join(F.transform(F.split(folded, ""), lambda c: F.get(pieces, F.ascii(c))), ""), "ISO-8859-1")
+def _cut(data: pa.Buffer | None, ends: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
+    """An array of parts of a buffer."""
+    return pa.Array.from_buffers(kind or pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), data or pa.py_buffer(b"")])
+
+
+def _points(folded: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all strings, end to end, and where each string ends."""
+    return np.frombuffer("".join(folded.to_pylist()).encode("utf-32-le"), "<u4"), _ends(pc.utf8_length(folded))
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    ends = _ends(pc.binary_length(words))
+    data = words.buffers()[2]
+    begin = np.frombuffer(words.buffers()[1], np.int32)[words.offset] if len(words) else 0
+    return Hasher(np.frombuffer(data or b"", np.uint8)[begin : begin + ends[-1]], lower=False)(ends[:-1], ends[1:])
+
+
+def word_table(known: pa.Table) -> pa.Table:
+    """``hash, key, value`` of the frequent words in the order of hashes; last comes an empty key, the place of words that are missing."""
+    known = pa.table({c: pa.concat_arrays([*(x.cast(pa.string()) for x in known[c].chunks), pa.array([end])]) for c, end in (("key", ""), ("value", _VALUE))})
+    hashes = _hashes(known["key"].combine_chunks())
+    hashes[-1] = np.iinfo(np.uint64).max
+    order = np.argsort(hashes, kind="stable")
+    order = np.append(order[order < len(order) - 1], len(order) - 1)
+    return known.take(pa.array(order)).combine_chunks().append_column("hash", pa.array(hashes[order]))
+
+
+def decoded(ids: np.ndarray, ends: np.ndarray, pieces: pa.Array) -> pa.Array:
+    """The bytes of each text's ids, which end at ``ends``; an id that the vocabulary lacks is no bytes."""
+    parts = pieces.take(pa.array(np.minimum(ids, len(pieces) - 1)))
+    return _cut(parts.buffers()[2], _ends(pc.binary_length(parts))[ends])
+
+
+def looked_up(words: pa.ListArray, known: pa.Table, ranks: dict[bytes, int]) -> tuple[pa.Array, pa.Array]:
+    """Of each text's words, the values end to end, where the values' sign stands for each word without one, and those words.
+
+    ``known``: as by ``word_table``.  Each distinct word is looked up once; of two frequent words of one hash, the later is as if it were missing.
+    Long words without a value get theirs by the heap.
+    """
+    hashes, keys, values = (known[c].chunk(0) for c in ("hash", "key", "value"))
+    flat, starts, none = words.flatten().dictionary_encode(), words.offsets.to_numpy().astype(np.int64), len(keys) - 1
+    place = np.searchsorted(hashes.to_numpy(), _hashes(flat.dictionary))
+    place[~pc.equal(keys.take(pa.array(place)), flat.dictionary).to_numpy(zero_copy_only=False)] = none
+    long = np.flatnonzero((place == none) & (pc.binary_length(flat.dictionary).to_numpy() > LONG_WORD))
+    if len(long):
+        place[long] = none + 1 + np.arange(len(long))
+        values = pa.concat_arrays([values, pa.array(["".join(map(chr, heap_ids(w.encode(), ranks))) for w in flat.dictionary.take(pa.array(long)).to_pylist()])])
+    starts, indices = starts - starts[0], flat.indices.to_numpy()
+    found, missing = values.take(pa.array(place)).take(flat.indices), (place == none)[indices]
+    counts = np.concatenate(([0], np.cumsum(missing)))[starts]
+    others = pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), flat.dictionary.take(pa.array(indices[missing])))
+    return _cut(found.buffers()[2], _ends(pc.binary_length(found))[starts], pa.string()), others
 
 
 def heap_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -277,12 +310,12 @@ def heap_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def frequent_words(words: DataFrame, vocabulary: Vocabulary, most: int = FREQUENT) -> Lookup:
-    """Ids of the words that occur most often, at most ``most`` of them, each folded once; ``words`` has word.
+def frequent_words(words: DataFrame, vocabulary: Vocabulary, most: int = FREQUENT) -> DataFrame:
+    """``key, value``: the words that occur most often, at most ``most`` of them, and their ids, each folded once; ``words`` has word.
 
     Which count a word needs comes from a histogram of all counts in sixteenths of powers of two.
     """
-    counts = words.where((F.octet_length("word") <= FREQUENT_BYTES) & ~F.contains("word", F.lit(_ENTRY)) & ~F.contains("word", F.lit(_VALUE))).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    counts = words.where(F.octet_length("word") <= FREQUENT_BYTES).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
     counts = stash(counts.withColumn("bin", F.floor(F.log2("n") * 16).cast("int")), "word-counts")
     held, least, taken = 0, 1 << 30, 0
     for row in sorted(counts.groupBy("bin").agg(F.count("*").alias("words")).collect(), reverse=True):
@@ -293,68 +326,59 @@ def frequent_words(words: DataFrame, vocabulary: Vocabulary, most: int = FREQUEN
     batch = F.pmod(F.xxhash64("word"), F.lit(max(1, taken // BATCH_WORDS)))
     chosen = counts.where(F.col("bin") >= least).groupBy(batch).agg(F.collect_list("word").alias("words")).select("words", vocabulary.pairs.table.scalar().alias("pairs"))
     folded = with_constant(F.col("pairs"), lambda pairs: vocabulary.folded(F.col("words"), pairs))
-    return Lookup.of_rows(chosen.select(F.inline(F.zip_with("words", folded, lambda w, v: F.struct(w.alias("key"), v.alias("value"))))), taken)
+    return chosen.select(F.inline(F.zip_with("words", folded, lambda w, v: F.struct(w.alias("key"), v.alias("value")))))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, derive: Callable[[Column, Column], list[Column]] | None = None, key: str = "doc_id", text: str = "text", most: int = FREQUENT) -> DataFrame:
-    """``key, ids`` of every text, or ``key`` with what ``derive`` makes of the folded text and the column of pieces.
+def in_batches(df: DataFrame, made: Callable[..., tuple[pa.Array, ...]], schema: str) -> DataFrame:
+    """The first column, with what ``made`` makes of each Arrow batch of the other."""
 
-    Rows stay apart, so repeated rows give repeated results and any kind of key, null too, will do.  Null and empty texts have no ids; columns
-    other than key and text are ignored, and an empty table gives an empty one.  What is derived is stored once, beside the rare texts that hold
-    long words.
-    """
-    derive = derive or (lambda folded, _: [vocabulary.ids(folded).alias("ids")])
-    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    words = docs.select(F.explode(vocabulary.words(F.col("text"))).alias("word"))
-    known = frequent_words(words, vocabulary, most)
-    constants = [vocabulary.pairs.table.scalar().alias("pairs"), known.table.scalar().alias("known")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made(batch.column(1))], names)
 
-    def filled(values: Column, others: Column) -> Column:
-        # the values end to end, each sign replaced by the next of the others
-        return F.array_join(F.zip_with(F.split(F.array_join(values, ""), _VALUE), others, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    fields = StructType.fromDDL(schema)
+    names = [df.columns[0], *fields.names]
+    return df.mapInArrow(run, StructType([df.schema[0], *fields]))
 
-    def whole(words: Column, values: Column, pairs: Column) -> Column:
-        others = F.filter(F.zip_with(words, values, lambda w, v: F.when(v == _VALUE, w)), F.isnotnull)
-        short = lambda others: ~F.exists(others, lambda w: F.octet_length(w) > LONG_WORD)
-        return with_constant(others, lambda others: F.when(short(others), filled(values, vocabulary.folded(others, pairs))))
 
-    def ids(known_table: Column, pairs: Column) -> Column:
-        # a text that holds the sign of entries isn't looked up
-        def of(words: Column) -> Column:
-            values = F.when(F.contains("text", F.lit(_ENTRY)), F.transform(words, lambda _: F.lit(_VALUE))).otherwise(F.transform(words, lambda w: known.value(known_table, w)))
-            return with_constant(values, lambda values: whole(words, values, pairs))
+def folded_texts(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", most: int = FREQUENT) -> DataFrame:
+    """``key, folded``: the ids of every text as characters.
 
-        return with_constant(vocabulary.words(F.col("text")), of)
+    Rows stay apart, so repeated rows give repeated results and any kind of key, null too, will do.  Null and empty texts have no ids; columns
+    other than key and text are ignored, and an empty table gives an empty one.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    docs = docs.select(F.col(key).alias("key"), vocabulary.words(F.col(text)).alias("words"))
+    known = spark.sparkContext.broadcast(word_table(frequent_words(docs.select(F.explode("words").alias("word")), vocabulary, most).toArrow()))
+    ranks = vocabulary.ranks
+    found = in_batches(docs, lambda words: looked_up(words, known.value, ranks), "values string, others array<string>")
 
-    found = with_constant(F.col("known"), lambda table: with_constant(F.col("pairs"), lambda pairs: ids(table, pairs)))
-    made = docs.select("key", "text", *constants).select("key", "text", found.alias("folded"))
-    derived = lambda df: df.select("*", vocabulary.pieces.scalar().alias("pieces")).select("key", *left, F.inline(F.array(with_constant(F.col("pieces"), lambda p: F.struct(*derive(F.col("folded"), p))))))
-    left = [F.when(F.col("folded").isNull(), F.col("text")).alias("left")]
-    made = stash(derived(made), "encoded")
+    def filled(values: Column, others: Column) -> Column:
+        # each sign replaced by the next of the others
+        return F.array_join(F.zip_with(F.split(values, _VALUE), others, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
-    ranks = vocabulary.ranks
+    whole = lambda pairs: F.when(F.size("others") == 0, F.col("values")).otherwise(filled(F.col("values"), vocabulary.folded(F.col("others"), pairs)))
+    return found.select("*", vocabulary.pairs.table.scalar().alias("pairs")).select(F.col("key").alias(key), with_constant(F.col("pairs"), whole).alias("folded"))
 
-    @F.pandas_udf("array<string>")
-    def long_ids(words: pd.Series) -> pd.Series:
-        return words.map(lambda row: ["".join(map(chr, heap_ids(w.encode(), ranks))) for w in row])
 
-    rest = made.where(F.col("left").isNotNull()).select("key", vocabulary.words(F.col("left")).alias("words"))
-    rest = rest.withColumn("long", long_ids(F.filter("words", lambda w: F.octet_length(w) > LONG_WORD)))
+def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", most: int = FREQUENT) -> DataFrame:
+    """``key, ids`` of every text, as by ``folded_texts``."""
 
-    def joined(pairs: Column) -> Column:
-        short = lambda w: F.get(vocabulary.folded(F.array(w), pairs), F.lit(0))
-        return filled(F.transform("words", lambda w: F.when(F.octet_length(w) > LONG_WORD, F.lit(_VALUE)).otherwise(short(w))), F.col("long"))
+    def made(folded: pa.Array) -> tuple[pa.Array]:
+        ids, ends = _points(folded)
+        return (pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))),)
 
-    rest = rest.select("key", "words", "long", constants[0]).select("key", with_constant(F.col("pairs"), joined).alias("folded"))
-    left = []
-    rest = derived(rest)
-    return made.where(F.col("left").isNull()).drop("left").unionByName(rest).withColumnRenamed("key", key)
+    return in_batches(folded_texts(docs, vocabulary, key, text, most), made, "ids array<int>")
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", most: int = FREQUENT) -> DataFrame:
     """``key, n_tokens, ids_sha256, decoded_sha256``: each text encoded, and its ids decoded again."""
+    pieces = vocabulary.pieces
 
-    def derive(folded: Column, pieces: Column) -> list[Column]:
-        return [F.length(folded).cast("long").alias("n_tokens"), F.sha2(vocabulary.little_endian(folded), 256).alias("ids_sha256"), F.sha2(vocabulary.decode(folded, pieces), 256).alias("decoded_sha256")]
+    def made(folded: pa.Array) -> tuple[pa.Array, ...]:
+        ids, ends = _points(folded)
+        return pa.array(np.diff(ends)), _cut(pa.py_buffer(ids), 4 * ends), decoded(ids, ends, pieces)
 
-    return encode(docs, vocabulary, derive, key, text, most)
+    out = in_batches(folded_texts(docs, vocabulary, key, text, most), made, "n_tokens long, ids binary, decoded binary")
+    return out.select(key, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -10,6 +10,7 @@ import tempfile
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from granary.llm import byte_bpe, filter_audit, hard_negatives
@@ -240,6 +241,35 @@ def test_low_texts_have_the_words_of_the_whole_pattern(spark, vocabulary):
     assert all(r.a == r.b and "".join(r.a) for r in out)
 
 
+def test_a_batch_looks_up_each_distinct_word_once(vocabulary, library, monkeypatch):
+    known = byte_bpe.word_table(pa.table({"key": pa.array(["the", " cat", "日本"]), "value": pa.array(["A", "BC", "D"])}))
+    hashed, hashes = [], byte_bpe._hashes
+    monkeypatch.setattr(byte_bpe, "_hashes", lambda words: hashed.extend(words.to_pylist()) or hashes(words))
+    long = "ab" * 700
+    rows = [["left out"], ["the", " cat", " rare"] * 500, [], ["日本", "the", long], [" rare", "x" + byte_bpe._VALUE]]
+    values, others = byte_bpe.looked_up(pa.array(rows, pa.list_(pa.string())).slice(1), known, vocabulary.ranks)
+    sign = byte_bpe._VALUE
+    assert values.to_pylist() == [("ABC" + sign) * 500, "", "DA" + "".join(map(chr, library.encode_ordinary(long))), sign * 2]
+    assert others.to_pylist() == [[" rare"] * 500, [], [], [" rare", "x" + sign]]
+    assert sorted(hashed) == sorted({w for row in rows[1:] for w in row})
+
+
+def test_words_of_one_hash_are_not_mistaken(vocabulary, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "_hashes", lambda words: np.full(len(words), 7, np.uint64))
+    known = byte_bpe.word_table(pa.table({"key": pa.array(["one", "two"]), "value": pa.array(["A", "B"])}))
+    values, others = byte_bpe.looked_up(pa.array([["two", "one", "three"]]), known, vocabulary.ranks)
+    assert values.to_pylist() == [byte_bpe._VALUE + "A" + byte_bpe._VALUE] and others.to_pylist() == [["two", "three"]]
+    empty = byte_bpe.word_table(pa.table({"key": pa.array([], pa.string()), "value": pa.array([], pa.string())}))
+    assert byte_bpe.looked_up(pa.array([["two"], []], pa.list_(pa.string())), empty, vocabulary.ranks)[1].to_pylist() == [["two"], []]
+
+
+def test_decoding_gives_no_bytes_for_ids_without_a_piece(vocabulary):
+    texts = ["the cat", "", "日本"]
+    ids, ends = byte_bpe._points(pa.array(["".join(chr(vocabulary.ranks[bytes([b])]) for b in t.encode()) for t in texts]))
+    assert byte_bpe.decoded(ids, ends, vocabulary.pieces).to_pylist() == [t.encode() for t in texts]
+    assert byte_bpe.decoded(np.array([vocabulary.ranks[b"t"], 55_000], "<u4"), np.array([0, 2]), vocabulary.pieces).to_pylist() == [b"t"]
+
+
 def test_vocabularies_are_checked():
     with pytest.raises(ValueError):
         byte_bpe.Vocabulary(None, {bytes([b]): b + 60_000 for b in range(256)})
