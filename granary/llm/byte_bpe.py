@@ -2,7 +2,7 @@
 
 A text's words are the matches of the vocabulary's pattern.  The words that occur most often in all texts are folded once each, as rows of their
 own, and become a broadcast table of a bounded size; every other word is folded where it stands, so that no text is joined or shuffled.  Tasks look
-up each distinct word of an Arrow batch once, and take the values of all words, and the bytes of all ids, from Arrow arrays.
+up each distinct word of ``ROWS`` texts once, and take the values of all words, and the bytes of all ids, from Arrow arrays.
 
 Words are folded in batches: the merges of the lowest ranks, which are most of a word's, are applied to all words of a batch end to end, one after
 the other; what is left is folded a word at a time, by the least rank of its pairs.
@@ -36,6 +36,8 @@ FREQUENT, FREQUENT_BYTES = 1 << 20, 64
 LONG_WORD, SURROGATES = 1024, 0xD800
 #: Merges that are applied to a whole batch, and frequent words of a batch.
 BULK, BATCH_WORDS = 64, 256
+#: Texts whose words are looked up, or whose ids are decoded, at once: each of a task's two Python workers holds all of their words as numbers.
+ROWS = 128
 
 # Letters and numbers that Unicode 14 to 16 added, which the pattern's engine knows and the JVM's may not, and its white space.
 _NEW_LETTERS = (
@@ -330,11 +332,12 @@ def frequent_words(words: DataFrame, vocabulary: Vocabulary, most: int = FREQUEN
 
 
 def in_batches(df: DataFrame, made: Callable[..., tuple[pa.Array, ...]], schema: str) -> DataFrame:
-    """The first column, with what ``made`` makes of each Arrow batch of the other."""
+    """The first column, with what ``made`` makes of the other, of ``ROWS`` rows at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made(batch.column(1))], names)
+            for part in (batch.slice(k, ROWS) for k in range(0, len(batch), ROWS)):
+                yield pa.RecordBatch.from_arrays([part.column(0), *made(part.column(1))], names)
 
     fields = StructType.fromDDL(schema)
     names = [df.columns[0], *fields.names]
