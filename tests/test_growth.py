@@ -71,6 +71,26 @@ def test_pairs_of_participants_are_not_exchanged(spark):
     assert not [x for x in _aggregates(catalog.queries()["rule_precedence"](spark, SF)) if "src" in x]
 
 
+def _random_sets(n):
+    rng = np.random.default_rng(6)
+    return {k: {"hot", *(f"p{x}" for x in rng.integers(0, 9, 2))} if k % 3 else {f"p{x}" for x in rng.integers(0, 9, k % 4)} for k in range(n)}
+
+
+def test_common_keys_are_found_once_a_pair_of_chunks(spark, monkeypatch):
+    monkeypatch.setattr(links, "CHUNK", 3)
+    monkeypatch.setattr(links, "PART_DOCS", 20)
+    sets = _random_sets(130)
+    keys = spark.createDataFrame([(d, x) for d, ks in sets.items() for x in ks], "doc_id long, key string")
+    common = {(a, b): sets[a] & sets[b] for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    for touched, asked in ((keys.where("doc_id % 20 = 0"), lambda d: d % 20 == 0), (None, lambda d: True)):
+        found = links.shared_participant(touched, keys)
+        want = [(a, b, min(c), len(c)) for (a, b), c in common.items() if asked(a) or asked(b)]
+        assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 300
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        # a join of chunks, and documents only come out of them
+        assert plan.index("posexplode(y_docs") < plan.index("Join Inner")
+
+
 def test_cosines_of_asked_rows_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(similarity, "PAIR_BLOCK", 3)
     monkeypatch.setattr(similarity, "PART_BYTES", 100)
