@@ -91,6 +91,16 @@ def test_common_keys_are_found_once_a_pair_of_chunks(spark, monkeypatch):
         assert plan.index("posexplode(y_docs") < plan.index("Join Inner")
 
 
+def test_rule_precedence_covers_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(links, "CHUNK", 3)
+    notes = tables.notes(spark, SF).select("doc_id", "participants", F.to_date("doc_date").alias("day")).collect()
+    sets, day = {r.doc_id: {x.lower() for x in r.participants} - {""} for r in notes}, {r.doc_id: r.day for r in notes}
+    want = {(a, b): ("same_day" if abs((day[a] - day[b]).days) <= 1 else "participant", min(sets[a] & sets[b])) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    found = catalog.queries()["rule_precedence"](spark, SF).collect()
+    assert {(r.src, r.dst): (r.rule, r.evidence) for r in found} == want and len(found) == len(want)
+    assert [1 for a, b in want if a % 20 and b % 20] and "% 20" not in catalog.oracle_sql()["rule_precedence"]
+
+
 def test_cosines_of_asked_rows_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(similarity, "PAIR_BLOCK", 3)
     monkeypatch.setattr(similarity, "PART_BYTES", 100)
