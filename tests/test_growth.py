@@ -158,6 +158,30 @@ def test_near_dup_state_writes_each_set_once(spark):
     assert near_dup_store.listing(state)[1].count() == 9
 
 
+def test_near_dup_state_stores_no_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_dup_store, "HELD", 2)
+    monkeypatch.setattr(near_dup_store, "AT_ONCE", 3)
+    text = lambda k: " ".join(f"w{j}" if j != 7 * k else f"own{k}" for j in range(240))
+    frame = lambda t: spark.createDataFrame(list(t.items()), "doc_id long, text string").withColumn("thread", F.lit(None).cast("string"))
+    texts = {k: text(k) for k in range(12)} | {12: text(3), 13: "short"}
+    state = near_dup_store.started(spark)
+    near_dup_store.updated(state, frame(texts))
+    pairs = lambda: sorted(map(tuple, near_dup_store.listing(state)[0].collect()))
+    sets = {k: {tuple(t.split()[j : j + 5]) for j in range(236)} for k, t in texts.items() if k < 12}
+    want = [(a, b, round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)) for a in sets for b in sets if a < b]
+    want = [p for p in want if p[2] >= 0.85]
+    assert pairs() == want and len(want) > 20
+    stored = {f.name: f.dataType.simpleString() for f in spark.read.parquet(f"{state.folder}/sets").schema}
+    assert "shingles" not in stored and stored["bands"] == "array<bigint>"
+    # a class whose texts are gone for an update, while others came, is found again when they are back
+    near_dup_store.updated(state, frame({k: t for k, t in texts.items() if k not in (2, 5)}))
+    assert pairs() == [p for p in want if not {2, 5} & {*p[:2]}]
+    near_dup_store.updated(state, frame({k: t for k, t in texts.items() if k not in (2, 4)}))
+    assert pairs() == [p for p in want if not {2, 4} & {*p[:2]}]
+    near_dup_store.updated(state, frame(texts))
+    assert pairs() == want
+
+
 def test_tasks_of_mentions_grow_with_their_rows(spark, monkeypatch):
     monkeypatch.setattr(shared, "TASK_ROWS", 100)
     found = tables.mentions_by_document(spark, SF)
