@@ -30,6 +30,9 @@ SECOND = {
 THIRD = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
 FOURTH = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion")
 
+#: What a word must end in for any step to change it; an apostrophe anywhere counts as well.
+CHANGED = f"'|({'|'.join(dict.fromkeys(('s', 'ed', 'ing', 'y', 'e', 'l', *SECOND, *THIRD, *FOURTH)))})$"
+
 _V, _C = "[aeiouy]", "[^aeiouy]"
 #: A syllable at the end that lengthens its vowel if an e follows; consonantal y is Y by then.
 _SHORT_END = rf"({_C}{_V}[^aeiouywxY]|^{_V}{_C})$"
@@ -52,8 +55,9 @@ def _replaced(word: Column, suffix: Column, by: dict[str, str]) -> Column:
 def with_stems(words: DataFrame, word: str = "word", stem: str = "stem") -> DataFrame:
     """The rows with the stem of a lower-case word.
 
-    Words that aren't all of a-z and apostrophes, such as numbers and words of other scripts, are their own stems; so is null.  Every step is a
-    projection, so that no expression repeats the ones before it.
+    Words that aren't all of a-z and apostrophes, such as numbers and words of other scripts, are their own stems; so are null and
+    words without an ending that a step would change, for which no step is worked out.  Every step is a projection, so that no expression repeats the
+    ones before it.
     """
     keep = [F.col(c) for c in words.columns]
     w, suffix = F.col("_w"), F.col("_s")
@@ -62,12 +66,12 @@ def with_stems(words: DataFrame, word: str = "word", stem: str = "stem") -> Data
     def step(rows: DataFrame, new: Column, suffix: Column | None = None, cond: Column | None = None) -> DataFrame:
         """Put ``new`` in the place of the words in work that fit."""
         if suffix is not None:
-            rows = rows.select(*keep, "_w", "_r1", "_r2", "_done", suffix.alias("_s"))
+            rows = rows.select(*keep, "_w", "_r1", "_r2", "_done", F.when(~F.col("_done"), suffix).alias("_s"))
         fits = ~F.col("_done") & cond if cond is not None else ~F.col("_done")
         return rows.select(*keep, F.when(fits, new).otherwise(w).alias("_w"), "_r1", "_r2", "_done")
 
     own = F.create_map(*[F.lit(x) for pair in OWN_STEMS.items() for x in pair])[F.col(word)]
-    plain = F.col(word).rlike("^[a-z']{3,}$") & own.isNull()
+    plain = F.col(word).rlike("^[a-z']{3,}$") & own.isNull() & F.col(word).rlike(CHANGED)
     start = F.regexp_replace(F.col(word), "^'", "")
     # a y that stands first or follows a vowel is a consonant
     marked = F.regexp_replace(F.regexp_replace(start, "^y", "Y"), f"({_V})y", "$1Y")

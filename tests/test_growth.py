@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from granary.functions import stemming
 from granary.functions.text import tokens
 from granary.operators import graph, links, merges, near_dup_store, packed, review, search, similarity
 from granary.plans import catalog
@@ -39,6 +40,20 @@ def test_packed_postings_hold_each_word_once_a_stretch(spark):
     assert sorted((r.word, r.id, r.tf) for r in counts) == [x[:3] for x in plain]
 
 
+def test_stems_of_words_that_no_step_changes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    ends = [*stemming.SECOND, *stemming.THIRD, *stemming.FOURTH, "eed", "eedly", "edly", "ed", "ing", "ingly", "sses", "ied", "ies", "us", "y", "ey", "ll", "e", "'s", "", "k", "o", "n", "t", "r"]
+    words = {"".join(rng.choice(list("abceilnorstuy'"), rng.integers(1, 7))) + e for e in ends for _ in range(30)} | {*stemming.LEFT_ALONE, *stemming.OWN_STEMS, "yoyo", "enjoyhook", "straße", "b2b"}
+    rows = spark.createDataFrame([(w,) for w in sorted(words)] + [(None,)], "word string")
+    told = lambda: {r.word: r.stem for r in stemming.with_stems(rows).collect()}
+    plan = stemming.with_stems(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert stemming.CHANGED[:20] in plan
+    found = told()
+    assert found["yoyo"] == "yoyo" and found["enjoyhook"] == "enjoyhook" and found[None] is None
+    monkeypatch.setattr(stemming, "CHANGED", "")
+    assert found == told()
+
+
 def test_stretches_lose_no_text(monkeypatch):
     monkeypatch.setattr(packed, "WORDS", 5)
     sizes = [0, 3, 2, 9, 0, 1, 1, 4, 0]
